@@ -174,3 +174,16 @@ def pac_change_counts(classified: DataFrame) -> DataFrame:
                  F.array_sort(F.collect_list(F.struct("pos", "file"))).alias("__f"))
             .select("repo_id", "commit_id", "pac_changes",
                     F.transform("__f", lambda s: s["file"]).alias("pac_files")))
+
+
+def parse_commits(commits: DataFrame) -> DataFrame:
+    """P5: typed commit rows with the per-field defaults of the commit model.
+
+    Rows without a commit id (not a commit record) are dropped; a missing
+    author or message becomes '' and a missing date stays null.
+    """
+    return (commits.filter(F.col("commit_id").isNotNull())
+            .select("repo_id", "commit_id",
+                    F.coalesce(F.col("author"), F.lit("")).alias("author"),
+                    F.coalesce(F.col("message"), F.lit("")).alias("message"),
+                    "date", "pos"))

@@ -128,3 +128,247 @@ SELECT repo_id, project_name AS repository, count(*) AS total_commits,
        cast(min(first_idx) AS BIGINT) AS first_pac_commit_index
 FROM slice GROUP BY repo_id, project_name
 """)
+
+# ----------------------------------------------------------------- metrics
+_SLICE_METRICS = """
+metrics AS (
+  SELECT repo_id, project_name AS repository, count(*) AS total_commits,
+         count(*) FILTER (WHERE has_pac_changes) AS pac_commits,
+         count(*) FILTER (WHERE NOT has_pac_changes) AS non_pac_commits,
+         count(*) FILTER (WHERE has_pac_changes) / count(*) * 100 AS pac_maintenance_frequency,
+         cast(min(first_idx) AS BIGINT) AS first_pac_commit_index,
+         coalesce(median(CASE WHEN has_pac_changes THEN cast(total_added_lines + total_deleted_lines AS DOUBLE) END), 0)
+           AS pac_commit_median_size,
+         coalesce(median(CASE WHEN NOT has_pac_changes THEN cast(total_added_lines + total_deleted_lines AS DOUBLE) END), 0)
+           AS non_pac_commit_median_size,
+         count(pv) AS pac_commits_with_changes, coalesce(median(cast(pv AS DOUBLE)), 0) AS pac_code_median_changes,
+         coalesce(min(pv), 0) AS pac_changes_min, coalesce(max(pv), 0) AS pac_changes_max,
+         count(nv) AS non_pac_commits_with_changes, coalesce(median(cast(nv AS DOUBLE)), 0) AS non_pac_code_median_changes,
+         coalesce(min(nv), 0) AS non_pac_changes_min, coalesce(max(nv), 0) AS non_pac_changes_max,
+         count(ov) AS non_pac_only_commits_count, coalesce(median(cast(ov AS DOUBLE)), 0) AS non_pac_only_median_changes,
+         coalesce(min(ov), 0) AS non_pac_only_changes_min, coalesce(max(ov), 0) AS non_pac_only_changes_max
+  FROM (SELECT *,
+          CASE WHEN has_pac_changes AND pac_added_lines + pac_deleted_lines > 0
+               THEN pac_added_lines + pac_deleted_lines END AS pv,
+          CASE WHEN has_pac_changes AND (total_added_lines + total_deleted_lines)
+                                        - (pac_added_lines + pac_deleted_lines) > 0
+               THEN (total_added_lines + total_deleted_lines) - (pac_added_lines + pac_deleted_lines) END AS nv,
+          CASE WHEN NOT has_pac_changes AND total_added_lines + total_deleted_lines > 0
+               THEN total_added_lines + total_deleted_lines END AS ov
+        FROM slice) s
+  GROUP BY repo_id, project_name
+),
+authors AS (
+  SELECT repo_id, project_name AS repository,
+         count(DISTINCT CASE WHEN author <> '' THEN author END) AS total_authors,
+         count(DISTINCT CASE WHEN author <> '' AND has_pac_changes THEN author END) AS pac_authors
+  FROM slice GROUP BY repo_id, project_name
+),
+shares AS (
+  SELECT repo_id, repository, total_authors, pac_authors,
+         CASE WHEN total_authors > 0 THEN pac_authors / total_authors * 100 ELSE 0.0 END
+           AS pac_maintainer_percentage
+  FROM authors
+),
+all_metrics AS (
+  SELECT m.*, s.total_authors, s.pac_authors, s.pac_maintainer_percentage
+  FROM metrics m JOIN shares s ON s.repo_id = m.repo_id
+),
+repo_totals AS (
+  SELECT repo_id AS repository_id, project_name, count(*) AS total_commits,
+         cast(sum(pac_files_count) AS BIGINT) AS pac_changes_count,
+         count(*) FILTER (WHERE has_pac_changes) AS pac_commits_count,
+         cast(sum(total_added_lines) AS BIGINT) AS total_added_lines,
+         cast(sum(total_deleted_lines) AS BIGINT) AS total_deleted_lines,
+         cast(sum(pac_added_lines) AS BIGINT) AS pac_added_lines,
+         cast(sum(pac_deleted_lines) AS BIGINT) AS pac_deleted_lines
+  FROM facts GROUP BY repo_id, project_name
+)"""
+
+
+def register_m(name: str, body: str) -> None:
+    """Like ``register`` with the per-repository metric CTEs in scope."""
+    SQL[name] = ("WITH " + ADAPTER_CTES.strip() + ",\n" + PIPELINE_CTES.strip() + ","
+                 + _SLICE_METRICS.rstrip() + "\n" + body.strip())
+
+
+register_m("pac_frequency", """
+SELECT repo_id, repository, total_commits, pac_commits, pac_maintenance_frequency, first_pac_commit_index
+FROM metrics
+""")
+
+register("first_pac_index", """
+SELECT f.repo_id, f.project_name AS repository, count(*) AS total_commits,
+       cast(coalesce(min(s.first_idx), -1) AS BIGINT) AS first_pac_commit_index
+FROM facts f LEFT JOIN firsts s ON s.repo_id = f.repo_id
+GROUP BY f.repo_id, f.project_name
+""")
+
+register("since_first_pac", """
+SELECT repo_id, commit_id, date, pos, has_pac_changes FROM slice
+""")
+
+register_m("commit_size_medians", """
+SELECT repo_id, repository, pac_commits AS pac_commits_count, non_pac_commits AS non_pac_commits_count,
+       pac_commit_median_size, non_pac_commit_median_size
+FROM metrics
+""")
+
+register_m("maintainer_share", """
+SELECT repo_id, repository, total_authors, pac_authors, pac_maintainer_percentage FROM shares
+""")
+
+register_m("code_change_sizes", """
+SELECT repo_id, repository, pac_commits_with_changes, pac_code_median_changes, pac_changes_min, pac_changes_max,
+       non_pac_commits_with_changes, non_pac_code_median_changes, non_pac_changes_min, non_pac_changes_max,
+       non_pac_only_commits_count, non_pac_only_median_changes, non_pac_only_changes_min, non_pac_only_changes_max
+FROM metrics
+""")
+
+register_m("corpus_medians", """
+SELECT count(*) AS repositories,
+       median(cast(pac_maintenance_frequency AS DOUBLE)) AS median_pac_maintenance_frequency,
+       median(cast(pac_commits AS DOUBLE)) AS median_pac_commits,
+       median(cast(total_commits AS DOUBLE)) AS median_total_commits,
+       median(cast(pac_maintainer_percentage AS DOUBLE)) AS median_pac_maintainer_percentage,
+       median(cast(pac_authors AS DOUBLE)) AS median_pac_authors,
+       median(cast(total_authors AS DOUBLE)) AS median_total_authors,
+       median(pac_commit_median_size) AS median_pac_commit_size,
+       median(non_pac_commit_median_size) AS median_non_pac_commit_size,
+       median(pac_code_median_changes) AS median_pac_code_changes,
+       median(CASE WHEN non_pac_code_median_changes > 0 THEN non_pac_code_median_changes END)
+         AS median_non_pac_code_changes,
+       median(CASE WHEN non_pac_only_median_changes > 0 THEN non_pac_only_median_changes END)
+         AS median_non_pac_only_changes,
+       count(*) FILTER (WHERE pac_commits_with_changes > 0) AS repos_with_pac_changes,
+       count(*) FILTER (WHERE non_pac_only_commits_count > 0) AS repos_with_non_pac_only
+FROM all_metrics
+""")
+
+register_m("repo_fold", """
+SELECT repository_id, project_name, total_commits, pac_changes_count, pac_commits_count,
+       total_added_lines, total_deleted_lines, pac_added_lines, pac_deleted_lines,
+       CASE WHEN total_commits > 0 THEN pac_changes_count / total_commits ELSE 0.0 END AS pac_change_ratio,
+       total_added_lines + total_deleted_lines AS total_modified_lines,
+       pac_added_lines + pac_deleted_lines AS pac_modified_lines,
+       CASE WHEN contains(project_name, '/') THEN split_part(project_name, '/', 1) END AS owner_name,
+       CASE WHEN contains(project_name, '/') THEN split_part(project_name, '/', 2) END AS repository_name
+FROM repo_totals
+""")
+
+register_m("corpus_summary", """
+SELECT count(*) AS repositories, cast(sum(total_commits) AS BIGINT) AS total_commits,
+       cast(sum(pac_changes_count) AS BIGINT) AS total_pac_changes,
+       cast(sum(pac_commits_count) AS BIGINT) AS pac_commits,
+       CASE WHEN sum(total_commits) > 0 THEN sum(pac_changes_count) / sum(total_commits) END AS pac_change_ratio,
+       CASE WHEN sum(total_commits) > 0 THEN sum(pac_commits_count) / sum(total_commits) END AS pac_commit_ratio
+FROM repo_totals
+""")
+
+register_m("boxplot_summary", """
+, long AS (
+  SELECT 'PaC Files' AS series, pac_code_median_changes AS v FROM metrics WHERE pac_code_median_changes > 0
+  UNION ALL
+  SELECT 'Non-PaC Files', non_pac_code_median_changes FROM metrics WHERE non_pac_code_median_changes > 0
+), q AS (
+  SELECT series, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+  FROM long GROUP BY series
+)
+SELECT l.series, q.q1, q.median, q.q3, count(*) AS n, min(v) AS min, max(v) AS max,
+       min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_low,
+       max(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_high,
+       count(*) FILTER (WHERE NOT (v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1))) AS outliers
+FROM long l JOIN q ON q.series = l.series
+GROUP BY l.series, q.q1, q.median, q.q3
+""")
+
+register_m("share_histogram", """
+, long AS (
+  SELECT 'pac_maintenance_frequency' AS metric, pac_maintenance_frequency AS x FROM all_metrics
+  UNION ALL
+  SELECT 'pac_maintainer_percentage', pac_maintainer_percentage FROM all_metrics
+)
+SELECT metric, cast(floor(x / 5.0) * 5.0 AS DOUBLE) AS bin_start, count(*) AS repositories
+FROM long GROUP BY metric, cast(floor(x / 5.0) * 5.0 AS DOUBLE)
+""")
+
+register_m("code_changes_long", """
+SELECT repository, 'PAC Code' || chr(10) || '(in PAC commits)' AS code_type,
+       pac_code_median_changes AS median_lines_changed FROM metrics WHERE pac_code_median_changes > 0
+UNION ALL
+SELECT repository, 'Non-PAC Code' || chr(10) || '(in PAC commits)', non_pac_code_median_changes
+FROM metrics WHERE non_pac_code_median_changes > 0
+UNION ALL
+SELECT repository, 'Non-PAC Code' || chr(10) || '(in non-PAC commits)', non_pac_only_median_changes
+FROM metrics WHERE non_pac_only_median_changes > 0
+""")
+
+# ----------------------------------------------------------- classification
+register("drop_merges", "SELECT repo_id, commit_id, author, date, parent_count, pos FROM live")
+
+register("root_commit_changes", """
+SELECT ch.commit_id, ch.pos, ch.file, ch.additions,
+       CASE WHEN c.parent_count = 0 THEN 0 ELSE ch.deletions END AS deletions,
+       CASE WHEN c.parent_count = 0 THEN 1 ELSE ch.status END AS status
+FROM changes ch JOIN commits c ON c.commit_id = ch.commit_id
+""")
+
+register("newline_count", """
+SELECT doc_id, cast(coalesce(length(text) - length(replace(text, chr(10), '')), 0) AS BIGINT) AS newline_count
+FROM documents
+""")
+
+register("change_totals", """
+SELECT commit_id, pos, file, additions, deletions, status, additions + deletions AS total_changes FROM changes
+""")
+
+register("parse_commits", """
+SELECT repo_id, commit_id, coalesce(author, '') AS author, coalesce(message, '') AS message, date, pos
+FROM commits WHERE commit_id IS NOT NULL
+""")
+
+register("filter_status", """
+SELECT * FROM changes WHERE status IS NULL OR status NOT IN (1, 2)
+""")
+
+register("pac_changes", """
+SELECT repo_id, commit_id, pos, file, additions, deletions, total_changes, status FROM classified WHERE is_pac
+""")
+
+register("other_changes", """
+SELECT repo_id, commit_id, pos, file, additions, deletions, total_changes, status FROM classified WHERE NOT is_pac
+""")
+
+register("commit_fold", "SELECT * FROM facts")
+
+register("split_full_name", """
+SELECT repo_id, full_name AS project_name,
+       CASE WHEN contains(full_name, '/') THEN split_part(full_name, '/', 1) END AS owner_name,
+       CASE WHEN contains(full_name, '/') THEN split_part(full_name, '/', 2) END AS repository_name
+FROM repos
+""")
+
+register("pac_membership", """
+SELECT l.repo_id, f.commit_id, f.pos, f.file, (p.path IS NOT NULL) AS is_pac
+FROM files f JOIN live l ON l.commit_id = f.commit_id
+LEFT JOIN pac_distinct p ON p.repo_id = l.repo_id AND p.path = f.file
+""")
+
+register("pac_files_semi", """
+SELECT f.commit_id, f.file, f.pos, l.repo_id
+FROM files f JOIN live l ON l.commit_id = f.commit_id
+WHERE EXISTS (SELECT 1 FROM pac_files p WHERE p.repo_id = l.repo_id AND p.path = f.file)
+""")
+
+register("other_files_anti", """
+SELECT f.commit_id, f.file, f.pos, l.repo_id
+FROM files f JOIN live l ON l.commit_id = f.commit_id
+WHERE NOT EXISTS (SELECT 1 FROM pac_files p WHERE p.repo_id = l.repo_id AND p.path = f.file)
+""")
+
+register("change_lookup_last", "SELECT commit_id, file, additions, deletions, status FROM last_change")
+
+register("pac_change_counts", """
+SELECT repo_id, commit_id, count(*) AS pac_changes, string_agg(file, '; ' ORDER BY pos) AS pac_files
+FROM classified WHERE is_pac GROUP BY repo_id, commit_id
+""")

@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from histofold.functions import text as txt
+from histofold.operators import classify as cl
 from histofold.operators import repo_metrics as rm
 from histofold.plans.context import context
 
@@ -28,3 +31,146 @@ def query(name: str):
 @query("pac_frequency")
 def q_pac_frequency(spark, sf):
     return rm.pac_frequency(context(spark, sf).facts)
+
+
+@query("first_pac_index")
+def q_first_pac_index(spark, sf):
+    return rm.first_pac_index(context(spark, sf).facts)
+
+
+@query("since_first_pac")
+def q_since_first_pac(spark, sf):
+    return rm.since_first_pac(context(spark, sf).facts).select(
+        "repo_id", "commit_id", "date", "pos", "has_pac_changes")
+
+
+@query("commit_size_medians")
+def q_commit_size_medians(spark, sf):
+    return rm.commit_size_medians(context(spark, sf).facts)
+
+
+@query("maintainer_share")
+def q_maintainer_share(spark, sf):
+    return rm.maintainer_share(context(spark, sf).facts)
+
+
+@query("code_change_sizes")
+def q_code_change_sizes(spark, sf):
+    return rm.code_change_sizes(context(spark, sf).facts)
+
+
+@query("corpus_medians")
+def q_corpus_medians(spark, sf):
+    return rm.corpus_medians(context(spark, sf).facts)
+
+
+@query("repo_fold")
+def q_repo_fold(spark, sf):
+    return rm.repo_fold(context(spark, sf).facts)
+
+
+@query("corpus_summary")
+def q_corpus_summary(spark, sf):
+    return rm.corpus_summary(context(spark, sf).facts)
+
+
+@query("boxplot_summary")
+def q_boxplot_summary(spark, sf):
+    return rm.boxplot_summary(context(spark, sf).facts)
+
+
+@query("share_histogram")
+def q_share_histogram(spark, sf):
+    return rm.share_histogram(context(spark, sf).facts)
+
+
+@query("code_changes_long")
+def q_code_changes_long(spark, sf):
+    return rm.code_changes_long(context(spark, sf).facts)
+
+
+# ---------------------------------------------------------- classification
+@query("drop_merges")
+def q_drop_merges(spark, sf):
+    h = context(spark, sf).h
+    return cl.drop_merges(h.commits).select("repo_id", "commit_id", "author", "date",
+                                            "parent_count", "pos")
+
+
+@query("root_commit_changes")
+def q_root_commit_changes(spark, sf):
+    h = context(spark, sf).h
+    return cl.root_commit_changes(h.commits, h.changes)
+
+
+@query("newline_count")
+def q_newline_count(spark, sf):
+    return txt.newline_count(context(spark, sf).t.documents)
+
+
+@query("change_totals")
+def q_change_totals(spark, sf):
+    return cl.change_totals(context(spark, sf).h.changes)
+
+
+@query("parse_commits")
+def q_parse_commits(spark, sf):
+    return cl.parse_commits(context(spark, sf).h.commits)
+
+
+@query("filter_status")
+def q_filter_status(spark, sf):
+    return cl.filter_status(context(spark, sf).h.changes)
+
+
+@query("pac_changes")
+def q_pac_changes(spark, sf):
+    return cl.pac_change_rows(context(spark, sf).classified)
+
+
+@query("other_changes")
+def q_other_changes(spark, sf):
+    return cl.other_change_rows(context(spark, sf).classified)
+
+
+@query("commit_fold")
+def q_commit_fold(spark, sf):
+    # Computed from the raw tables (not the written facts) so that the query
+    # measures and checks the whole classification + fold.
+    return context(spark, sf).facts_plan()
+
+
+@query("split_full_name")
+def q_split_full_name(spark, sf):
+    r = context(spark, sf).h.repos.select("repo_id", F.col("full_name").alias("project_name"))
+    return rm.split_full_name(r)
+
+
+@query("pac_membership")
+def q_pac_membership(spark, sf):
+    h = context(spark, sf).h
+    f = cl.with_repo(h.files, cl.drop_merges(h.commits))
+    return cl.pac_membership(f, h.pac_files).select("repo_id", "commit_id", "pos", "file", "is_pac")
+
+
+@query("pac_files_semi")
+def q_pac_files_semi(spark, sf):
+    h = context(spark, sf).h
+    return cl.pac_files_semi(cl.with_repo(h.files, cl.drop_merges(h.commits)), h.pac_files)
+
+
+@query("other_files_anti")
+def q_other_files_anti(spark, sf):
+    h = context(spark, sf).h
+    return cl.other_files_anti(cl.with_repo(h.files, cl.drop_merges(h.commits)), h.pac_files)
+
+
+@query("change_lookup_last")
+def q_change_lookup_last(spark, sf):
+    return cl.last_change(context(spark, sf).h.changes).drop("has_info")
+
+
+@query("pac_change_counts")
+def q_pac_change_counts(spark, sf):
+    return (cl.pac_change_counts(context(spark, sf).classified)
+            .withColumn("pac_files", F.array_join("pac_files", "; ")))
