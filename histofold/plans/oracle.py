@@ -372,3 +372,195 @@ register("pac_change_counts", """
 SELECT repo_id, commit_id, count(*) AS pac_changes, string_agg(file, '; ' ORDER BY pos) AS pac_files
 FROM classified WHERE is_pac GROUP BY repo_id, commit_id
 """)
+
+# --------------------------------------------------------------- inspection
+_INSPECTION = r"""
+file_lists AS (
+  SELECT repo_id, commit_id, string_agg(file, '; ' ORDER BY pos) AS pac_files,
+         string_agg(file || ' (+' || cast(additions AS VARCHAR) || '/-' || cast(deletions AS VARCHAR) || ')', '; '
+                    ORDER BY pos) AS pac_files_detailed
+  FROM classified WHERE is_pac GROUP BY repo_id, commit_id
+),
+insp AS (
+  SELECT f.repo_id, f.project_name, cast(f.commit_id AS VARCHAR) AS commit_sha,
+         replace(coalesce(f.message, ''), chr(10), ' ') AS commit_message, coalesce(f.author, '') AS author, f.date,
+         CASE WHEN contains(f.project_name, '/') AND cast(f.commit_id AS VARCHAR) <> ''
+              THEN 'https://github.com/' || f.project_name || '/commit/' || cast(f.commit_id AS VARCHAR)
+              ELSE '' END AS github_url,
+         f.pac_files_count, f.other_files_count, f.pac_added_lines, f.pac_deleted_lines,
+         f.total_added_lines, f.total_deleted_lines,
+         coalesce(l.pac_files, '') AS pac_files, coalesce(l.pac_files_detailed, '') AS pac_files_detailed
+  FROM facts f LEFT JOIN file_lists l ON l.repo_id = f.repo_id AND l.commit_id = f.commit_id
+  WHERE f.has_pac_changes
+),
+sample AS (
+  SELECT * FROM insp
+  ORDER BY md5(concat_ws(':', '42', project_name, commit_sha)), project_name, commit_sha LIMIT 362
+)"""
+
+_EXT = r"""
+ext_named AS (
+  SELECT c.repo_id, c.commit_id, c.is_pac, c.file,
+         coalesce(list_filter(string_split(c.file, '/'), lambda x: x <> '' AND x <> '.')[-1], '') AS name
+  FROM classified c
+),
+ext_split AS (
+  SELECT *, regexp_extract(name, '(?s)^(.+)(\.[^.]+)$', 2) AS suffix FROM ext_named
+),
+ext_stem AS (
+  SELECT *, CASE WHEN suffix <> '' THEN regexp_extract(name, '(?s)^(.+)(\.[^.]+)$', 1) ELSE name END AS stem
+  FROM ext_split
+),
+ext_all AS (
+  SELECT repo_id, commit_id, is_pac, file,
+         CASE WHEN stem <> '' AND ends_with(stem, '.tar') THEN '.tar' || lower(suffix) ELSE lower(suffix) END AS e
+  FROM ext_stem
+),
+ext_rows AS (
+  SELECT DISTINCT a.repo_id, a.commit_id, a.is_pac, CASE WHEN a.e = '' THEN 'no_extension' ELSE a.e END AS ext
+  FROM ext_all a JOIN facts f ON f.repo_id = a.repo_id AND f.commit_id = a.commit_id AND f.has_pac_changes
+),
+sided AS (SELECT *, CASE WHEN is_pac THEN 'pac' ELSE 'other' END AS side FROM ext_rows),
+ext_counts AS (SELECT side, ext, count(*) AS commits FROM sided GROUP BY side, ext),
+side_totals AS (
+  SELECT side, count(*) AS side_commits FROM (SELECT DISTINCT side, repo_id, commit_id FROM sided) z GROUP BY side
+),
+two_sided AS (
+  SELECT repo_id, commit_id FROM sided GROUP BY repo_id, commit_id
+  HAVING count(*) FILTER (WHERE side = 'pac') > 0 AND count(*) FILTER (WHERE side = 'other') > 0
+),
+pairs AS (
+  SELECT a.ext AS pac_extension, b.ext AS other_extension, count(*) AS count
+  FROM sided a JOIN sided b ON a.repo_id = b.repo_id AND a.commit_id = b.commit_id
+  WHERE a.side = 'pac' AND b.side = 'other'
+  GROUP BY a.ext, b.ext
+),
+n_tx AS (SELECT count(*) AS n FROM two_sided),
+items AS (
+  SELECT s.side, s.ext, count(*) AS c FROM sided s
+  JOIN two_sided t ON t.repo_id = s.repo_id AND t.commit_id = s.commit_id GROUP BY s.side, s.ext
+),
+rules_all AS (
+  SELECT p.pac_extension AS antecedent, p.other_extension AS consequent, p.count,
+         a.c AS antecedent_count, b.c AS consequent_count, n.n
+  FROM pairs p JOIN items a ON a.side = 'pac' AND a.ext = p.pac_extension
+  JOIN items b ON b.side = 'other' AND b.ext = p.other_extension
+  CROSS JOIN n_tx n
+),
+top_ext AS (
+  SELECT side, ext, commits, row_number() OVER (PARTITION BY side ORDER BY commits DESC, ext) AS rank
+  FROM ext_counts
+)"""
+
+
+def rules_sql(min_support: float, min_confidence: float) -> str:
+    return f"""
+rules AS (
+  SELECT antecedent, consequent, count / n AS support, count / antecedent_count AS confidence,
+         CASE WHEN consequent_count / n > 0 THEN (count / antecedent_count) / (consequent_count / n) ELSE 0.0 END
+           AS lift,
+         cast(count AS BIGINT) AS count, cast(antecedent_count AS BIGINT) AS antecedent_count,
+         cast(consequent_count AS BIGINT) AS consequent_count
+  FROM rules_all
+  WHERE count >= floor(cast({min_support!r} AS DOUBLE) * n)
+    AND count / antecedent_count >= cast({min_confidence!r} AS DOUBLE)
+)"""
+
+
+def register_x(name: str, body: str, *extra: str) -> None:
+    """Like ``register`` with inspection / extension CTEs (and ``extra``) in scope."""
+    ctes = [ADAPTER_CTES.strip(), PIPELINE_CTES.strip(), _INSPECTION.strip(), _EXT.strip(),
+            *[e.strip() for e in extra]]
+    SQL[name] = "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+
+
+register_x("commit_url", """
+SELECT repo_id, cast(commit_id AS VARCHAR) AS commit_sha,
+       CASE WHEN contains(project_name, '/') AND cast(commit_id AS VARCHAR) <> ''
+            THEN 'https://github.com/' || project_name || '/commit/' || cast(commit_id AS VARCHAR)
+            ELSE '' END AS github_url
+FROM facts
+""")
+register_x("pac_file_lists", "SELECT * FROM file_lists")
+register_x("inspection_rows", "SELECT * FROM insp")
+register_x("inspection_sorted", "SELECT * FROM sample ORDER BY project_name, date, commit_sha")
+register_x("seeded_sample", "SELECT * FROM sample")
+register_x("sample_100", """
+SELECT * FROM insp WHERE (SELECT count(*) FROM insp) > 100
+ORDER BY md5(concat_ws(':', '42', project_name, commit_sha)), project_name, commit_sha LIMIT 100
+""")
+register_x("pac_commit_stats", """
+SELECT * , commits_with_only_pac / total_commits * 100 AS only_pac_pct,
+       commits_with_mixed_changes / total_commits * 100 AS mixed_pct
+FROM (
+  SELECT count(*) AS total_commits, count(DISTINCT project_name) AS unique_projects,
+         sum(pac_files_count) / count(*) AS avg_pac_files_per_commit,
+         sum(other_files_count) / count(*) AS avg_other_files_per_commit,
+         sum(pac_added_lines + pac_deleted_lines) / count(*) AS avg_pac_line_changes,
+         sum(total_added_lines + total_deleted_lines) / count(*) AS avg_total_line_changes,
+         count(*) FILTER (WHERE other_files_count = 0) AS commits_with_only_pac,
+         count(*) FILTER (WHERE other_files_count > 0) AS commits_with_mixed_changes
+  FROM facts WHERE has_pac_changes
+) s WHERE total_commits > 0
+""")
+register_x("commits_by_project", """
+SELECT project_name, count(*) AS pac_commits FROM facts WHERE has_pac_changes GROUP BY project_name
+""")
+register_x("top_projects", """
+SELECT project_name, count(*) AS pac_commits FROM facts WHERE has_pac_changes GROUP BY project_name
+ORDER BY pac_commits DESC, project_name LIMIT 10
+""")
+
+# ---------------------------------------------------------------- co-change
+register_x("file_extension", """
+SELECT DISTINCT file, extension FROM (
+  SELECT file, CASE WHEN e = '' THEN 'no_extension' ELSE e END AS extension FROM (
+    SELECT file, CASE WHEN stem <> '' AND ends_with(stem, '.tar') THEN '.tar' || lower(suffix) ELSE lower(suffix) END AS e
+    FROM (SELECT file, suffix, CASE WHEN suffix <> '' THEN regexp_extract(name, '(?s)^(.+)(\\.[^.]+)$', 1) ELSE name END AS stem
+          FROM (SELECT file, name, regexp_extract(name, '(?s)^(.+)(\\.[^.]+)$', 2) AS suffix
+                FROM (SELECT file, coalesce(list_filter(string_split(file, '/'), lambda x: x <> '' AND x <> '.')[-1], '') AS name
+                      FROM (SELECT DISTINCT file FROM files) d) a) b) c) e) f
+""")
+register_x("cochange_transactions", """
+SELECT f.project_name AS repository, f.commit_id, f.pac_files_count AS num_pac_files,
+       f.other_files_count AS num_other_files,
+       coalesce(array_to_string(list_sort(list(DISTINCT s.ext) FILTER (WHERE s.is_pac)), ','), '') AS pac_extensions,
+       coalesce(array_to_string(list_sort(list(DISTINCT s.ext) FILTER (WHERE NOT s.is_pac)), ','), '') AS other_extensions,
+       coalesce(array_to_string(list_sort(list(DISTINCT s.ext)), ','), '') AS all_extensions
+FROM facts f JOIN ext_rows s ON s.repo_id = f.repo_id AND s.commit_id = f.commit_id
+WHERE f.has_pac_changes
+GROUP BY f.project_name, f.repo_id, f.commit_id, f.pac_files_count, f.other_files_count
+""")
+register_x("extension_counts", "SELECT * FROM ext_counts")
+register_x("cochange_pairs", "SELECT pac_extension, other_extension, cast(count AS BIGINT) AS count FROM pairs")
+register_x("cochange_totals", """
+SELECT (SELECT count(*) FROM (SELECT DISTINCT repo_id, commit_id FROM sided) z) AS total_commits,
+       (SELECT count(*) FROM (SELECT DISTINCT repo_id, commit_id FROM sided WHERE side = 'other') z)
+         AS commits_with_other_files,
+       (SELECT count(DISTINCT ext) FROM sided WHERE side = 'pac') AS unique_pac_extensions,
+       (SELECT count(DISTINCT ext) FROM sided WHERE side = 'other') AS unique_other_extensions,
+       CASE WHEN (SELECT count(*) FROM (SELECT DISTINCT repo_id, commit_id FROM sided) z) > 0
+            THEN (SELECT count(*) FROM (SELECT DISTINCT repo_id, commit_id FROM sided WHERE side = 'other') z)
+                 / (SELECT count(*) FROM (SELECT DISTINCT repo_id, commit_id FROM sided) z) * 100 END AS cochange_rate
+""")
+register_x("extension_share", """
+SELECT c.side, c.ext, c.commits,
+       CASE WHEN t.side_commits > 0 THEN c.commits / t.side_commits * 100 ELSE 0.0 END AS percentage
+FROM ext_counts c LEFT JOIN side_totals t ON t.side = c.side
+""")
+register_x("association_rules", "SELECT * FROM rules", rules_sql(0.01, 0.1))
+register_x("association_rules_main", "SELECT * FROM rules", rules_sql(0.1, 0.8))
+register_x("top_rules", """
+SELECT * FROM rules ORDER BY confidence DESC, support DESC, antecedent, consequent LIMIT 20
+""", rules_sql(0.01, 0.1))
+register_x("top_rules_by_lift", """
+SELECT * FROM rules ORDER BY lift DESC, confidence DESC, support DESC, antecedent, consequent LIMIT 3
+""", rules_sql(0.01, 0.1))
+register_x("top_extensions", "SELECT side, ext, commits, cast(rank AS INTEGER) AS rank FROM top_ext WHERE rank <= 10")
+register_x("cochange_grid", """
+SELECT a.ext AS pac_extension, b.ext AS other_extension, cast(a.rank AS INTEGER) AS pac_rank,
+       cast(b.rank AS INTEGER) AS other_rank, cast(coalesce(p.count, 0) AS BIGINT) AS count
+FROM (SELECT * FROM top_ext WHERE side = 'pac' AND rank <= 5) a
+CROSS JOIN (SELECT * FROM top_ext WHERE side = 'other' AND rank <= 5) b
+LEFT JOIN pairs p ON p.pac_extension = a.ext AND p.other_extension = b.ext
+""")

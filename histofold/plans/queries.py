@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from histofold.functions import text as txt
 from histofold.operators import classify as cl
+from histofold.operators import cochange as co
+from histofold.operators import inspection as ins
 from histofold.operators import repo_metrics as rm
 from histofold.plans.context import context
 
@@ -174,3 +176,132 @@ def q_change_lookup_last(spark, sf):
 def q_pac_change_counts(spark, sf):
     return (cl.pac_change_counts(context(spark, sf).classified)
             .withColumn("pac_files", F.array_join("pac_files", "; ")))
+
+
+# --------------------------------------------------------------- inspection
+def _inspection(spark, sf):
+    ctx = context(spark, sf)
+    return ins.inspection_rows(ctx.facts, ctx.classified)
+
+
+@query("commit_url")
+def q_commit_url(spark, sf):
+    f = context(spark, sf).facts
+    sha = F.col("commit_id").cast("string")
+    return f.select("repo_id", sha.alias("commit_sha"),
+                    ins.commit_url(F.col("project_name"), sha).alias("github_url"))
+
+
+@query("pac_file_lists")
+def q_pac_file_lists(spark, sf):
+    return ins.pac_file_lists(context(spark, sf).classified)
+
+
+@query("inspection_rows")
+def q_inspection_rows(spark, sf):
+    return _inspection(spark, sf)
+
+
+@query("inspection_sorted")
+def q_inspection_sorted(spark, sf):
+    return ins.inspection_sorted(ins.seeded_sample(_inspection(spark, sf)))
+
+
+@query("pac_commit_stats")
+def q_pac_commit_stats(spark, sf):
+    return ins.pac_commit_stats(context(spark, sf).facts)
+
+
+@query("commits_by_project")
+def q_commits_by_project(spark, sf):
+    return ins.commits_by_project(context(spark, sf).facts)
+
+
+@query("top_projects")
+def q_top_projects(spark, sf):
+    return ins.top_projects(context(spark, sf).facts)
+
+
+@query("seeded_sample")
+def q_seeded_sample(spark, sf):
+    return ins.seeded_sample(_inspection(spark, sf))
+
+
+@query("sample_100")
+def q_sample_100(spark, sf):
+    return ins.extra_sample(_inspection(spark, sf))
+
+
+# ----------------------------------------------------------------- co-change
+def _ext_rows(spark, sf):
+    ctx = context(spark, sf)
+    return co.extension_rows(ctx.classified, ctx.facts)
+
+
+def _transactions(spark, sf):
+    ctx = context(spark, sf)
+    return co.cochange_transactions(ctx.classified, ctx.facts)
+
+
+@query("file_extension")
+def q_file_extension(spark, sf):
+    p = context(spark, sf).h.files.select("file").distinct()
+    return p.select("file", co.file_extension(F.col("file")).alias("extension"))
+
+
+@query("cochange_transactions")
+def q_cochange_transactions(spark, sf):
+    t = _transactions(spark, sf)
+    return t.select("repository", "commit_id", "num_pac_files", "num_other_files",
+                    *[F.array_join(c, ",").alias(c)
+                      for c in ("pac_extensions", "other_extensions", "all_extensions")])
+
+
+@query("extension_counts")
+def q_extension_counts(spark, sf):
+    return co.extension_counts(_ext_rows(spark, sf))
+
+
+@query("cochange_pairs")
+def q_cochange_pairs(spark, sf):
+    return co.cochange_pairs(_transactions(spark, sf))
+
+
+@query("cochange_totals")
+def q_cochange_totals(spark, sf):
+    return co.cochange_totals(_ext_rows(spark, sf))
+
+
+@query("extension_share")
+def q_extension_share(spark, sf):
+    return co.extension_share(_ext_rows(spark, sf))
+
+
+@query("association_rules")
+def q_association_rules(spark, sf):
+    return co.association_rules(_transactions(spark, sf))
+
+
+@query("association_rules_main")
+def q_association_rules_main(spark, sf):
+    return co.association_rules(_transactions(spark, sf), co.MAIN_MIN_SUPPORT, co.MAIN_MIN_CONFIDENCE)
+
+
+@query("top_rules")
+def q_top_rules(spark, sf):
+    return co.top_rules(co.association_rules(_transactions(spark, sf)))
+
+
+@query("top_rules_by_lift")
+def q_top_rules_by_lift(spark, sf):
+    return co.top_rules_by_lift(co.association_rules(_transactions(spark, sf)))
+
+
+@query("top_extensions")
+def q_top_extensions(spark, sf):
+    return co.top_extensions(_ext_rows(spark, sf))
+
+
+@query("cochange_grid")
+def q_cochange_grid(spark, sf):
+    return co.cochange_grid(_ext_rows(spark, sf), _transactions(spark, sf))
