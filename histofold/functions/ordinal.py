@@ -42,3 +42,26 @@ def ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Colum
     return (with_b.join(offsets, on=[*g, b], how="inner")
             .withColumn(name, (F.col("__off") + F.row_number().over(inner) - 1).cast("int"))
             .drop(b, "__off"))
+
+
+def file_row_number(df: DataFrame, name: str = "idx") -> DataFrame:
+    """1-based row number in file order (file path, then position in the file).
+
+    ``df`` must come straight from a file scan.  Every scan split (a file, or
+    a block of a splittable file) is read by one task in order, so
+    ``monotonically_increasing_id`` is consecutive inside a split.  A split
+    table (one row per split: first id and row count) gets prefix sums in
+    split order; rows add their offset inside the split.  Only the split table,
+    whose size is the number of splits, passes through one task.
+    """
+    d = (df.withColumn("__file", F.col("_metadata.file_path"))
+         .withColumn("__block", F.col("_metadata.file_block_start"))
+         .withColumn("__mid", F.monotonically_increasing_id()))
+    splits = d.groupBy("__file", "__block").agg(F.min("__mid").alias("__m0"),
+                                                F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__file", "__block", "__m0",
+                            F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    return (d.join(offsets, ["__file", "__block"], "inner")
+            .withColumn(name, (F.col("__off") + F.col("__mid") - F.col("__m0") + 1).cast("int"))
+            .drop("__file", "__block", "__mid", "__m0", "__off"))

@@ -86,6 +86,10 @@ class Context:
          .write.mode("overwrite").parquet(f"{root}/commit_facts"))
         return root
 
+    def io_root(self) -> str:
+        """Folder for files the source/sink queries write and read back."""
+        return f"{self._root()}/io"
+
     @property
     def classified(self) -> DataFrame:
         if self._classified is None:

@@ -564,3 +564,103 @@ FROM (SELECT * FROM top_ext WHERE side = 'pac' AND rank <= 5) a
 CROSS JOIN (SELECT * FROM top_ext WHERE side = 'other' AND rank <= 5) b
 LEFT JOIN pairs p ON p.pac_extension = a.ext AND p.other_extension = b.ext
 """)
+
+# ------------------------------------------------------------------ coverage
+register("coverage_missing", """
+SELECT DISTINCT full_name FROM repos WHERE full_name NOT IN (SELECT full_name FROM done_repos)
+""")
+register("coverage_collected", """
+SELECT DISTINCT full_name FROM repos WHERE full_name IN (SELECT full_name FROM done_repos)
+""")
+register("coverage_except", "SELECT full_name FROM repos EXCEPT SELECT full_name FROM done_repos")
+register("coverage_summary", """
+SELECT a AS all_repositories, c AS collected_repositories, a - c AS missed_repositories,
+       c / a AS collected_fraction, (a - c) / a AS missed_fraction
+FROM (SELECT count(DISTINCT full_name) AS a,
+             count(DISTINCT full_name) FILTER (WHERE full_name IN (SELECT full_name FROM done_repos)) AS c
+      FROM repos) s
+""")
+register("retry_worklist", """
+SELECT full_name, min(idx) AS idx FROM repos
+WHERE full_name NOT IN (SELECT full_name FROM done_repos) AND full_name NOT IN (SELECT full_name FROM gone_repos)
+GROUP BY full_name
+""")
+register("incremental_todo", """
+SELECT repo_id, full_name, idx, sha FROM repos WHERE full_name NOT IN (SELECT full_name FROM done_repos)
+""")
+register("suffix_lookup", """
+, names AS (
+  SELECT DISTINCT name FROM (
+    SELECT split_part(full_name, '/', 2) AS name FROM repos
+    UNION ALL SELECT lower(split_part(full_name, '/', 2)) FROM repos
+    UNION ALL SELECT split_part(full_name, '/', 1) FROM repos) z
+), m AS (
+  SELECT n.name, r.repo_id, r.full_name, r.idx,
+         row_number() OVER (PARTITION BY n.name ORDER BY r.idx) AS rn
+  FROM names n JOIN repos r ON ends_with(r.full_name, n.name)
+)
+SELECT n.name, m.repo_id, m.full_name, m.idx FROM names n LEFT JOIN m ON m.name = n.name AND m.rn = 1
+""")
+register("resolve_revision", """
+, found AS (
+  SELECT DISTINCT r.repo_id FROM repos r JOIN commits c ON c.repo_id = r.repo_id AND cast(c.commit_id AS VARCHAR) = r.sha
+)
+SELECT r.repo_id, r.full_name, r.sha,
+       CASE WHEN r.idx = 7 OR f.repo_id IS NULL THEN r.head_sha ELSE r.sha END AS revision,
+       (r.idx = 7 OR f.repo_id IS NULL) AS uses_head
+FROM repos r LEFT JOIN found f ON f.repo_id = r.repo_id
+""")
+
+# ----------------------------------------------------------- sources, sinks
+register("scan_repo_catalog", "SELECT cast(repo_id AS BIGINT) AS repo_id, full_name, sha, idx FROM repos")
+register("select_repo_by_number", """
+SELECT cast(repo_id AS BIGINT) AS repo_id, full_name, sha, idx FROM repos WHERE idx = 7
+""")
+register("scan_pac_files", "SELECT DISTINCT cast(repo_id AS BIGINT) AS repo_id, path FROM pac_files")
+register("scan_commit_history", """
+SELECT cast(c.repo_id AS BIGINT) AS repo_id, cast(ch.commit_id AS VARCHAR) AS commit_id,
+       cast(row_number() OVER (PARTITION BY ch.commit_id ORDER BY ch.pos) - 1 AS INTEGER) AS change_pos,
+       ch.file, cast(ch.additions AS BIGINT) AS additions, cast(ch.deletions AS BIGINT) AS deletions,
+       cast(ch.additions + ch.deletions AS BIGINT) AS total_changes, ch.status
+FROM changes ch JOIN commits c ON c.commit_id = ch.commit_id
+""")
+register("scan_history_files", """
+SELECT cast(c.repo_id AS BIGINT) AS repo_id, cast(c.commit_id AS VARCHAR) AS commit_id, f.pos, f.file
+FROM commits c LEFT JOIN files f ON f.commit_id = c.commit_id
+""")
+register("write_results_roundtrip", """
+SELECT cast(repo_id AS BIGINT) AS repo_id, project_name, cast(commit_id AS VARCHAR) AS commit_id, author,
+       message, date, pos, pac_files_count, other_files_count, pac_added_lines, pac_deleted_lines,
+       total_added_lines, total_deleted_lines, has_pac_changes
+FROM facts
+""")
+register("discover_results", """
+SELECT DISTINCT split_part(project_name, '/', 1) AS owner_name, split_part(project_name, '/', 2) AS repository_name
+FROM facts
+""")
+register_m("read_results", """
+SELECT cast(repository_id AS BIGINT) AS repository_id, project_name, total_commits, pac_changes_count,
+       pac_commits_count,
+       CASE WHEN total_commits > 0 THEN pac_changes_count / total_commits ELSE 0.0 END AS pac_change_ratio,
+       split_part(project_name, '/', 1) AS owner_name, split_part(project_name, '/', 2) AS repository_name
+FROM repo_totals
+""")
+register("flatten_commits", """
+SELECT cast(c.repo_id AS BIGINT) AS repository_id, f.project_name, cast(c.commit_id AS VARCHAR) AS commit_id,
+       c.is_pac, cast(row_number() OVER (PARTITION BY c.repo_id, c.commit_id, c.is_pac ORDER BY c.pos) - 1 AS INTEGER)
+         AS list_pos,
+       c.file, cast(c.additions AS BIGINT) AS additions, cast(c.deletions AS BIGINT) AS deletions,
+       cast(c.total_changes AS BIGINT) AS total_changes, c.status
+FROM classified c JOIN facts f ON f.repo_id = c.repo_id AND f.commit_id = c.commit_id
+""")
+register("safe_output_name", r"""
+SELECT full_name,
+       'outputs/' || regexp_replace(split_part(full_name, '/', 1), '[^\p{L}\p{N}_.\-]', '_', 'g') || '/'
+       || regexp_replace(split_part(full_name, '/', 2), '[^\p{L}\p{N}_.\-]', '_', 'g') || '.json' AS output_file
+FROM repos
+""")
+register_x("write_inspection_csv", """
+SELECT project_name, commit_sha, commit_message, author, date, github_url, pac_files_count, other_files_count,
+       pac_added_lines, pac_deleted_lines, total_added_lines, total_deleted_lines, pac_files, pac_files_detailed
+FROM sample
+""")

@@ -6,6 +6,7 @@ Spark derived from them and wrote once per input folder (see ``context``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,14 @@ from pyspark.sql import functions as F
 from histofold.functions import text as txt
 from histofold.operators import classify as cl
 from histofold.operators import cochange as co
+from histofold.operators import coverage as cov
 from histofold.operators import inspection as ins
 from histofold.operators import repo_metrics as rm
 from histofold.plans.context import context
+from histofold.sources import catalog as cat
+from histofold.sources import history as hist
+from histofold.sources import results as res
+from histofold.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -305,3 +311,144 @@ def q_top_extensions(spark, sf):
 @query("cochange_grid")
 def q_cochange_grid(spark, sf):
     return co.cochange_grid(_ext_rows(spark, sf), _transactions(spark, sf))
+
+
+# ------------------------------------------------------------------ coverage
+@query("coverage_missing")
+def q_coverage_missing(spark, sf):
+    h = context(spark, sf).h
+    return cov.coverage_missing(h.repos, h.done_repos())
+
+
+@query("coverage_collected")
+def q_coverage_collected(spark, sf):
+    h = context(spark, sf).h
+    return cov.coverage_collected(h.repos, h.done_repos())
+
+
+@query("coverage_except")
+def q_coverage_except(spark, sf):
+    h = context(spark, sf).h
+    return cov.coverage_except(h.repos, h.done_repos())
+
+
+@query("coverage_summary")
+def q_coverage_summary(spark, sf):
+    h = context(spark, sf).h
+    return cov.coverage_summary(h.repos, h.done_repos())
+
+
+@query("retry_worklist")
+def q_retry_worklist(spark, sf):
+    h = context(spark, sf).h
+    return cov.retry_worklist(h.repos, h.done_repos(), h.gone_repos())
+
+
+@query("incremental_todo")
+def q_incremental_todo(spark, sf):
+    h = context(spark, sf).h
+    return cov.incremental_todo(h.repos, h.done_repos()).select("repo_id", "full_name", "idx", "sha")
+
+
+@query("suffix_lookup")
+def q_suffix_lookup(spark, sf):
+    r = context(spark, sf).h.repos
+    parts = F.split("full_name", "/")
+    names = (r.select(parts.getItem(1).alias("name"))
+             .unionByName(r.select(F.lower(parts.getItem(1)).alias("name")))
+             .unionByName(r.select(parts.getItem(0).alias("name"))).distinct())
+    return cov.suffix_lookup(names, r)
+
+
+@query("resolve_revision")
+def q_resolve_revision(spark, sf):
+    h = context(spark, sf).h
+    return cov.resolve_revision(h.repos, h.commits, h.repos.filter(F.col("idx") == 7).select("full_name"))
+
+
+# ------------------------------------------------------------ sources, sinks
+def _io_dir(spark, sf, name):
+    return f"{context(spark, sf).io_root()}/{name}/{uuid.uuid4().hex}"
+
+
+@query("scan_repo_catalog")
+def q_scan_repo_catalog(spark, sf):
+    path = _io_dir(spark, sf, "catalog")
+    cat.write_repo_catalog(context(spark, sf).h.repos, path)
+    return cat.scan_repo_catalog(spark, path)
+
+
+@query("select_repo_by_number")
+def q_select_repo_by_number(spark, sf):
+    path = _io_dir(spark, sf, "catalog")
+    cat.write_repo_catalog(context(spark, sf).h.repos, path)
+    return cat.select_repo_by_number(cat.scan_repo_catalog(spark, path), 7)
+
+
+@query("scan_pac_files")
+def q_scan_pac_files(spark, sf):
+    path = _io_dir(spark, sf, "pac_files")
+    cat.write_pac_files(context(spark, sf).h.pac_files, path)
+    return cat.scan_pac_files(spark, path)
+
+
+def _history(spark, sf):
+    h = context(spark, sf).h
+    path = _io_dir(spark, sf, "history")
+    hist.write_history(hist.export_history(h.commits, h.files, h.changes), path)
+    return hist.scan_commit_history(spark, path)
+
+
+@query("scan_commit_history")
+def q_scan_commit_history(spark, sf):
+    return hist.history_changes(_history(spark, sf))
+
+
+@query("scan_history_files")
+def q_scan_history_files(spark, sf):
+    return hist.history_files(_history(spark, sf))
+
+
+def _results(spark, sf):
+    ctx = context(spark, sf)
+    root = _io_dir(spark, sf, "results")
+    res.write_results(res.result_commits(ctx.facts, ctx.classified, ctx.h.files),
+                      res.result_repositories(ctx.facts), root)
+    return root
+
+
+@query("write_results_roundtrip")
+def q_write_results_roundtrip(spark, sf):
+    good, _bad = res.read_results(spark, _results(spark, sf))
+    return res.fold_result_commits(good)
+
+
+@query("discover_results")
+def q_discover_results(spark, sf):
+    return res.discover_results(spark, _results(spark, sf)).select("owner_name", "repository_name")
+
+
+@query("read_results")
+def q_read_results(spark, sf):
+    return res.read_result_repositories(spark, _results(spark, sf))
+
+
+@query("flatten_commits")
+def q_flatten_commits(spark, sf):
+    good, _bad = res.read_results(spark, _results(spark, sf))
+    return res.flatten_changes(good)
+
+
+@query("safe_output_name")
+def q_safe_output_name(spark, sf):
+    r = context(spark, sf).h.repos
+    parts = F.split("full_name", "/")
+    return r.select("full_name", res.output_file_name(parts.getItem(0), parts.getItem(1)).alias("output_file"))
+
+
+@query("write_inspection_csv")
+def q_write_inspection_csv(spark, sf):
+    path = _io_dir(spark, sf, "inspection_csv")
+    rows = ins.inspection_sorted(ins.seeded_sample(_inspection(spark, sf)))
+    sinks.write_inspection_csv(rows, path)
+    return sinks.read_inspection_csv(spark, path)
