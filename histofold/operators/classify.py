@@ -65,11 +65,11 @@ def change_totals(changes: DataFrame) -> DataFrame:
 
 def last_change(changes: DataFrame) -> DataFrame:
     """One change record per ``(commit_id, file)``: the one with the highest position."""
-    rec = F.struct("additions", "deletions", "status")
+    # One max_by per field (primitive buffers) keeps this a hash aggregate with
+    # map-side combine; a struct-valued max_by would force a sort aggregate.
     return (changes.groupBy("commit_id", "file")
-            .agg(F.max_by(rec, "pos").alias("c"))
-            .select("commit_id", "file", "c.additions", "c.deletions", "c.status",
-                    F.lit(True).alias("has_info")))
+            .agg(*[F.max_by(c, "pos").alias(c) for c in ("additions", "deletions", "status")])
+            .withColumn("has_info", F.lit(True)))
 
 
 def distinct_pac(pac_files: DataFrame) -> DataFrame:
@@ -109,9 +109,13 @@ def classify_changes(commits: DataFrame, files: DataFrame, changes: DataFrame,
     total_changes, status``.  PaC rows are ``pac_changes``, the rest
     ``other_changes`` of the analysed commit model (P7, P8).
     """
-    live = drop_merges(commits)
-    f = pac_membership(with_repo(files, live), pac_files)
-    j = f.join(last_change(changes), ["commit_id", "file"], "left")
+    # Join order: files with their change record first -- both sides hashed on
+    # (commit_id, file), which also spreads a huge commit over many tasks --
+    # then the repository key on commit_id; the commit fold downstream reuses
+    # that partitioning, and the PaC list join is map-side when it is small.
+    live = drop_merges(commits).select("commit_id", "repo_id")
+    f = files.join(last_change(changes), ["commit_id", "file"], "left")
+    j = pac_membership(f.join(live, "commit_id", "inner"), pac_files)
     has_info = F.coalesce(F.col("has_info"), F.lit(False))
     keep = ~added_or_deleted(F.col("status")) & (has_info | ~F.col("is_pac"))
 

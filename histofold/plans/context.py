@@ -27,8 +27,20 @@ from histofold.sources.tables import TABLES, Tables
 LAYOUT_VERSION = "facts-v1"
 
 
+def _code_version() -> bytes:
+    """Source of the modules that shape the written tables."""
+    from histofold.functions import ordinal, sizing
+    from histofold.sources import adapter
+    h = hashlib.sha1()
+    for mod in (classify, adapter, ordinal, sizing):
+        with open(mod.__file__, "rb") as fh:
+            h.update(fh.read())
+    return h.digest()
+
+
 def _fingerprint(sf_dir: str) -> str:
     h = hashlib.sha1(LAYOUT_VERSION.encode())
+    h.update(_code_version())
     h.update(os.path.abspath(sf_dir).encode())
     for name in TABLES:
         p = os.path.join(sf_dir, f"{name}.parquet")
@@ -50,7 +62,7 @@ class Context:
     # -- fresh (unmaterialized) plans -------------------------------------
     def classified_plan(self) -> DataFrame:
         h = self.h
-        return classify.classify_changes(h.commits, h.files, h.changes, h.pac_files)
+        return classify.classify_changes(h.commit_keys, h.files, h.changes, h.pac_files)
 
     def facts_plan(self, classified: DataFrame | None = None) -> DataFrame:
         h = self.h

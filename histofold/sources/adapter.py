@@ -97,6 +97,16 @@ def pac_files(t: Tables) -> DataFrame:
             .unionByName(listed.filter(F.col("p_partkey") % 16 == 0).select("repo_id", "path")))
 
 
+def commit_keys(t: Tables) -> DataFrame:
+    """``commits`` without the walk position: for joins that only need the keys."""
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    c = t.customer.select("c_custkey", "c_nationkey")
+    return (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+            .select(F.col("c_nationkey").alias("repo_id"), F.col("o_orderkey").alias("commit_id"),
+                    F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(2))
+                    .when(F.col("o_orderkey") % 500 == 0, F.lit(0)).otherwise(F.lit(1)).alias("parent_count")))
+
+
 def commits(t: Tables) -> DataFrame:
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
     c = t.customer.select("c_custkey", "c_name", "c_nationkey")
@@ -156,6 +166,7 @@ class History:
         self.repos = repos(t)
         self.pac_files = pac_files(t)
         self.commits = commits(t)
+        self.commit_keys = commit_keys(t)
         self.files = lines.select("commit_id", "file", "pos")
         self.changes = changes_from_lines(lines)
 
