@@ -27,9 +27,10 @@ def order_key() -> Column:
     return F.struct(F.coalesce(F.col("date"), F.lit(0)).alias("d"), F.col("pos").alias("p"))
 
 
-def first_pac(facts: DataFrame) -> DataFrame:
+def first_pac(facts: DataFrame, with_name: bool = False) -> DataFrame:
     """Per repository: ``first`` = order key of its first PaC commit."""
-    return (facts.filter("has_pac_changes").groupBy("repo_id")
+    keys = ["repo_id", "project_name"] if with_name else ["repo_id"]
+    return (facts.filter("has_pac_changes").groupBy(*keys)
             .agg(F.min(order_key()).alias("first")))
 
 
@@ -143,10 +144,8 @@ def maintainer_share(facts: DataFrame) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("total_authors"),
                      F.sum("__pac").cast("long").alias("pac_authors")))
     # Repositories in the slice whose authors are all empty still get a row.
-    repos_in_slice = first_pac(facts).select("repo_id")
-    names = facts.select("repo_id", "project_name").distinct()
-    out = (repos_in_slice.join(names, "repo_id")
-           .join(per_repo, ["repo_id", "project_name"], "left")
+    repos_in_slice = first_pac(facts, with_name=True).select("repo_id", "project_name")
+    out = (repos_in_slice.join(per_repo, ["repo_id", "project_name"], "left")
            .select("repo_id", F.col("project_name").alias("repository"),
                    F.coalesce("total_authors", F.lit(0)).cast("long").alias("total_authors"),
                    F.coalesce("pac_authors", F.lit(0)).cast("long").alias("pac_authors")))

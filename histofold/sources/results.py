@@ -91,9 +91,14 @@ def result_repositories(facts: DataFrame) -> DataFrame:
 
 
 def write_results(commits: DataFrame, repositories: DataFrame, root: str) -> None:
-    """JSON (UTF-8, unescaped) partitioned by owner and repository."""
+    """JSON (UTF-8, unescaped) partitioned by owner and repository.
+
+    ``rebalance`` groups rows of a repository into few files, while AQE splits
+    a partition that grows past the advisory size -- a repository holding a
+    third of all commits is written by many tasks, not one.
+    """
     for name, df in (("repositories", repositories), ("commits", commits)):
-        (df.repartition("owner_name", "repository_name")
+        (df.hint("rebalance", "owner_name", "repository_name")
          .write.mode("overwrite").partitionBy("owner_name", "repository_name").json(f"{root}/{name}"))
 
 
