@@ -146,16 +146,22 @@ def discover_results(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Permissive read of result commits; returns ``(good, quarantined)``.
+    """Read result commits; returns ``(good, quarantined)``.
 
-    Unreadable lines land in ``_corrupt_record`` and are returned separately
-    instead of being skipped silently.
+    Good rows come from a ``DROPMALFORMED`` read; unreadable lines are not lost
+    silently but returned by a second, ``PERMISSIVE`` read as the quarantine
+    (raw line in ``_corrupt_record`` plus its ``file_path``).  Spark refuses a
+    scan that needs only the corrupt column, so inspect the quarantine with
+    ``collect()`` / a write, or ``cache()`` it before ``count()``.
     """
     schema = _with_partition_keys(RESULT_COMMIT)
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{root}/commits"))
-    bad = F.col("_corrupt_record").isNotNull()
-    return df.filter(~bad).drop("_corrupt_record"), df.filter(bad)
+    good_schema = T.StructType([f for f in schema.fields if f.name != "_corrupt_record"])
+    good = spark.read.schema(good_schema).option("mode", "DROPMALFORMED").json(f"{root}/commits")
+    raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{root}/commits"))
+    bad = (raw.filter(F.col("_corrupt_record").isNotNull())
+           .withColumn("file_path", F.col("_metadata.file_path")))
+    return good, bad
 
 
 def read_result_repositories(spark: SparkSession, root: str) -> DataFrame:

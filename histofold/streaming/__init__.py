@@ -1,0 +1 @@
+"""Incremental collection: exported histories arriving as files (see ``collect``)."""

@@ -1,0 +1,78 @@
+"""The collection step as a Structured Streaming job.
+
+The analysed tool collects repositories one run at a time and skips a
+repository whose result file already exists (S13).  Here exported histories
+(HISTORY schema, one JSON line per commit, each file holding whole
+repositories) arrive in a folder; every micro-batch
+
+1. leaves out repositories that already have a result from an *earlier*
+   batch (anti-join on the result listing -- S13),
+2. classifies and folds the commits of the rest (the batch operators of
+   ``operators.classify``), and
+3. writes the result rows to ``<out>/commits/batch=<epoch>/`` and
+   ``<out>/repositories/batch=<epoch>/``, partitioned by owner / repository.
+
+Writing into a folder named by the epoch with overwrite makes a replayed
+epoch (after a failure) replace its own output instead of duplicating it;
+the stream's progress lives in a checkpoint under ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from histofold.functions.sizing import bounded_broadcast
+from histofold.operators import classify as cl
+from histofold.schemas import HISTORY
+from histofold.session import scratch_dir
+from histofold.sources import history as hist
+from histofold.sources import results as res
+
+
+def _done_keys(spark: SparkSession, out_root: str, epoch_id: int) -> DataFrame | None:
+    try:
+        found = res.discover_results(spark, f"{out_root}/repositories")
+    except Exception:  # nothing written yet
+        return None
+    mine = f"/batch={epoch_id}/"
+    return (found.filter(~F.col("file_path").contains(mine))
+            .select(F.concat("owner_name", F.lit("/"), "repository_name").alias("project_name")).distinct())
+
+
+def collect_batch(batch: DataFrame, epoch_id: int, pac_files: DataFrame, repos: DataFrame,
+                  out_root: str) -> None:
+    """Classify, fold and write one micro-batch of exported commits."""
+    spark = batch.sparkSession
+    names = bounded_broadcast(repos.select("repo_id", F.col("full_name").alias("project_name")))
+    history = batch.join(names, "repo_id", "inner")
+    done = _done_keys(spark, out_root, epoch_id)
+    if done is not None:
+        history = history.join(done, "project_name", "left_anti")
+    commits = history.select("repo_id", "commit_id", "author", "message", "date", "parent_count", "pos")
+    files = hist.history_files(history).filter(F.col("file").isNotNull()).select("commit_id", "file", "pos")
+    changes = hist.history_changes(history).select(
+        "commit_id", F.col("change_pos").alias("pos"), "file", "additions", "deletions", "status")
+    classified = cl.classify_changes(commits, files, changes, pac_files)
+    facts = cl.commit_fold(commits, classified, changes, repos)
+    rc = res.result_commits(facts, classified, files)
+    rr = res.result_repositories(facts)
+    for name, df in (("repositories", rr), ("commits", rc)):
+        (df.hint("rebalance", "owner_name", "repository_name").write.mode("overwrite")
+         .partitionBy("owner_name", "repository_name").json(f"{out_root}/{name}/batch={epoch_id}"))
+
+
+def start_collection(spark: SparkSession, history_dir: str, pac_files: DataFrame, repos: DataFrame,
+                     out_root: str, checkpoint: str | None = None, available_now: bool = True,
+                     max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start the incremental collection over ``history_dir``."""
+    reader = spark.readStream.schema(HISTORY)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.json(history_dir)
+    checkpoint = checkpoint or f"{scratch_dir(spark)}/histofold/stream-collect/{abs(hash(out_root))}"
+    w = (stream.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, eid: collect_batch(df, eid, pac_files, repos, out_root)))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
