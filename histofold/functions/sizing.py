@@ -8,13 +8,25 @@ from pyspark.sql import functions as F
 # Rows of a (key, short string) side that still broadcast comfortably (tens of MB).
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
+# (session, plan semantic hash, bound) -> fits.  A plan over the same inputs
+# is checked once per session instead of on every query construction.
+_CHECKED: dict[tuple[int, int, int], bool] = {}
+
+
+def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most ``max_rows + 1``)."""
+    key = (id(df.sparkSession), df.semanticHash(), max_rows)
+    if key not in _CHECKED:
+        _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _CHECKED[key]
+
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
 
     The check is ``limit(max_rows + 1).count()``, which stops reading once the
-    bound is passed.  Past the bound the join stays a shuffle join (sort-merge
-    with AQE skew splitting), which scales with the data.
+    bound is passed, and is remembered per plan for the session.  Past the
+    bound the join stays a shuffle join (sort-merge with AQE skew splitting),
+    which scales with the data.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if fits(df, max_rows) else df
