@@ -97,11 +97,13 @@ def suffix_lookup(names: DataFrame, repos: DataFrame) -> DataFrame:
             F.transform(F.sequence(F.lit(1), F.greatest(F.length(fn), F.lit(1))),
                         lambda i: F.substring(fn, i, F.length(fn))),
             F.array(F.lit("")))).alias("name"))
-    best = (suffixes.groupBy("name")
-            .agg(F.min_by(F.struct("repo_id", "full_name", "idx"), "idx").alias("m")))
-    return (names.select("name").join(best, "name", "left")
-            .select("name", F.col("m.repo_id").alias("repo_id"), F.col("m.full_name").alias("full_name"),
-                    F.col("m.idx").alias("idx")))
+    # Only names that are asked for matter: semi-join first, then the lowest
+    # catalog position per name (hash aggregate), then the catalog row by idx.
+    wanted = suffixes.join(names.select("name").distinct(), "name", "left_semi")
+    best = wanted.groupBy("name").agg(F.min("idx").alias("idx"))
+    rows = best.join(repos.select("idx", "repo_id", "full_name"), "idx", "inner")
+    return (names.select("name").join(rows, "name", "left")
+            .select("name", "repo_id", "full_name", "idx"))
 
 
 def resolve_revision(repos: DataFrame, commits: DataFrame,

@@ -2,10 +2,10 @@
 
 The analysed pipeline sorts every repository's commits by ``(date, walk
 position)``, finds the first commit with a PaC change and slices from there.
-Here no repository is sorted: the first PaC commit is the minimum of
-``struct(date, pos)`` over PaC commits (one partial aggregate), it is joined
-back (one row per repository, broadcast after a size check) and the slice is
-the predicate ``struct(date, pos) >= first``.  Its index is the count of
+Here no repository is sorted: the first PaC commit is the minimum of the
+``(date, pos)`` order key over PaC commits (one partial hash aggregate), it
+is joined back (one row per repository, broadcast after a size check) and
+the slice is the predicate ``key >= first``.  Its index is the count of
 commits strictly before it.  A5, A6 and A8 are one aggregation; A7 needs a
 second level for distinct authors.
 
@@ -23,8 +23,15 @@ from histofold.functions.sizing import bounded_broadcast
 
 
 def order_key() -> Column:
-    """Stable date order: date (missing -> 0, Q10), ties by walk position (Q9)."""
-    return F.struct(F.coalesce(F.col("date"), F.lit(0)).alias("d"), F.col("pos").alias("p"))
+    """Stable date order as one ``long``: date (missing -> 0, Q10), ties by walk position (Q9).
+
+    ``date * 2^31 + pos`` orders exactly like ``(date, pos)`` for any
+    non-negative ``int`` position and dates within +-2^32 s of 1970 (up to
+    year 2106); beyond that the ANSI long arithmetic raises instead of
+    wrapping.  A primitive key keeps ``min`` a hash aggregate (a struct
+    minimum forces a sort-based aggregate).
+    """
+    return F.coalesce(F.col("date"), F.lit(0)).cast("long") * F.lit(1 << 31) + F.col("pos").cast("long")
 
 
 def first_pac(facts: DataFrame, with_name: bool = False) -> DataFrame:
