@@ -646,12 +646,12 @@ SELECT cast(repository_id AS BIGINT) AS repository_id, project_name, total_commi
 FROM repo_totals
 """)
 register("flatten_commits", """
-SELECT cast(c.repo_id AS BIGINT) AS repository_id, f.project_name, cast(c.commit_id AS VARCHAR) AS commit_id,
-       c.is_pac, cast(row_number() OVER (PARTITION BY c.repo_id, c.commit_id, c.is_pac ORDER BY c.pos) - 1 AS INTEGER)
-         AS list_pos,
-       c.file, cast(c.additions AS BIGINT) AS additions, cast(c.deletions AS BIGINT) AS deletions,
-       cast(c.total_changes AS BIGINT) AS total_changes, c.status
-FROM classified c JOIN facts f ON f.repo_id = c.repo_id AND f.commit_id = c.commit_id
+SELECT cast(c.repo_id AS BIGINT) AS repository_id, r.full_name AS project_name,
+       cast(c.commit_id AS VARCHAR) AS commit_id, c.is_pac, c.pos, c.file,
+       cast(c.additions AS BIGINT) AS additions, cast(c.deletions AS BIGINT) AS deletions,
+       cast(c.total_changes AS BIGINT) AS total_changes, c.status,
+       split_part(r.full_name, '/', 1) AS owner_name, split_part(r.full_name, '/', 2) AS repository_name
+FROM classified c JOIN repos r ON r.repo_id = c.repo_id
 """)
 register("safe_output_name", r"""
 SELECT full_name,

@@ -412,8 +412,8 @@ def q_scan_history_files(spark, sf):
 def _results(spark, sf):
     ctx = context(spark, sf)
     root = _io_dir(spark, sf, "results")
-    res.write_results(res.result_commits(ctx.facts, ctx.classified, ctx.h.files),
-                      res.result_repositories(ctx.facts), root)
+    res.write_results(res.result_commits(ctx.facts), res.result_repositories(ctx.facts), root,
+                      changes=res.result_changes(ctx.classified, ctx.h.repos))
     return root
 
 
@@ -435,8 +435,7 @@ def q_read_results(spark, sf):
 
 @query("flatten_commits")
 def q_flatten_commits(spark, sf):
-    good, _bad = res.read_results(spark, _results(spark, sf))
-    return res.flatten_changes(good)
+    return res.read_result_changes(spark, _results(spark, sf))
 
 
 @query("safe_output_name")

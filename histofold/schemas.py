@@ -64,8 +64,9 @@ HISTORY = T.StructType([
     T.StructField("changes", T.ArrayType(CHANGE)),
 ])
 
-# Collected result, one JSON line per commit (persisted commit projection, P11)
-# carrying its repository keys; partitioned by owner_name / repository_name.
+# Collected result, one JSON line per commit (the persisted commit projection,
+# P11, with its change lists kept apart as RESULT_CHANGE rows) carrying its
+# repository keys; partitioned by owner_name / repository_name.
 RESULT_COMMIT = T.StructType([
     T.StructField("repository_id", T.LongType()),
     T.StructField("project_name", T.StringType()),
@@ -75,6 +76,37 @@ RESULT_COMMIT = T.StructType([
     T.StructField("message", T.StringType()),
     T.StructField("date", T.LongType()),
     T.StructField("pos", T.IntegerType()),
+    T.StructField("has_pac_changes", T.BooleanType()),
+    T.StructField("pac_files_count", T.LongType()),
+    T.StructField("other_files_count", T.LongType()),
+    T.StructField("pac_added_lines", T.LongType()),
+    T.StructField("pac_deleted_lines", T.LongType()),
+    T.StructField("total_added_lines", T.LongType()),
+    T.StructField("total_deleted_lines", T.LongType()),
+    T.StructField("_corrupt_record", T.StringType()),
+])
+
+# One JSON line per classified change (an entry of pac_changes / other_changes).
+RESULT_CHANGE = T.StructType([
+    T.StructField("repository_id", T.LongType()),
+    T.StructField("project_name", T.StringType()),
+    T.StructField("commit_id", T.StringType()),
+    T.StructField("is_pac", T.BooleanType()),
+    T.StructField("pos", T.IntegerType()),
+    T.StructField("file", T.StringType()),
+    T.StructField("additions", T.LongType()),
+    T.StructField("deletions", T.LongType()),
+    T.StructField("total_changes", T.LongType()),
+    T.StructField("status", T.IntegerType()),
+])
+
+# A commit inside the analysed tool's own result document.
+DOCUMENT_COMMIT = T.StructType([
+    T.StructField("commit_id", T.StringType()),
+    T.StructField("author", T.StringType()),
+    T.StructField("author_email", T.StringType()),
+    T.StructField("message", T.StringType()),
+    T.StructField("date", T.LongType()),
     T.StructField("files", T.ArrayType(T.StringType())),
     T.StructField("pac_changes", T.ArrayType(CHANGE)),
     T.StructField("other_changes", T.ArrayType(CHANGE)),
@@ -83,7 +115,6 @@ RESULT_COMMIT = T.StructType([
     T.StructField("pac_deleted_lines", T.LongType()),
     T.StructField("total_added_lines", T.LongType()),
     T.StructField("total_deleted_lines", T.LongType()),
-    T.StructField("_corrupt_record", T.StringType()),
 ])
 
 # Repository rows of a collected result (statistics dropped, as saved).
@@ -118,9 +149,7 @@ RESULT_DOCUMENT = T.StructType([
         T.StructField("pac_changes_count", T.LongType()),
         T.StructField("pac_commits_count", T.LongType()),
         T.StructField("pac_change_ratio", T.DoubleType()),
-        T.StructField("commits", T.ArrayType(T.StructType(
-            [f for f in RESULT_COMMIT.fields
-             if f.name not in ("repository_id", "project_name", "pos", "_corrupt_record")]))),
+        T.StructField("commits", T.ArrayType(DOCUMENT_COMMIT)),
     ]))),
     T.StructField("_corrupt_record", T.StringType()),
 ])

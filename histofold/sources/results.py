@@ -1,11 +1,13 @@
 """Collected results: nested JSON sink, discovery, permissive read, flattening
 (S7-S12).
 
-Layout written here: ``<root>/commits/owner_name=<o>/repository_name=<r>/``
-with one JSON line per commit (the persisted 13-field commit projection plus
-repository keys) and ``<root>/repositories/...`` with one line per
-repository.  A repository's history is never gathered into one record, so no
-single task or row has to hold a whole repository.  The analysed tool's own
+Layout written here, each partitioned ``owner_name=<o>/repository_name=<r>/``:
+``<root>/repositories`` (one JSON line per repository), ``<root>/commits``
+(one line per commit: the persisted commit projection with counts and line
+sums) and ``<root>/changes`` (one line per ``pac_changes`` / ``other_changes``
+entry).  Neither a repository's history nor a commit's change list is ever
+gathered into one record, so no single task or row has to hold them; the
+touched-file list of a commit is not persisted (nothing downstream reads it).  The analysed tool's own
 format -- one ``{metadata, repositories[commits[]]}`` document per file at
 ``<owner>/<repo>.json`` -- is read by ``read_result_documents``.
 """
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histofold.schemas import RESULT_COMMIT, RESULT_DOCUMENT, RESULT_REPOSITORY
+from histofold.functions.sizing import bounded_broadcast
+from histofold.schemas import RESULT_CHANGE, RESULT_COMMIT, RESULT_DOCUMENT, RESULT_REPOSITORY
 
 # File skipped by discovery, result file suffix.
 AGGREGATED_RESULTS_FILE = "aggregated_results.json"
@@ -40,40 +43,33 @@ def output_file_name(owner, repo) -> F.Column:
         .otherwise(F.raise_error(F.lit("Owner name and repository name are required")))
 
 
-def result_commits(facts: DataFrame, classified: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Persisted commit rows with nested ``pac_changes`` / ``other_changes``
-    in file order, plus ``owner_name`` / ``repository_name`` partition keys."""
-    rec = F.struct("pos", "is_pac", "file",
-                   F.col("additions").cast("long").alias("additions"),
-                   F.col("deletions").cast("long").alias("deletions"),
-                   F.col("total_changes").cast("long").alias("total_changes"), "status")
-    lists = (classified.groupBy("repo_id", "commit_id")
-             .agg(F.array_sort(F.collect_list(rec)).alias("r")))
-
-    def side(pac: bool):
-        return F.transform(F.filter("r", lambda s: s["is_pac"] if pac else ~s["is_pac"]),
-                           lambda s: s.dropFields("pos", "is_pac"))
-
-    lists = lists.select("repo_id", "commit_id", side(True).alias("pac_changes"),
-                         side(False).alias("other_changes"))
-    empty = F.array().cast(RESULT_COMMIT["pac_changes"].dataType)
-    j = facts.join(lists, ["repo_id", "commit_id"], "left")
-    if files is not None:
-        fl = (files.groupBy("commit_id").agg(F.array_sort(F.collect_list(F.struct("pos", "file"))).alias("f"))
-              .select("commit_id", F.transform("f", lambda s: s["file"]).alias("files")))
-        j = j.join(fl, "commit_id", "left")
-    else:
-        j = j.withColumn("files", F.lit(None).cast("array<string>"))
-    parts = F.split(F.col("project_name"), "/")
-    return j.select(
+def _keys(project: F.Column) -> list[F.Column]:
+    parts = F.split(project, "/")
+    return [parts.getItem(0).alias("owner_name"), parts.getItem(1).alias("repository_name")]
+
+
+def result_commits(facts: DataFrame) -> DataFrame:
+    """Persisted commit rows (change lists live in ``result_changes``), plus
+    ``owner_name`` / ``repository_name`` partition keys."""
+    return facts.select(
         F.col("repo_id").cast("long").alias("repository_id"), "project_name",
         F.col("commit_id").cast("string").alias("commit_id"), "author",
         F.lit(None).cast("string").alias("author_email"), "message", F.col("date").cast("long"), "pos",
-        F.coalesce("files", F.array().cast("array<string>")).alias("files"),
-        F.coalesce("pac_changes", empty).alias("pac_changes"),
-        F.coalesce("other_changes", empty).alias("other_changes"),
-        "has_pac_changes", "pac_added_lines", "pac_deleted_lines", "total_added_lines", "total_deleted_lines",
-        parts.getItem(0).alias("owner_name"), parts.getItem(1).alias("repository_name"))
+        "has_pac_changes", "pac_files_count", "other_files_count", "pac_added_lines", "pac_deleted_lines",
+        "total_added_lines", "total_deleted_lines", *_keys(F.col("project_name")))
+
+
+def result_changes(classified: DataFrame, repos: DataFrame) -> DataFrame:
+    """The ``pac_changes`` / ``other_changes`` entries as one row each (``is_pac``
+    tells the list, ``pos`` the file order).  Kept long so that no commit's
+    changes -- however many -- are gathered into one record."""
+    names = bounded_broadcast(repos.select("repo_id", F.col("full_name").alias("project_name")))
+    return classified.join(names, "repo_id", "inner").select(
+        F.col("repo_id").cast("long").alias("repository_id"), "project_name",
+        F.col("commit_id").cast("string").alias("commit_id"), "is_pac", "pos", "file",
+        F.col("additions").cast("long").alias("additions"), F.col("deletions").cast("long").alias("deletions"),
+        F.col("total_changes").cast("long").alias("total_changes"), "status",
+        *_keys(F.col("project_name")))
 
 
 def result_repositories(facts: DataFrame) -> DataFrame:
@@ -90,14 +86,18 @@ def result_repositories(facts: DataFrame) -> DataFrame:
                     parts.getItem(0).alias("owner_name"), parts.getItem(1).alias("repository_name"))
 
 
-def write_results(commits: DataFrame, repositories: DataFrame, root: str) -> None:
+def write_results(commits: DataFrame, repositories: DataFrame, root: str,
+                  changes: DataFrame | None = None) -> None:
     """JSON (UTF-8, unescaped) partitioned by owner and repository.
 
     ``rebalance`` groups rows of a repository into few files, while AQE splits
     a partition that grows past the advisory size -- a repository holding a
     third of all commits is written by many tasks, not one.
     """
-    for name, df in (("repositories", repositories), ("commits", commits)):
+    parts = [("repositories", repositories), ("commits", commits)]
+    if changes is not None:
+        parts.append(("changes", changes))
+    for name, df in parts:
         (df.hint("rebalance", "owner_name", "repository_name")
          .write.mode("overwrite").partitionBy("owner_name", "repository_name").json(f"{root}/{name}"))
 
@@ -193,25 +193,26 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
     return commits.select("repository_id", "project_name", "pos", "c.*")
 
 
-def flatten_changes(result_commits_df: DataFrame) -> DataFrame:
-    """Nested ``pac_changes`` / ``other_changes`` back to classified long form."""
+def read_result_changes(spark: SparkSession, root: str) -> DataFrame:
+    """S9 on the change rows of a result folder (already flat)."""
+    return spark.read.schema(_with_partition_keys(RESULT_CHANGE)).json(f"{root}/changes")
+
+
+def flatten_document_changes(flat_commits: DataFrame) -> DataFrame:
+    """S9 for documents: nested ``pac_changes`` / ``other_changes`` to long form."""
     keys = ["repository_id", "project_name", "commit_id"]
-    pac = (result_commits_df.select(*keys, F.posexplode("pac_changes").alias("list_pos", "c"))
+    pac = (flat_commits.select(*keys, F.posexplode("pac_changes").alias("list_pos", "c"))
            .select(*keys, F.lit(True).alias("is_pac"), "list_pos", "c.*"))
-    other = (result_commits_df.select(*keys, F.posexplode("other_changes").alias("list_pos", "c"))
+    other = (flat_commits.select(*keys, F.posexplode("other_changes").alias("list_pos", "c"))
              .select(*keys, F.lit(False).alias("is_pac"), "list_pos", "c.*"))
     return pac.unionByName(other)
 
 
 def fold_result_commits(result_commits_df: DataFrame) -> DataFrame:
-    """Commit facts recomputed from read-back result rows (for round trips)."""
+    """Commit facts back from read result rows (for round trips)."""
     return result_commits_df.select(
         F.col("repository_id").alias("repo_id"), "project_name", "commit_id", "author", "message", "date", "pos",
-        F.size("pac_changes").cast("long").alias("pac_files_count"),
-        F.size("other_changes").cast("long").alias("other_files_count"),
-        "pac_added_lines", "pac_deleted_lines", "total_added_lines", "total_deleted_lines", "has_pac_changes")
+        "pac_files_count", "other_files_count", "pac_added_lines", "pac_deleted_lines", "total_added_lines",
+        "total_deleted_lines", "has_pac_changes")
 
 
-__all__ = ["safe_name", "output_file_name", "result_commits", "result_repositories", "write_results",
-           "run_metadata", "discover_results", "read_results", "read_result_documents", "flatten_documents",
-           "flatten_changes", "fold_result_commits"] + ["RESULT_REPOSITORY"]

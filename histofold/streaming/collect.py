@@ -56,9 +56,9 @@ def collect_batch(batch: DataFrame, epoch_id: int, pac_files: DataFrame, repos:
         "commit_id", F.col("change_pos").alias("pos"), "file", "additions", "deletions", "status")
     classified = cl.classify_changes(commits, files, changes, pac_files)
     facts = cl.commit_fold(commits, classified, changes, repos)
-    rc = res.result_commits(facts, classified, files)
-    rr = res.result_repositories(facts)
-    for name, df in (("repositories", rr), ("commits", rc)):
+    parts = (("repositories", res.result_repositories(facts)), ("commits", res.result_commits(facts)),
+             ("changes", res.result_changes(classified, repos)))
+    for name, df in parts:
         (df.hint("rebalance", "owner_name", "repository_name").write.mode("overwrite")
          .partitionBy("owner_name", "repository_name").json(f"{out_root}/{name}/batch={epoch_id}"))
 

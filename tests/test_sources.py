@@ -14,14 +14,16 @@ from histofold.sources import sinks
 def test_results_roundtrip_and_quarantine(spark, tmp_path):
     facts, classified = micro_facts(spark)
     root = str(tmp_path / "out")
-    res.write_results(res.result_commits(facts, classified), res.result_repositories(facts), root)
+    _c, _f, _ch, _p, repos = micro_frames(spark)
+    res.write_results(res.result_commits(facts), res.result_repositories(facts), root,
+                      changes=res.result_changes(classified, repos))
     broken = tmp_path / "out" / "commits" / "owner_name=o" / "repository_name=r" / "broken.json"
     broken.write_text('{"commit_id": "zz", "date": \n')
     good, bad = res.read_results(spark, root)
     assert sorted(r.commit_id for r in good.collect()) == ["c1", "c2", "c3", "c4", "c5", "c6"]
     rows = bad.collect()
     assert len(rows) == 1 and rows[0].file_path.endswith("broken.json")
-    flat = res.flatten_changes(good).filter(F.col("commit_id") == "c6").collect()
+    flat = res.read_result_changes(spark, root).filter(F.col("commit_id") == "c6").collect()
     assert sorted((r.file, r.is_pac, r.additions) for r in flat) == [("p/a.rego", True, 5), ("src/x.py", False, 10)]
     keys = res.discover_results(spark, root).collect()
     assert {(k.owner_name, k.repository_name) for k in keys} == {("o", "r")}
@@ -41,8 +43,11 @@ def test_reference_documents(spark, tmp_path):
     (d / "tool.json").write_text(json.dumps(doc, indent=2))
     (d / "aggregated_results.json").write_text("{}")
     docs = res.read_result_documents(spark, str(d / "tool.json"))
-    flat = res.flatten_documents(docs).collect()
-    assert [(r.project_name, r.pos, r.commit_id) for r in flat] == [("acme/tool", 0, "a"), ("acme/tool", 1, "b")]
+    flat = res.flatten_documents(docs)
+    assert [(r.project_name, r.pos, r.commit_id) for r in flat.collect()] == [("acme/tool", 0, "a"),
+                                                                              ("acme/tool", 1, "b")]
+    ch = res.flatten_document_changes(flat).collect()
+    assert [(r.commit_id, r.is_pac, r.file) for r in ch] == [("a", True, "x.rego")]
     keys = res.discover_results(spark, str(tmp_path / "outputs")).collect()
     assert [(k.owner_name, k.repository_name) for k in keys] == [("acme", "tool")]
 
