@@ -146,21 +146,18 @@ def association_rules(transactions: DataFrame, min_support: float = DEFAULT_MIN_
 
     ``min_support_count = floor(min_support * n)`` in double arithmetic (Q19,
     F8), kept with ``>=``; lift is ``confidence / (consequent count / n)``.
-    ``n`` is one number, aggregated first and used as a literal.
+    ``n`` is one number, a scalar subquery of the same plan.
     """
     sig = signatures(transactions)
-    n = sig.agg(F.sum("w")).first()[0] or 0
-    empty_schema = ("antecedent string, consequent string, support double, confidence double, "
-                    "lift double, count long, antecedent_count long, consequent_count long")
-    if n == 0:
-        return sig.sparkSession.createDataFrame([], empty_schema)
+    # n as a scalar subquery: evaluated once inside the same plan (no driver
+    # round trip); with no two-sided transaction there are no pairs either.
+    n_lit = sig.agg(F.sum("w").cast("long")).scalar()
     ant = (sig.select(F.explode("pac_extensions").alias("antecedent"), "w")
            .groupBy("antecedent").agg(F.sum("w").cast("long").alias("antecedent_count")))
     con = (sig.select(F.explode("other_extensions").alias("consequent"), "w")
            .groupBy("consequent").agg(F.sum("w").cast("long").alias("consequent_count")))
     pairs = cochange_pairs(transactions).select(
         F.col("pac_extension").alias("antecedent"), F.col("other_extension").alias("consequent"), "count")
-    n_lit = F.lit(n).cast("long")
     min_count = F.floor(F.lit(float(min_support)) * n_lit)
     r = (pairs.filter(F.col("count") >= min_count)
          .join(ant, "antecedent").join(con, "consequent")
