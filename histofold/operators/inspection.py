@@ -117,7 +117,11 @@ def inspection_sorted(rows: DataFrame) -> DataFrame:
 
 def extra_sample(rows: DataFrame, sample_size: int | None = None,
                  n: int = EXTRA_SAMPLE_SIZE, seed: int = DEFAULT_SEED) -> DataFrame:
-    """When no size was asked for and there are more than ``n`` rows, a sample of ``n``."""
-    if sample_size is not None or rows.limit(n + 1).count() <= n:
+    """When no size was asked for and there are more than ``n`` rows, a sample of ``n``.
+
+    The row-count condition is a scalar subquery over at most ``n + 1`` rows.
+    """
+    if sample_size is not None:
         return rows.limit(0)
-    return seeded_sample(rows, n, seed)
+    more_than_n = rows.limit(n + 1).agg(F.count(F.lit(1))).scalar() > n
+    return seeded_sample(rows, n, seed).filter(more_than_n)
