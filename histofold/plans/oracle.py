@@ -121,14 +121,6 @@ def register(name: str, body: str) -> None:
     SQL[name] = _q(body)
 
 
-register("pac_frequency", """
-SELECT repo_id, project_name AS repository, count(*) AS total_commits,
-       count(*) FILTER (WHERE has_pac_changes) AS pac_commits,
-       count(*) FILTER (WHERE has_pac_changes) / count(*) * 100 AS pac_maintenance_frequency,
-       cast(min(first_idx) AS BIGINT) AS first_pac_commit_index
-FROM slice GROUP BY repo_id, project_name
-""")
-
 # ----------------------------------------------------------------- metrics
 _SLICE_METRICS = """
 metrics AS (

@@ -4,7 +4,7 @@ Nations are repositories, customers authors, orders commits, line items file
 changes and parts files.  The same views exist as SQL text in
 ``histofold.plans.oracle`` for the DuckDB check; keep the two in step.
 
-Data model produced here (declared in ``histofold.schemas``):
+Data model produced here:
 
 * ``repos(repo_id, full_name, idx, sha, head_sha)``      -- catalog
 * ``pac_files(repo_id, path)``                           -- PaC list (with duplicates)
@@ -74,14 +74,6 @@ def repos(t: Tables) -> DataFrame:
                     F.col("h").cast("string").alias("head_sha")))
 
 
-def done_repos(t: Tables) -> DataFrame:
-    return repos(t).filter(F.col("idx") % 5 != 0).select("full_name")
-
-
-def gone_repos(t: Tables) -> DataFrame:
-    return repos(t).filter(F.col("idx") == 10).select("full_name")
-
-
 def pac_files(t: Tables) -> DataFrame:
     """Every part path listed for nations with ``(p_partkey + n_nationkey) % 8 = 0``.
 
@@ -137,10 +129,6 @@ def _line_files(t: Tables) -> DataFrame:
                     "l_tax", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
 
 
-def files(t: Tables) -> DataFrame:
-    return _line_files(t).select("commit_id", "file", "pos")
-
-
 def changes_from_lines(lines: DataFrame) -> DataFrame:
     status = (F.when(F.col("l_tax") > 0.065, F.lit(None).cast("int"))
               .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"), F.lit(1))
@@ -153,12 +141,9 @@ def changes_from_lines(lines: DataFrame) -> DataFrame:
                     status.alias("status")))
 
 
-def changes(t: Tables) -> DataFrame:
-    return changes_from_lines(_line_files(t))
-
-
 class History:
-    """All adapter views of one table folder; ``files``/``changes`` share one scan."""
+    """All adapter views of one table folder (``files`` and ``changes`` are two
+    projections of the same line-item plan)."""
 
     def __init__(self, t: Tables):
         self.t = t
@@ -171,7 +156,9 @@ class History:
         self.changes = changes_from_lines(lines)
 
     def done_repos(self) -> DataFrame:
+        """Repositories that already have a collected result."""
         return self.repos.filter(F.col("idx") % 5 != 0).select("full_name")
 
     def gone_repos(self) -> DataFrame:
+        """Repositories that no longer exist."""
         return self.repos.filter(F.col("idx") == 10).select("full_name")
