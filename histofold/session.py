@@ -24,12 +24,42 @@ DEFAULT_CONF = {
 }
 
 
+# Profile for the target scale: ~100 TB of input on ~1000 executors.
+# Largest shuffle = classified file rows (line-item scale): ~600e9 rows x ~40 B
+# of shuffled columns ~ 24 TB; at ~256 MB per reducer that is ~100k reducers.
+# AQE coalesces from this upper bound and splits skewed partitions.
+CLUSTER_CONF = {
+    **DEFAULT_CONF,
+    "spark.sql.shuffle.partitions": "100000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Scan splits: 512 MB of Parquet per task.
+    "spark.sql.files.maxPartitionBytes": "512m",
+    # Static and runtime broadcast limits (the PaC list / catalog sides).
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.parquet.compression.codec": "zstd",
+    # Losing executors: keep shuffle output when an executor goes away and
+    # migrate blocks off decommissioning executors.
+    "spark.shuffle.service.enabled": "true",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    "spark.task.maxFailures": "8",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "histofold", extra: dict | None = None) -> SparkSession:
+              app: str = "histofold", extra: dict | None = None,
+              profile: str = "local") -> SparkSession:
+    """Session with the package defaults; ``profile="cluster"`` applies ``CLUSTER_CONF``."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for k, v in DEFAULT_CONF.items():
+    for k, v in (CLUSTER_CONF if profile == "cluster" else DEFAULT_CONF).items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
