@@ -55,6 +55,24 @@ def since_first_pac(facts: DataFrame) -> DataFrame:
     return _with_first(facts).filter(_after()).drop("first")
 
 
+# Order-key units per day: windows of the per-commit index hold one
+# repository-day of commits at most.
+DAY_BUCKET = 86_400 * (1 << 31)
+
+
+def commit_index(facts: DataFrame, bucket_width: int = DAY_BUCKET) -> DataFrame:
+    """W1 + T1: each commit's 0-based index in its repository's stable date order.
+
+    Computed with ``functions.ordinal`` on the order key cut into (by default)
+    daily buckets, so no repository is sorted in one task.
+    """
+    from histofold.functions.ordinal import ordinal
+    k = facts.select("repo_id", "commit_id", "date", "pos", order_key().alias("__k"))
+    return (ordinal(k, ["repo_id"], [F.col("__k")], bucket=F.floor(F.col("__k") / F.lit(bucket_width)),
+                    name="idx")
+            .select("repo_id", "commit_id", "date", "pos", F.col("idx").cast("long").alias("idx")))
+
+
 def first_pac_index(facts: DataFrame) -> DataFrame:
     """0-based index of the first PaC commit in date order, -1 if none."""
     f = facts.join(bounded_broadcast(first_pac(facts)), "repo_id", "left")

@@ -196,6 +196,8 @@ FROM facts f LEFT JOIN firsts s ON s.repo_id = f.repo_id
 GROUP BY f.repo_id, f.project_name
 """)
 
+register("commit_index", "SELECT repo_id, commit_id, date, pos, idx FROM indexed")
+
 register("since_first_pac", """
 SELECT repo_id, commit_id, date, pos, has_pac_changes FROM slice
 """)

@@ -46,6 +46,11 @@ def q_first_pac_index(spark, sf):
     return rm.first_pac_index(context(spark, sf).facts)
 
 
+@query("commit_index")
+def q_commit_index(spark, sf):
+    return rm.commit_index(context(spark, sf).facts)
+
+
 @query("since_first_pac")
 def q_since_first_pac(spark, sf):
     return rm.since_first_pac(context(spark, sf).facts).select(

@@ -100,3 +100,17 @@ def test_rules_vs_brute_force(spark):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k])
+
+
+def test_commit_index_many_buckets(spark):
+    facts = context(spark, SF).facts
+    got = {(r.repo_id, r.commit_id): r.idx
+           for r in rm.commit_index(facts, bucket_width=(1 << 31) * 86_400 * 30).collect()}
+    by_repo = defaultdict(list)
+    for r in facts.select("repo_id", "commit_id", "date", "pos").collect():
+        by_repo[r.repo_id].append(r)
+    want = {}
+    for repo, rows in by_repo.items():
+        for i, r in enumerate(sorted(rows, key=lambda r: (r.date or 0, r.pos))):
+            want[(repo, r.commit_id)] = i
+    assert got == want
