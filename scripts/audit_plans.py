@@ -17,6 +17,8 @@ from histofold.session import get_spark  # noqa: E402
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 spark = get_spark("local[8]", 16)
 spark.conf.set("spark.sql.adaptive.enabled", "false")  # static plan: what the optimizer chose
+print("| query | shuffle exchanges | single-partition | broadcasts | flags |")
+print("| --- | --- | --- | --- | --- |")
 for name, fn in sorted(E.queries().items()):
     plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
     flags = []
@@ -28,4 +30,5 @@ for name, fn in sorted(E.queries().items()):
             flags.append("Window-without-partition")
     n_ex = len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition", plan))
     single = plan.count("Exchange SinglePartition")
-    print(f"{name:28s} exchanges={n_ex:2d} single={single} {' '.join(flags)}")
+    bcast = plan.count("BroadcastExchange")
+    print(f"| `{name}` | {n_ex} | {single} | {bcast} | {' '.join(flags) or '-'} |")
