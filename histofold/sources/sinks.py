@@ -11,12 +11,14 @@ from histofold.schemas import INSPECTION_CSV
 
 
 def write_inspection_csv(rows: DataFrame, path: str) -> bool:
-    """14 columns in fixed order, header, every field quoted; nothing written
-    when there are no rows.  Returns whether a file was written."""
+    """14 columns in fixed order, header, minimal quoting (only fields with a
+    comma, quote or line break, quotes doubled, empty fields bare -- the usual
+    CSV dialect); nothing written when there are no rows.  Returns whether a
+    file was written."""
     if rows.limit(1).count() == 0:
         return False
     (rows.select(*CSV_COLUMNS).write.mode("overwrite").option("header", True)
-     .option("quoteAll", True).option("escape", '"').csv(path))
+     .option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path))
     return True
 
 
