@@ -109,7 +109,7 @@ def suffix_lookup(names: DataFrame, repos: DataFrame) -> DataFrame:
 def resolve_revision(repos: DataFrame, commits: DataFrame,
                      use_head: DataFrame | Iterable[str] | None = None) -> DataFrame:
     """The revision to analyse: the pinned sha if the history has it, else
-    HEAD; listed repositories always use HEAD.  A missing pinned sha fails.
+    HEAD; listed repositories always use HEAD.  A missing or empty pinned sha fails.
     """
     spark = repos.sparkSession
     if use_head is None or not isinstance(use_head, DataFrame):
@@ -124,7 +124,8 @@ def resolve_revision(repos: DataFrame, commits: DataFrame,
     use = F.coalesce(F.col("forced_head"), F.lit(False)) | F.col("in_history").isNull()
     return r.select(
         "repo_id", "full_name",
-        F.when(F.col("sha").isNull(), F.raise_error(F.lit("repository without a pinned revision")))
+        F.when(F.coalesce(F.col("sha"), F.lit("")) == "",
+               F.raise_error(F.lit("repository without a pinned revision")))
         .otherwise(F.col("sha")).alias("sha"),
         F.when(use, F.col("head_sha")).otherwise(F.col("sha")).alias("revision"),
         use.alias("uses_head"))
