@@ -191,3 +191,18 @@ def parse_commits(commits: DataFrame) -> DataFrame:
                     F.coalesce(F.col("author"), F.lit("")).alias("author"),
                     F.coalesce(F.col("message"), F.lit("")).alias("message"),
                     "date", "pos"))
+
+
+# Fixed value: reason recorded for a catalog repository without history.
+NO_COMMITS = "No commits found"
+
+
+def collection_diagnostics(repos: DataFrame, commits: DataFrame) -> DataFrame:
+    """Catalog repositories without any non-merge commit.
+
+    The analysed tool aborts the whole run on the first such repository; here
+    they are reported as rows (and ``Context.materialize(strict=True)`` raises).
+    """
+    live = drop_merges(commits).select("repo_id").distinct()
+    return (repos.join(live, "repo_id", "left_anti")
+            .select("repo_id", "full_name", F.lit(NO_COMMITS).alias("reason")))

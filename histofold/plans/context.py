@@ -80,13 +80,23 @@ class Context:
         except Exception:  # missing or never committed
             return False
 
-    def materialize(self, force: bool = False) -> str:
+    def diagnostics(self) -> DataFrame:
+        return classify.collection_diagnostics(self.h.repos, self.h.commit_keys)
+
+    def materialize(self, force: bool = False, strict: bool = False) -> str:
         """Write ``classified`` then ``commit_facts`` once; return their folder.
 
         Only Spark I/O is used, so the folder may live on any file system the
         cluster names.  ``commit_facts`` is written last: once it reads back,
         both tables are complete (the output committer publishes on success).
+        ``strict`` fails first when a catalog repository has no commits, as
+        the analysed tool does; otherwise such repositories are only listed by
+        ``diagnostics()`` and get no rows.
         """
+        if strict:
+            bad = self.diagnostics().limit(1).collect()
+            if bad:
+                raise RuntimeError(f"{bad[0].reason} for {bad[0].full_name}")
         root = self._root()
         if not force and self._readable(f"{root}/commit_facts"):
             return root

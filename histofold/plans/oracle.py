@@ -335,6 +335,11 @@ SELECT repo_id, commit_id, pos, file, additions, deletions, total_changes, statu
 
 register("commit_fold", "SELECT * FROM facts")
 
+register("collection_diagnostics", """
+SELECT repo_id, full_name, 'No commits found' AS reason FROM repos
+WHERE repo_id NOT IN (SELECT repo_id FROM live)
+""")
+
 register("split_full_name", """
 SELECT repo_id, full_name AS project_name,
        CASE WHEN contains(full_name, '/') THEN split_part(full_name, '/', 1) END AS owner_name,

@@ -153,6 +153,11 @@ def q_commit_fold(spark, sf):
     return context(spark, sf).facts_plan()
 
 
+@query("collection_diagnostics")
+def q_collection_diagnostics(spark, sf):
+    return context(spark, sf).diagnostics()
+
+
 @query("split_full_name")
 def q_split_full_name(spark, sf):
     r = context(spark, sf).h.repos.select("repo_id", F.col("full_name").alias("project_name"))

@@ -122,3 +122,13 @@ def test_rule_bounds(ctx):
     for r in co.association_rules(tx, 0.0, 0.0).collect():
         assert 0 <= r.confidence <= 1
         assert r.support <= r.confidence
+
+
+def test_repository_without_commits_is_diagnosed(spark):
+    from fixtures import micro_frames
+    from histofold.operators import classify as cl
+    c, _f, _ch, _p, r = micro_frames(spark)
+    extra = spark.createDataFrame([(9, "o/empty", 2, "x", "y")], r.schema)
+    merges_only = c.filter("commit_id = 'mm'").withColumn("repo_id", F.lit(9).cast("long"))
+    d = cl.collection_diagnostics(r.unionByName(extra), c.unionByName(merges_only)).collect()
+    assert [(x.repo_id, x.reason) for x in d] == [(9, "No commits found")]
