@@ -55,7 +55,7 @@ class Context:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.t = Tables(spark, self.sf_dir)
-        self.h = History(self.t)
+        self.h = History(self.t, keep_catalog=self._keep_catalog)
         self._facts: DataFrame | None = None
         self._classified: DataFrame | None = None
 
@@ -83,6 +83,13 @@ class Context:
     def diagnostics(self) -> DataFrame:
         return classify.collection_diagnostics(self.h.repos, self.h.commit_keys)
 
+    def _keep_catalog(self, repos: DataFrame) -> DataFrame:
+        """Write the catalog once (one row per repository) and read it back."""
+        path = f"{self._root()}/repos"
+        if not self._readable(path):
+            repos.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def materialize(self, force: bool = False, strict: bool = False) -> str:
         """Write ``classified`` then ``commit_facts`` once; return their folder.
 

@@ -113,7 +113,7 @@ def q_drop_merges(spark, sf):
 @query("root_commit_changes")
 def q_root_commit_changes(spark, sf):
     h = context(spark, sf).h
-    return cl.root_commit_changes(h.commits, h.changes)
+    return cl.root_commit_changes(h.commit_keys, h.changes)
 
 
 @query("newline_count")
@@ -373,7 +373,7 @@ def q_suffix_lookup(spark, sf):
 @query("resolve_revision")
 def q_resolve_revision(spark, sf):
     h = context(spark, sf).h
-    return cov.resolve_revision(h.repos, h.commits, h.repos.filter(F.col("idx") == 7).select("full_name"))
+    return cov.resolve_revision(h.repos, h.commit_keys, h.repos.filter(F.col("idx") == 7).select("full_name"))
 
 
 # ------------------------------------------------------------ sources, sinks

@@ -145,16 +145,26 @@ class History:
     """All adapter views of one table folder (``files`` and ``changes`` are two
     projections of the same line-item plan)."""
 
-    def __init__(self, t: Tables):
+    def __init__(self, t: Tables, keep_catalog=None):
+        """``keep_catalog(df) -> df`` may persist the catalog (derived from
+        ``orders``) so that it is computed once, not on every use."""
         self.t = t
+        self._keep_catalog = keep_catalog
+        self._repos: DataFrame | None = None
         lines = _line_files(t)
-        self.repos = repos(t)
         self.pac_files = pac_files(t)
         self.commits = commits(t)
         self.commit_keys = commit_keys(t)
         self.files = lines.select("commit_id", "file", "pos")
         self.changes = changes_from_lines(lines)
 
+    @property
+    def repos(self) -> DataFrame:
+        if self._repos is None:
+            r = repos(self.t)
+            self._repos = self._keep_catalog(r) if self._keep_catalog else r
+        return self._repos
+
     def done_repos(self) -> DataFrame:
         """Repositories that already have a collected result."""
         return self.repos.filter(F.col("idx") % 5 != 0).select("full_name")
