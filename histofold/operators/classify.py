@@ -13,8 +13,10 @@ PaC list) or *other*.  Rules kept from the analysed pipeline:
   sum all records (Q5, Q6);
 * list membership is existence: duplicate list rows must not multiply (Q7).
 
-All work is keyed by ``commit_id`` / ``(commit_id, file)``; the PaC list join
-broadcasts only after a size check.
+All work is keyed by ``commit_id`` / ``(commit_id, file)``, so ``commit_id``
+must be unique across repositories: forks share commit hashes, and
+``plans.jobs.collect`` qualifies ids with the repository before classifying.
+The PaC list join broadcasts only after a size check.
 """
 
 from __future__ import annotations

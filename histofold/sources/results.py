@@ -87,19 +87,23 @@ def result_repositories(facts: DataFrame) -> DataFrame:
 
 
 def write_results(commits: DataFrame, repositories: DataFrame, root: str,
-                  changes: DataFrame | None = None) -> None:
+                  changes: DataFrame | None = None, replace_only_written: bool = False) -> None:
     """JSON (UTF-8, unescaped) partitioned by owner and repository.
 
     ``rebalance`` groups rows of a repository into few files, while AQE splits
     a partition that grows past the advisory size -- a repository holding a
-    third of all commits is written by many tasks, not one.
+    third of all commits is written by many tasks, not one.  With
+    ``replace_only_written`` (incremental runs) only the repositories present
+    in this write are replaced; results of other repositories stay.
     """
     parts = [("repositories", repositories), ("commits", commits)]
     if changes is not None:
         parts.append(("changes", changes))
     for name, df in parts:
-        (df.hint("rebalance", "owner_name", "repository_name")
-         .write.mode("overwrite").partitionBy("owner_name", "repository_name").json(f"{root}/{name}"))
+        w = df.hint("rebalance", "owner_name", "repository_name").write.mode("overwrite")
+        if replace_only_written:
+            w = w.option("partitionOverwriteMode", "dynamic")
+        w.partitionBy("owner_name", "repository_name").json(f"{root}/{name}")
 
 
 def run_metadata(spark: SparkSession, start: float, end: float | None = None, repository_no=None,
