@@ -29,14 +29,6 @@ from histofold.session import scratch_dir
 from histofold.sources import results as res
 
 
-def _history_tables(history: DataFrame):
-    commits = history.select("repo_id", "commit_id", "author", "message", "date", "parent_count", "pos")
-    files = hist.history_files(history).filter(F.col("file").isNotNull()).select("commit_id", "file", "pos")
-    changes = hist.history_changes(history).select(
-        "commit_id", F.col("change_pos").alias("pos"), "file", "additions", "deletions", "status")
-    return commits, files, changes
-
-
 def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path: str, out_root: str,
             strict: bool = False, skip_existing: bool = True) -> DataFrame:
     """The collection step over files; returns the diagnostics (repositories without commits).
@@ -62,10 +54,7 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
         except Exception:  # nothing collected yet
             todo = repos
         history = history.join(todo.select("repo_id"), "repo_id", "left_semi")
-    # Fork-safe keys: a commit id is unique only inside its repository, and the
-    # classification joins on commit_id -- so qualify it with the repository.
-    history = history.withColumn("commit_id", F.concat_ws(":", F.col("repo_id").cast("string"), "commit_id"))
-    commits, files, changes = _history_tables(history)
+    commits, files, changes = hist.history_tables(hist.qualify_commit_ids(history))
     diagnostics = cl.collection_diagnostics(todo, commits)
     if strict:
         bad = diagnostics.limit(1).collect()
@@ -73,9 +62,8 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
             raise RuntimeError(f"{bad[0].reason} for {bad[0].full_name}")
     classified = cl.classify_changes(commits, files, changes, pac)
     facts = cl.commit_fold(commits, classified, changes, repos)
-    unkey = F.expr("substring(commit_id, instr(commit_id, ':') + 1)")
-    facts = facts.withColumn("commit_id", unkey)
-    classified = classified.withColumn("commit_id", unkey)
+    facts = facts.withColumn("commit_id", hist.unqualified_commit_id())
+    classified = classified.withColumn("commit_id", hist.unqualified_commit_id())
     res.write_results(res.result_commits(facts), res.result_repositories(facts), out_root,
                       changes=res.result_changes(classified, repos), replace_only_written=skip_existing)
     return diagnostics

@@ -55,3 +55,26 @@ def history_changes(history: DataFrame) -> DataFrame:
     """Long form of change records with their list position."""
     return (history.select("repo_id", "commit_id", F.posexplode("changes").alias("change_pos", "c"))
             .select("repo_id", "commit_id", "change_pos", "c.*"))
+
+
+def qualify_commit_ids(history: DataFrame) -> DataFrame:
+    """``commit_id`` -> ``"<repo_id>:<commit_id>"``: unique across repositories.
+
+    Forks share commit hashes while the classification joins on the commit
+    id alone; qualifying keeps every commit key equal to ``(repo_id, commit_id)``.
+    """
+    return history.withColumn("commit_id", F.concat_ws(":", F.col("repo_id").cast("string"), "commit_id"))
+
+
+def unqualified_commit_id() -> F.Column:
+    """The original commit id of a qualified one (the text after the first ':')."""
+    return F.expr("substring(commit_id, instr(commit_id, ':') + 1)").alias("commit_id")
+
+
+def history_tables(history: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(commits, files, changes)`` long forms in the classification's column layout."""
+    commits = history.select("repo_id", "commit_id", "author", "message", "date", "parent_count", "pos")
+    files = history_files(history).filter(F.col("file").isNotNull()).select("commit_id", "file", "pos")
+    changes = history_changes(history).select(
+        "commit_id", F.col("change_pos").alias("pos"), "file", "additions", "deletions", "status")
+    return commits, files, changes

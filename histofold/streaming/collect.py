@@ -50,12 +50,10 @@ def collect_batch(batch: DataFrame, epoch_id: int, pac_files: DataFrame, repos:
     done = _done_keys(spark, out_root, epoch_id)
     if done is not None:
         history = history.join(done, "project_name", "left_anti")
-    commits = history.select("repo_id", "commit_id", "author", "message", "date", "parent_count", "pos")
-    files = hist.history_files(history).filter(F.col("file").isNotNull()).select("commit_id", "file", "pos")
-    changes = hist.history_changes(history).select(
-        "commit_id", F.col("change_pos").alias("pos"), "file", "additions", "deletions", "status")
+    commits, files, changes = hist.history_tables(hist.qualify_commit_ids(history.drop("project_name")))
     classified = cl.classify_changes(commits, files, changes, pac_files)
-    facts = cl.commit_fold(commits, classified, changes, repos)
+    facts = cl.commit_fold(commits, classified, changes, repos).withColumn("commit_id", hist.unqualified_commit_id())
+    classified = classified.withColumn("commit_id", hist.unqualified_commit_id())
     parts = (("repositories", res.result_repositories(facts)), ("commits", res.result_commits(facts)),
              ("changes", res.result_changes(classified, repos)))
     for name, df in parts:
