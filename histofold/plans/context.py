@@ -13,6 +13,7 @@ that shapes the tables, so a changed input or rule never reuses stale output.
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import os
 import uuid
@@ -80,6 +81,9 @@ class Context:
         return f"{scratch_dir(self.spark)}/histofold/{_fingerprint(self.sf_dir)}"
 
     def _published(self, base: str) -> str | None:
+        local = base[len("file:"):] if base.startswith("file:") else base
+        if "://" not in local and not glob.glob(f"{local}/*/DONE"):
+            return None  # local folder: skip a failing (and noisily logged) Spark lookup
         try:
             rows = self.spark.read.parquet(f"{base}/*/DONE").select("attempt").collect()
         except Exception:  # nothing published yet
