@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,20 @@ from histofold.sources import results as res
 
 
 def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path: str, out_root: str,
-            strict: bool = False, skip_existing: bool = True) -> DataFrame:
+            strict: bool = False, skip_existing: bool = True, repository_no: int | None = None,
+            use_test_mode: bool = False) -> DataFrame:
     """The collection step over files; returns the diagnostics (repositories without commits).
 
+    ``repository_no`` restricts the run to one 1-based catalog row (S3).
     Commit ids are strings here; a history may hold many repositories, and
     two repositories may share a commit id (forks): every commit key is
-    ``(repo_id, commit_id)``.
+    ``(repo_id, commit_id)``.  A run record (S11) is appended to
+    ``<out_root>/runs``.
     """
+    start = time.time()
     repos = cat.scan_repo_catalog(spark, catalog_path).select("repo_id", "full_name", "sha", "idx")
+    if repository_no is not None:
+        repos = cat.select_repo_by_number(repos, repository_no)
     pac = cat.scan_pac_files(spark, pac_path)
     history = hist.scan_commit_history(spark, history_path)
     todo = repos
@@ -66,6 +73,9 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
     classified = classified.withColumn("commit_id", hist.unqualified_commit_id())
     res.write_results(res.result_commits(facts), res.result_repositories(facts), out_root,
                       changes=res.result_changes(classified, repos), replace_only_written=skip_existing)
+    (res.run_metadata(spark, start, repository_no=repository_no, use_test_mode=use_test_mode,
+                      csv_path=catalog_path, pac_file_names_csv=pac_path)
+     .write.mode("append").json(f"{out_root}/runs"))
     return diagnostics
 
 

@@ -44,6 +44,16 @@ def test_collect_then_analyse(spark, tmp_path):
     jobs.collect(spark, catalog, pac, history, out)
     facts2, _ = jobs.load_results(spark, out)
     assert facts2.count() == facts.count()
+    runs = spark.read.json(f"{out}/runs").collect()
+    assert len(runs) == 2 and all(r.analysis_duration >= 0 for r in runs)
+
+
+def test_collect_one_repository_by_number(spark, tmp_path):
+    catalog, pac, history = _inputs(spark, tmp_path)
+    out = str(tmp_path / "one")
+    jobs.collect(spark, catalog, pac, history, out, repository_no=2)      # catalog row 2 = fork/r
+    facts, _ = jobs.load_results(spark, out)
+    assert {r.project_name for r in facts.collect()} == {"fork/r"}
 
 
 def test_analyses_from_old_documents(spark, tmp_path):
