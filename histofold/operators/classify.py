@@ -11,7 +11,10 @@ PaC list) or *other*.  Rules kept from the analysed pipeline:
 * with duplicate paths in a commit the change record with the highest
   position wins and is applied to every occurrence, while commit line totals
   sum all records (Q5, Q6);
-* list membership is existence: duplicate list rows must not multiply (Q7).
+* list membership is existence: duplicate list rows must not multiply (Q7);
+* a root commit (no parent) is exported with every change as an addition
+  (P2), so all its change records are dropped and it deletes no lines; the
+  recorded additions stand in for the exporter's line counts.
 
 All work is keyed by ``commit_id`` / ``(commit_id, file)``, so ``commit_id``
 must be unique across repositories: forks share commit hashes, and
@@ -115,10 +118,16 @@ def classify_changes(commits: DataFrame, files: DataFrame, changes: DataFrame,
     # (commit_id, file), which also spreads a huge commit over many tasks --
     # then the repository key on commit_id; the commit fold downstream reuses
     # that partitioning, and the PaC list join is map-side when it is small.
-    live = drop_merges(commits).select("commit_id", "repo_id")
+    live = drop_merges(commits).select("commit_id", "repo_id", "parent_count")
     f = files.join(last_change(changes), ["commit_id", "file"], "left")
     j = pac_membership(f.join(live, "commit_id", "inner"), pac_files)
     has_info = F.coalesce(F.col("has_info"), F.lit(False))
+    # P2, the export rule for root commits: every change record is an addition
+    # (status 1, no deletions) -- applied here with the parent count the commit
+    # join already brings, instead of an extra join of the change records.
+    root = F.coalesce(F.col("parent_count") == 0, F.lit(False)) & has_info
+    j = (j.withColumn("status", F.when(root, F.lit(STATUS_ADDED)).otherwise(F.col("status")))
+         .withColumn("deletions", F.when(root, F.lit(0)).otherwise(F.col("deletions"))))
     keep = ~added_or_deleted(F.col("status")) & (has_info | ~F.col("is_pac"))
 
     def val(c: str) -> Column:
@@ -160,7 +169,10 @@ def commit_fold(commits: DataFrame, classified: DataFrame, changes: DataFrame,
         F.sum("additions").alias("total_added_lines"),
         F.sum("deletions").alias("total_deleted_lines"))
     z = F.lit(0).cast("long")
+    # A root commit's records are additions, so it deleted nothing.
+    root = F.coalesce(F.col("parent_count") == 0, F.lit(False))
     facts = (live.join(per_commit, "commit_id", "left").join(totals, "commit_id", "left")
+             .withColumn("total_deleted_lines", F.when(root, z).otherwise(F.col("total_deleted_lines")))
              .select("repo_id", "commit_id", "author", "message", "date", "pos",
                      *[F.coalesce(F.col(c).cast("long"), z).alias(c)
                        for c in ("pac_files_count", "other_files_count", "pac_added_lines",

@@ -63,9 +63,15 @@ changes AS (
 
 PIPELINE_CTES = r"""
 live AS (SELECT * FROM commits WHERE NOT coalesce(parent_count >= 2, false)),
+exported AS (
+  SELECT ch.commit_id, ch.pos, ch.file, ch.additions,
+         CASE WHEN c.parent_count = 0 THEN 0 ELSE ch.deletions END AS deletions,
+         CASE WHEN c.parent_count = 0 THEN 1 ELSE ch.status END AS status
+  FROM changes ch JOIN commits c ON c.commit_id = ch.commit_id
+),
 last_change AS (
   SELECT commit_id, file, additions, deletions, status FROM (
-    SELECT *, row_number() OVER (PARTITION BY commit_id, file ORDER BY pos DESC) AS rn FROM changes) z
+    SELECT *, row_number() OVER (PARTITION BY commit_id, file ORDER BY pos DESC) AS rn FROM exported) z
   WHERE rn = 1
 ),
 pac_distinct AS (SELECT DISTINCT repo_id, path FROM pac_files),
@@ -97,7 +103,7 @@ facts AS (
                     sum(CASE WHEN is_pac THEN deletions END) AS pac_deleted_lines
              FROM classified GROUP BY commit_id) k ON k.commit_id = l.commit_id
   LEFT JOIN (SELECT commit_id, sum(additions) AS total_added_lines, sum(deletions) AS total_deleted_lines
-             FROM changes GROUP BY commit_id) t ON t.commit_id = l.commit_id
+             FROM exported GROUP BY commit_id) t ON t.commit_id = l.commit_id
 ),
 indexed AS (
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY coalesce(date, 0), pos) - 1 AS idx FROM facts
@@ -365,7 +371,11 @@ FROM files f JOIN live l ON l.commit_id = f.commit_id
 WHERE NOT EXISTS (SELECT 1 FROM pac_files p WHERE p.repo_id = l.repo_id AND p.path = f.file)
 """)
 
-register("change_lookup_last", "SELECT commit_id, file, additions, deletions, status FROM last_change")
+register("change_lookup_last", """
+SELECT commit_id, file, additions, deletions, status FROM (
+  SELECT *, row_number() OVER (PARTITION BY commit_id, file ORDER BY pos DESC) AS rn FROM changes) z
+WHERE rn = 1
+""")
 
 register("pac_change_counts", """
 SELECT repo_id, commit_id, count(*) AS pac_changes, string_agg(file, '; ' ORDER BY pos) AS pac_files
