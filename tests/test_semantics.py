@@ -149,3 +149,22 @@ def test_survey_probe_counts(spark):
     main = co.association_rules(tx, co.MAIN_MIN_SUPPORT, co.MAIN_MIN_CONFIDENCE)
     assert main.count() == 0
     assert co.association_rules(tx, 0.0, 0.0).agg(F.max("confidence")).first()[0] == pytest.approx(0.625, abs=5e-4)
+
+
+def test_report_views_round_only_for_display(spark):
+    from histofold.operators import reports
+    med = spark.createDataFrame([(66.666666, 2.0, 3.0, 100.0, 1.0, 1.0, 9.5, 7.0, 6.0, 6.5, None, 1, 0)],
+                                "median_pac_maintenance_frequency double, median_pac_commits double, "
+                                "median_total_commits double, median_pac_maintainer_percentage double, "
+                                "median_pac_authors double, median_total_authors double, "
+                                "median_pac_commit_size double, median_non_pac_commit_size double, "
+                                "median_pac_code_changes double, median_non_pac_code_changes double, "
+                                "median_non_pac_only_changes double, repos_with_pac_changes long, "
+                                "repos_with_non_pac_only long")
+    rows = {r.label: r.value for r in reports.corpus_medians_report(med).collect()}
+    assert rows["Median freq"] == "66.67%"
+    assert rows["Median (PAC commits)"] == f"{9.5:.0f}"   # "10": half-even like Python
+    assert rows["Median PAC code changes (in PAC commits)"] == f"{6.0:.0f}"
+    assert rows["Median non-PAC code changes (in PAC commits)"] == f"{6.5:.0f}"   # "6", not "7"
+    assert rows["Median non-PAC code changes (in non-PAC commits)"] == "nan"
+    assert rows["Total repos with PAC changes"] == "1"
