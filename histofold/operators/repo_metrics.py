@@ -90,15 +90,24 @@ def _ratio_pct(num: str, den: str) -> Column:
     return F.when(F.col(den) > 0, F.col(num) / F.col(den) * 100).otherwise(F.lit(0.0))
 
 
-def _median0(c: Column) -> Column:
-    return F.coalesce(F.median(c).cast("double"), F.lit(0.0))
+# Relative accuracy of the optional approximate medians (1 / accuracy).
+APPROX_ACCURACY = 10_000
+
+
+def _median(c: Column, exact: bool = True) -> Column:
+    """Exact median (value->count buffers) or, only when asked, ``percentile_approx``."""
+    return F.median(c) if exact else F.percentile_approx(c, 0.5, APPROX_ACCURACY)
+
+
+def _median0(c: Column, exact: bool = True) -> Column:
+    return F.coalesce(_median(c, exact).cast("double"), F.lit(0.0))
 
 
 def _agg0(fn, c: Column) -> Column:
     return F.coalesce(fn(c).cast("long"), F.lit(0).cast("long"))
 
 
-def slice_metrics(facts: DataFrame) -> DataFrame:
+def slice_metrics(facts: DataFrame, exact: bool = True) -> DataFrame:
     """A5 + A6 + A8 in one aggregation over the since-first-PaC slice."""
     f = _with_first(facts)
     after = _after()
@@ -116,19 +125,19 @@ def slice_metrics(facts: DataFrame) -> DataFrame:
         F.count(F.when(pac_c, 1)).alias("pac_commits"),
         F.count(F.when(~after, 1)).alias("first_pac_commit_index"),
         # A6
-        _median0(F.when(pac_c, size)).alias("pac_commit_median_size"),
-        _median0(F.when(non_c, size)).alias("non_pac_commit_median_size"),
+        _median0(F.when(pac_c, size), exact).alias("pac_commit_median_size"),
+        _median0(F.when(non_c, size), exact).alias("non_pac_commit_median_size"),
         # A8
         F.count(pv).alias("pac_commits_with_changes"),
-        _median0(pv).alias("pac_code_median_changes"),
+        _median0(pv, exact).alias("pac_code_median_changes"),
         _agg0(F.min, pv).alias("pac_changes_min"),
         _agg0(F.max, pv).alias("pac_changes_max"),
         F.count(nv).alias("non_pac_commits_with_changes"),
-        _median0(nv).alias("non_pac_code_median_changes"),
+        _median0(nv, exact).alias("non_pac_code_median_changes"),
         _agg0(F.min, nv).alias("non_pac_changes_min"),
         _agg0(F.max, nv).alias("non_pac_changes_max"),
         F.count(ov).alias("non_pac_only_commits_count"),
-        _median0(ov).alias("non_pac_only_median_changes"),
+        _median0(ov, exact).alias("non_pac_only_median_changes"),
         _agg0(F.min, ov).alias("non_pac_only_changes_min"),
         _agg0(F.max, ov).alias("non_pac_only_changes_max"))
     return (g.withColumn("non_pac_commits", F.col("total_commits") - F.col("pac_commits"))
@@ -142,17 +151,17 @@ def pac_frequency(facts: DataFrame) -> DataFrame:
                                        "pac_maintenance_frequency", "first_pac_commit_index")
 
 
-def commit_size_medians(facts: DataFrame) -> DataFrame:
+def commit_size_medians(facts: DataFrame, exact: bool = True) -> DataFrame:
     """Median commit size (all lines) of PaC and non-PaC commits in the slice."""
-    return slice_metrics(facts).select(
+    return slice_metrics(facts, exact).select(
         "repo_id", "repository", F.col("pac_commits").alias("pac_commits_count"),
         F.col("non_pac_commits").alias("non_pac_commits_count"),
         "pac_commit_median_size", "non_pac_commit_median_size")
 
 
-def code_change_sizes(facts: DataFrame) -> DataFrame:
+def code_change_sizes(facts: DataFrame, exact: bool = True) -> DataFrame:
     """Count / median / min / max of positive PaC, non-PaC-in-PaC and non-PaC-only sizes."""
-    return slice_metrics(facts).select(
+    return slice_metrics(facts, exact).select(
         "repo_id", "repository",
         "pac_commits_with_changes", "pac_code_median_changes", "pac_changes_min", "pac_changes_max",
         "non_pac_commits_with_changes", "non_pac_code_median_changes", "non_pac_changes_min",
@@ -177,19 +186,19 @@ def maintainer_share(facts: DataFrame) -> DataFrame:
     return out.withColumn("pac_maintainer_percentage", _ratio_pct("pac_authors", "total_authors"))
 
 
-def repo_metrics(facts: DataFrame) -> DataFrame:
+def repo_metrics(facts: DataFrame, exact: bool = True) -> DataFrame:
     """A5-A8 side by side, one row per repository with a PaC commit."""
     a7 = maintainer_share(facts).drop("repository")
-    return slice_metrics(facts).join(a7, "repo_id", "inner")
+    return slice_metrics(facts, exact).join(a7, "repo_id", "inner")
 
 
-def corpus_medians(facts: DataFrame) -> DataFrame:
+def corpus_medians(facts: DataFrame, exact: bool = True) -> DataFrame:
     """Cross-repository medians; the two non-PaC code medians skip zeros (Q17)."""
-    m = repo_metrics(facts)
+    m = repo_metrics(facts, exact)
 
     def med(c: str, positive: bool = False) -> Column:
         x = F.col(c).cast("double")
-        return F.median(F.when(x > 0, x) if positive else x)
+        return _median(F.when(x > 0, x) if positive else x, exact)
 
     return m.agg(
         F.count(F.lit(1)).alias("repositories"),

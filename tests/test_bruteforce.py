@@ -114,3 +114,13 @@ def test_commit_index_many_buckets(spark):
         for i, r in enumerate(sorted(rows, key=lambda r: (r.date or 0, r.pos))):
             want[(repo, r.commit_id)] = i
     assert got == want
+
+
+def test_approximate_medians_only_on_request(spark):
+    facts = context(spark, SF).facts
+    exact = {r.repo_id: r.pac_commit_median_size for r in rm.commit_size_medians(facts).collect()}
+    approx = {r.repo_id: r.pac_commit_median_size for r in rm.commit_size_medians(facts, exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    # percentile_approx returns an observed value next to the exact (interpolated) median
+    for k in exact:
+        assert abs(exact[k] - approx[k]) <= max(1.0, 0.5 * exact[k])
