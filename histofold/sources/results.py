@@ -87,19 +87,32 @@ def result_repositories(facts: DataFrame) -> DataFrame:
 
 
 def write_results(commits: DataFrame, repositories: DataFrame, root: str,
-                  changes: DataFrame | None = None, replace_only_written: bool = False) -> None:
-    """JSON (UTF-8, unescaped) partitioned by owner and repository.
-
-    ``rebalance`` groups rows of a repository into few files, while AQE splits
-    a partition that grows past the advisory size -- a repository holding a
-    third of all commits is written by many tasks, not one.  With
-    ``replace_only_written`` (incremental runs) only the repositories present
-    in this write are replaced; results of other repositories stay.
+                  changes: DataFrame | None = None, replace_only_written: bool = False,
+                  layout: str = "partitioned") -> None:
+    """JSON (UTF-8, unescaped), one dataset each for repositories, commits, changes.
+
+    ``layout="partitioned"``: a folder per owner / repository (the analysed
+    tool's one-file-per-repository shape).  ``rebalance`` groups a
+    repository's rows into few files while AQE splits a partition that grows
+    past the advisory size -- a repository holding a third of all commits is
+    written by many tasks.  With ``replace_only_written`` (incremental runs)
+    only the repositories in this write are replaced.
+
+    ``layout="sorted"``: for corpora of very many small repositories, few
+    large files range-partitioned and sorted by (owner, repository, commit);
+    the commit in the range key splits one huge repository over several
+    files.  Keys are then ordinary columns (discover with ``discover_results``
+    on the ``repositories`` dataset, which reads them from the data).
     """
     parts = [("repositories", repositories), ("commits", commits)]
     if changes is not None:
         parts.append(("changes", changes))
     for name, df in parts:
+        if layout == "sorted":
+            keys = ["owner_name", "repository_name"] + (["commit_id"] if "commit_id" in df.columns else [])
+            (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+             .write.mode("overwrite").json(f"{root}/{name}"))
+            continue
         w = df.hint("rebalance", "owner_name", "repository_name").write.mode("overwrite")
         if replace_only_written:
             w = w.option("partitionOverwriteMode", "dynamic")
@@ -141,12 +154,26 @@ def discover_results(spark: SparkSession, root: str) -> DataFrame:
     part_repo = F.regexp_extract(p, r"owner_name=([^/]+)/repository_name=([^/]+)/[^/]+$", 2)
     parent = F.regexp_extract(p, r"([^/]+)/([^/]+)\.json$", 1)
     stem = F.regexp_extract(p, r"([^/]+)/([^/]+)\.json$", 2)
+    # Spark's own part files only carry keys in partition folders or in the data.
+    spark_part = F.regexp_extract(p, r"/(part-\d{5}-[^/]*)$", 1) != ""
     files = (listing.filter(~p.endswith("/" + AGGREGATED_RESULTS_FILE))
+             .filter((part_owner != "") | ~spark_part)
              .select(F.when(part_owner != "", _unescape(part_owner)).otherwise(parent).alias("owner_name"),
                      F.when(part_repo != "", _unescape(part_repo)).otherwise(stem).alias("repository_name"),
                      p.alias("file_path")))
-    return files.groupBy("owner_name", "repository_name").agg(
+    found = files.groupBy("owner_name", "repository_name").agg(
         F.max("file_path").alias("file_path"), F.count(F.lit(1)).alias("files"))
+    if root.rstrip("/").endswith("/repositories"):
+        # A sorted layout keeps the keys in the data instead of folder names.
+        sorted_keys = (spark.read.schema(_with_partition_keys(RESULT_REPOSITORY)).json(root)
+                       .filter(F.col("owner_name").isNotNull())
+                       .select("owner_name", "repository_name", F.col("_metadata.file_path").alias("file_path"))
+                       .groupBy("owner_name", "repository_name")
+                       .agg(F.max("file_path").alias("file_path"), F.countDistinct("file_path").alias("files")))
+        found = found.unionByName(
+            sorted_keys.join(found.select("owner_name", "repository_name"),
+                             ["owner_name", "repository_name"], "left_anti"))
+    return found
 
 
 def read_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -74,3 +74,16 @@ def test_inspection_csv_keeps_cr_and_quotes(spark, tmp_path):
     back = {r.commit_sha: r for r in sinks.read_inspection_csv(spark, path).collect()}
     assert back["c6"].commit_message == 'fix "x",\r more'     # \n -> space, \r kept (Q26)
     assert not sinks.write_inspection_csv(rows.limit(0), str(tmp_path / "empty"))
+
+
+def test_sorted_layout_roundtrip(spark, tmp_path):
+    facts, classified = micro_facts(spark)
+    _c, _f, _ch, _p, repos = micro_frames(spark)
+    root = str(tmp_path / "sorted")
+    res.write_results(res.result_commits(facts), res.result_repositories(facts), root,
+                      changes=res.result_changes(classified, repos), layout="sorted")
+    good, _bad = res.read_results(spark, root)
+    assert sorted(r.commit_id for r in good.collect()) == ["c1", "c2", "c3", "c4", "c5", "c6"]
+    assert {(r.owner_name, r.repository_name) for r in good.collect()} == {("o", "r")}
+    keys = res.discover_results(spark, f"{root}/repositories").collect()
+    assert [(k.owner_name, k.repository_name) for k in keys] == [("o", "r")]
