@@ -19,6 +19,8 @@ the stream's progress lives in a checkpoint under ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,13 +34,19 @@ from histofold.sources import results as res
 
 
 def _done_keys(spark: SparkSession, out_root: str, epoch_id: int) -> DataFrame | None:
+    """Repositories with results from other epochs, written to the scratch folder
+    first so that this epoch's write never reads the folder it replaces."""
     try:
         found = res.discover_results(spark, f"{out_root}/repositories")
+        found.schema  # noqa: B018 -- fails here when nothing was written yet
     except Exception:  # nothing written yet
         return None
     mine = f"/batch={epoch_id}/"
-    return (found.filter(~F.col("file_path").contains(mine))
+    done = (found.filter(~F.col("file_path").contains(mine))
             .select(F.concat("owner_name", F.lit("/"), "repository_name").alias("project_name")).distinct())
+    path = f"{scratch_dir(spark)}/histofold/stream-done/{uuid.uuid4().hex}"
+    done.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def collect_batch(batch: DataFrame, epoch_id: int, pac_files: DataFrame, repos: DataFrame,

@@ -38,3 +38,18 @@ def test_stream_collects_and_skips_done(spark, tmp_path):
     assert got.count() == want.count()      # every commit exactly once
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
     assert os.path.isdir(out)
+
+
+def test_replayed_epoch_is_idempotent(spark, tmp_path):
+    from histofold.streaming.collect import collect_batch
+    ctx = context(spark, SF)
+    h = ctx.h
+    batch = hist.export_history(h.commits, h.files, h.changes).filter(F.col("repo_id") < 3)
+    batch = spark.read.schema(batch.schema).json(batch.write.json(str(tmp_path / "b")) or str(tmp_path / "b"))
+    out = str(tmp_path / "out")
+    collect_batch(batch, 0, h.pac_files, h.repos, out)
+    first = res.read_results(spark, out)[0].count()
+    collect_batch(batch, 0, h.pac_files, h.repos, out)      # the same epoch again (replay after a failure)
+    assert res.read_results(spark, out)[0].count() == first
+    collect_batch(batch, 1, h.pac_files, h.repos, out)      # a later epoch: repositories already done
+    assert res.read_results(spark, out)[0].count() == first
