@@ -73,3 +73,17 @@ def test_newlines_and_url(spark):
 def test_safe_output_name(spark):
     df = spark.createDataFrame([("my org", "re:po\\x")], "o string, r string")
     assert df.select(output_file_name(F.col("o"), F.col("r"))).first()[0] == "outputs/my_org/re_po_x.json"
+
+
+def test_broadcast_only_within_bound(spark):
+    from histofold.functions.sizing import bounded_broadcast, fits
+    small = spark.range(3)
+    assert fits(small, 5) and not fits(small, 2)
+    big, tiny = spark.range(100).withColumnRenamed("id", "k"), spark.range(3).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        over = big.join(bounded_broadcast(tiny, 2), "k")._jdf.queryExecution().executedPlan().toString()
+        under = big.join(bounded_broadcast(tiny, 5), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in over and "BroadcastHashJoin" in under

@@ -78,3 +78,20 @@ def test_analyses_from_old_documents(spark, tmp_path):
     assert (r.total_commits, r.pac_commits, r.first_pac_commit_index) == (2, 2, 1)
     got = {(x.commit_id, x.file, x.is_pac, x.pos) for x in classified.collect()}
     assert ("c6", "p/a.rego", True, 0) in got and ("c6", "src/x.py", False, 1) in got
+
+
+def test_strict_collection_fails_on_repository_without_commits(spark, tmp_path):
+    import pytest
+    catalog, pac, history = _inputs(spark, tmp_path)
+    with pytest.raises(RuntimeError, match="No commits found for o/empty"):
+        jobs.collect(spark, catalog, pac, history, str(tmp_path / "strict"), strict=True)
+
+
+def test_unreadable_document_is_skipped(spark, tmp_path):
+    d = tmp_path / "outputs" / "o"
+    d.mkdir(parents=True)
+    (d / "good.json").write_text(json.dumps({"repositories": [{"repository_id": 1, "project_name": "o/good",
+                                                               "commits": [{"commit_id": "a", "date": 1}]}]}))
+    (d / "bad.json").write_text('{"repositories": [ {"repository_id": ')
+    facts, _ = jobs.load_documents(spark, str(d))
+    assert [(r.project_name, r.commit_id) for r in facts.collect()] == [("o/good", "a")]
