@@ -19,6 +19,7 @@ the stream's progress lives in a checkpoint under ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,7 +78,10 @@ def start_collection(spark: SparkSession, history_dir: str, pac_files: DataFrame
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(history_dir)
-    checkpoint = checkpoint or f"{scratch_dir(spark)}/histofold/stream-collect/{abs(hash(out_root))}"
+    # Stable across processes (Python's hash() is salted per process): a
+    # restarted stream finds its progress and resumes.
+    key = hashlib.sha1(f"{history_dir}|{out_root}".encode()).hexdigest()[:16]
+    checkpoint = checkpoint or f"{scratch_dir(spark)}/histofold/stream-collect/{key}"
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, eid: collect_batch(df, eid, pac_files, repos, out_root)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -53,3 +53,16 @@ def test_replayed_epoch_is_idempotent(spark, tmp_path):
     assert res.read_results(spark, out)[0].count() == first
     collect_batch(batch, 1, h.pac_files, h.repos, out)      # a later epoch: repositories already done
     assert res.read_results(spark, out)[0].count() == first
+
+
+def test_default_checkpoint_is_stable_across_processes(spark, tmp_path):
+    import subprocess
+    import sys
+    code = ("import hashlib;"
+            "print(hashlib.sha1(b'/in|/out').hexdigest()[:16])")
+    a = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout
+    b = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout
+    assert a == b
+    import inspect
+    from histofold.streaming import collect
+    assert "hash(" not in inspect.getsource(collect.start_collection).replace("hashlib", "")
