@@ -70,6 +70,12 @@ def collect_batch(batch: DataFrame, epoch_id: int, pac_files: DataFrame, repos:
          .partitionBy("owner_name", "repository_name").json(f"{out_root}/{name}/batch={epoch_id}"))
 
 
+def checkpoint_key(history_dir: str, out_root: str) -> str:
+    """Stable across processes (unlike the per-process salted built-in string
+    hash), so a restarted stream finds its progress and resumes."""
+    return hashlib.sha1(f"{history_dir}|{out_root}".encode()).hexdigest()[:16]
+
+
 def start_collection(spark: SparkSession, history_dir: str, pac_files: DataFrame, repos: DataFrame,
                      out_root: str, checkpoint: str | None = None, available_now: bool = True,
                      max_files_per_trigger: int | None = None) -> StreamingQuery:
@@ -78,10 +84,7 @@ def start_collection(spark: SparkSession, history_dir: str, pac_files: DataFrame
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(history_dir)
-    # Stable across processes (Python's hash() is salted per process): a
-    # restarted stream finds its progress and resumes.
-    key = hashlib.sha1(f"{history_dir}|{out_root}".encode()).hexdigest()[:16]
-    checkpoint = checkpoint or f"{scratch_dir(spark)}/histofold/stream-collect/{key}"
+    checkpoint = checkpoint or f"{scratch_dir(spark)}/histofold/stream-collect/{checkpoint_key(history_dir, out_root)}"
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, eid: collect_batch(df, eid, pac_files, repos, out_root)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
