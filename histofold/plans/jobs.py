@@ -19,6 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histofold.functions.sizing import bounded_broadcast
 from histofold.operators import classify as cl
 from histofold.operators import cochange as co
 from histofold.operators import coverage as cov
@@ -60,7 +61,8 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
             todo = spark.read.parquet(path)
         except Exception:  # nothing collected yet
             todo = repos
-        history = history.join(todo.select("repo_id"), "repo_id", "left_semi")
+    # Only histories of catalog repositories still to collect are read on.
+    history = history.join(bounded_broadcast(todo.select("repo_id")), "repo_id", "left_semi")
     commits, files, changes = hist.history_tables(hist.qualify_commit_ids(history))
     diagnostics = cl.collection_diagnostics(todo, commits)
     if strict:
