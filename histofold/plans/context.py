@@ -25,7 +25,7 @@ from histofold.session import scratch_dir
 from histofold.sources.adapter import History
 from histofold.sources.tables import TABLES, Tables
 
-LAYOUT_VERSION = "facts-v1"
+LAYOUT_VERSION = "facts-v2-bucketed"
 
 
 def _code_version() -> bytes:
@@ -60,6 +60,7 @@ class Context:
         self._facts: DataFrame | None = None
         self._classified: DataFrame | None = None
         self._attempt: str | None = None
+        self._buckets: dict[str, int | None] = {}
 
     # -- fresh (unmaterialized) plans -------------------------------------
     def classified_plan(self) -> DataFrame:
@@ -85,24 +86,76 @@ class Context:
         if "://" not in local and not glob.glob(f"{local}/*/DONE"):
             return None  # local folder: skip a failing (and noisily logged) Spark lookup
         try:
-            rows = self.spark.read.parquet(f"{base}/*/DONE").select("attempt").collect()
+            rows = self.spark.read.parquet(f"{base}/*/DONE").select("attempt", "buckets").collect()
         except Exception:  # nothing published yet
             return None
-        return min(r.attempt for r in rows) if rows else None
-
-    def _publish(self, base: str, writes) -> str:
+        if not rows:
+            return None
+        best = min(rows, key=lambda r: r.attempt)
+        self._buckets[best.attempt] = best.buckets
+        return best.attempt
+
+    def _publish(self, base: str, writes, bucket_keys: tuple[str, ...] = ()) -> str:
+        """Write each ``(name, df)`` of ``writes(attempt)``, then the DONE marker.
+
+        With ``bucket_keys`` the tables are written bucketed on them (one file
+        per bucket) so that later joins and aggregations on those keys need
+        no shuffle; the bucket count goes into the marker.  If the session
+        catalog refuses bucketed tables the attempt is written as plain
+        Parquet and the marker says so.
+        """
         attempt = f"{base}/{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions")) if bucket_keys else None
         for name, df in writes(attempt):
-            df.write.mode("error").parquet(f"{attempt}/{name}")
-        self.spark.createDataFrame([(attempt,)], "attempt string").write.mode("error").parquet(f"{attempt}/DONE")
+            path = f"{attempt}/{name}"
+            if n:
+                try:
+                    (df.repartition(n, *bucket_keys).write.bucketBy(n, *bucket_keys)
+                     .option("path", path).mode("error").saveAsTable(self._table_name(path)))
+                    continue
+                except Exception:
+                    # The catalog refused: a fresh, plain-Parquet attempt (this
+                    # one is never published).
+                    return self._publish(base, writes)
+            df.write.mode("error").parquet(path)
+        marker = self.spark.createDataFrame([(attempt, n)], "attempt string, buckets int")
+        marker.write.mode("error").parquet(f"{attempt}/DONE")
+        self._buckets[attempt] = n
         return attempt
 
+    @staticmethod
+    def _table_name(path: str) -> str:
+        return "histofold_" + hashlib.sha1(path.encode()).hexdigest()[:24]
+
+    def _read(self, attempt: str, name: str, bucket_keys: tuple[str, ...]) -> DataFrame:
+        """A published table; bucketed ones are registered (once per session) so
+        that Spark knows their bucketing.  Plain Parquet on any catalog error."""
+        path = f"{attempt}/{name}"
+        n = self._buckets.get(attempt)
+        if n:
+            try:
+                table = self._table_name(path)
+                if not self.spark.catalog.tableExists(table):
+                    schema = self.spark.read.parquet(path).schema
+                    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+                    keys = ", ".join(bucket_keys)
+                    self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet "
+                                   f"CLUSTERED BY ({keys}) INTO {n} BUCKETS LOCATION '{path}'")
+                return self.spark.table(table)
+            except Exception:
+                pass
+        return self.spark.read.parquet(path)
+
     def _keep_catalog(self, repos: DataFrame) -> DataFrame:
         """Write the catalog once (one row per repository) and read it back."""
         base = f"{self._root()}/catalog"
         attempt = self._published(base) or self._publish(base, lambda a: [("repos", repos)])
         return self.spark.read.parquet(f"{attempt}/repos")
 
+    # Both collection tables are bucketed on the commit key they are joined and
+    # grouped on downstream (inspection lists, co-change sets, result rows).
+    BUCKET_KEYS = ("repo_id", "commit_id")
+
     def diagnostics(self) -> DataFrame:
         return classify.collection_diagnostics(self.h.repos, self.h.commit_keys)
 
@@ -126,11 +179,11 @@ class Context:
             spark = self.spark
 
             def writes(attempt):
-                yield "classified", self.classified_plan().sortWithinPartitions("repo_id", "commit_id")
+                yield "classified", self.classified_plan()
                 c = spark.read.parquet(f"{attempt}/classified")
-                yield "commit_facts", self.facts_plan(c).sortWithinPartitions("repo_id")
+                yield "commit_facts", self.facts_plan(c)
 
-            self._attempt = self._publish(base, writes)
+            self._attempt = self._publish(base, writes, self.BUCKET_KEYS)
             self._facts = self._classified = None
         return self._attempt
 
@@ -141,13 +194,13 @@ class Context:
     @property
     def classified(self) -> DataFrame:
         if self._classified is None:
-            self._classified = self.spark.read.parquet(f"{self.materialize()}/classified")
+            self._classified = self._read(self.materialize(), "classified", self.BUCKET_KEYS)
         return self._classified
 
     @property
     def facts(self) -> DataFrame:
         if self._facts is None:
-            self._facts = self.spark.read.parquet(f"{self.materialize()}/commit_facts")
+            self._facts = self._read(self.materialize(), "commit_facts", self.BUCKET_KEYS)
         return self._facts
 
 

@@ -87,3 +87,25 @@ def test_sorted_layout_roundtrip(spark, tmp_path):
     assert {(r.owner_name, r.repository_name) for r in good.collect()} == {("o", "r")}
     keys = res.discover_results(spark, f"{root}/repositories").collect()
     assert [(k.owner_name, k.repository_name) for k in keys] == [("o", "r")]
+
+
+def test_bucketed_facts_reregistered_and_fallback(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from histofold.plans import context as ctxmod
+    sf = "/root/testdata/sf0.001"
+    first = ctxmod.Context(spark, sf)
+    n = first.facts.count()
+    # A fresh context (as in another process) finds the published attempt and
+    # registers the bucketed table again after the catalog forgot it.
+    for t in spark.catalog.listTables():
+        if t.name.startswith("histofold_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    again = ctxmod.Context(spark, sf)
+    plan = again.facts.join(again.classified, ["repo_id", "commit_id"])._jdf.queryExecution().executedPlan()
+    assert again.facts.count() == n and "Exchange hashpartitioning" not in plan.toString()
+    # If the catalog refuses bucketed tables, the attempt is plain Parquet.
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("no")))
+    plain = ctxmod.Context(spark, sf)
+    attempt = plain.materialize(force=True)
+    assert plain._buckets[attempt] is None and plain.facts.count() == n
