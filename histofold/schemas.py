@@ -14,7 +14,7 @@ CHANGE = T.StructType([
 
 # Repository catalog CSV: one unnamed index column, then 28 named columns.
 CATALOG_CSV = T.StructType([
-    T.StructField("_c0", T.IntegerType()),
+    T.StructField("", T.IntegerType()),  # the unnamed index column
     T.StructField("id", T.LongType()),
     T.StructField("full_name", T.StringType()),
     T.StructField("created_at", T.TimestampType()),
