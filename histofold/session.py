@@ -73,12 +73,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written tables: ``spark.checkpoint.dir`` if set."""
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        try:  # classic sessions only; a Connect session has no SparkContext
+            sc = spark.sparkContext
+            d = sc.getCheckpointDir()
+        except Exception:
+            sc = None
     if not d:
         # Only reached when the cluster names no shared folder (local runs).
         d = tempfile.mkdtemp(prefix="histofold-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+        if sc is not None:
+            sc.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)
     if d.startswith("file:"):
         d = d[len("file:"):]
