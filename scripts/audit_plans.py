@@ -25,9 +25,12 @@ for name, fn in sorted(E.queries().items()):
     for pat in ("CartesianProduct", "BroadcastNestedLoopJoin", "SortAggregate"):
         if pat in plan:
             flags.append(pat)
-    for m in re.finditer(r"Window \[.*?\], \[(.*?)\], \[", plan):
-        if not m.group(1).strip():
-            flags.append("Window-without-partition")
+    for line in plan.splitlines():
+        if "Window [" in line:
+            # "Window [fns], [partition], [order]" -- two lists mean no PARTITION BY
+            lists = re.findall(r"\], \[", line.split("Window [", 1)[1])
+            if len(lists) < 2:
+                flags.append("Window-without-partition")
     n_ex = len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition", plan))
     single = plan.count("Exchange SinglePartition")
     bcast = plan.count("BroadcastExchange")
