@@ -95,3 +95,24 @@ def test_unreadable_document_is_skipped(spark, tmp_path):
     (d / "bad.json").write_text('{"repositories": [ {"repository_id": ')
     facts, _ = jobs.load_documents(spark, str(d))
     assert [(r.project_name, r.commit_id) for r in facts.collect()] == [("o/good", "a")]
+
+
+def test_file_job_equals_adapter_path_on_real_data(spark, tmp_path):
+    """sf0.001 exported to files, collected by the job, analysed: same as the registry."""
+    from histofold.plans.context import context
+    ctx = context(spark, "/root/testdata/sf0.001")
+    h = ctx.h
+    cat.write_repo_catalog(h.repos, str(tmp_path / "catalog"))
+    cat.write_pac_files(h.pac_files, str(tmp_path / "pac"))
+    hist.write_history(hist.export_history(h.commits, h.files, h.changes), str(tmp_path / "history"))
+    out = str(tmp_path / "results")
+    jobs.collect(spark, str(tmp_path / "catalog"), str(tmp_path / "pac"), str(tmp_path / "history"), out)
+    facts, classified = jobs.load_results(spark, out)
+    cols = ["repository", "total_commits", "pac_commits", "pac_maintenance_frequency", "first_pac_commit_index"]
+    got = sorted(rm.pac_frequency(facts).select(*cols).collect())
+    want = sorted(rm.pac_frequency(ctx.facts).select(*cols).collect())
+    assert got == want and len(got) > 0
+    tables = jobs.analyses(facts, classified)
+    reg = jobs.analyses(ctx.facts, ctx.classified)
+    for name in ("association_rules", "corpus_medians", "pac_commit_stats", "cochange_totals"):
+        assert sorted(tables[name].collect()) == sorted(reg[name].collect()), name
