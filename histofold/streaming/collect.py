@@ -6,7 +6,7 @@ repository whose result file already exists (S13).  Here exported histories
 repositories) arrive in a folder; every micro-batch
 
 1. leaves out repositories that already have a result from an *earlier*
-   batch (anti-join on the result listing -- S13),
+   batch (anti-join on a compact ``done_keys`` table the stream keeps -- S13),
 2. classifies and folds the commits of the rest (the batch operators of
    ``operators.classify``), and
 3. writes the result rows to ``<out>/commits/batch=<epoch>/`` and
@@ -35,16 +35,20 @@ from histofold.sources import results as res
 
 
 def _done_keys(spark: SparkSession, out_root: str, epoch_id: int) -> DataFrame | None:
-    """Repositories with results from other epochs, written to the scratch folder
-    first so that this epoch's write never reads the folder it replaces."""
+    """Repositories with results from other epochs.
+
+    Read from the compact ``done_keys`` table the stream maintains (one row
+    per collected repository and epoch), not by listing every result file, so
+    the cost per batch follows the number of repositories, not of files.  It
+    is copied to the scratch folder first so that this epoch's write never
+    reads what it replaces.
+    """
     try:
-        found = res.discover_results(spark, f"{out_root}/repositories")
-        found.schema  # noqa: B018 -- fails here when nothing was written yet
+        keys = spark.read.parquet(f"{out_root}/done_keys")
+        keys.schema  # noqa: B018 -- fails here when nothing was written yet
     except Exception:  # nothing written yet
         return None
-    mine = f"/batch={epoch_id}/"
-    done = (found.filter(~F.col("file_path").contains(mine))
-            .select(F.concat("owner_name", F.lit("/"), "repository_name").alias("project_name")).distinct())
+    done = keys.filter(F.col("batch") != epoch_id).select("project_name").distinct()
     path = f"{scratch_dir(spark)}/histofold/stream-done/{uuid.uuid4().hex}"
     done.write.parquet(path)
     return spark.read.parquet(path)
@@ -68,6 +72,10 @@ def collect_batch(batch: DataFrame, epoch_id: int, pac_files: DataFrame, repos:
     for name, df in parts:
         (df.hint("rebalance", "owner_name", "repository_name").write.mode("overwrite")
          .partitionBy("owner_name", "repository_name").json(f"{out_root}/{name}/batch={epoch_id}"))
+    # Written last: a batch counts as done only once its results are complete.
+    (spark.read.schema("project_name string").json(f"{out_root}/repositories/batch={epoch_id}")
+     .select("project_name").distinct()
+     .write.mode("overwrite").parquet(f"{out_root}/done_keys/batch={epoch_id}"))
 
 
 def checkpoint_key(history_dir: str, out_root: str) -> str:
