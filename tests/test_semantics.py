@@ -168,3 +168,14 @@ def test_report_views_round_only_for_display(spark):
     assert rows["Median non-PAC code changes (in PAC commits)"] == f"{6.5:.0f}"   # "6", not "7"
     assert rows["Median non-PAC code changes (in non-PAC commits)"] == "nan"
     assert rows["Total repos with PAC changes"] == "1"
+
+
+def test_suffix_lookup_edges_j7(spark):
+    repos = spark.createDataFrame([(5, "a/tool", 2), (6, "b/tool", 1), (7, "c/other", 3)],
+                                  "repo_id int, full_name string, idx int")
+    names = spark.createDataFrame([("tool",), ("",), ("TOOL",), ("/other",)], "name string")
+    got = {r.name: (r.repo_id, r.idx) for r in cov.suffix_lookup(names, repos).collect()}
+    assert got["tool"] == (6, 1)        # first catalog row (lowest idx) wins
+    assert got[""] == (6, 1)            # every name ends with the empty string
+    assert got["TOOL"] == (None, None)  # case-sensitive
+    assert got["/other"] == (7, 3)
