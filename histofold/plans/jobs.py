@@ -51,8 +51,7 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
     todo = repos
     if skip_existing:
         try:
-            done = (res.discover_results(spark, f"{out_root}/repositories")
-                    .select(F.concat("owner_name", F.lit("/"), "repository_name").alias("full_name")))
+            done = _done_names(spark, out_root)
             done.schema  # noqa: B018 -- fails here when nothing was collected yet
             # The to-do list (one row per repository) goes to the shared scratch
             # folder first, so the result write below never reads its own target.
@@ -75,12 +74,29 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
     classified = classified.withColumn("commit_id", hist.unqualified_commit_id())
     res.write_results(res.result_commits(facts), res.result_repositories(facts), out_root,
                       changes=res.result_changes(classified, repos), replace_only_written=skip_existing)
+    # Compact record of what this run collected (read by the next run instead
+    # of listing every result folder): catalog names that had commits.
+    (todo.join(cl.drop_merges(commits).select("repo_id").distinct(), "repo_id", "left_semi").select("full_name")
+     .write.mode("overwrite").parquet(f"{out_root}/done_keys/run={uuid.uuid4().hex}"))
     (res.run_metadata(spark, start, repository_no=repository_no, use_test_mode=use_test_mode,
                       csv_path=catalog_path, pac_file_names_csv=pac_path)
      .write.mode("append").json(f"{out_root}/runs"))
     return diagnostics
 
 
+def _done_names(spark: SparkSession, out_root: str) -> DataFrame:
+    """Repositories that already have results: the compact ``done_keys`` table
+    written by earlier runs, or -- for folders written otherwise -- the names
+    found by listing the result folders."""
+    try:
+        keys = spark.read.parquet(f"{out_root}/done_keys").select("full_name")
+        keys.schema  # noqa: B018
+        return keys.distinct()
+    except Exception:
+        return (res.discover_results(spark, f"{out_root}/repositories")
+                .select(F.concat("owner_name", F.lit("/"), "repository_name").alias("full_name")))
+
+
 def load_results(spark: SparkSession, out_root: str) -> tuple[DataFrame, DataFrame]:
     """``(commit_facts, classified)`` of a result folder written by ``collect``."""
     good, _bad = res.read_results(spark, out_root)
