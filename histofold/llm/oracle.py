@@ -13,3 +13,47 @@ r AS (
   FROM t)
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(norm) AS text_sha256 FROM r
 """
+
+SQL["op3_line_frequency"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+tri AS (
+  SELECT r, i, words[i] AS a, words[i+1] AS b, words[i+2] AS c
+  FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)),
+rep AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM tri) WHERE n > 1),
+cov AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i+1, i+2]) AS p FROM rep) GROUP BY r),
+raw AS (
+  SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM d),
+ln AS (
+  SELECT r, host, line,
+         translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY r),
+hosts AS (
+  SELECT host, count(*) AS n FROM d GROUP BY host),
+freq AS (
+  SELECT l.host, l.norm FROM (SELECT host, norm, count(DISTINCT r) AS n FROM ln GROUP BY host, norm) l
+  JOIN hosts h ON h.host = l.host WHERE l.n > 20 AND l.n > 0.001 * h.n),
+gone AS (
+  SELECT ln.r, count(*) AS lines, sum(length(ln.norm) - length(replace(ln.norm, ' ', '')) + 1) AS words
+  FROM ln JOIN freq USING (host, norm) GROUP BY ln.r),
+s AS (
+  SELECT d.r, d.doc_id, len(w.words) AS n_words,
+         length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+         coalesce(gone.lines, 0) AS n_lines_removed, len(w.words) - coalesce(gone.words, 0) AS words_left
+  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN cov USING (r) LEFT JOIN gone USING (r)),
+b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND words_left >= 0.3 * n_words AS kept, n_lines_removed,
+       CAST(words_left AS BIGINT) AS words_left
+FROM b
+"""
