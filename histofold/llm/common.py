@@ -46,7 +46,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables of this run that no later result reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.sparkContext().hadoopConfiguration()
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)

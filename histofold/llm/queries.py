@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histofold.llm import bpe, exact_dedup, packing, quality
+from histofold.llm import bpe, exact_dedup, packing, quality, toxicity
 from histofold.llm.common import documents
 
 
@@ -29,10 +29,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, toxicity.is_training(F.col("doc_id")))
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", F.coalesce(~toxicity.is_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_line_frequency, op4_bpe, op10_exact_dedup)
+    f.__name__: f for f in (op2_packing, op3_line_frequency, op4_bpe, op6_compression_toxicity, op10_exact_dedup)
 }
