@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histofold.llm import bpe, exact_dedup, packing, quality, toxicity
+from histofold.llm import bpe, exact_dedup, jaccard, packing, quality, toxicity
 from histofold.llm.common import documents
 
 
@@ -38,10 +38,14 @@ def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_line_frequency, op4_bpe, op6_compression_toxicity, op10_exact_dedup)
+    f.__name__: f for f in (op2_packing, op3_line_frequency, op4_bpe, op6_compression_toxicity, op8_jaccard_join, op10_exact_dedup)
 }
