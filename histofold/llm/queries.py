@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histofold.llm import bpe, exact_dedup, jaccard, packing, quality, toxicity
+from histofold.llm import bpe, chat, exact_dedup, jaccard, packing, pii, quality, substring, toxicity, url_filter
 from histofold.llm.common import documents
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.cut(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -29,6 +33,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.checked(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -38,14 +46,53 @@ def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
 
 
+def _hex(text: Column, at: int) -> Column:
+    """Four hexadecimal digits of the md5 of a text, as a number."""
+    return F.conv(F.substring(F.md5(text), at, 4), 16, 10).cast("int")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are all pages, fetched on a day derived from their id; list events are derived from
+    the hosts, their parent domains and first path segments that occur in the pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    start = F.lit("2024-01-01").cast("date")
+    captures = pages.select("page_id", "url", F.date_add(start, (F.col("page_id") % 366).cast("int")).alias("fetched"))
+    seen = captures.select(F.explode(url_filter.patterns_of(F.col("url"))).alias("pattern")).distinct()
+    name = F.concat_ws("", F.lit("list"), (_hex(F.col("pattern"), 1) % 3).cast("string"))
+    # up to four changes each, switching on and off by turns
+    events = seen.select("pattern", name.alias("list"), F.explode(F.sequence(F.lit(0), _hex(F.col("pattern"), 5) % 4)).alias("k")).select(
+        "list", "pattern", (F.col("k") % 2 == 0).alias("active"),
+        F.date_add(start, _hex(F.concat(F.col("pattern"), F.lit("#"), F.col("k").cast("string")), 9) % 60 + F.col("k") * 90).alias("time"))
+    out = url_filter.judge(captures, events.where(_hex(F.col("pattern"), 13) % 5 == 0))
+    return out.select("page_id", "fetched", "blocked", "n_lists", "matched", F.array_join("lists", ",").alias("lists"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(documents(spark, sf_dir))
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation is a chosen one; its rejected twin has the words of its last assistant turn in
+    reverse order (a conversation without assistant turns has an equal twin)."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    worse = turns.join(last, "conv_id", "left").select(
+        "conv_id", "turn", "role", F.when((F.col("role") == "assistant") & (F.col("turn") == F.col("last")),
+                                          F.array_join(F.reverse(F.split("text", " ")), " ")).otherwise(F.col("text")).alias("text"))
+    pairs = turns.select(F.col("conv_id").alias("chosen"), F.col("conv_id").alias("rejected")).dropna().distinct()
+    out = chat.preferences(turns, pairs, rejected_turns=worse)
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(F.col("chosen_id").alias("conv_id"), "prompt_turns", "prompt", "chosen", "rejected",
+                      size("chosen_mask").alias("chosen_trained"), size("rejected_mask").alias("rejected_trained"),
+                      F.size("chosen_mask").cast("long").alias("chosen_spans"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_line_frequency, op4_bpe, op6_compression_toxicity, op8_jaccard_join, op10_exact_dedup)
+    f.__name__: f for f in (
+        op1_substring_dedup, op2_packing, op3_line_frequency, op4_bpe, op5_pii_surrogates, op6_compression_toxicity,
+        op7_url_filter, op8_jaccard_join, op9_preference_format, op10_exact_dedup)
 }
