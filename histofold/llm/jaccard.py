@@ -1,6 +1,7 @@
 """N-gram Jaccard join: grouped prefix join over 5-word shingles, exact at 0.75.
 
-1. A document's set is its distinct shingle hashes (64 bits), written once.
+1. A document's set is its distinct shingle hashes, counted on 64 bits and written once with 48
+   (two sets of 500 shingles share a hash by chance once in a billion pairs).
 2. Shingles get a global order, rare ones first: a fixed-size table of hash slots holds
    the rough document frequency (powers of two) of the shingles that repeat within
    windows of the input.  The order decides speed only, never results.
@@ -11,7 +12,8 @@
    shingle, and joins the linked classes to components.  Large clusters of near copies
    collapse here with a number of pairs linear in their prefix entries.
 5. The exact round looks only at shingles whose groups lie in different components: group
-   pairs are filtered by size and by position in the prefix, expanded to their classes,
+   pairs are filtered by size and by position in the prefix, expanded to their classes, ruled
+   out where the parity sketches differ in more bits than linked sets can differ in shingles,
    and verified on the whole sets.  Pairs inside one component need no comparison, so no
    link between components is lost, and no pairs inside a cluster are emitted.
 6. Components over all links, smallest document id each.
@@ -43,6 +45,10 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Slots of the frequency table (one byte each when sent to the tasks).
 SLOTS = 1 << 22
+#: Bytes of a stored shingle hash (sizes are counted on all 64 bits).
+WIDTH = 6
+#: Bits of the parity sketch that rules pairs out before whole sets are moved.
+BITS = 4096
 #: Shingles looked at together when repeats are counted.
 WINDOW = 1 << 21
 
@@ -71,6 +77,18 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def stored(s: np.ndarray) -> bytes:
+    """The low ``WIDTH`` bytes of each hash, sorted and distinct."""
+    low = np.unique(s & np.uint64((1 << 8 * WIDTH) - 1)).astype("<u8")
+    return low.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def loaded(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8").ravel()
+
+
 def _digest(*parts: bytes) -> bytes:
     import xxhash
 
@@ -90,7 +108,7 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, key, n, sig, shingles): the set of every document, little-endian unsigned 64-bit, sorted.
+    """(row, id, key, n, sig, shingles): the set of every document, as ``stored``.
 
     ``key`` is the md5 of the text, by which rows can be found again in the documents.
     """
@@ -104,7 +122,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 row, ident, text = batch.slice(at, 512).columns
                 found = [shingles(t.as_py()) for t in text]
-                raw = [s.astype("<u8").tobytes() for s in found]
+                raw = [stored(s) for s in found]
                 key = pa.array([hashlib.md5(t.as_py().encode("utf-8", "replace")).digest() for t in text], pa.binary())
                 yield _batch(row=row, id=ident, key=key, n=pa.array([len(s) for s in found], pa.int64()),
                              sig=pa.array([_digest(r) for r in raw], pa.binary()), shingles=pa.array(raw, pa.binary()))
@@ -125,7 +143,7 @@ def levels(found: DataFrame) -> np.ndarray:
 
         for batch in batches:
             for raw in batch.column(0):
-                held.append(np.frombuffer(raw.as_py(), "<u8"))
+                held.append(loaded(raw.as_py()))
                 size += len(held[-1])
                 if size >= WINDOW:
                     yield flush()
@@ -144,7 +162,7 @@ def levels(found: DataFrame) -> np.ndarray:
 
 def _ordered(raw: bytes, level: np.ndarray) -> np.ndarray:
     """The prefix of a set in the global order (level, hash)."""
-    s = np.frombuffer(raw, "<u8")
+    s = loaded(raw)
     order = np.argsort(level[(s & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")
     return s[order[:needed(len(s))]]
 
@@ -179,7 +197,7 @@ def entries(found: DataFrame, rows: DataFrame, level, store: Scratch) -> DataFra
                 row, raw = batch.slice(at, 256).columns
                 kept = [_ordered(r.as_py(), table) for r in raw]
                 size = np.array([len(k) for k in kept])
-                n = np.array([len(r.as_py()) // 8 for r in raw])
+                n = np.array([len(r.as_py()) // WIDTH for r in raw])
                 pos = np.concatenate([np.arange(k) for k in size]) if len(size) else np.empty(0, np.int64)
                 yield _batch(token=pa.array(np.concatenate(kept).view(np.int64)),
                              group=pa.array(np.repeat(row.to_numpy(), size)),
@@ -201,9 +219,44 @@ def _possible(a: str, b: str) -> Column:
         (NUM + DEN) * (F.lit(1) + F.least(n - i, m - j) - 1) >= NUM * (n + m))
 
 
+def _sketch(raw: bytes) -> bytes:
+    """Parity of the shingles in each of ``BITS`` buckets: two sketches differ in no more bits than the sets in shingles."""
+    bucket = (_mix(loaded(raw)) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def plausible(pairs: DataFrame, found: DataFrame, store: Scratch, name: str) -> DataFrame:
+    """The (a, b) whose parity sketches do not rule a link out."""
+    def sketches(batches):
+        for batch in batches:
+            row, raw = batch.columns
+            marks = [r.as_py() for r in raw]
+            yield _batch(row=row, n=pa.array([len(r) // WIDTH for r in marks], pa.int64()),
+                         sketch=pa.array([_sketch(r) for r in marks], pa.binary()))
+
+    wanted = store.save(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), f"{name}-seen")
+    own = store.save(found.join(wanted, "row", "left_semi").select("row", "shingles")
+                     .mapInArrow(sketches, "row long, n long, sketch binary"), f"{name}-sketches")
+    both = (pairs.join(own.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), "a")
+            .join(own.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
+            .select("a", "b", "na", "nb", "x", "y"))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                a, b, na, nb, x, y = batch.slice(at, 4096).columns
+                wide = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(a), -1) for c in (x, y)]
+                apart = np.bitwise_count(wide[0] ^ wide[1]).sum(1, dtype=np.int64)
+                # linked: |x - y| + |y - x| <= (DEN - NUM) / (DEN + NUM) * (|x| + |y|)
+                keep = pa.array((DEN + NUM) * apart <= (DEN - NUM) * (na.to_numpy() + nb.to_numpy()))
+                yield _batch(a=a.filter(keep), b=b.filter(keep))
+
+    return store.save(both.mapInArrow(run, "a long, b long"), f"{name}-plausible")
+
+
 def verify(pairs: DataFrame, found: DataFrame, store: Scratch, name: str) -> DataFrame:
     """The (a, b) of class pairs that link, by intersecting the whole sets."""
-    pairs = store.save(pairs.distinct(), f"{name}-pairs")
+    pairs = plausible(store.save(pairs.distinct(), f"{name}-pairs"), found, store, name)
     wanted = store.save(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), f"{name}-wanted")
     own = store.save(found.join(wanted, "row", "left_semi").select("row", "shingles"), f"{name}-sets")
     both = (pairs.join(own.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
@@ -214,14 +267,14 @@ def verify(pairs: DataFrame, found: DataFrame, store: Scratch, name: str) -> Dat
             a, b, left, right = batch.columns
             keep = []
             for k in range(batch.num_rows):
-                x, y = (np.frombuffer(c[k].as_py(), "<u8") for c in (left, right))
+                x, y = (loaded(c[k].as_py()) for c in (left, right))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(DEN * common >= NUM * (len(x) + len(y) - common))
             keep = pa.array(keep, pa.bool_())
             yield _batch(a=a.filter(keep), b=b.filter(keep))
 
     links = store.save(both.mapInArrow(run, "a long, b long"), f"{name}-links")
-    store.drop(f"{name}-sets")
+    store.drop(f"{name}-sets", f"{name}-sketches")
     return links
 
 

@@ -57,3 +57,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        CAST(words_left AS BIGINT) AS words_left
 FROM b
 """
+
+SQL["op7_url_filter"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS fetched,
+         lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@', ''),
+                              '(:\d*)?$|\.(:\d*)?$', '', 'g')) AS host,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1)) AS seg
+  FROM pages),
+l AS (SELECT r, fetched, seg, string_split(host, '.') AS labels FROM p WHERE host <> ''),
+d AS (
+  SELECT r, fetched, seg, array_to_string(labels[i:], '.') AS dom
+  FROM (SELECT *, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) AS i FROM l)),
+k AS (
+  SELECT DISTINCT r, fetched, pat FROM (
+    SELECT r, fetched, dom AS pat FROM d UNION ALL SELECT r, fetched, dom || '/' || seg FROM d WHERE seg <> '')
+  WHERE pat <> '' AND pat NOT LIKE '/%'),
+h AS (
+  SELECT pat, 'list' || (CAST('0x' || substr(md5(pat), 1, 4) AS INT) % 3) AS list, CAST('0x' || substr(md5(pat), 5, 4) AS INT) % 4 AS last
+  FROM (SELECT DISTINCT pat FROM k) WHERE CAST('0x' || substr(md5(pat), 13, 4) AS INT) % 5 = 0),
+e AS (
+  SELECT list, rtrim(lower(pat), '.') AS entry, n % 2 = 0 AS active,
+         DATE '2024-01-01' + CAST(CAST('0x' || substr(md5(pat || '#' || n), 9, 4) AS INT) % 60 + n * 90 AS INT) AS t
+  FROM (SELECT *, unnest(range(0, last + 1)) AS n FROM h)),
+g AS (SELECT list, entry, t, bool_or(active) AS active FROM e GROUP BY ALL),
+v AS (SELECT *, lead(t) OVER (PARTITION BY list, entry ORDER BY t) AS until FROM g),
+m AS (
+  SELECT k.r, v.list, v.entry FROM k JOIN v ON k.pat = v.entry AND v.active AND k.fetched >= v.t
+    AND (v.until IS NULL OR k.fetched < v.until)),
+a AS (
+  SELECT r, list_sort(list(DISTINCT list)) AS lists, arg_max(entry, (length(entry), entry)) AS matched FROM m GROUP BY r)
+SELECT p.page_id, p.fetched, a.r IS NOT NULL AS blocked, coalesce(len(a.lists), 0) AS n_lists, a.matched,
+       coalesce(array_to_string(a.lists, ','), '') AS lists
+FROM p LEFT JOIN a USING (r)
+"""
+
+SQL["op9_preference_format"] = r"""
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, turn,
+         max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last
+  FROM (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+        WHERE conv_id IS NOT NULL)),
+b AS (
+  SELECT *, CASE WHEN role = 'assistant' AND turn = last THEN array_to_string(list_reverse(string_split(text, ' ')), ' ')
+                 ELSE text END AS other
+  FROM t),
+k AS (SELECT conv_id, coalesce(min(CASE WHEN text <> other THEN pos END) - 1, max(pos)) AS n FROM b GROUP BY conv_id),
+f AS (
+  SELECT b.*, k.n, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS x,
+         '<|' || role || '|>' || chr(10) || other || chr(10) || '<|end|>' || chr(10) AS y
+  FROM b JOIN k USING (conv_id))
+SELECT conv_id, max(n) AS prompt_turns,
+       coalesce(string_agg(x, '' ORDER BY pos) FILTER (WHERE pos <= n), '') AS prompt,
+       coalesce(string_agg(x, '' ORDER BY pos) FILTER (WHERE pos > n), '') AS chosen,
+       coalesce(string_agg(y, '' ORDER BY pos) FILTER (WHERE pos > n), '') AS rejected,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE pos > n AND role = 'assistant'), 0) AS BIGINT) AS chosen_trained,
+       CAST(coalesce(sum(length(other)) FILTER (WHERE pos > n AND role = 'assistant'), 0) AS BIGINT) AS rejected_trained,
+       count(*) FILTER (WHERE pos > n AND role = 'assistant') AS chosen_spans
+FROM f GROUP BY conv_id
+"""

@@ -203,9 +203,10 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str
 def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", spans_col: str | None = "entities") -> DataFrame:
     """``docs`` with surrogates in the text and, if named, their (start, end, type) in ``spans_col``."""
     ship(docs.sparkSession)
-    extra = [T.StructField(spans_col, T.ArrayType(T.StructType([
-        T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("type", T.StringType())])))]
-    schema = T.StructType([*docs.schema.fields, *(extra if spans_col else [])])
+    found = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
+                                      T.StructField("type", T.StringType())]))
+    schema = T.StructType([*docs.schema.fields, *([T.StructField(spans_col, found)] if spans_col else [])])
+    names = schema.names
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string())]))
 
     def run(batches):
@@ -217,7 +218,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", span
             if spans_col:
                 spans = [[{"start": a, "end": b, "type": k} for a, b, k in s] for _, s in done]
                 columns.append(pa.array(spans, kind))
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, schema)
 

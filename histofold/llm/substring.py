@@ -30,7 +30,7 @@ from histofold.llm.common import OWN, Scratch, plain, ship
 
 UNITS, LEAST_WORDS = 3, 10
 #: A word closes a unit when its hash modulo this is 0.
-ANCHOR = 16
+ANCHOR = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)

@@ -40,7 +40,7 @@ def patterns_of(url: Column) -> Column:
     labels = F.split(host_of(url), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    segment = segment_of(url)
+    segment = F.lower(segment_of(url))
     deep = F.when(segment != "", F.transform(domains, lambda d: F.concat(d, F.lit("/"), segment))).otherwise(
         F.array().cast("array<string>"))
     return F.filter(F.array_distinct(F.concat(deep, domains)), lambda p: (p != "") & ~p.startswith("/"))

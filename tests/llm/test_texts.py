@@ -1,0 +1,310 @@
+"""BPE, packing, PII, toxicity, substring dedup, Jaccard join and pipeline against brute force."""
+
+import random
+import re
+import zlib
+from array import array
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from histofold.llm import bpe, jaccard, packing, pii, substring, toxicity
+from histofold.llm.components import components
+from histofold.llm.common import Scratch
+
+from .helpers import AWKWARD, DOCS, IDS, LONG, docs, prose
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+VOCAB = public_tokenizers.path("byte_bpe_50k.json")
+ODD = ["don't  stop'll\n\n \n x", "a" * 200, "<|endoftext|> é  \x1c\x1d x", "tab\t\tnew\r\n  ", "１２³½ ٣ x_y", "'s'S' t"]
+
+
+@pytest.fixture(scope="module")
+def enc():
+    return bpe.encoding(RANKS, PATTERN)
+
+
+def test_bpe_round_trip(spark, enc):
+    texts = AWKWARD + ODD
+    given = docs(spark, texts)
+    out = bpe.decode(bpe.encode(given, RANKS, PATTERN), RANKS, PATTERN).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        t = texts[r["doc_id"]] or ""
+        assert list(array("I", r["ids"])) == enc.encode_ordinary(t) and bytes(r["decoded"]).decode() == t
+        assert r["n_tokens"] == len(r["ids"]) // 4 and r["key"] == "k"
+    assert bpe.encode(spark.createDataFrame([], DOCS), RANKS, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_bpe_parts_change_nothing(enc, size):
+    rnd = random.Random(size)
+    pieces = [" ", "  ", "\n", "'s", "don't", "word", "7", "é", "!?", " ", "x1", "--", "漢字", "\x1c", "'", "A"]
+    for t in [*ODD, *("".join(rnd.choices(pieces, k=60)) for _ in range(150))]:
+        assert "".join(bpe.parts(t, size)) == t
+        assert list(bpe.encode_text(enc, PATTERN, t, size)) == enc.encode_ordinary(t)
+
+
+def test_bpe_long_runs(enc):
+    for t in (" " * 400_000 + "end", "é" * 300_000, "\n" * 400_000, "ab1" * 100_000):
+        ids = bpe.encode_text(enc, PATTERN, t)
+        assert enc.decode_bytes(list(ids)).decode() == t
+    assert list(bpe.encode_text(enc, PATTERN, "é" * 70_000)) == enc.encode_ordinary("é" * 70_000)
+
+
+def test_packing_vocabulary_is_that_of_the_tokenizers_library():
+    ours, theirs = packing._encoding(VOCAB, PATTERN), Tokenizer.from_file(VOCAB)
+    theirs.encode_special_tokens = True
+    for t in [*ODD, *[t or "" for t in AWKWARD if t != LONG], prose(9, 500)]:
+        assert list(bpe.encode_text(ours, PATTERN, t)) == theirs.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("length", [16, 2048])
+def test_packing(spark, enc, length, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 2)
+    given = docs(spark, AWKWARD, IDS).repartition(5)
+    pieces = packing.pack(given, VOCAB, PATTERN, 1, length)
+    rows = pieces.collect()
+    want = Counter((i, tuple(enc.encode_ordinary(t or "") + [1])) for i, t in zip(IDS, AWKWARD))
+    seen, stream = defaultdict(list), defaultdict(list)
+    for r in rows:
+        ids = packing.ids_of(bytes(r["ids"]))
+        assert len(ids) == r["length"] > 0
+        stream[r["sequence_id"]].append((r["offset"], ids))
+        seen[r["doc_id"], r["doc_tokens"]].append((r["start"], ids))
+    for k, parts in stream.items():
+        at = 0
+        for offset, ids in sorted(parts):
+            assert offset == at
+            at += len(ids)
+        assert at == length or k == max(stream) and at <= length
+    assert set(stream) == set(range(len(stream)))
+    assert sum(r["length"] for r in rows) == sum(len(k[1]) * n for k, n in want.items())
+    for (i, ids), n in want.items():
+        if n == 1 and sum(k[0] == i for k in want) == 1:
+            assert [t for _, part in sorted(seen[i, len(ids)]) for t in part] == list(ids)
+    whole = {r["sequence_id"]: packing.ids_of(bytes(r["input_ids"])) for r in packing.sequences(pieces).collect()}
+    assert all(whole[k] == [t for _, ids in sorted(parts) for t in ids] for k, parts in stream.items())
+    assert packing.pack(spark.createDataFrame([], DOCS), VOCAB, PATTERN).count() == 0
+
+
+def test_packing_slices_long_documents(spark, monkeypatch, enc):
+    rows = packing.pack(docs(spark, [LONG]), VOCAB, PATTERN, 1, 1000).orderBy("start").collect()
+    ids = [t for r in rows for t in packing.ids_of(bytes(r["ids"]))]
+    assert ids == enc.encode_ordinary(LONG) + [1] and all(r["start"] == 1000 * k for k, r in enumerate(rows))
+
+
+SECRETS = {"email": ["bob.smith7@mail.example.com", "Bob.Smith7@mail.example.com", "ann_1@corp.co.uk"], "phone": ["+1 (017) 555-7713", "(212) 555-0199"],
+           "ip": ["97.51.17.173", "1.2.3.4"], "number": ["9807915762804490", "4111 1111 1111 1111"], "ssn": ["123-45-6789"],
+           "secret": ["b44e15e09fd311c3cf3163b66d5a9875b883d8ce", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]}
+
+
+def test_pii_replaces_every_mention_in_kind():
+    for kind, values in SECRETS.items():
+        for v in values:
+            for text in (v, f"see {v}### and {v}.", f"({v}), {prose(1, 30)} {v}!!"):
+                new, spans = pii.replaced(text)
+                assert v not in new and len(new) == len(text) and {k for *_, k in spans} == {kind}, (v, new)
+                assert len({new[a:b] for a, b, _ in spans}) == 1
+                assert [c.isalpha() for c in new] == [c.isalpha() for c in text] or kind == "secret"
+    a, b = (pii.replaced(v)[0] for v in SECRETS["email"][:2])
+    assert a.lower() == b.lower() and a != b
+    assert pii.replaced("1.2.3.4", b"other")[0] != pii.replaced("1.2.3.4")[0]
+
+
+def test_pii_persons_keep_gender_script_and_coreference():
+    text = "Maria Lopez met Anna Schmidt. Lopez paid, Maria left; Иван Петров и Ольга Иванова. No Lopezian here."
+    new, spans = pii.replaced(text)
+    named = {text[a:b]: new[c:d] for (a, b, _), (c, d, _) in zip(pii.entities(text), spans)}
+    assert pii._GIVEN[named["Maria"]] == ("latin", "f") and pii._GIVEN[named["Ольга"]] == ("cyrillic", "f")
+    assert new.count(named["Lopez"]) == 2 and "Lopezian" in new and named["Maria"] != "Maria"
+    assert re.fullmatch("[А-Я][а-я]+", named["Петров"])
+    assert pii.replaced(prose(4, 400)) == (prose(4, 400), [])
+
+
+def test_pii_surrogates_are_a_bijection():
+    small = [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    made = [pii.surrogate("ip", s) for s in small]
+    assert sorted(made) == sorted(small) and all(a != b for a, b in zip(small, made))
+    for group, names in pii.NAMES.items():
+        made = [pii.surrogate("given", n) for n in names]
+        assert sorted(made) == sorted(names) and all(a != b for a, b in zip(names, made))
+
+
+def test_pii_table(spark):
+    texts = AWKWARD + [f"mail {v} twice {v}" for vs in SECRETS.values() for v in vs]
+    given = docs(spark, texts)
+    out = pii.checked(given)
+    assert out.columns == [*given.columns, "entities"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert all(rows[k]["text"] == t for k, t in enumerate(AWKWARD))
+    assert all(len(rows[k]["entities"]) == 2 for k in range(len(AWKWARD), len(texts)))
+    assert pii.checked(spark.createDataFrame([], DOCS), spans_col=None).columns == given.columns
+    found = spark.createDataFrame([("ip", "a", "x"), ("ip", "b", "x"), ("ip", "c", "c")], "type string, original string, surrogate string")
+    assert {r["surrogate"] for r in pii.collisions(found).collect()} == {"x", "c"}
+
+
+def test_toxicity_held_out(spark):
+    bad = ["scoundrel", "blockhead", "nincompoop", "villain"]
+    rnd = random.Random(1)
+    texts, toxic = [], []
+    for k in range(500):
+        words = prose(k + 100, 40 + k % 90).split()
+        toxic.append(int(k % 4 == 0))
+        for _ in range(4 * toxic[-1]):
+            words.insert(rnd.randrange(len(words)), rnd.choice(bad))
+        texts.append(" ".join(words))
+    given = docs(spark, [*texts, None, "", LONG], [*range(500), None, 900, 901])
+    labels = spark.createDataFrame([(k, 1, t) for k, t in enumerate(toxic)] + [(None, 1, 1), (3, 1, None)],
+                                   "doc_id long, quality int, toxic int")
+    model = toxicity.fit(given, labels, toxicity.is_training(F.col("doc_id")))
+    out = toxicity.scored(given, model)
+    assert out.columns == [*given.columns, "score"]
+    rows = out.collect()
+    score = {r["doc_id"]: r["score"] for r in rows}
+    assert len(rows) == 503 and all(0 <= r["score"] <= 1 for r in rows)
+    held = [k for k in range(500) if zlib.crc32(str(k).encode()) % 4 == 2]
+    right = sum((score[k] >= toxicity.REJECT) == toxic[k] for k in held)
+    assert right >= 0.95 * len(held) and score[901] < toxicity.REJECT
+    none = toxicity.fit(given, labels.where("toxic = 1"), toxicity.is_training(F.col("doc_id")))
+    assert not none.fitted and {r["score"] for r in toxicity.scored(given, none).collect()} == {0.0}
+    assert toxicity.scored(spark.createDataFrame([], DOCS), model).count() == 0
+
+
+def test_substring_removes_later_repeats(spark):
+    passage = prose(77, 60)
+    texts = [prose(1, 90), f"{prose(2, 40)} {passage} {prose(3, 41)}", f"{prose(4, 33)} {passage} {prose(5, 30)}", prose(6, 70) + ".\n" + passage.upper(),
+             None, "", "a. b. c.", prose(1, 90), prose(8, 30) + " " + LONG]
+    ids = [10, 11, 12, 13, 14, 15, 16, 17, None]
+    given = docs(spark, texts, ids)
+    out = substring.cut(given)
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[10]["text"] == texts[0] and rows[11]["text"] == texts[1] and rows[14]["text"] is None and rows[16]["text"] == "a. b. c."
+    inner = " ".join(passage.split()[20:40])
+    for k in (12, 13):
+        assert inner in rows[11]["text"] and inner not in rows[k]["text"].lower() and rows[k]["first_ids"] == [11]
+        assert rows[k]["n_removed"] >= 3
+    assert rows[12]["text"].startswith(" ".join(prose(4, 33).split()[:20])) and rows[12]["text"].endswith(" ".join(prose(5, 30).split()[-15:]))
+    assert len(rows[17]["text"].split()) < 20 and rows[17]["first_ids"] == [10]
+    assert rows[None]["n_removed"] == 0
+    assert substring.cut(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_substring_spans_follow_their_definition(spark):
+    text = prose(5, 300) + "\nshort. it. is. so.\n" + prose(5, 120)
+    raw = text.encode()
+    starts, first, h = substring.units(raw)
+    unit, stop, x, y = substring.runs(first, h)
+    ends = [*first[1:], len(h)]
+    words = raw.lower().split()
+    by_hash = defaultdict(set)
+    for u, s, a, b in zip(unit, stop, x, y):
+        assert s - u >= substring.UNITS and ends[s - 1] - first[u] >= substring.LEAST_WORDS
+        assert s - u == substring.UNITS or ends[s - 2] - first[u] < substring.LEAST_WORDS
+        by_hash[a, b].add(tuple(words[first[u]:ends[s - 1]]))
+    assert all(len(v) == 1 for v in by_hash.values()) and len({v for s in by_hash.values() for v in s}) == len(by_hash)
+    assert max(len(v) for v in by_hash.values()) == 1 and len(by_hash) < len(unit)  # the repeat is seen
+
+
+def brute_jaccard(rows):
+    sets, ids = [], []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+        ids.append(i)
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, i in enumerate(ids):
+        r = find(k)
+        least[r] = min([x for x in (least.get(r), i) if x is not None], default=None)
+    return Counter((i, len(s), least[find(k)]) for k, (i, s) in enumerate(zip(ids, sets)))
+
+
+def edited(text, rnd, n):
+    words = text.split()
+    for _ in range(n):
+        words[rnd.randrange(len(words))] = rnd.choice(["new", "other", "third"])
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_jaccard_against_brute_force(spark, heavy, monkeypatch):
+    if heavy:  # an order in which most shingles count as frequent
+        monkeypatch.setattr(jaccard, "SLOTS", 4)
+    rnd = random.Random(5)
+    texts, ids = list(AWKWARD), list(IDS)
+    shared = prose(70, 60)
+    for k in range(12):
+        base = prose(200 + k, rnd.choice([6, 30, 60, 90]))
+        texts += [edited(base, rnd, rnd.randrange(4)) for _ in range(9)] + [base]
+    texts += [f"{shared} {prose(400 + k, 8 + k % 12)}" for k in range(40)]
+    ids += range(1000, 1000 + len(texts) - len(ids))
+    out = jaccard.linked(docs(spark, texts, ids).repartition(3))
+    assert Counter(tuple(r) for r in out.collect()) == brute_jaccard(zip(ids, texts))
+
+
+def test_jaccard_representatives(spark):
+    given = docs(spark, AWKWARD + ["one"], IDS + [7])
+    kept = jaccard.representatives(given)
+    assert kept.columns == given.columns
+    want = {(i, c) for (i, n, c) in brute_jaccard(zip(IDS, AWKWARD)) if n}
+    rows = [r["doc_id"] for r in kept.collect() if (r["text"] or "").split()]
+    assert sorted(rows) == sorted({c for _, c in want})
+    assert sum(not (r["text"] or "").split() for r in kept.collect()) == 3
+    assert jaccard.linked(spark.createDataFrame([], DOCS)).count() == 0
+    assert jaccard.representatives(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_jaccard_filters_lose_no_link():
+    rnd = random.Random(2)
+    for _ in range(300):
+        n = rnd.randrange(1, 60)
+        base = {rnd.randrange(1 << 60) for _ in range(n)}
+        other = {x for x in base if rnd.random() > 0.15} | {rnd.randrange(1 << 60) for _ in range(rnd.randrange(6))}
+        a, b = (jaccard.stored(jaccard.np.array(sorted(s), jaccard.np.uint64)) for s in (base, other))
+        x, y = set(jaccard.loaded(a).tolist()), set(jaccard.loaded(b).tolist())
+        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            apart = sum(bin(p ^ q).count("1") for p, q in zip(jaccard._sketch(a), jaccard._sketch(b)))
+            assert 175 * apart <= 25 * (len(x) + len(y))
+            low = jaccard.np.zeros(jaccard.SLOTS, jaccard.np.uint8)
+            assert set(jaccard._ordered(a, low).tolist()) & set(jaccard._ordered(b, low).tolist())
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 30)] + [(100, 50), (50, 101), (7, 7)] + [(200, 200 + k) for k in range(1, 40)]
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()}
+    assert got == {**{k: 0 for k in range(31)}, 50: 50, 100: 50, 101: 50, **{k: 200 for k in range(200, 240)}}
+
+
+def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
+    import corpus_pipeline as P
+
+    texts = [prose(k + 500, 70) for k in range(40)]
+    texts += [texts[0], texts[1] + " and  more", texts[2].replace(" ", "\n"), "write to bob@mail.example.org " + prose(900, 50), None, ""]
+    base = docs(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
+    base.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs_now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        docs_now = Scratch(spark, "t").save(stage(spark, docs_now, str(tmp_path)), name)
+        assert docs_now.columns == base.columns
+    ids = {r["doc_id"] for r in docs_now.collect()}
+    assert set(range(2, 40)) - {2} <= ids and {0, 1} <= ids and not {40, 41} & ids and len({2, 42} & ids) == 1
+    assert "bob@mail" not in "".join(r["text"] or "" for r in docs_now.collect())
+    pieces = P.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == ids
+    assert sum(r["length"] for r in pieces) == sum(r["doc_tokens"] for r in {r["doc_id"]: r for r in pieces}.values())
