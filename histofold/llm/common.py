@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,22 @@ def plain(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+#: Rows of a batch handed to Python while a table is written: whole texts and sets are wide.
+BATCH_ROWS = "1024"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Bound the Arrow batches of the jobs run inside; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Written intermediate tables below the shared folder (``spark.checkpoint.dir``).
 
@@ -41,9 +58,14 @@ class Scratch:
     def save(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         """Write ``df`` and return it as read from the files."""
         path = f"{self.root}/{name}"
-        (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            self._write(df, path, files)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @staticmethod
+    def _write(df: DataFrame, path: str, files: int | None) -> None:
+        (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
+
     def drop(self, *names: str) -> None:
         """Delete tables of this run that no later result reads."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histofold.llm.common import OWN, Scratch, plain, ship
+from histofold.llm.common import OWN, Scratch, plain, ship, small_batches
 from histofold.llm.components import components
 
 WORDS = 5
@@ -50,7 +50,7 @@ WIDTH = 6
 #: Bits of the parity sketch that rules pairs out before whole sets are moved.
 BITS = 4096
 #: Shingles looked at together when repeats are counted.
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -132,13 +132,15 @@ def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def levels(found: DataFrame) -> np.ndarray:
     """Rough log2 document frequency by hash slot, of shingles that repeat within windows of the input."""
+    slots = SLOTS
+
     def run(batches):
         held, size = [], 0
 
         def flush():
             token, times = np.unique(np.concatenate(held), return_counts=True)
             often = times >= 3
-            slot = (token[often] & np.uint64(SLOTS - 1)).astype(np.int64)
+            slot = (token[often] & np.uint64(slots - 1)).astype(np.int64)
             return _batch(slot=pa.array(slot), times=pa.array(times[often].astype(np.int64)))
 
         for batch in batches:
@@ -154,8 +156,9 @@ def levels(found: DataFrame) -> np.ndarray:
     rows = (found.select("shingles").mapInArrow(run, "slot long, times long").groupBy("slot")
             .agg(F.sum("times").alias("times")).select("slot", F.floor(F.log2("times")).cast("int").alias("level")))
     # at most SLOTS rows whatever the input
-    table = np.zeros(SLOTS, np.uint8)
-    got = rows.toArrow()
+    table = np.zeros(slots, np.uint8)
+    with small_batches(found.sparkSession):
+        got = rows.toArrow()
     table[got.column("slot").to_numpy()] = got.column("level").to_numpy()
     return table
 
@@ -163,7 +166,7 @@ def levels(found: DataFrame) -> np.ndarray:
 def _ordered(raw: bytes, level: np.ndarray) -> np.ndarray:
     """The prefix of a set in the global order (level, hash)."""
     s = loaded(raw)
-    order = np.argsort(level[(s & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")
+    order = np.argsort(level[(s & np.uint64(len(level) - 1)).astype(np.int64)], kind="stable")
     return s[order[:needed(len(s))]]
 
 

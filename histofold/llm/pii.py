@@ -55,7 +55,7 @@ TYPES: tuple[tuple[str, str], ...] = (
     ("email", rf"(?<![A-Za-z0-9]){_EMAIL}(?![A-Za-z0-9])"),
     ("secret", r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}(?![0-9A-Za-z])"
                r"|(?<![0-9A-Za-z])(?=[0-9A-F]*[A-F])(?=[0-9A-F]*\d)[0-9A-F]{32,64}(?![0-9A-Za-z])"),
-    ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+    ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
               r"|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d)"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]\d)"),

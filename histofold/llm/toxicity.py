@@ -43,6 +43,8 @@ DISTINCTIVE = 0.5
 MAX_WORDS = 2_000
 #: Scores from here on count as toxic.
 REJECT = 0.3
+#: Gain of a window, in bytes, that random text hardly reaches.
+STRONG = 4
 TAIL = b"." * 48
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -54,6 +56,9 @@ class Model:
     toxic: bytes
     ordinary: bytes
     weights: tuple[float, ...]
+    #: Range of each feature in the sample: texts outside it count as its ends.
+    low: tuple[float, ...] = ()
+    high: tuple[float, ...] = ()
 
     @property
     def fitted(self) -> bool:
@@ -90,11 +95,15 @@ def _compressors(toxic: bytes, ordinary: bytes):
 
 
 def gains(text: str, toxic: bytes, ordinary: bytes) -> list[float]:
-    """Features of a text: what the toxic dictionary saves over the ordinary one, by window."""
+    """Features of a text: bytes that the dictionaries save, by window, and the toxic over the ordinary one."""
     ordinary_of, toxic_of = _compressors(toxic, ordinary)
-    d = np.array([len(ordinary_of(w)) - len(toxic_of(w)) for w in windows(text)], float)
-    up = np.maximum(d, 0)
-    return [np.log1p(max(d.max(), 0)), up.mean(), np.log1p(up.sum()), np.log(len(d)), np.log1p(max(d.sum(), 0))]
+    own = windows(text)
+    size = np.array([len(w) - len(TAIL) for w in own], float)
+    t = size - [len(toxic_of(w)) for w in own]
+    o = size - [len(ordinary_of(w)) for w in own]
+    up = np.maximum(t - o, 0)
+    return [np.log1p(up.max()), up.mean(), np.log1p(up.sum()), np.log(len(own)), t.max(), t.mean(), o.mean(), (t - o).mean(),
+            (up >= STRONG).mean()]
 
 
 def _design(x: np.ndarray) -> np.ndarray:
@@ -183,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     x = np.array([r["features"] for r in found], float)
     y = np.array([r["y"] for r in found], float)
     store.drop("sample", "windows")
-    return Model(content[1], content[0], _logistic(x, y))
+    low, high = (tuple(map(float, v)) for v in (x.min(0), x.max(0)))
+    return Model(content[1], content[0], _logistic(x, y), low, high)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score",
@@ -192,7 +202,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     ship(docs.sparkSession)
     name, kind = ("features", T.ArrayType(T.DoubleType())) if features else (score_col, T.DoubleType())
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
-    toxic, ordinary, weights = model.toxic, model.ordinary, model.weights
+    toxic, ordinary, weights, low, high = model.toxic, model.ordinary, model.weights, model.low, model.high
 
     def run(batches):
         for batch in batches:
@@ -204,7 +214,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 if features:
                     out = pa.array([list(map(float, v)) for v in x], pa.list_(pa.float64()))
                 else:
-                    logit = _design(np.array(x, float).reshape(len(x), len(weights) - 1)) @ np.array(weights)
+                    x = np.clip(np.array(x, float).reshape(len(x), len(low)), low, high)
+                    logit = _design(x) @ np.array(weights)
                     out = pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, name])
 
