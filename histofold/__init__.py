@@ -11,7 +11,6 @@ Layers:
                   per-repository metrics, inspection, co-change mining,
                   coverage.
 * ``plans``     – the named query registry and the DuckDB oracle SQL.
-* ``streaming`` – incremental (file-stream) form of the collection step.
 """
 
 from histofold.session import get_spark, scratch_dir

@@ -19,7 +19,8 @@ PaC list) or *other*.  Rules kept from the analysed pipeline:
 All work is keyed by ``commit_id`` / ``(commit_id, file)``, so ``commit_id``
 must be unique across repositories: forks share commit hashes, and
 ``plans.jobs.collect`` qualifies ids with the repository before classifying.
-The PaC list join broadcasts only after a size check.
+The PaC list join carries no hint: Spark broadcasts the list below its own byte limits and
+else shuffles, splitting skewed partitions.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histofold.functions.sizing import bounded_broadcast
 
 # Git change status codes.
 STATUS_ADDED = 1
@@ -88,7 +88,7 @@ def with_repo(files: DataFrame, live: DataFrame) -> DataFrame:
 
 def pac_membership(files: DataFrame, pac_files: DataFrame) -> DataFrame:
     """Add ``is_pac`` (exact, case-sensitive path on ``(repo_id, path)``)."""
-    pac = bounded_broadcast(distinct_pac(pac_files).withColumn("__pac", F.lit(True)))
+    pac = distinct_pac(pac_files).withColumn("__pac", F.lit(True))
     return (files.join(pac, (files.repo_id == pac.repo_id) & (files.file == pac.path), "left")
             .drop(pac.repo_id).drop("path")
             .withColumn("is_pac", F.coalesce(F.col("__pac"), F.lit(False))).drop("__pac"))
@@ -96,13 +96,13 @@ def pac_membership(files: DataFrame, pac_files: DataFrame) -> DataFrame:
 
 def pac_files_semi(files: DataFrame, pac_files: DataFrame) -> DataFrame:
     """Touched files that are on the PaC list."""
-    pac = bounded_broadcast(distinct_pac(pac_files).withColumnRenamed("path", "file"))
+    pac = distinct_pac(pac_files).withColumnRenamed("path", "file")
     return files.join(pac, ["repo_id", "file"], "left_semi")
 
 
 def other_files_anti(files: DataFrame, pac_files: DataFrame) -> DataFrame:
     """Touched files that are not on the PaC list."""
-    pac = bounded_broadcast(distinct_pac(pac_files).withColumnRenamed("path", "file"))
+    pac = distinct_pac(pac_files).withColumnRenamed("path", "file")
     return files.join(pac, ["repo_id", "file"], "left_anti")
 
 
@@ -131,7 +131,7 @@ def classify_changes(commits: DataFrame, files: DataFrame, changes: DataFrame,
     keep = ~added_or_deleted(F.col("status")) & (has_info | ~F.col("is_pac"))
 
     def val(c: str) -> Column:
-        return F.when(has_info, F.col(c)).otherwise(F.lit(0))
+        return F.when(has_info, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0))
 
     return (j.filter(keep)
             .select("repo_id", "commit_id", "pos", "file", "is_pac",
@@ -173,13 +173,14 @@ def commit_fold(commits: DataFrame, classified: DataFrame, changes: DataFrame,
     root = F.coalesce(F.col("parent_count") == 0, F.lit(False))
     facts = (live.join(per_commit, "commit_id", "left").join(totals, "commit_id", "left")
              .withColumn("total_deleted_lines", F.when(root, z).otherwise(F.col("total_deleted_lines")))
-             .select("repo_id", "commit_id", "author", "message", "date", "pos",
+             .select("repo_id", "commit_id", "author", *([] if "author_email" not in live.columns else ["author_email"]),
+                     "message", "date", "pos",
                      *[F.coalesce(F.col(c).cast("long"), z).alias(c)
                        for c in ("pac_files_count", "other_files_count", "pac_added_lines",
                                  "pac_deleted_lines", "total_added_lines", "total_deleted_lines")]))
     facts = facts.withColumn("has_pac_changes", F.col("pac_files_count") > 0)
     if repos is not None:
-        names = bounded_broadcast(repos.select("repo_id", F.col("full_name").alias("project_name")))
+        names = repos.select("repo_id", F.col("full_name").alias("project_name"))
         facts = facts.join(names, "repo_id", "inner")
     return facts
 
@@ -220,3 +221,15 @@ def collection_diagnostics(repos: DataFrame, commits: DataFrame) -> DataFrame:
     live = drop_merges(commits).select("repo_id").distinct()
     return (repos.join(live, "repo_id", "left_anti")
             .select("repo_id", "full_name", F.lit(NO_COMMITS).alias("reason")))
+
+
+# Fixed value: reason recorded for a catalog row whose pinned revision is not in its history.
+NO_REVISION = "Pinned revision not found"
+
+
+def revision_diagnostics(repos: DataFrame, history: DataFrame) -> DataFrame:
+    """Catalog repositories with commits whose pinned revision is missing from the catalog or the history."""
+    commits = history.select("repo_id", F.col("commit_id").alias("sha"))
+    known = commits.select("repo_id").distinct()
+    return (repos.join(known, "repo_id", "left_semi").join(commits.distinct(), ["repo_id", "sha"], "left_anti")
+            .select("repo_id", "full_name", F.lit(NO_REVISION).alias("reason")))

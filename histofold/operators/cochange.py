@@ -30,6 +30,7 @@ TOP_RULES = 20
 TOP_RULES_BY_LIFT = 3
 GRID_SIZE = 5
 
+_NAME_RE = r"(?s)(?:^|/)([^/]+?)(?:/|/\.(?=/|$))*$"
 _SUFFIX_RE = r"(?s)^(.+)(\.[^.]+)$"
 
 
@@ -41,8 +42,8 @@ def file_extension(path: Column) -> Column:
     components are ignored, a suffix needs a dot that is neither the first nor
     the last character of the name.
     """
-    comps = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
-    name = F.coalesce(F.try_element_at(comps, F.lit(-1)), F.lit(""))
+    # the last component that is neither empty nor ".": what follows the last "/" but such tails
+    name = F.regexp_extract(path, _NAME_RE, 1)
     suffix = F.regexp_extract(name, _SUFFIX_RE, 2)
     stem = F.when(suffix != "", F.regexp_extract(name, _SUFFIX_RE, 1)).otherwise(name)
     ext = F.lower(suffix)
@@ -51,11 +52,15 @@ def file_extension(path: Column) -> Column:
 
 
 def extension_rows(classified: DataFrame, facts: DataFrame) -> DataFrame:
-    """Distinct ``(repo_id, commit_id, is_pac, ext)`` of PaC commits (A13 long form)."""
-    ext = (classified.select("repo_id", "commit_id", "is_pac", file_extension(F.col("file")).alias("ext"))
-           .distinct())
+    """Distinct ``(repo_id, commit_id, is_pac, ext)`` of PaC commits (A13 long form).
+
+    PaC commits first (both tables are bucketed on the commit key: no shuffle),
+    then extensions and the distinct, so other commits never reach either.
+    """
     pac_commits = facts.filter("has_pac_changes").select("repo_id", "commit_id")
-    return ext.join(pac_commits, ["repo_id", "commit_id"], "left_semi")
+    rows = classified.select("repo_id", "commit_id", "is_pac", "file").join(
+        pac_commits, ["repo_id", "commit_id"], "left_semi")
+    return rows.select("repo_id", "commit_id", "is_pac", file_extension(F.col("file")).alias("ext")).distinct()
 
 
 def cochange_transactions(classified: DataFrame, facts: DataFrame) -> DataFrame:
@@ -93,13 +98,16 @@ def side_totals(ext_rows: DataFrame) -> DataFrame:
 def cochange_totals(ext_rows: DataFrame) -> DataFrame:
     """PaC commits, commits with other files, co-change rate (null if no commits),
     and the number of distinct extensions per side."""
-    s = _sides(ext_rows)
-    commit = F.struct("repo_id", "commit_id")
-    other = F.col("side") == "other"
-    t = s.agg(F.countDistinct(commit).alias("total_commits"),
-              F.countDistinct(F.when(other, commit)).alias("commits_with_other_files"),
-              F.countDistinct(F.when(~other, F.col("ext"))).alias("unique_pac_extensions"),
-              F.countDistinct(F.when(other, F.col("ext"))).alias("unique_other_extensions"))
+    # one group per commit (no further shuffle on the commit key), then a sum;
+    # the extensions per side come from their counts: nothing is expanded
+    commits = ext_rows.groupBy("repo_id", "commit_id").agg(F.max((~F.col("is_pac")).cast("int")).alias("__other"))
+    t = commits.agg(F.count(F.lit(1)).alias("total_commits"),
+                    F.coalesce(F.sum("__other"), F.lit(0)).cast("long").alias("commits_with_other_files"))
+    kinds = ext_rows.select("is_pac", "ext").distinct().agg(
+        F.count(F.when(F.col("is_pac"), 1)).alias("unique_pac_extensions"),
+        F.count(F.when(~F.col("is_pac"), 1)).alias("unique_other_extensions"))
+    t = t.select("*", kinds.select("unique_pac_extensions").scalar().alias("unique_pac_extensions"),
+                 kinds.select("unique_other_extensions").scalar().alias("unique_other_extensions"))
     return t.withColumn("cochange_rate", F.when(F.col("total_commits") > 0,
                                                 F.col("commits_with_other_files") / F.col("total_commits") * 100))
 

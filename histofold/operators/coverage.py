@@ -13,7 +13,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histofold.functions.sizing import bounded_broadcast
 
 # Repositories that no longer exist and repositories that are
 # always analysed at HEAD in the analysed study's configuration.
@@ -115,7 +114,7 @@ def resolve_revision(repos: DataFrame, commits: DataFrame,
     if use_head is None or not isinstance(use_head, DataFrame):
         names = list(use_head) if use_head is not None else list(REPOSITORIES_THAT_SHOULD_USE_HEAD)
         use_head = spark.createDataFrame([(n,) for n in names], "full_name string")
-    pins = bounded_broadcast(repos.select("repo_id", "sha"))
+    pins = repos.select("repo_id", "sha")
     found = (commits.select("repo_id", F.col("commit_id").cast("string").alias("sha"))
              .join(pins, ["repo_id", "sha"], "left_semi")
              .select("repo_id", "sha").distinct().withColumn("in_history", F.lit(True)))

@@ -95,19 +95,24 @@ def top_projects(facts: DataFrame, k: int = TOP_PROJECTS) -> DataFrame:
 
 
 def sample_key(seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("project_name"), F.col("commit_sha")))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("project_name"), F.col("commit_id").cast("string")))
 
 
-def seeded_sample(rows: DataFrame, n: int | None = DEFAULT_SAMPLE_SIZE,
+def seeded_sample(facts: DataFrame, classified: DataFrame, n: int | None = DEFAULT_SAMPLE_SIZE,
                   seed: int = DEFAULT_SEED) -> DataFrame:
-    """``n`` rows without replacement, reproducible for a seed; ``None`` -> all rows.
+    """Inspection rows of ``n`` PaC commits without replacement, reproducible for a seed;
+    ``None`` -> all rows.
 
-    With ``n`` at least the row count the order-and-limit returns every row,
-    as the analysed sampler does.
+    The commits are drawn from the facts first; only their change rows are
+    read on (a broadcast of at most ``n`` keys) and made into file lists.
+    With ``n`` at least the row count every row is returned.
     """
     if n is None:
-        return rows
-    return rows.orderBy(sample_key(seed), "project_name", "commit_sha").limit(n)
+        return inspection_rows(facts, classified)
+    drawn = facts.filter("has_pac_changes").orderBy(
+        sample_key(seed), "project_name", F.col("commit_id").cast("string")).limit(n)
+    keys = F.broadcast(drawn.select("repo_id", "commit_id"))
+    return inspection_rows(drawn, classified.filter("is_pac").join(keys, ["repo_id", "commit_id"], "left_semi"))
 
 
 def inspection_sorted(rows: DataFrame) -> DataFrame:
@@ -115,13 +120,13 @@ def inspection_sorted(rows: DataFrame) -> DataFrame:
     return rows.orderBy("project_name", "date", "commit_sha")
 
 
-def extra_sample(rows: DataFrame, sample_size: int | None = None,
+def extra_sample(facts: DataFrame, classified: DataFrame, sample_size: int | None = None,
                  n: int = EXTRA_SAMPLE_SIZE, seed: int = DEFAULT_SEED) -> DataFrame:
     """When no size was asked for and there are more than ``n`` rows, a sample of ``n``.
 
-    The row-count condition is a scalar subquery over at most ``n + 1`` rows.
+    The row-count condition is a scalar subquery over the PaC commits.
     """
     if sample_size is not None:
-        return rows.limit(0)
-    more_than_n = rows.limit(n + 1).agg(F.count(F.lit(1))).scalar() > n
-    return seeded_sample(rows, n, seed).filter(more_than_n)
+        return seeded_sample(facts.limit(0), classified, n, seed)
+    more_than_n = facts.filter("has_pac_changes").agg(F.count(F.lit(1))).scalar() > n
+    return seeded_sample(facts, classified, n, seed).filter(more_than_n)

@@ -2,10 +2,10 @@
 
 The analysed pipeline sorts every repository's commits by ``(date, walk
 position)``, finds the first commit with a PaC change and slices from there.
-Here no repository is sorted: the first PaC commit is the minimum of the
-``(date, pos)`` order key over PaC commits (one partial hash aggregate), it
-is joined back (one row per repository, broadcast after a size check) and
-the slice is the predicate ``key >= first``.  Its index is the count of
+Here no repository is sorted: the first PaC commit is the minimum of
+``(date, pos)`` over PaC commits (two partial hash aggregates over primitive
+columns, so any 64-bit date works), it is joined back (one row per
+repository) and the slice is a comparison of the two columns.  Its index is the count of
 commits strictly before it.  A5, A6 and A8 are one aggregation; A7 needs a
 second level for distinct authors.
 
@@ -19,68 +19,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histofold.functions.sizing import bounded_broadcast
 
-
-def order_key() -> Column:
-    """Stable date order as one ``long``: date (missing -> 0, Q10), ties by walk position (Q9).
-
-    ``date * 2^31 + pos`` orders exactly like ``(date, pos)`` for any
-    non-negative ``int`` position and dates within +-2^32 s of 1970 (up to
-    year 2106); beyond that the ANSI long arithmetic raises instead of
-    wrapping.  A primitive key keeps ``min`` a hash aggregate (a struct
-    minimum forces a sort-based aggregate).
-    """
-    return F.coalesce(F.col("date"), F.lit(0)).cast("long") * F.lit(1 << 31) + F.col("pos").cast("long")
+def order_date() -> Column:
+    """Date of the stable order (missing -> 0, Q10); ties go by walk position (Q9)."""
+    return F.coalesce(F.col("date").cast("long"), F.lit(0).cast("long"))
 
 
 def first_pac(facts: DataFrame, with_name: bool = False) -> DataFrame:
-    """Per repository: ``first`` = order key of its first PaC commit."""
+    """Per repository: ``first_date`` and ``first_pos`` of its first PaC commit.
+
+    The smallest position of each date first, then the smallest date with its
+    position: both are hash aggregates with map-side combine.
+    """
     keys = ["repo_id", "project_name"] if with_name else ["repo_id"]
-    return (facts.filter("has_pac_changes").groupBy(*keys)
-            .agg(F.min(order_key()).alias("first")))
+    by_date = (facts.filter("has_pac_changes").groupBy(*keys, order_date().alias("__d"))
+               .agg(F.min("pos").alias("__p")))
+    return by_date.groupBy(*keys).agg(F.min("__d").alias("first_date"), F.min_by("__p", "__d").alias("first_pos"))
 
 
 def _with_first(facts: DataFrame) -> DataFrame:
-    """Inner join with ``first``: repositories without a PaC commit drop out."""
-    return facts.join(bounded_broadcast(first_pac(facts)), "repo_id", "inner")
+    """Inner join with the first PaC commit: repositories without one drop out."""
+    return facts.join(first_pac(facts), "repo_id", "inner")
 
 
 def _after() -> Column:
-    return order_key() >= F.col("first")
+    d = order_date()
+    return (d > F.col("first_date")) | ((d == F.col("first_date")) & (F.col("pos") >= F.col("first_pos")))
 
 
 def since_first_pac(facts: DataFrame) -> DataFrame:
     """The commits of each repository from its first PaC commit on (inclusive, Q11)."""
-    return _with_first(facts).filter(_after()).drop("first")
+    return _with_first(facts).filter(_after()).drop("first_date", "first_pos")
 
 
-# Order-key units per day: windows of the per-commit index hold one
-# repository-day of commits at most.
-DAY_BUCKET = 86_400 * (1 << 31)
+# Commits numbered together: those of one hour, and of one date in blocks of
+# this many walk positions (a bulk import, or all commits without a date).
+HOUR = 3_600
+POS_BLOCK = 65_536
 
 
-def commit_index(facts: DataFrame, bucket_width: int = DAY_BUCKET) -> DataFrame:
+def commit_index(facts: DataFrame, width: int = HOUR) -> DataFrame:
     """W1 + T1: each commit's 0-based index in its repository's stable date order.
 
-    Computed with ``functions.ordinal`` on the order key cut into (by default)
-    daily buckets, so no repository is sorted in one task.
+    Computed with ``functions.ordinal`` over buckets that follow the order, so
+    no repository is sorted in one task.  A date held by commits more than a
+    block of positions apart (a bulk import, missing dates) is a bucket
+    sequence of its own, cut by walk position.
     """
     from histofold.functions.ordinal import ordinal
-    k = facts.select("repo_id", "commit_id", "date", "pos", order_key().alias("__k"))
-    return (ordinal(k, ["repo_id"], [F.col("__k")], bucket=F.floor(F.col("__k") / F.lit(bucket_width)),
-                    name="idx")
+    k = facts.select("repo_id", "commit_id", "date", "pos", order_date().alias("__d"))
+    wide = (k.groupBy("repo_id", "__d").agg((F.max("pos") - F.min("pos") >= POS_BLOCK).alias("__wide"))
+            .filter("__wide"))
+    k = k.join(wide, ["repo_id", "__d"], "left")
+    slot = F.floor(F.col("__d") / F.lit(width))
+    hot = F.coalesce(F.col("__wide"), F.lit(False))
+    # within an hour: every other commit's place relative to the hot dates is its own date
+    bucket = F.struct(slot.alias("hour"), F.when(F.col("__any"), F.col("__d")).otherwise(F.lit(0).cast("long")).alias("date"),
+                      F.when(hot, F.floor(F.col("pos") / F.lit(POS_BLOCK))).otherwise(F.lit(0)).alias("block"))
+    hours = wide.select("repo_id", slot.alias("__h")).distinct().withColumn("__any", F.lit(True))
+    k = (k.withColumn("__h", slot).join(hours, ["repo_id", "__h"], "left")
+         .withColumn("__any", F.coalesce("__any", F.lit(False))))
+    return (ordinal(k, ["repo_id"], [F.col("__d"), F.col("pos")], bucket=bucket, name="idx")
             .select("repo_id", "commit_id", "date", "pos", F.col("idx").cast("long").alias("idx")))
 
 
 def first_pac_index(facts: DataFrame) -> DataFrame:
     """0-based index of the first PaC commit in date order, -1 if none."""
-    f = facts.join(bounded_broadcast(first_pac(facts)), "repo_id", "left")
-    before = f["first"].isNotNull() & (order_key() < F.col("first"))
+    f = facts.join(first_pac(facts), "repo_id", "left")
+    before = F.col("first_date").isNotNull() & ~_after()
     return (f.groupBy("repo_id", "project_name")
             .agg(F.count(F.lit(1)).alias("total_commits"),
                  F.count(F.when(before, 1)).alias("__before"),
-                 F.max(F.col("first").isNotNull().cast("int")).alias("__has"))
+                 F.max(F.col("first_date").isNotNull().cast("int")).alias("__has"))
             .select("repo_id", F.col("project_name").alias("repository"), "total_commits",
                     F.when(F.col("__has") == 1, F.col("__before")).otherwise(F.lit(-1))
                     .cast("long").alias("first_pac_commit_index")))
@@ -264,19 +274,16 @@ CODE_TYPE_NON_PAC_ONLY = "Non-PAC Code\n(in non-PAC commits)"
 
 def code_changes_long(facts: DataFrame) -> DataFrame:
     """U4: the three positive median series tagged and stacked into long form."""
-    m = code_change_sizes(facts)
-    parts = [
-        m.select("repository", F.lit(CODE_TYPE_PAC).alias("code_type"),
-                 F.col("pac_code_median_changes").alias("median_lines_changed"))
-        .filter(F.col("median_lines_changed") > 0),
-        m.select("repository", F.lit(CODE_TYPE_NON_PAC_IN_PAC).alias("code_type"),
-                 F.col("non_pac_code_median_changes").alias("median_lines_changed"))
-        .filter(F.col("median_lines_changed") > 0),
-        m.select("repository", F.lit(CODE_TYPE_NON_PAC_ONLY).alias("code_type"),
-                 F.col("non_pac_only_median_changes").alias("median_lines_changed"))
-        .filter(F.col("median_lines_changed") > 0),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return (_stacked(code_change_sizes(facts), "code_type", "median_lines_changed", {
+        CODE_TYPE_PAC: "pac_code_median_changes", CODE_TYPE_NON_PAC_IN_PAC: "non_pac_code_median_changes",
+        CODE_TYPE_NON_PAC_ONLY: "non_pac_only_median_changes"}, "repository")
+        .filter(F.col("median_lines_changed") > 0))
+
+
+def _stacked(m: DataFrame, tag: str, value: str, series: dict[str, str], *keys: str) -> DataFrame:
+    """Columns of ``series`` (label -> column) as rows, in one pass over ``m``."""
+    one = [F.struct(F.lit(label).alias(tag), F.col(c).alias(value)) for label, c in series.items()]
+    return m.select(*keys, F.explode(F.array(*one)).alias("__s")).select(*keys, f"__s.{tag}", f"__s.{value}")
 
 
 def boxplot_summary(facts: DataFrame) -> DataFrame:
@@ -286,10 +293,8 @@ def boxplot_summary(facts: DataFrame) -> DataFrame:
     extreme values within 1.5 IQR of the box; outliers lie beyond.
     """
     m = code_change_sizes(facts)
-    long = (m.select(F.lit("PaC Files").alias("series"), F.col("pac_code_median_changes").alias("v"))
-            .unionByName(m.select(F.lit("Non-PaC Files").alias("series"),
-                                  F.col("non_pac_code_median_changes").alias("v")))
-            .filter(F.col("v") > 0))
+    long = _stacked(m, "series", "v", {"PaC Files": "pac_code_median_changes",
+                                       "Non-PaC Files": "non_pac_code_median_changes"}).filter(F.col("v") > 0)
     q = long.groupBy("series").agg(
         F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     q = q.select("series", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
@@ -309,9 +314,6 @@ def boxplot_summary(facts: DataFrame) -> DataFrame:
 def share_histogram(facts: DataFrame, width: float = 5.0) -> DataFrame:
     """Fixed-width histogram of the two percentage metrics (data behind the violins)."""
     m = repo_metrics(facts)
-    long = (m.select(F.lit("pac_maintenance_frequency").alias("metric"),
-                     F.col("pac_maintenance_frequency").alias("x"))
-            .unionByName(m.select(F.lit("pac_maintainer_percentage").alias("metric"),
-                                  F.col("pac_maintainer_percentage").alias("x"))))
+    long = _stacked(m, "metric", "x", {c: c for c in ("pac_maintenance_frequency", "pac_maintainer_percentage")})
     return (long.groupBy("metric", (F.floor(F.col("x") / width) * width).cast("double").alias("bin_start"))
             .agg(F.count(F.lit(1)).alias("repositories")))

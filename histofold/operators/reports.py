@@ -49,7 +49,7 @@ PAC_COMMIT_STATS_LINES = (
 
 def _lines(one_row: DataFrame, lines, with_section: bool) -> DataFrame:
     """Unpivot a one-row summary into ``(section?, label, value)`` display rows."""
-    parts = []
+    shown_lines = []
     for i, spec in enumerate(lines):
         section, col, label, fmt = spec if with_section else (None, *spec)
         v = F.col(col)
@@ -57,14 +57,10 @@ def _lines(one_row: DataFrame, lines, with_section: bool) -> DataFrame:
         if m:  # half-even first, as Python formats exact ties (6.5 -> "6")
             v = F.bround(v, int(m.group(1)))
         shown = F.when(v.isNull(), F.lit("nan")).otherwise(F.format_string(fmt, v))
-        cols = [F.lit(i).alias("line"), F.lit(label).alias("label"), shown.alias("value")]
-        if with_section:
-            cols.insert(1, F.lit(section).alias("section"))
-        parts.append(one_row.select(*cols))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        shown_lines.append(F.struct(F.lit(i).alias("line"), F.lit(section).cast("string").alias("section"),
+                                    F.lit(label).alias("label"), shown.alias("value")))
+    out = one_row.select(F.inline(F.array(*shown_lines)))
+    return out if with_section else out.drop("section")
 
 
 def corpus_medians_report(corpus_medians: DataFrame) -> DataFrame:

@@ -15,39 +15,46 @@ from __future__ import annotations
 
 import glob
 import hashlib
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from histofold.operators import classify
 from histofold.session import scratch_dir
 from histofold.sources.adapter import History
-from histofold.sources.tables import TABLES, Tables
+from histofold.sources.tables import Tables
 
 LAYOUT_VERSION = "facts-v2-bucketed"
 
 
 def _code_version() -> bytes:
     """Source of the modules that shape the written tables."""
-    from histofold.functions import ordinal, sizing
+    from histofold.functions import ordinal
     from histofold.sources import adapter
     h = hashlib.sha1()
-    for mod in (classify, adapter, ordinal, sizing):
+    for mod in (classify, adapter, ordinal):
         with open(mod.__file__, "rb") as fh:
             h.update(fh.read())
     return h.digest()
 
 
-def _fingerprint(sf_dir: str) -> str:
+# The tables that the collection reads.
+INPUT_TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Key of the inputs: path, length and modification time of every file below each table,
+    as Spark lists them (any file system, nested folders included), and of the code."""
     h = hashlib.sha1(LAYOUT_VERSION.encode())
     h.update(_code_version())
-    h.update(os.path.abspath(sf_dir).encode())
-    for name in TABLES:
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
+    h.update(sf_dir.encode())
+    for name in INPUT_TABLES:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/{name}.parquet")
+                 .select(F.xxhash64("path", "length", "modificationTime").alias("k"), "length"))
+        row = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor("k")).first()
+        h.update(f"{name}:{tuple(row)}".encode())
     return h.hexdigest()[:16]
 
 
@@ -60,6 +67,7 @@ class Context:
         self._facts: DataFrame | None = None
         self._classified: DataFrame | None = None
         self._attempt: str | None = None
+        self._key: str | None = None
         self._buckets: dict[str, int | None] = {}
 
     # -- fresh (unmaterialized) plans -------------------------------------
@@ -79,7 +87,9 @@ class Context:
     # that dies half-way) never see partial output.  Only Spark I/O is used,
     # so the shared folder may live on any file system the cluster names.
     def _root(self) -> str:
-        return f"{scratch_dir(self.spark)}/histofold/{_fingerprint(self.sf_dir)}"
+        if self._key is None:
+            self._key = _fingerprint(self.spark, self.sf_dir)
+        return f"{scratch_dir(self.spark)}/histofold/{self._key}"
 
     def _published(self, base: str) -> str | None:
         local = base[len("file:"):] if base.startswith("file:") else base
@@ -87,7 +97,7 @@ class Context:
             return None  # local folder: skip a failing (and noisily logged) Spark lookup
         try:
             rows = self.spark.read.parquet(f"{base}/*/DONE").select("attempt", "buckets").collect()
-        except Exception:  # nothing published yet
+        except AnalysisException:  # nothing published yet
             return None
         if not rows:
             return None
@@ -95,6 +105,9 @@ class Context:
         self._buckets[best.attempt] = best.buckets
         return best.attempt
 
+    #: Files per bucketed table at most (the shuffle partitions of a cluster would give one file each).
+    MAX_BUCKETS = 4_096
+
     def _publish(self, base: str, writes, bucket_keys: tuple[str, ...] = ()) -> str:
         """Write each ``(name, df)`` of ``writes(attempt)``, then the DONE marker.
 
@@ -105,7 +118,7 @@ class Context:
         Parquet and the marker says so.
         """
         attempt = f"{base}/{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions")) if bucket_keys else None
+        n = min(self.MAX_BUCKETS, int(self.spark.conf.get("spark.sql.shuffle.partitions"))) if bucket_keys else None
         for name, df in writes(attempt):
             path = f"{attempt}/{name}"
             if n:
@@ -113,7 +126,7 @@ class Context:
                     (df.repartition(n, *bucket_keys).write.bucketBy(n, *bucket_keys)
                      .option("path", path).mode("error").saveAsTable(self._table_name(path)))
                     continue
-                except Exception:
+                except AnalysisException:
                     # The catalog refused: a fresh, plain-Parquet attempt (this
                     # one is never published).
                     return self._publish(base, writes)
@@ -142,7 +155,7 @@ class Context:
                     self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet "
                                    f"CLUSTERED BY ({keys}) INTO {n} BUCKETS LOCATION '{path}'")
                 return self.spark.table(table)
-            except Exception:
+            except AnalysisException:
                 pass
         return self.spark.read.parquet(path)
 
@@ -208,7 +221,7 @@ _CONTEXTS: dict[tuple[int, str], Context] = {}
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    key = (id(spark), os.path.abspath(sf_dir))
+    key = (id(spark), sf_dir.rstrip("/"))
     if key not in _CONTEXTS:
         _CONTEXTS[key] = Context(spark, sf_dir)
     return _CONTEXTS[key]

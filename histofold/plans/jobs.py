@@ -3,7 +3,8 @@
 * ``collect``: catalog CSV (S1/S2) + PaC list CSV (S5) + exported histories
   (S6) -> classified changes and commit facts -> result folder (S10), leaving
   out repositories that already have a result (S13) and reporting
-  repositories without commits (strict mode raises, as the analysed tool does).
+  repositories without commits or without their pinned revision (strict mode
+  raises, as the analysed tool does).
 * ``load_results`` / ``load_documents``: a result folder written by
   ``collect``, or the analysed tool's own one-document-per-repository files,
   back to ``(commit_facts, classified)`` -- the inputs of every analysis in
@@ -16,10 +17,10 @@ from __future__ import annotations
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histofold.functions.sizing import bounded_broadcast
 from histofold.operators import classify as cl
 from histofold.operators import cochange as co
 from histofold.operators import coverage as cov
@@ -34,87 +35,142 @@ from histofold.sources import results as res
 def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path: str, out_root: str,
             strict: bool = False, skip_existing: bool = True, repository_no: int | None = None,
             use_test_mode: bool = False) -> DataFrame:
-    """The collection step over files; returns the diagnostics (repositories without commits).
+    """The collection step over files; returns the diagnostics.
 
     ``repository_no`` restricts the run to one 1-based catalog row (S3).
     Commit ids are strings here; a history may hold many repositories, and
     two repositories may share a commit id (forks): every commit key is
-    ``(repo_id, commit_id)``.  A run record (S11) is appended to
-    ``<out_root>/runs``.
+    ``(repo_id, commit_id)``.
+
+    Nothing is lost or half-published: history lines are parsed once into the
+    shared scratch folder, classified and folded once from there, and every
+    dataset is written below its own ``run=<id>`` folder.  The run counts only
+    from its row in ``published`` on, which is written last; readers and the
+    skip of finished repositories look at published runs alone.  Lines that
+    cannot be read go to ``quarantine/run=<id>`` and fail a ``strict`` run, as
+    does any diagnostic (a repository without commits, a missing pinned revision).
     """
-    start = time.time()
-    repos = cat.scan_repo_catalog(spark, catalog_path).select("repo_id", "full_name", "sha", "idx")
+    start, run = time.time(), uuid.uuid4().hex
+    stage = f"{scratch_dir(spark)}/histofold/collect-{run}"
+
+    def staged(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{stage}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{stage}/{name}")
+
+    repos = cat.scan_repo_catalog(spark, catalog_path)
     if repository_no is not None:
         repos = cat.select_repo_by_number(repos, repository_no)
+    todo = cov.incremental_todo(repos, published_repositories(spark, out_root)) if skip_existing else repos
+    todo = staged("todo", todo)
     pac = cat.scan_pac_files(spark, pac_path)
-    history = hist.scan_commit_history(spark, history_path)
-    todo = repos
-    if skip_existing:
-        try:
-            done = _done_names(spark, out_root)
-            done.schema  # noqa: B018 -- fails here when nothing was collected yet
-            # The to-do list (one row per repository) goes to the shared scratch
-            # folder first, so the result write below never reads its own target.
-            path = f"{scratch_dir(spark)}/histofold/collect-todo/{uuid.uuid4().hex}"
-            cov.incremental_todo(repos, done).write.parquet(path)
-            todo = spark.read.parquet(path)
-        except Exception:  # nothing collected yet
-            todo = repos
+    lines = staged("lines", hist.read_history_lines(spark, history_path))
+    history, bad = hist.split_history(lines)
     # Only histories of catalog repositories still to collect are read on.
-    history = history.join(bounded_broadcast(todo.select("repo_id")), "repo_id", "left_semi")
+    history = history.join(todo.select("repo_id"), "repo_id", "left_semi")
     commits, files, changes = hist.history_tables(hist.qualify_commit_ids(history))
-    diagnostics = cl.collection_diagnostics(todo, commits)
+    diagnostics = staged("diagnostics", cl.collection_diagnostics(todo, commits).unionByName(
+        cl.revision_diagnostics(todo, history)))
     if strict:
-        bad = diagnostics.limit(1).collect()
-        if bad:
-            raise RuntimeError(f"{bad[0].reason} for {bad[0].full_name}")
-    classified = cl.classify_changes(commits, files, changes, pac)
-    facts = cl.commit_fold(commits, classified, changes, repos)
+        first = diagnostics.orderBy("repo_id").limit(1).collect()
+        if first:
+            raise RuntimeError(f"{first[0].reason} for {first[0].full_name}")
+        lost = bad.limit(1).collect()
+        if lost:
+            raise RuntimeError(f"{lost[0].reason} in {lost[0].file_path}")
+    classified = staged("classified", cl.classify_changes(commits, files, changes, pac))
+    facts = staged("facts", cl.commit_fold(commits, classified, changes, todo))
     facts = facts.withColumn("commit_id", hist.unqualified_commit_id())
-    classified = classified.withColumn("commit_id", hist.unqualified_commit_id())
-    res.write_results(res.result_commits(facts), res.result_repositories(facts), out_root,
-                      changes=res.result_changes(classified, repos), replace_only_written=skip_existing)
-    # Compact record of what this run collected (read by the next run instead
-    # of listing every result folder): catalog names that had commits.
-    (todo.join(cl.drop_merges(commits).select("repo_id").distinct(), "repo_id", "left_semi").select("full_name")
-     .write.mode("overwrite").parquet(f"{out_root}/done_keys/run={uuid.uuid4().hex}"))
+    live = cl.drop_merges(commits)
+    res.write_results(
+        res.result_commits(facts), res.result_repositories(facts), out_root, run=run,
+        changes=res.result_changes(classified.withColumn("commit_id", hist.unqualified_commit_id()), todo),
+        files=res.result_files(files, live, todo).withColumn("commit_id", hist.unqualified_commit_id()))
+    bad.write.json(f"{out_root}/quarantine/run={run}")
     (res.run_metadata(spark, start, repository_no=repository_no, use_test_mode=use_test_mode,
                       csv_path=catalog_path, pac_file_names_csv=pac_path)
      .write.mode("append").json(f"{out_root}/runs"))
+    # Catalog names that had commits, then the one-row marker that publishes the run.
+    (todo.join(live.select("repo_id").distinct(), "repo_id", "left_semi").select("full_name")
+     .write.parquet(f"{out_root}/done_keys/run={run}"))
+    (spark.createDataFrame([(time.time(),)], "finished double").coalesce(1)
+     .write.parquet(f"{out_root}/published/run={run}"))
     return diagnostics
 
 
-def _done_names(spark: SparkSession, out_root: str) -> DataFrame:
-    """Repositories that already have results: the compact ``done_keys`` table
-    written by earlier runs, or -- for folders written otherwise -- the names
-    found by listing the result folders."""
+def _published(spark: SparkSession, out_root: str) -> DataFrame | None:
+    """(full_name, run) of the last published run of every repository; None before the first one."""
     try:
-        keys = spark.read.parquet(f"{out_root}/done_keys").select("full_name")
-        keys.schema  # noqa: B018
-        return keys.distinct()
-    except Exception:
-        return (res.discover_results(spark, f"{out_root}/repositories")
-                .select(F.concat("owner_name", F.lit("/"), "repository_name").alias("full_name")))
+        runs = spark.read.schema("finished double, run string").parquet(f"{out_root}/published")
+        keys = spark.read.schema("full_name string, run string").parquet(f"{out_root}/done_keys")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return (keys.join(runs, "run").groupBy("full_name")
+            .agg(F.max_by("run", F.struct("finished", "run")).alias("run")))
+
+
+def published_repositories(spark: SparkSession, out_root: str) -> DataFrame:
+    """Names of the repositories that a published run has collected."""
+    done = _published(spark, out_root)
+    return spark.createDataFrame([], "full_name string") if done is None else done.select("full_name")
 
 
 def load_results(spark: SparkSession, out_root: str) -> tuple[DataFrame, DataFrame]:
     """``(commit_facts, classified)`` of a result folder written by ``collect``."""
-    good, _bad = res.read_results(spark, out_root)
-    facts = res.fold_result_commits(good)
-    changes = res.read_result_changes(spark, out_root)
+    good, _ = res.read_results(spark, out_root, runs=True)
+    facts = res.fold_result_commits(_of_published(spark, out_root, good))
+    changes = _of_published(spark, out_root, res.read_result_changes(spark, out_root, runs=True))
     classified = changes.select(F.col("repository_id").alias("repo_id"), "commit_id", "pos", "file", "is_pac",
                                 "additions", "deletions", "total_changes", "status")
     return facts, classified
 
 
+def load_files(spark: SparkSession, out_root: str) -> DataFrame:
+    """The touched files of every collected commit."""
+    return _of_published(spark, out_root, res.read_result_files(spark, out_root, runs=True)).drop("run")
+
+
+def load_quarantine(spark: SparkSession, out_root: str) -> DataFrame:
+    """(file_path, reason, record, run): input lines that published runs could not read, and
+    result lines that cannot be read back."""
+    _, bad = res.read_results(spark, out_root, runs=True)
+    lines = (spark.read.schema("file_path string, reason string, record string, run string")
+             .json(f"{out_root}/quarantine"))
+    published = spark.read.schema("finished double, run string").parquet(f"{out_root}/published").select("run")
+    return lines.join(published, "run", "left_semi").select("file_path", "reason", "record", "run").unionByName(
+        bad.select("file_path", F.lit("unreadable result").alias("reason"), F.coalesce("_corrupt_record", "commit_id").alias("record"), "run"))
+
+
+def _of_published(spark: SparkSession, out_root: str, rows: DataFrame) -> DataFrame:
+    """Rows of the last published run of their repository."""
+    last = _published(spark, out_root)
+    if last is None:
+        raise ValueError(f"no published run below {out_root}")
+    return rows.join(last.withColumnRenamed("full_name", "project_name"), ["project_name", "run"], "left_semi")
+
+
+def load_discovered(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """``load_documents`` behind discovery (S7): every result file below ``root`` but the
+    aggregated one, the last path where a repository has several."""
+    found = res.discover_results(spark, root).select("file_path")
+    docs = res.read_result_documents(spark, root, recursive=True)
+    return _of_documents(docs.join(found, "file_path", "left_semi"))
+
+
 def load_documents(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """``(commit_facts, classified)`` of the analysed tool's own result files.
+    """``(commit_facts, classified)`` of the analysed tool's own result files
+    (``sources.results.unreadable_documents`` lists those that cannot be read).
 
     Inside a document the commit list order is the walk order (``pos``) and
     the PaC / other lists keep file order; PaC entries come first in the
     per-commit position so that file-order listings (F4/F5) hold.
     """
-    flat = res.flatten_documents(res.read_result_documents(spark, paths))
+    return _of_documents(res.read_result_documents(spark, paths))
+
+
+def _of_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    flat = res.flatten_documents(docs)
     facts = flat.select(
         F.col("repository_id").alias("repo_id"), "project_name", "commit_id",
         F.coalesce("author", F.lit("")).alias("author"), F.coalesce("message", F.lit("")).alias("message"),
@@ -150,7 +206,7 @@ def analyses(facts: DataFrame, classified: DataFrame) -> dict[str, DataFrame]:
         "repo_fold": rm.repo_fold(facts),
         "corpus_summary": rm.corpus_summary(facts),
         "inspection": ins.inspection_sorted(rows),
-        "inspection_sample": ins.inspection_sorted(ins.seeded_sample(rows)),
+        "inspection_sample": ins.inspection_sorted(ins.seeded_sample(facts, classified)),
         "pac_commit_stats": ins.pac_commit_stats(facts),
         "top_projects": ins.top_projects(facts),
         "extension_counts": co.extension_counts(ext),

@@ -38,6 +38,7 @@ pac_files AS (
 commits AS (
   SELECT c_nationkey AS repo_id, o_orderkey AS commit_id,
          CASE WHEN o_custkey % 50 = 0 THEN '' ELSE c_name END AS author,
+         CASE WHEN o_custkey % 50 <> 0 THEN lower(replace(c_name, '#', '.')) || '@example.org' END AS author_email,
          o_orderpriority || chr(10) || o_orderstatus AS message,
          date_diff('second', TIMESTAMP '1970-01-01 00:00:00', o_orderdate) AS date,
          CASE WHEN o_orderpriority = '1-URGENT' THEN 2 WHEN o_orderkey % 500 = 0 THEN 0 ELSE 1 END AS parent_count,
@@ -87,7 +88,7 @@ classified AS (
   WHERE NOT coalesce(c.status IN (1, 2), false) AND (c.file IS NOT NULL OR p.path IS NULL)
 ),
 facts AS (
-  SELECT l.repo_id, r.full_name AS project_name, l.commit_id, l.author, l.message, l.date, l.pos,
+  SELECT l.repo_id, r.full_name AS project_name, l.commit_id, l.author, l.author_email, l.message, l.date, l.pos,
          cast(coalesce(k.pac_files_count, 0) AS BIGINT) AS pac_files_count,
          cast(coalesce(k.other_files_count, 0) AS BIGINT) AS other_files_count,
          cast(coalesce(k.pac_added_lines, 0) AS BIGINT) AS pac_added_lines,
@@ -639,6 +640,17 @@ FROM commits c LEFT JOIN files f ON f.commit_id = c.commit_id
 """)
 register("write_results_roundtrip", """
 SELECT cast(repo_id AS BIGINT) AS repo_id, project_name, cast(commit_id AS VARCHAR) AS commit_id, author,
+       author_email, message, date, pos, pac_files_count, other_files_count, pac_added_lines, pac_deleted_lines,
+       total_added_lines, total_deleted_lines, has_pac_changes
+FROM facts
+""")
+register("read_result_files", """
+SELECT cast(l.repo_id AS BIGINT) AS repository_id, r.full_name AS project_name, cast(f.commit_id AS VARCHAR) AS commit_id,
+       f.pos, f.file, split_part(r.full_name, '/', 1) AS owner_name, split_part(r.full_name, '/', 2) AS repository_name
+FROM files f JOIN live l ON l.commit_id = f.commit_id JOIN repos r ON r.repo_id = l.repo_id
+""")
+register("collect_job", """
+SELECT cast(repo_id AS BIGINT) AS repo_id, project_name, cast(commit_id AS VARCHAR) AS commit_id, author, author_email,
        message, date, pos, pac_files_count, other_files_count, pac_added_lines, pac_deleted_lines,
        total_added_lines, total_deleted_lines, has_pac_changes
 FROM facts

@@ -18,6 +18,7 @@ from histofold.operators import cochange as co
 from histofold.operators import coverage as cov
 from histofold.operators import inspection as ins
 from histofold.operators import repo_metrics as rm
+from histofold.plans import jobs
 from histofold.plans.context import context
 from histofold.sources import catalog as cat
 from histofold.sources import history as hist
@@ -200,6 +201,11 @@ def _inspection(spark, sf):
     return ins.inspection_rows(ctx.facts, ctx.classified)
 
 
+def _sample(spark, sf):
+    ctx = context(spark, sf)
+    return ins.seeded_sample(ctx.facts, ctx.classified)
+
+
 @query("commit_url")
 def q_commit_url(spark, sf):
     f = context(spark, sf).facts
@@ -220,7 +226,7 @@ def q_inspection_rows(spark, sf):
 
 @query("inspection_sorted")
 def q_inspection_sorted(spark, sf):
-    return ins.inspection_sorted(ins.seeded_sample(_inspection(spark, sf)))
+    return ins.inspection_sorted(_sample(spark, sf))
 
 
 @query("pac_commit_stats")
@@ -240,12 +246,13 @@ def q_top_projects(spark, sf):
 
 @query("seeded_sample")
 def q_seeded_sample(spark, sf):
-    return ins.seeded_sample(_inspection(spark, sf))
+    return _sample(spark, sf)
 
 
 @query("sample_100")
 def q_sample_100(spark, sf):
-    return ins.extra_sample(_inspection(spark, sf))
+    ctx = context(spark, sf)
+    return ins.extra_sample(ctx.facts, ctx.classified)
 
 
 # ----------------------------------------------------------------- co-change
@@ -423,7 +430,8 @@ def _results(spark, sf):
     ctx = context(spark, sf)
     root = _io_dir(spark, sf, "results")
     res.write_results(res.result_commits(ctx.facts), res.result_repositories(ctx.facts), root,
-                      changes=res.result_changes(ctx.classified, ctx.h.repos))
+                      changes=res.result_changes(ctx.classified, ctx.h.repos),
+                      files=res.result_files(ctx.h.files, cl.drop_merges(ctx.h.commit_keys), ctx.h.repos))
     return root
 
 
@@ -433,6 +441,22 @@ def q_write_results_roundtrip(spark, sf):
     return res.fold_result_commits(good)
 
 
+@query("read_result_files")
+def q_read_result_files(spark, sf):
+    return res.read_result_files(spark, _results(spark, sf))
+
+
+@query("collect_job")
+def q_collect_job(spark, sf):
+    """Export to files, collect from them, load the published result."""
+    h, root = context(spark, sf).h, _io_dir(spark, sf, "collect")
+    cat.write_repo_catalog(h.repos, f"{root}/catalog")
+    cat.write_pac_files(h.pac_files, f"{root}/pac")
+    hist.write_history(hist.export_history(h.commits, h.files, h.changes), f"{root}/history")
+    jobs.collect(spark, f"{root}/catalog", f"{root}/pac", f"{root}/history", f"{root}/out")
+    return jobs.load_results(spark, f"{root}/out")[0]
+
+
 @query("discover_results")
 def q_discover_results(spark, sf):
     return res.discover_results(spark, _results(spark, sf)).select("owner_name", "repository_name")
@@ -458,6 +482,6 @@ def q_safe_output_name(spark, sf):
 @query("write_inspection_csv")
 def q_write_inspection_csv(spark, sf):
     path = _io_dir(spark, sf, "inspection_csv")
-    rows = ins.inspection_sorted(ins.seeded_sample(_inspection(spark, sf)))
+    rows = ins.inspection_sorted(_sample(spark, sf))
     sinks.write_inspection_csv(rows, path)
     return sinks.read_inspection_csv(spark, path)

@@ -45,11 +45,6 @@ CATALOG_CSV = T.StructType([
     T.StructField("contributor_count_median", T.DoubleType()),
 ])
 
-PAC_LIST_CSV = T.StructType([
-    T.StructField("repo_id", T.LongType()),
-    T.StructField("path", T.StringType()),
-])
-
 # Exported commit history, one JSON line per commit.
 HISTORY = T.StructType([
     T.StructField("repo_id", T.LongType()),
@@ -100,6 +95,15 @@ RESULT_CHANGE = T.StructType([
     T.StructField("status", T.IntegerType()),
 ])
 
+# One JSON line per touched file of a commit, in file order.
+RESULT_FILE = T.StructType([
+    T.StructField("repository_id", T.LongType()),
+    T.StructField("project_name", T.StringType()),
+    T.StructField("commit_id", T.StringType()),
+    T.StructField("pos", T.IntegerType()),
+    T.StructField("file", T.StringType()),
+])
+
 # A commit inside the analysed tool's own result document.
 DOCUMENT_COMMIT = T.StructType([
     T.StructField("commit_id", T.StringType()),

@@ -7,7 +7,6 @@ Only when that setting is absent -- local runs and tests -- do we create one.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -81,13 +80,12 @@ def scratch_dir(spark: SparkSession) -> str:
         except Exception:
             sc = None
     if not d:
-        # Only reached when the cluster names no shared folder (local runs).
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # A local run without a named folder.
         d = tempfile.mkdtemp(prefix="histofold-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)
-    if d.startswith("file:"):
-        d = d[len("file:"):]
-    if "://" not in d:
-        os.makedirs(d, exist_ok=True)
     return d.rstrip("/")

@@ -106,6 +106,8 @@ def commits(t: Tables) -> DataFrame:
             .select(F.col("c_nationkey").alias("repo_id"),
                     F.col("o_orderkey").alias("commit_id"),
                     F.when(F.col("o_custkey") % 50 == 0, F.lit("")).otherwise(F.col("c_name")).alias("author"),
+                    F.when(F.col("o_custkey") % 50 != 0, F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))),
+                                                                  F.lit("@example.org"))).alias("author_email"),
                     F.concat(F.col("o_orderpriority"), F.lit("\n"), F.col("o_orderstatus")).alias("message"),
                     epoch_seconds("o_orderdate").alias("date"),
                     F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(2))

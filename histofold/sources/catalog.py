@@ -2,7 +2,7 @@
 
 The catalog is a CSV with a header whose first column is an unnamed index,
 quoted descriptions that contain commas, quotes and line breaks; the PaC list
-is a ``repo_id,path`` CSV.  Both are read with declared schemas.
+is a CSV of ``repo_id`` and ``path``.  Both are read by header name.
 """
 
 from __future__ import annotations
@@ -11,33 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histofold.functions.ordinal import file_row_number
-from histofold.schemas import CATALOG_CSV, PAC_LIST_CSV
+from histofold.schemas import CATALOG_CSV
 
-# Catalog columns the collection step needs.
-REQUIRED_CATALOG_COLUMNS = ("full_name",)
+# Columns that the collection step needs.
+REQUIRED_CATALOG_COLUMNS = ("id", "full_name")
+REQUIRED_PAC_COLUMNS = ("repo_id", "path")
 
 
-def _csv_reader(spark: SparkSession, schema):
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("mode", "FAILFAST"))
+def _by_name(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header: all columns as text under their header names, whatever their order."""
+    return (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+            .option("mode", "FAILFAST").csv(path))
 
 
-def check_required_columns(spark: SparkSession, path: str,
-                           required=REQUIRED_CATALOG_COLUMNS) -> None:
+def check_required_columns(names, path: str, required) -> None:
     """Fail when the header lacks a required column."""
-    header = spark.read.option("header", True).option("multiLine", True).csv(path).columns
-    missing = sorted(set(required) - set(header))
+    missing = sorted(set(required) - set(names))
     if missing:
-        raise ValueError(f"catalog {path} lacks required columns: {missing}")
+        raise ValueError(f"{path} lacks required columns: {missing}")
 
 
-def scan_repo_catalog(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """``repos(repo_id, full_name, sha, idx)`` with ``idx`` the 1-based row in file order."""
-    if check:
-        check_required_columns(spark, path)
-    raw = _csv_reader(spark, CATALOG_CSV).csv(path)
-    return file_row_number(raw.select("id", "full_name", "last_commit_sha", "_metadata")).select(
-        F.col("id").alias("repo_id"), "full_name", F.col("last_commit_sha").alias("sha"), "idx")
+def scan_repo_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """``repos(repo_id, full_name, sha, idx)`` with ``idx`` the 1-based row in file order.
+
+    Columns are found by header name; others, and their order, do not matter.
+    A catalog without pinned revisions reads with null ``sha``.
+    """
+    raw = _by_name(spark, path)
+    check_required_columns(raw.columns, path, REQUIRED_CATALOG_COLUMNS)
+    sha = F.col("last_commit_sha") if "last_commit_sha" in raw.columns else F.lit(None).cast("string")
+    rows = raw.select(F.col("id").cast("long").alias("repo_id"), "full_name", sha.alias("sha"), "_metadata")
+    return file_row_number(rows).select("repo_id", "full_name", "sha", "idx")
 
 
 def select_repo_by_number(repos: DataFrame, number: int) -> DataFrame:
@@ -61,11 +65,12 @@ def write_repo_catalog(repos: DataFrame, path: str) -> None:
 
 
 def scan_pac_files(spark: SparkSession, path: str) -> DataFrame:
-    """The PaC list, de-duplicated (membership is existence, Q7)."""
-    return (spark.read.schema(PAC_LIST_CSV).option("header", True).option("mode", "FAILFAST")
-            .csv(path).distinct())
+    """The PaC list, de-duplicated (membership is existence, Q7); columns by header name."""
+    raw = _by_name(spark, path)
+    check_required_columns(raw.columns, path, REQUIRED_PAC_COLUMNS)
+    return raw.select(F.col("repo_id").cast("long").alias("repo_id"), "path").distinct()
 
 
 def write_pac_files(pac_files: DataFrame, path: str) -> None:
-    (pac_files.select(F.col("repo_id").cast("long"), "path").write.mode("overwrite")
-     .option("header", True).csv(path))
+    (pac_files.select("path", F.col("repo_id").cast("long")).write.mode("overwrite")
+     .option("header", True).option("quote", '"').option("escape", '"').csv(path))

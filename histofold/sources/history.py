@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from histofold.schemas import HISTORY
 
@@ -28,7 +29,8 @@ def export_history(commits: DataFrame, files: DataFrame, changes: DataFrame) ->
          .select("commit_id", F.transform("c", lambda s: s.dropFields("pos")).alias("changes")))
     j = commits.join(f, "commit_id", "left").join(c, "commit_id", "left")
     return j.select(F.col("repo_id").cast("long"), F.col("commit_id").cast("string"), "author",
-                    F.lit(None).cast("string").alias("author_email"), "message",
+                    (F.col("author_email") if "author_email" in commits.columns else F.lit(None).cast("string"))
+                    .alias("author_email"), "message",
                     F.col("date").cast("long"), "parent_count", "pos",
                     F.coalesce("files", F.array().cast("array<string>")).alias("files"),
                     F.coalesce("changes", F.array().cast(HISTORY["changes"].dataType)).alias("changes"))
@@ -38,9 +40,34 @@ def write_history(history: DataFrame, path: str) -> None:
     history.write.mode("overwrite").json(path)
 
 
+def read_history_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of an exported history: the declared columns, the line itself in
+    ``_corrupt_record`` where it cannot be read, and its ``file_path``."""
+    schema = T.StructType([*HISTORY.fields, T.StructField("_corrupt_record", T.StringType())])
+    return (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+            .json(path).withColumn("file_path", F.col("_metadata.file_path")))
+
+
+def split_history(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(history, quarantine)`` of read (and written) history lines.
+
+    The quarantine holds unreadable lines and records without repository or
+    commit id, each with its file and the reason.
+    """
+    broken = F.col("_corrupt_record").isNotNull()
+    no_key = F.col("commit_id").isNull() | F.col("repo_id").isNull()
+    bad = lines.filter(broken | no_key).select(
+        "file_path", F.when(broken, F.lit("unreadable line")).otherwise(F.lit("no commit or repository id")).alias("reason"),
+        F.coalesce("_corrupt_record", F.to_json(F.struct(*HISTORY.names))).alias("record"))
+    return _lists(lines.filter(~broken & ~no_key).select(*HISTORY.names)), bad
+
+
 def scan_commit_history(spark: SparkSession, path: str) -> DataFrame:
     """Commits with declared schema; absent lists read as empty."""
-    h = spark.read.schema(HISTORY).json(path)
+    return _lists(spark.read.schema(HISTORY).json(path))
+
+
+def _lists(h: DataFrame) -> DataFrame:
     return (h.withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
             .withColumn("changes", F.coalesce("changes", F.array().cast(HISTORY["changes"].dataType))))
 
@@ -73,7 +100,8 @@ def unqualified_commit_id() -> F.Column:
 
 def history_tables(history: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(commits, files, changes)`` long forms in the classification's column layout."""
-    commits = history.select("repo_id", "commit_id", "author", "message", "date", "parent_count", "pos")
+    commits = history.select("repo_id", "commit_id", F.coalesce("author", F.lit("")).alias("author"), "author_email",
+                             F.coalesce("message", F.lit("")).alias("message"), "date", "parent_count", "pos")
     files = history_files(history).filter(F.col("file").isNotNull()).select("commit_id", "file", "pos")
     changes = history_changes(history).select(
         "commit_id", F.col("change_pos").alias("pos"), "file", "additions", "deletions", "status")

@@ -4,10 +4,11 @@
 Layout written here, each partitioned ``owner_name=<o>/repository_name=<r>/``:
 ``<root>/repositories`` (one JSON line per repository), ``<root>/commits``
 (one line per commit: the persisted commit projection with counts and line
-sums) and ``<root>/changes`` (one line per ``pac_changes`` / ``other_changes``
-entry).  Neither a repository's history nor a commit's change list is ever
-gathered into one record, so no single task or row has to hold them; the
-touched-file list of a commit is not persisted (nothing downstream reads it).  The analysed tool's own
+sums), ``<root>/changes`` (one line per ``pac_changes`` / ``other_changes``
+entry) and ``<root>/files`` (one line per touched file).  Neither a repository's
+history nor a commit's list is ever gathered into one record, so no single task
+or row has to hold them.  Below ``run=<id>`` folders (``plans.jobs.collect``) the
+same datasets hold one run each.  The analysed tool's own
 format -- one ``{metadata, repositories[commits[]]}`` document per file at
 ``<owner>/<repo>.json`` -- is read by ``read_result_documents``.
 """
@@ -20,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histofold.functions.sizing import bounded_broadcast
-from histofold.schemas import RESULT_CHANGE, RESULT_COMMIT, RESULT_DOCUMENT, RESULT_REPOSITORY
+from histofold.schemas import RESULT_CHANGE, RESULT_COMMIT, RESULT_DOCUMENT, RESULT_FILE, RESULT_REPOSITORY
 
 # File skipped by discovery, result file suffix.
 AGGREGATED_RESULTS_FILE = "aggregated_results.json"
@@ -54,7 +54,8 @@ def result_commits(facts: DataFrame) -> DataFrame:
     return facts.select(
         F.col("repo_id").cast("long").alias("repository_id"), "project_name",
         F.col("commit_id").cast("string").alias("commit_id"), "author",
-        F.lit(None).cast("string").alias("author_email"), "message", F.col("date").cast("long"), "pos",
+        (F.col("author_email") if "author_email" in facts.columns else F.lit(None).cast("string")).alias("author_email"),
+        "message", F.col("date").cast("long"), "pos",
         "has_pac_changes", "pac_files_count", "other_files_count", "pac_added_lines", "pac_deleted_lines",
         "total_added_lines", "total_deleted_lines", *_keys(F.col("project_name")))
 
@@ -63,7 +64,7 @@ def result_changes(classified: DataFrame, repos: DataFrame) -> DataFrame:
     """The ``pac_changes`` / ``other_changes`` entries as one row each (``is_pac``
     tells the list, ``pos`` the file order).  Kept long so that no commit's
     changes -- however many -- are gathered into one record."""
-    names = bounded_broadcast(repos.select("repo_id", F.col("full_name").alias("project_name")))
+    names = repos.select("repo_id", F.col("full_name").alias("project_name"))
     return classified.join(names, "repo_id", "inner").select(
         F.col("repo_id").cast("long").alias("repository_id"), "project_name",
         F.col("commit_id").cast("string").alias("commit_id"), "is_pac", "pos", "file",
@@ -72,6 +73,16 @@ def result_changes(classified: DataFrame, repos: DataFrame) -> DataFrame:
         *_keys(F.col("project_name")))
 
 
+def result_files(files: DataFrame, commits: DataFrame, repos: DataFrame) -> DataFrame:
+    """The touched files of each non-merge commit, one row each in file order."""
+    names = repos.select("repo_id", F.col("full_name").alias("project_name"))
+    keyed = files.join(commits.select("commit_id", "repo_id"), "commit_id") if "repo_id" not in files.columns else files
+    return keyed.join(names, "repo_id").select(
+        F.col("repo_id").cast("long").alias("repository_id"), "project_name",
+        F.col("commit_id").cast("string").alias("commit_id"), F.col("pos").cast("int").alias("pos"), "file",
+        *_keys(F.col("project_name")))
+
+
 def result_repositories(facts: DataFrame) -> DataFrame:
     """Repository rows as saved (statistics dropped)."""
     g = facts.groupBy("repo_id", "project_name").agg(
@@ -88,8 +99,8 @@ def result_repositories(facts: DataFrame) -> DataFrame:
 
 def write_results(commits: DataFrame, repositories: DataFrame, root: str,
                   changes: DataFrame | None = None, replace_only_written: bool = False,
-                  layout: str = "partitioned") -> None:
-    """JSON (UTF-8, unescaped), one dataset each for repositories, commits, changes.
+                  layout: str = "partitioned", files: DataFrame | None = None, run: str | None = None) -> None:
+    """JSON (UTF-8, unescaped), one dataset each for repositories, commits, changes, files.
 
     ``layout="partitioned"``: a folder per owner / repository (the analysed
     tool's one-file-per-repository shape).  ``rebalance`` groups a
@@ -107,7 +118,11 @@ def write_results(commits: DataFrame, repositories: DataFrame, root: str,
     parts = [("repositories", repositories), ("commits", commits)]
     if changes is not None:
         parts.append(("changes", changes))
+    if files is not None:
+        parts.append(("files", files))
     for name, df in parts:
+        if run:
+            name = f"{name}/run={run}"
         if layout == "sorted":
             keys = ["owner_name", "repository_name"] + (["commit_id"] if "commit_id" in df.columns else [])
             (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -129,9 +144,9 @@ def run_metadata(spark: SparkSession, start: float, end: float | None = None, re
     return spark.createDataFrame([row], schema)
 
 
-def _with_partition_keys(schema: T.StructType) -> T.StructType:
+def _with_partition_keys(schema: T.StructType, run: bool = False) -> T.StructType:
     """Partition folders read as strings whatever they look like."""
-    return T.StructType(list(schema.fields) + [T.StructField("owner_name", T.StringType()),
+    return T.StructType(list(schema.fields) + ([T.StructField("run", T.StringType())] if run else []) + [T.StructField("owner_name", T.StringType()),
                                                T.StructField("repository_name", T.StringType())])
 
 
@@ -176,7 +191,7 @@ def discover_results(spark: SparkSession, root: str) -> DataFrame:
     return found
 
 
-def read_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_results(spark: SparkSession, root: str, runs: bool = False) -> tuple[DataFrame, DataFrame]:
     """Read result commits; returns ``(good, quarantined)``.
 
     Good rows come from a ``DROPMALFORMED`` read; unreadable lines are not lost
@@ -185,7 +200,7 @@ def read_results(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     scan that needs only the corrupt column, so inspect the quarantine with
     ``collect()`` / a write, or ``cache()`` it before ``count()``.
     """
-    schema = _with_partition_keys(RESULT_COMMIT)
+    schema = _with_partition_keys(RESULT_COMMIT, runs)
     good_schema = T.StructType([f for f in schema.fields if f.name != "_corrupt_record"])
     good = spark.read.schema(good_schema).option("mode", "DROPMALFORMED").json(f"{root}/commits")
     raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
@@ -201,9 +216,10 @@ def read_result_repositories(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{root}/repositories")
 
 
-def read_result_documents(spark: SparkSession, paths) -> DataFrame:
+def read_result_documents(spark: SparkSession, paths, recursive: bool = False) -> DataFrame:
     """S8 for the analysed tool's own files: one multi-line document per file."""
     return (spark.read.schema(RESULT_DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE")
+            .option("recursiveFileLookup", recursive).option("pathGlobFilter", "*" + RESULT_SUFFIX)
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
             .withColumn("file_path", F.col("_metadata.file_path")))
 
@@ -224,9 +240,22 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
     return commits.select("repository_id", "project_name", "pos", "c.*")
 
 
-def read_result_changes(spark: SparkSession, root: str) -> DataFrame:
+def read_result_changes(spark: SparkSession, root: str, runs: bool = False) -> DataFrame:
     """S9 on the change rows of a result folder (already flat)."""
-    return spark.read.schema(_with_partition_keys(RESULT_CHANGE)).json(f"{root}/changes")
+    return spark.read.schema(_with_partition_keys(RESULT_CHANGE, runs)).json(f"{root}/changes")
+
+
+def read_result_files(spark: SparkSession, root: str, runs: bool = False) -> DataFrame:
+    """The touched-file rows of a result folder."""
+    return spark.read.schema(_with_partition_keys(RESULT_FILE, runs)).json(f"{root}/files")
+
+
+def unreadable_documents(docs: DataFrame) -> DataFrame:
+    """(file_path, reason, record) of the documents that cannot be read."""
+    # a second column is read along: Spark refuses a scan of the corrupt column alone
+    return docs.filter(F.col("_corrupt_record").isNotNull()).select(
+        "file_path", F.lit("unreadable document").alias("reason"),
+        F.coalesce("_corrupt_record", F.to_json("repositories")).alias("record"))
 
 
 def flatten_document_changes(flat_commits: DataFrame) -> DataFrame:
@@ -242,7 +271,7 @@ def flatten_document_changes(flat_commits: DataFrame) -> DataFrame:
 def fold_result_commits(result_commits_df: DataFrame) -> DataFrame:
     """Commit facts back from read result rows (for round trips)."""
     return result_commits_df.select(
-        F.col("repository_id").alias("repo_id"), "project_name", "commit_id", "author", "message", "date", "pos",
+        F.col("repository_id").alias("repo_id"), "project_name", "commit_id", "author", "author_email", "message", "date", "pos",
         "pac_files_count", "other_files_count", "pac_added_lines", "pac_deleted_lines", "total_added_lines",
         "total_deleted_lines", "has_pac_changes")
 

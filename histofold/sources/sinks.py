@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,15 @@ def write_inspection_csv(rows: DataFrame, path: str) -> bool:
     comma, quote or line break, quotes doubled, empty fields bare -- the usual
     CSV dialect); nothing written when there are no rows.  Returns whether a
     file was written."""
-    if rows.limit(1).count() == 0:
-        return False
-    (rows.select(*CSV_COLUMNS).write.mode("overwrite").option("header", True)
-     .option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path))
-    return True
+    spark = rows.sparkSession
+    seen = Observation()
+    (rows.select(*CSV_COLUMNS).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+     .option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path))
+    if seen.get["rows"]:
+        return True
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # nothing but an empty folder
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return False
 
 
 def read_inspection_csv(spark: SparkSession, path: str) -> DataFrame:

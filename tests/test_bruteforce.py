@@ -105,7 +105,7 @@ def test_rules_vs_brute_force(spark):
 def test_commit_index_many_buckets(spark):
     facts = context(spark, SF).facts
     got = {(r.repo_id, r.commit_id): r.idx
-           for r in rm.commit_index(facts, bucket_width=(1 << 31) * 86_400 * 30).collect()}
+           for r in rm.commit_index(facts, width=86_400 * 30).collect()}
     by_repo = defaultdict(list)
     for r in facts.select("repo_id", "commit_id", "date", "pos").collect():
         by_repo[r.repo_id].append(r)

@@ -75,15 +75,60 @@ def test_safe_output_name(spark):
     assert df.select(output_file_name(F.col("o"), F.col("r"))).first()[0] == "outputs/my_org/re_po_x.json"
 
 
-def test_broadcast_only_within_bound(spark):
-    from histofold.functions.sizing import bounded_broadcast, fits
-    small = spark.range(3)
-    assert fits(small, 5) and not fits(small, 2)
-    big, tiny = spark.range(100).withColumnRenamed("id", "k"), spark.range(3).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_pac_list_join_follows_spark_limits(spark):
+    """No hint of our own: the list is broadcast below Spark's byte limit and shuffled above it."""
+    from histofold.operators.classify import pac_membership
+    files = spark.range(100).selectExpr("id AS repo_id", "'p' AS file")
+    pac = spark.range(50).selectExpr("id AS repo_id", "'p' AS path")
+    plan = lambda: pac_membership(files, pac)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan()
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "-1")
     try:
-        over = big.join(bounded_broadcast(tiny, 2), "k")._jdf.queryExecution().executedPlan().toString()
-        under = big.join(bounded_broadcast(tiny, 5), "k")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" not in over and "BroadcastHashJoin" in under
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+
+
+def test_fingerprint_sees_nested_files(spark, tmp_path):
+    from histofold.plans import context as c
+    for name in c.INPUT_TABLES:
+        spark.range(3).selectExpr("id", "id % 2 AS part").write.partitionBy("part").parquet(f"{tmp_path}/{name}.parquet")
+    before = c._fingerprint(spark, str(tmp_path))
+    assert before == c._fingerprint(spark, str(tmp_path))
+    spark.range(9, 10).write.mode("append").parquet(f"{tmp_path}/orders.parquet/part=1")
+    assert before != c._fingerprint(spark, str(tmp_path))
+
+
+def test_scratch_folder_needs_a_shared_one_off_local(monkeypatch):
+    import pytest
+
+    from histofold.session import scratch_dir
+
+    class Conf:
+        def get(self, name, default=None):
+            return "spark://host:7077" if name == "spark.master" else default
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(Session())
+
+
+def test_catalog_and_list_are_read_by_header_name(spark, tmp_path):
+    from histofold.sources import catalog as cat
+    (tmp_path / "repos.csv").write_text('last_commit_sha,,full_name,note,id\n"s1",0,"o/a","x, ""y""\nz",7\ns2,1,o/b,,9\n')
+    got = [tuple(r) for r in cat.scan_repo_catalog(spark, str(tmp_path / "repos.csv")).orderBy("idx").collect()]
+    assert got == [(7, "o/a", "s1", 1), (9, "o/b", "s2", 2)]
+    (tmp_path / "pac.csv").write_text('index,path,repo_id\n0,"a ""b"", c.rego",7\n1,d.yaml,9\n2,d.yaml,9\n')
+    assert {tuple(r) for r in cat.scan_pac_files(spark, str(tmp_path / "pac.csv")).collect()} == {(7, 'a "b", c.rego'), (9, "d.yaml")}
+    (tmp_path / "bad.csv").write_text("name,id\na,1\n")
+    import pytest
+    with pytest.raises(ValueError, match="full_name"):
+        cat.scan_repo_catalog(spark, str(tmp_path / "bad.csv"))

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixtures import micro_frames
@@ -81,7 +82,6 @@ def test_analyses_from_old_documents(spark, tmp_path):
 
 
 def test_strict_collection_fails_on_repository_without_commits(spark, tmp_path):
-    import pytest
     catalog, pac, history = _inputs(spark, tmp_path)
     with pytest.raises(RuntimeError, match="No commits found for o/empty"):
         jobs.collect(spark, catalog, pac, history, str(tmp_path / "strict"), strict=True)
@@ -116,3 +116,113 @@ def test_file_job_equals_adapter_path_on_real_data(spark, tmp_path):
     reg = jobs.analyses(ctx.facts, ctx.classified)
     for name in ("association_rules", "corpus_medians", "pac_commit_stats", "cochange_totals"):
         assert sorted(tables[name].collect()) == sorted(reg[name].collect()), name
+
+
+def test_history_lines_that_cannot_be_read_are_quarantined(spark, tmp_path):
+    catalog, pac, history = _inputs(spark, tmp_path)
+    (tmp_path / "history" / "zz.json").write_text('{"repo_id": 7, "commit_id": "broken\n{"repo_id": 7, "author": "x"}\n')
+    out = str(tmp_path / "results")
+    jobs.collect(spark, catalog, pac, history, out)
+    lost = jobs.load_quarantine(spark, out).collect()
+    assert sorted(r.reason for r in lost) == ["no commit or repository id", "unreadable line"]
+    assert all(r.file_path.endswith("zz.json") for r in lost) and any("broken" in r.record for r in lost)
+    one = str(tmp_path / "only")
+    hist.write_history(hist.scan_commit_history(spark, history).filter("repo_id = 7 AND commit_id IS NOT NULL"), str(tmp_path / "h7"))
+    (tmp_path / "h7" / "zz.json").write_text("{broken")
+    with pytest.raises(RuntimeError, match="unreadable line"):
+        jobs.collect(spark, catalog, pac, str(tmp_path / "h7"), one, strict=True, repository_no=1)
+
+
+@pytest.mark.parametrize("dies_at", ["repositories", "commits", "changes", "files", "quarantine", "done_keys", "published"])
+def test_a_run_that_dies_is_collected_again(spark, tmp_path, monkeypatch, dies_at):
+    """A run that stops before or at any dataset publishes nothing, and the next one is whole."""
+    catalog, pac, history = _inputs(spark, tmp_path)
+    out, kind = str(tmp_path / "results"), type(spark.range(1).write)
+    for name in ("json", "parquet"):
+        write = getattr(kind, name)
+
+        def dying(self, path, *a, _write=write, **k):
+            if f"results/{dies_at}" in path:
+                raise RuntimeError("executor lost")
+            return _write(self, path, *a, **k)
+
+        monkeypatch.setattr(kind, name, dying)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        jobs.collect(spark, catalog, pac, history, out)
+    monkeypatch.undo()
+    assert jobs.published_repositories(spark, out).count() == 0
+    jobs.collect(spark, catalog, pac, history, out)
+    facts, classified = jobs.load_results(spark, out)
+    clean = str(tmp_path / "clean")
+    jobs.collect(spark, catalog, pac, history, clean)
+    want_facts, want_classified = jobs.load_results(spark, clean)
+    assert sorted(map(str, facts.collect())) == sorted(map(str, want_facts.collect())) and facts.count() > 0
+    assert sorted(map(str, classified.collect())) == sorted(map(str, want_classified.collect()))
+
+
+def test_later_run_replaces_and_email_and_files_survive(spark, tmp_path):
+    catalog, pac, history = _inputs(spark, tmp_path)
+    rows = hist.scan_commit_history(spark, history).withColumn("author_email", F.concat("commit_id", F.lit("@x.org")))
+    hist.write_history(rows, str(tmp_path / "h2"))
+    out = str(tmp_path / "results")
+    jobs.collect(spark, catalog, pac, history, out)
+    before = jobs.load_results(spark, out)[0].count()
+    jobs.collect(spark, catalog, pac, str(tmp_path / "h2"), out, skip_existing=False)
+    facts = jobs.load_results(spark, out)[0].collect()
+    assert len(facts) == before and all(r.author_email == f"{r.commit_id}@x.org" for r in facts)
+    files = {(r.repository_id, r.commit_id, r.pos): r.file for r in jobs.load_files(spark, out).collect()}
+    want = {(r.repo_id, r.commit_id, r.pos): r.file for r in hist.history_files(rows.filter("parent_count < 2")).collect() if r.file}
+    assert files == want
+
+
+def test_pinned_revision_that_is_missing_is_reported(spark, tmp_path):
+    catalog, pac, history = _inputs(spark, tmp_path)
+    repos = cat.scan_repo_catalog(spark, catalog).withColumn("sha", F.when(F.col("repo_id") == 7, F.lit("gone")).otherwise(F.col("sha")))
+    cat.write_repo_catalog(repos, str(tmp_path / "pinned"))
+    diag = jobs.collect(spark, str(tmp_path / "pinned"), pac, history, str(tmp_path / "out"))
+    assert {(d.repo_id, d.reason) for d in diag.collect()} >= {(7, "Pinned revision not found"), (9, "No commits found")}
+
+
+def test_documents_behind_discovery(spark, tmp_path):
+    d = tmp_path / "outputs" / "o"
+    d.mkdir(parents=True)
+    doc = lambda c: json.dumps({"repositories": [{"repository_id": 1, "project_name": "o/a", "commits": [{"commit_id": c, "date": 1}]}]})
+    (d / "a.json").write_text(doc("old"))
+    (d / "aggregated_results.json").write_text(doc("sum"))
+    later = tmp_path / "outputs" / "z" / "o"
+    later.mkdir(parents=True)
+    (later / "a.json").write_text(doc("new"))
+    (later / "b.json").write_text("{")
+    assert [r.commit_id for r in jobs.load_discovered(spark, str(tmp_path / "outputs"))[0].collect()] == ["new"]
+    from histofold.sources import results as res
+    bad = res.unreadable_documents(res.read_result_documents(spark, str(tmp_path / "outputs"), recursive=True)).collect()
+    assert [r.file_path.rsplit("/", 1)[1] for r in bad] == ["b.json"]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_dates_outside_the_usual_range(spark, ansi):
+    from fixtures import micro_frames  # noqa: F401
+    rows = [(1, "o/r", f"c{k}", "a", d, k, p) for k, (d, p) in enumerate(
+        [(None, False), (2 ** 33, True), (-(2 ** 40), False), (0, True), (2 ** 62, False), (None, True), (2 ** 33, False)])]
+    facts = spark.createDataFrame(rows, "repo_id long, project_name string, commit_id string, author string, date long, pos int, "
+                                        "has_pac_changes boolean")
+    for c in ("pac_files_count", "other_files_count", "pac_added_lines", "pac_deleted_lines", "total_added_lines", "total_deleted_lines"):
+        facts = facts.withColumn(c, F.lit(1).cast("long"))
+    order = sorted(rows, key=lambda r: (r[4] or 0, r[5]))
+    first = next(k for k, r in enumerate(order) if r[6])
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        assert {r.commit_id: r.idx for r in rm.commit_index(facts).collect()} == {r[2]: k for k, r in enumerate(order)}
+        got = rm.pac_frequency(facts).first()
+        assert (got.first_pac_commit_index, got.total_commits) == (first, len(rows) - first)
+        assert {r.commit_id for r in rm.since_first_pac(facts).collect()} == {r[2] for r in order[first:]}
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_commit_index_splits_a_hot_date(spark, monkeypatch):
+    monkeypatch.setattr(rm, "POS_BLOCK", 16)
+    facts = spark.range(400).selectExpr("1L AS repo_id", "cast(id AS string) AS commit_id", "cast(id AS int) AS pos",
+                                        "CASE WHEN id % 5 = 0 THEN 100L WHEN id % 5 < 4 THEN NULL ELSE id END AS date")
+    want = sorted(facts.collect(), key=lambda r: (r.date or 0, r.pos))
+    assert {r.commit_id: r.idx for r in rm.commit_index(facts).collect()} == {r.commit_id: k for k, r in enumerate(want)}

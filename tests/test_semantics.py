@@ -112,11 +112,11 @@ def test_sample_subset_exact_size_idempotent(ctx):
     rows = ins.inspection_rows(ctx.facts, ctx.classified)
     n = rows.count()
     k = min(10, n)
-    s1 = {r.commit_sha for r in ins.seeded_sample(rows, k).collect()}
-    s2 = {r.commit_sha for r in ins.seeded_sample(rows.repartition(5), k).collect()}
+    s1 = {r.commit_sha for r in ins.seeded_sample(ctx.facts, ctx.classified, k).collect()}
+    s2 = {r.commit_sha for r in ins.seeded_sample(ctx.facts.repartition(5), ctx.classified, k).collect()}
     assert len(s1) == k and s1 == s2
     assert s1 <= {r.commit_sha for r in rows.collect()}
-    assert ins.seeded_sample(rows, n + 5).count() == n       # size >= rows -> all rows
+    assert ins.seeded_sample(ctx.facts, ctx.classified, n + 5).count() == n       # size >= rows -> all rows
 
 
 def test_rule_bounds(ctx):

@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fixtures import micro_facts, micro_frames
@@ -105,7 +106,7 @@ def test_bucketed_facts_reregistered_and_fallback(spark, monkeypatch):
     plan = again.facts.join(again.classified, ["repo_id", "commit_id"])._jdf.queryExecution().executedPlan()
     assert again.facts.count() == n and "Exchange hashpartitioning" not in plan.toString()
     # If the catalog refuses bucketed tables, the attempt is plain Parquet.
-    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("no")))
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda *a, **k: (_ for _ in ()).throw(AnalysisException("no")))
     plain = ctxmod.Context(spark, sf)
     attempt = plain.materialize(force=True)
     assert plain._buckets[attempt] is None and plain.facts.count() == n
