@@ -77,6 +77,18 @@ def last_change(changes: DataFrame) -> DataFrame:
             .withColumn("has_info", F.lit(True)))
 
 
+def change_files(changes: DataFrame) -> DataFrame:
+    """One row per ``(commit_id, file)``: the last change record (J4) and the sums of all records.
+
+    A single pass over the change records serves both the classification and
+    the commit totals; write it once and hand it to both as ``per_file``.
+    """
+    return (changes.groupBy("commit_id", "file")
+            .agg(*[F.max_by(c, "pos").alias(c) for c in ("additions", "deletions", "status")],
+                 F.sum("additions").alias("sum_additions"), F.sum("deletions").alias("sum_deletions"))
+            .withColumn("has_info", F.lit(True)))
+
+
 def distinct_pac(pac_files: DataFrame) -> DataFrame:
     return pac_files.select("repo_id", "path").distinct()
 
@@ -107,7 +119,7 @@ def other_files_anti(files: DataFrame, pac_files: DataFrame) -> DataFrame:
 
 
 def classify_changes(commits: DataFrame, files: DataFrame, changes: DataFrame,
-                     pac_files: DataFrame) -> DataFrame:
+                     pac_files: DataFrame, per_file: DataFrame | None = None) -> DataFrame:
     """Long form of the classified changes, one row per surviving touched file.
 
     Columns: ``repo_id, commit_id, pos, file, is_pac, additions, deletions,
@@ -119,7 +131,8 @@ def classify_changes(commits: DataFrame, files: DataFrame, changes: DataFrame,
     # then the repository key on commit_id; the commit fold downstream reuses
     # that partitioning, and the PaC list join is map-side when it is small.
     live = drop_merges(commits).select("commit_id", "repo_id", "parent_count")
-    f = files.join(last_change(changes), ["commit_id", "file"], "left")
+    last = last_change(changes) if per_file is None else per_file.drop("sum_additions", "sum_deletions")
+    f = files.join(last, ["commit_id", "file"], "left")
     j = pac_membership(f.join(live, "commit_id", "inner"), pac_files)
     has_info = F.coalesce(F.col("has_info"), F.lit(False))
     # P2, the export rule for root commits: every change record is an addition
@@ -152,7 +165,7 @@ def other_change_rows(classified: DataFrame) -> DataFrame:
 
 
 def commit_fold(commits: DataFrame, classified: DataFrame, changes: DataFrame,
-                repos: DataFrame | None = None) -> DataFrame:
+                repos: DataFrame | None = None, per_file: DataFrame | None = None) -> DataFrame:
     """A1 + P9: one row per non-merge commit with its PaC / other counts and line sums.
 
     Two separate aggregates, both keyed by ``commit_id``: the classified rows
@@ -165,7 +178,9 @@ def commit_fold(commits: DataFrame, classified: DataFrame, changes: DataFrame,
         F.count(F.when(~pac, 1)).alias("other_files_count"),
         F.sum(F.when(pac, F.col("additions"))).alias("pac_added_lines"),
         F.sum(F.when(pac, F.col("deletions"))).alias("pac_deleted_lines"))
-    totals = changes.groupBy("commit_id").agg(
+    records = changes if per_file is None else per_file.select(
+        "commit_id", F.col("sum_additions").alias("additions"), F.col("sum_deletions").alias("deletions"))
+    totals = records.groupBy("commit_id").agg(
         F.sum("additions").alias("total_added_lines"),
         F.sum("deletions").alias("total_deleted_lines"))
     z = F.lit(0).cast("long")

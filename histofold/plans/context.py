@@ -71,14 +71,14 @@ class Context:
         self._buckets: dict[str, int | None] = {}
 
     # -- fresh (unmaterialized) plans -------------------------------------
-    def classified_plan(self) -> DataFrame:
+    def classified_plan(self, per_file: DataFrame | None = None) -> DataFrame:
         h = self.h
-        return classify.classify_changes(h.commit_keys, h.files, h.changes, h.pac_files)
+        return classify.classify_changes(h.commit_keys, h.files, h.changes, h.pac_files, per_file)
 
-    def facts_plan(self, classified: DataFrame | None = None) -> DataFrame:
+    def facts_plan(self, classified: DataFrame | None = None, per_file: DataFrame | None = None) -> DataFrame:
         h = self.h
-        c = classified if classified is not None else self.classified_plan()
-        return classify.commit_fold(h.commits, c, h.changes, h.repos)
+        c = classified if classified is not None else self.classified_plan(per_file)
+        return classify.commit_fold(h.commits, c, h.changes, h.repos, per_file)
 
     # -- written tables ----------------------------------------------------
     # Every write goes to a new attempt folder and is published by a one-row
@@ -192,9 +192,12 @@ class Context:
             spark = self.spark
 
             def writes(attempt):
-                yield "classified", self.classified_plan()
+                # one pass over the change records, read by both tables that follow
+                classify.change_files(self.h.changes).write.mode("error").parquet(f"{attempt}/change_files")
+                per_file = spark.read.parquet(f"{attempt}/change_files")
+                yield "classified", self.classified_plan(per_file)
                 c = spark.read.parquet(f"{attempt}/classified")
-                yield "commit_facts", self.facts_plan(c)
+                yield "commit_facts", self.facts_plan(c, per_file)
 
             self._attempt = self._publish(base, writes, self.BUCKET_KEYS)
             self._facts = self._classified = None

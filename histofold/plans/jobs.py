@@ -77,8 +77,9 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
         lost = bad.limit(1).collect()
         if lost:
             raise RuntimeError(f"{lost[0].reason} in {lost[0].file_path}")
-    classified = staged("classified", cl.classify_changes(commits, files, changes, pac))
-    facts = staged("facts", cl.commit_fold(commits, classified, changes, todo))
+    per_file = staged("change_files", cl.change_files(changes))
+    classified = staged("classified", cl.classify_changes(commits, files, changes, pac, per_file))
+    facts = staged("facts", cl.commit_fold(commits, classified, changes, todo, per_file))
     facts = facts.withColumn("commit_id", hist.unqualified_commit_id())
     live = cl.drop_merges(commits)
     res.write_results(

@@ -8,6 +8,8 @@ order, ``idx >= first_idx`` -- so the check compares two formulations.
 
 from __future__ import annotations
 
+from histofold.operators.reports import CORPUS_MEDIANS_LINES, PAC_COMMIT_STATS_LINES
+
 ADAPTER_CTES = r"""
 repos AS (
   SELECT n_nationkey AS repo_id, r_name || '/' || n_name AS full_name, n_nationkey + 1 AS idx,
@@ -343,7 +345,9 @@ SELECT repo_id, commit_id, pos, file, additions, deletions, total_changes, statu
 register("commit_fold", "SELECT * FROM facts")
 
 register("collection_diagnostics", """
-SELECT repo_id, full_name, 'No commits found' AS reason FROM repos
+SELECT repo_id, full_name, 'No commits found' AS reason
+FROM (SELECT CAST(repo_id AS INT) AS repo_id, full_name FROM repos
+      UNION ALL SELECT CAST(1000 + r_regionkey AS INT), r_name || '/IDLE' FROM region)
 WHERE repo_id NOT IN (SELECT repo_id FROM live)
 """)
 
@@ -560,6 +564,7 @@ FROM ext_counts c LEFT JOIN side_totals t ON t.side = c.side
 """)
 register_x("association_rules", "SELECT * FROM rules", rules_sql(0.01, 0.1))
 register_x("association_rules_main", "SELECT * FROM rules", rules_sql(0.1, 0.8))
+register_x("association_rules_selective", "SELECT * FROM rules", rules_sql(0.07, 0.4))
 register_x("top_rules", """
 SELECT * FROM rules ORDER BY confidence DESC, support DESC, antecedent, consequent LIMIT 20
 """, rules_sql(0.01, 0.1))
@@ -685,3 +690,19 @@ SELECT project_name, commit_sha, commit_message, author, date, github_url, pac_f
        pac_added_lines, pac_deleted_lines, total_added_lines, total_deleted_lines, pac_files, pac_files_detailed
 FROM sample
 """)
+
+
+def _report(source: str, lines, sectioned: bool) -> str:
+    """The display lines of a one-row summary, one SELECT each."""
+    rows = []
+    for i, spec in enumerate(lines):
+        section, col, label, fmt = spec if sectioned else (None, *spec)
+        value = f"coalesce(printf('{fmt}', {col}), 'nan')"
+        head = f"'{section}' AS section, " if sectioned else ""
+        rows.append(f"SELECT CAST({i} AS INTEGER) AS line, {head}'{label}' AS label, {value} AS value FROM ({source})")
+    return " UNION ALL ".join(rows)
+
+
+# The printed labels and formats are fixed values shared with the report views.
+SQL["corpus_medians_report"] = _report(SQL["corpus_medians"], CORPUS_MEDIANS_LINES, True)
+SQL["pac_commit_stats_report"] = _report(SQL["pac_commit_stats"], PAC_COMMIT_STATS_LINES, False)

@@ -18,6 +18,7 @@ from histofold.operators import cochange as co
 from histofold.operators import coverage as cov
 from histofold.operators import inspection as ins
 from histofold.operators import repo_metrics as rm
+from histofold.operators import reports as rep
 from histofold.plans import jobs
 from histofold.plans.context import context
 from histofold.sources import catalog as cat
@@ -156,7 +157,12 @@ def q_commit_fold(spark, sf):
 
 @query("collection_diagnostics")
 def q_collection_diagnostics(spark, sf):
-    return context(spark, sf).diagnostics()
+    # a catalog with one row per region that has no history
+    ctx = context(spark, sf)
+    idle = ctx.t.region.select((F.lit(1000) + F.col("r_regionkey")).cast("int").alias("repo_id"),
+                               F.concat("r_name", F.lit("/IDLE")).alias("full_name"))
+    repos = ctx.h.repos.select(F.col("repo_id").cast("int").alias("repo_id"), "full_name").unionByName(idle)
+    return cl.collection_diagnostics(repos, ctx.h.commit_keys)
 
 
 @query("split_full_name")
@@ -310,6 +316,21 @@ def q_association_rules_main(spark, sf):
     return co.association_rules(_transactions(spark, sf), co.MAIN_MIN_SUPPORT, co.MAIN_MIN_CONFIDENCE)
 
 
+@query("association_rules_selective")
+def q_association_rules_selective(spark, sf):
+    return co.association_rules(_transactions(spark, sf), 0.07, 0.4)
+
+
+@query("corpus_medians_report")
+def q_corpus_medians_report(spark, sf):
+    return rep.corpus_medians_report(rm.corpus_medians(context(spark, sf).facts))
+
+
+@query("pac_commit_stats_report")
+def q_pac_commit_stats_report(spark, sf):
+    return rep.pac_commit_stats_report(ins.pac_commit_stats(context(spark, sf).facts))
+
+
 @query("top_rules")
 def q_top_rules(spark, sf):
     return co.top_rules(co.association_rules(_transactions(spark, sf)))
