@@ -26,7 +26,8 @@ HEADLINE = [
     "commit_fold", "pac_frequency", "commit_size_medians", "maintainer_share", "code_change_sizes",
     "corpus_medians", "repo_fold", "inspection_rows", "seeded_sample", "cochange_transactions",
     "association_rules", "cochange_grid", "coverage_summary", "resolve_revision", "suffix_lookup",
-    "scan_commit_history", "write_results_roundtrip",
+    "scan_commit_history", "write_results_roundtrip", "cochange_totals", "share_histogram", "boxplot_summary",
+    "collect_job",
 ]
 
 
