@@ -60,8 +60,8 @@ def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows that stay, with all their columns.
 
     Only groups of two or more are joined back: texts that occur once never meet
-    a join partner.  The group table is written first, so Spark knows its real size
-    and broadcasts it only below its own limit.
+    a join partner.  The group table is written first, so the join is one of plain
+    exchanges, which Spark splits where a group is hot.
     """
     store = Scratch(docs.sparkSession, "exact-dedup")
     rows = _rows(docs, id_col, text_col)
@@ -71,11 +71,12 @@ def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                                             F.col("best").alias(f"{OWN}best"))
     copies = store.save(copies, "copies")
     norm = normalised(F.col(text_col))
-    keyed = docs.withColumns({f"{OWN}hash": F.unhex(F.md5(norm)), f"{OWN}sha": F.sha2(norm, 256)})
-    best = F.col(f"{OWN}best")
     rank = _rank(F.length(plain(F.col(text_col))).cast("long"), F.col(id_col))
-    seen = keyed.join(copies, [f"{OWN}hash", f"{OWN}sha"], "left").where(
-        best.isNull() | rank.eqNullSafe(best))
+    keyed = docs.withColumns({f"{OWN}hash": F.unhex(F.md5(norm)), f"{OWN}sha": F.sha2(norm, 256), f"{OWN}rank": rank})
+    best = F.col(f"{OWN}best")
+    # a shuffle join at every size: the table of copies grows with the documents
+    seen = keyed.join(copies.hint("shuffle_merge"), [f"{OWN}hash", f"{OWN}sha"], "left").where(
+        best.isNull() | F.col(f"{OWN}rank").eqNullSafe(best))
     # rows repeating id and text are all best of their group: one of them stays
     ties = store.save(
         seen.where(best.isNotNull()).groupBy(f"{OWN}hash", f"{OWN}sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),

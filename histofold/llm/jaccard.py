@@ -8,8 +8,9 @@
 3. The prefix of a set of n shingles is its first n - ceil(0.75 n) + 1: linked documents
    share a shingle of their prefixes.  Documents with the same prefix and size form one
    *group*; only groups enter the prefix join.  Equal sets inside a group are one *class*.
-4. A first round verifies each group against the smallest group of each shared prefix
-   shingle, and joins the linked classes to components.  Large clusters of near copies
+4. A first round verifies each group against one hub of each shared prefix shingle -- the
+   group that has the fewest rarer shingles before it, so the likeliest to link with the
+   others -- and joins the linked classes to components.  Large clusters of near copies
    collapse here with a number of pairs linear in their prefix entries.
 5. The exact round looks only at shingles whose groups lie in different components: group
    pairs are filtered by size and by position in the prefix, expanded to their classes, ruled
@@ -215,6 +216,11 @@ def entries(found: DataFrame, rows: DataFrame, level, store: Scratch) -> DataFra
         "entries")
 
 
+def _band(n: Column) -> Column:
+    """Band of a size: linked sets lie in the same band or in neighbouring ones."""
+    return F.floor(F.log2(n.cast("double")) / F.log2(F.lit(DEN / NUM))).cast("int")
+
+
 def _possible(a: str, b: str) -> Column:
     """Size filter, and the overlap still possible after the shared prefix shingle."""
     n, m, i, j = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
@@ -284,7 +290,8 @@ def verify(pairs: DataFrame, found: DataFrame, store: Scratch, name: str) -> Dat
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     rows, comps, store = _solve(docs, id_col, text_col)
-    name = comps.groupBy("comp").agg(F.min("id").alias("component_id"))
+    # written: a join of plain exchanges, which Spark splits where a component is hot
+    name = store["store"].save(comps.groupBy("comp").agg(F.min("id").alias("component_id")), "names")
     out = rows.join(comps.select("class", "comp"), "class").join(name, "comp").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     empty = store["empty"].select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"),
@@ -303,12 +310,14 @@ def _solve(docs: DataFrame, id_col: str, text_col: str):
     members = store.save(rows.groupBy("group", "class").agg(F.min("n").alias("n"), F.min("id").alias("id")), "members")
     entry = entries(found, rows, level, store)
 
-    # round 1: each group against the smallest group of the shingle, each class against its group
-    hubs = entry.groupBy("token").agg(F.min("group").alias("hub"))
-    hub = entry.select("token", F.col("group").alias("hub"), "n", "pos")
-    star = (entry.alias("g").join(hubs.join(hub, ["token", "hub"]).alias("h"), "token")
-            .where((F.col("g.group") != F.col("h.hub")) & _possible("g", "h"))
-            .select(F.col("h.hub").alias("a"), F.col("g.group").alias("group")).distinct())
+    # round 1: each group against the purest group of the shingle (fewest rarer shingles before it) in its
+    # own band of sizes and the one below, each class against its group
+    hubs = store.save(entry.groupBy("token", _band(F.col("n")).alias("band")).agg(
+        F.min(F.struct("pos", "n", "group")).alias("h")).select("token", "band", "h.*"), "hubs")
+    band = _band(F.col("n"))
+    star = (entry.withColumn("band", F.explode(F.array(band, band - 1))).alias("g").join(hubs.alias("h"), ["token", "band"])
+            .where((F.col("g.group") != F.col("h.group")) & _possible("g", "h"))
+            .select(F.col("h.group").alias("a"), F.col("g.group").alias("group")).distinct())
     star = star.join(members.select("group", "class"), "group").select("a", F.col("class").alias("b"))
     inside = members.where(F.col("group") != F.col("class")).select(F.col("group").alias("a"), F.col("class").alias("b"))
     links = verify(star.unionByName(inside), found, store, "star")
@@ -321,7 +330,6 @@ def _solve(docs: DataFrame, id_col: str, text_col: str):
     spread = store.save(entry.join(parts, "group"), "spread")
     mixed = spread.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     mixed = store.save(spread.join(mixed, "token"), "mixed")
-    band = F.floor(F.log2(F.col("n").cast("double")) / F.log2(F.lit(DEN / NUM))).cast("int")
     left = mixed.withColumn("band", F.explode(F.array(band, band + 1)))  # sizes of linked sets are one band apart at most
     right = mixed.withColumn("band", band)
     left = left.withColumn("exact", F.col("band") == band)
@@ -349,7 +357,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with one document of each component: that with the smallest (id, class).
 
     Documents without shingles all stay.  What goes is a written list keyed by id and
-    content, joined as an anti join (broadcast by Spark only below its limit).
+    content, joined as an anti join by a shuffle.
     """
     rows, comps, kept = _solve(docs, id_col, text_col)
     store = kept["store"]
@@ -367,7 +375,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def same(other: DataFrame) -> Column:
         return keyed[f"{OWN}text"].eqNullSafe(other[f"{OWN}key"]) & keyed[id_col].eqNullSafe(other[f"{OWN}id"])
 
-    stay = keyed.join(gone, same(gone), "left_anti")
+    # a shuffle join at every size: the list grows with the documents
+    stay = keyed.join(gone.hint("shuffle_merge"), same(gone), "left_anti")
     if ties.isEmpty():
         return stay.select(*docs.columns)
     # rows that repeat id and text of a winner: one of them stays

@@ -117,10 +117,12 @@ def repeats(docs: DataFrame, store: Scratch, id_col: str = "doc_id", text_col: s
     """(id, key, units, firsts): runs to remove by document, and the ids that keep them."""
     found = spans(docs, id_col, text_col)
     counts = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("first"))
-    again = counts.where("times > 1").select("h1", "h2", "first")
+    # written, so that both sides of the join are plain exchanges, which Spark splits where a run is hot
+    again = store.save(counts.where("times > 1").select("h1", "h2", "first"), "again")
     seen = store.save(found.join(again, ["h1", "h2"]), "seen")
     origin = (seen.where("id = first").groupBy("h1", "h2")
               .agg(F.min(F.struct("key", "unit")).alias("origin")))
+    origin = store.save(origin, "origin")
     later = seen.join(origin, ["h1", "h2"]).where(
         ~((F.col("id") == F.col("first")) & (F.struct("key", "unit") == F.col("origin"))))
     return store.save(later.groupBy("id", "key").agg(F.collect_set("unit").alias("units"), F.collect_set("first").alias("firsts")),
