@@ -330,6 +330,13 @@ def _solve(docs: DataFrame, id_col: str, text_col: str):
     spread = store.save(entry.join(parts, "group"), "spread")
     mixed = spread.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     mixed = store.save(spread.join(mixed, "token"), "mixed")
+    # Shingles held by exactly the same groups (a shared passage) stand in the same order in all of them, so what
+    # passes the filters at a later one passes at the first: only the first is kept.
+    members_of = mixed.groupBy("token").agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("group", "comp")).alias("x"),
+        F.bit_xor(F.xxhash64("comp", "group", F.lit(1))).alias("y"), F.min("pos").alias("first"))
+    firsts = store.save(members_of.groupBy("k", "x", "y").agg(F.min_by("token", "first").alias("token")).select("token"), "firsts")
+    mixed = store.save(mixed.join(firsts, "token", "left_semi"), "buckets")
     left = mixed.withColumn("band", F.explode(F.array(band, band + 1)))  # sizes of linked sets are one band apart at most
     right = mixed.withColumn("band", band)
     left = left.withColumn("exact", F.col("band") == band)
@@ -346,7 +353,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str):
     within = (torn.alias("g").join(torn.alias("h"), "group")
               .where((F.col("g.comp") < F.col("h.comp"))).select(F.col("g.class").alias("a"), F.col("h.class").alias("b")))
     more = verify(across.unionByName(within), found, store, "cross")
-    store.drop("sets", "entries", "spread", "mixed", "keys")
+    store.drop("sets", "entries", "spread", "mixed", "buckets", "keys")
     last = components(links.unionByName(more), store, "last")
     comps = store.save(members.join(last, members["class"] == last["node"], "left")
                        .select("class", "id", F.coalesce("comp", "class").alias("comp")), "components")
