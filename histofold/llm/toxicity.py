@@ -8,14 +8,15 @@ with the dictionary only.  The gains of all windows of the whole text (largest,
 sum) are calibrated to a probability by logistic regression.
 
 The classifier is fitted on a bounded sample of labelled rows: the ``SAMPLE_ROWS`` rows
-with the smallest hash of their id among the training rows.  The dictionaries are trained
-on the *distinctive* text of each class, that is, windows over the words whose document
-frequency differs between the classes (words common to both say nothing and would only
-fill the dictionaries).  Only texts and labels of training rows are learned from.
+with the smallest hash of their id among the training rows.  A dictionary holds the
+*distinctive* text of its class: the pieces of words (``GRAMS`` characters, with the blanks
+around the word) whose document frequency differs between the classes by ``SIGNIFICANT``
+or more, a limit that does not depend on the other pieces; the most distinctive ones stand
+last, where offsets are short.  Only texts and labels of training rows are learned from.
 
 Defined cases: null text is empty; an empty text has one empty window; a document with
 several labels is toxic if one says so; null ids and null labels are not learned from;
-without training rows of both classes every score is 0; repeated rows get equal scores;
+without training rows of both classes, or where nothing is distinctive, every score is 0; repeated rows get equal scores;
 an empty table gives an empty result; other columns are carried along.
 """
 
@@ -35,12 +36,16 @@ from histofold.llm.common import Scratch, plain, ship
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 12_000
-#: Bytes of a window; bytes of a dictionary; training windows of a class at most.
-WINDOW, DICTIONARY, TRAIN_WINDOWS = 64, 512, 20_000
-#: Words of a class are distinctive from this share of the largest z-score on.
-DISTINCTIVE = 0.5
-#: Distinctive words kept, at most.
-MAX_WORDS = 2_000
+#: Bytes of a window; bytes of a dictionary at most (sf0.1 fills 0.8 kB).
+WINDOW, DICTIONARY = 64, 16_384
+#: Characters of the pieces of words that are counted.
+GRAMS = (5, 6, 7, 8)
+#: Pieces that a task sums before it hands them on.
+HELD = 200_000
+#: Root of the likelihood ratio (a z-score that holds for rare pieces too) from which a piece is distinctive.
+SIGNIFICANT = 5.0
+#: Pieces of a class that reach the driver, at most: more than a dictionary has room for.
+MAX_GRAMS = 20_000
 #: Scores from here on count as toxic.
 REJECT = 0.3
 #: Gain of a window, in bytes, that random text hardly reaches.
@@ -103,7 +108,8 @@ def gains(text: str, toxic: bytes, ordinary: bytes) -> list[float]:
     o = size - [len(ordinary_of(w)) for w in own]
     up = np.maximum(t - o, 0)
     return [np.log1p(up.max()), up.mean(), np.log1p(up.sum()), np.log(len(own)), t.max(), t.mean(), o.mean(), (t - o).mean(),
-            (up >= STRONG).mean()]
+            up.std(), np.log1p((up >= STRONG).sum()), np.log1p((up >= 2 * STRONG).sum()),
+            *((up >= least).mean() for least in (STRONG // 2, STRONG, 3 * STRONG // 2, 2 * STRONG))]
 
 
 def _design(x: np.ndarray) -> np.ndarray:
@@ -124,20 +130,79 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return tuple(float(v) for v in np.r_[w[0] - (slope * mean).sum(), slope])
 
 
-def _dictionary(samples: list[bytes]) -> bytes:
-    """Trained dictionary of the samples; their own end where they are too few to train on."""
-    import zstandard as z
+def _dictionary(pieces: list[str]) -> bytes:
+    """Dictionary of the pieces, the first of them last; pieces that it holds already take no room."""
+    content = b""
+    for piece in (p.encode("utf-8", "replace") for p in pieces):
+        if piece not in content and len(content) + len(piece) <= DICTIONARY:
+            content = piece + content
+    return content.rjust(8, b" ")
+
+
+def grams(text: str) -> set[str]:
+    """Pieces of the words of a text, with the blanks around each word."""
+    words = (f" {w} " for w in set(_OTHER.sub(" ", text.lower()).split()))
+    return {w[k:k + n] for w in words for n in GRAMS for k in range(len(w) - n + 1)}
 
-    samples = [s.removesuffix(TAIL) for s in samples]
-    try:
-        return z.train_dictionary(DICTIONARY, samples, k=32, d=8).as_bytes()
-    except z.ZstdError:
-        return b"".join(samples)[-DICTIONARY:].rjust(8, b" ")
 
+def _hashes(pieces: list[str]) -> np.ndarray:
+    import xxhash
 
-def _words(text: Column) -> Column:
-    """The words of ``windows``, for counting."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), " "), lambda w: w != "")
+    return np.fromiter((xxhash.xxh3_64_intdigest(g.encode("utf-8", "replace")) for g in pieces), np.uint64, len(pieces)).view(np.int64)
+
+
+def _spelled(hashes: np.ndarray):
+    """(hash, gram) of the given hashes (sorted), once a task."""
+    def run(batches):
+        told = set()
+        for batch in batches:
+            for t in batch.column(batch.schema.get_field_index("text")):
+                own = list(grams(t.as_py()) - told)
+                mine = _hashes(own)
+                hit = np.flatnonzero(np.isin(mine, hashes))
+                told.update(own[k] for k in hit)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[hit]), pa.array([own[k] for k in hit], pa.string())], ["gram", "piece"])
+
+    return run
+
+
+def _counted(batches):
+    """(hash of the gram, toxic rows, ordinary rows), summed in the task until ``HELD`` grams are held."""
+    held = {}
+
+    def out(at_least):
+        if len(held) > at_least:
+            names = list(held)
+            for at in range(0, len(names), 1 << 14):
+                part = names[at:at + (1 << 14)]
+                n = np.array([held[g] for g in part], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(part)), pa.array(n & 0xFFFFFFFF), pa.array(n >> 32)],
+                                                 ["gram", "toxic", "ordinary"])
+            held.clear()
+
+    for batch in batches:
+        y, text = (batch.column(batch.schema.get_field_index(c)) for c in ("y", "text"))
+        for label, t in zip(y, text):
+            one = 1 if label.as_py() > 0 else 1 << 32  # toxic rows in the low half, ordinary ones in the high half
+            for g in grams(t.as_py()):
+                held[g] = held.get(g, 0) + one
+            yield from out(HELD)
+    yield from out(0)
+
+
+def _root(sizes: dict[int, int]) -> Column:
+    """Root of the likelihood ratio of a gram's counts, negative where it is commoner in ordinary text."""
+    n1, n0 = float(sizes[1]), float(sizes[0])
+    a, b = F.col("toxic"), F.col("ordinary")
+
+    def log(k, n, share):
+        hit = F.when(k > 0, k * F.log(share)).otherwise(0.0)
+        return hit + F.when(k < n, (n - k) * F.log(1 - share)).otherwise(0.0)
+
+    pooled = (a + b) / (n0 + n1)
+    ratio = 2 * (log(a, n1, a / n1) + log(b, n0, b / n0) - log(a, n1, pooled) - log(b, n0, pooled))
+    return F.sqrt(F.greatest(ratio, F.lit(0.0))) * F.when(a / n1 > b / n0, 1.0).otherwise(-1.0)
 
 
 def is_training(id_col: Column) -> Column:
@@ -161,37 +226,25 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     if not size.get(0) or not size.get(1):
         return Model(b"", b"", ())
 
-    share = lambda c: F.sum(F.when(F.col("y") == c, 1).otherwise(0)) / size[c]
-    seen = sample.select("y", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    pooled = F.count(F.lit(1)) / (size[0] + size[1])
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / size[0] + 1 / size[1]) + 1e-12)
-    z = seen.groupBy("word").agg(((share(1) - share(0)) / spread).alias("z"), F.sum("y").alias("n")).where("n >= 3")
-    top = z.orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
-    least = DISTINCTIVE * max([r["z"] for r in top], default=0)
-    toxic_words = {r["word"] for r in top if r["z"] >= least and r["z"] > 0}
-    if not toxic_words:
-        return Model(b"", b"", ())
-
-    def distinctive(batches):
-        for batch in batches:
-            y, text = (batch.column(batch.schema.get_field_index(c)) for c in ("y", "text"))
-            for label, t in zip(y.to_pylist(), text.to_pylist()):
-                own = [w for w in _OTHER.sub(" ", t.lower()).split() if (w in toxic_words) == bool(label)]
-                found = windows(" ".join(own)) if own else []
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.binary())],
-                                                     ["y", "w"])
-
-    cut = store.save(sample.mapInArrow(distinctive, "y int, w binary"), "windows")
+    # counted by hash: rows of three numbers; only the distinctive ones are spelled out
+    counts = store.save(sample.mapInArrow(_counted, "gram long, toxic long, ordinary long")
+                        .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+                        .withColumn("root", _root(size)).where(F.abs("root") >= SIGNIFICANT), "grams")
+    top = [r for sign in (-1, 1) for r in counts.where(F.col("root") * sign > 0)
+           .orderBy(F.desc(F.abs("root")), "gram").limit(MAX_GRAMS).collect()]
+    wanted = np.array(sorted(r["gram"] for r in top), np.int64)
+    spelled = dict(sample.mapInArrow(_spelled(wanted), "gram long, piece string").distinct().collect()) if top else {}
     content = {}
-    for label in (0, 1):
-        rows = cut.where(F.col("y") == label).orderBy(F.xxhash64("w"), "w").limit(TRAIN_WINDOWS).collect()
-        content[label] = _dictionary([bytes(r["w"]) for r in rows])
+    for label, sign in ((0, -1), (1, 1)):
+        own = [(-abs(r["root"]), -len(spelled[r["gram"]]), spelled[r["gram"]]) for r in top if r["root"] * sign > 0]
+        content[label] = _dictionary([piece for *_, piece in sorted(own)])
+    if not (content[0] + content[1]).strip():
+        return Model(b"", b"", ())
     bare = Model(content[1], content[0], (0.0,))
     found = scored(sample, bare, features=True).select("y", "features").collect()
     x = np.array([r["features"] for r in found], float)
     y = np.array([r["y"] for r in found], float)
-    store.drop("sample", "windows")
+    store.drop("sample", "grams")
     low, high = (tuple(map(float, v)) for v in (x.min(0), x.max(0)))
     return Model(content[1], content[0], _logistic(x, y), low, high)
 
