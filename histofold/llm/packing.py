@@ -11,7 +11,8 @@ becomes the boundary records (sequence, offset, piece) of the windows it crosses
 All sequences but the last are full; the order is that of the written partitions, so
 a retried task or lost executor reproduces it from the written table.
 
-Defined cases: null text is empty (its only id is the end id); texts of any length are
+Defined cases: null text is empty (its only id is the end id); an added token of the file
+that a text spells out is that one id, as in the ``tokenizers`` library's default; texts of any length are
 cut over as many sequences as they need; repeated rows are packed each; an empty table
 gives no pieces; other columns are ignored.
 """
@@ -19,6 +20,7 @@ gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import lru_cache
 
@@ -40,7 +42,7 @@ def _encoding(vocab_path: str, pattern: str):
     """Encoder over the vocabulary of a tokenizers file: byte-level BPE whose ids are its merge ranks.
 
     The file is read by its fixed format (``model.vocab``); tokens are spelled in the
-    printable byte alphabet of byte-level BPE.  Added tokens are ordinary text.
+    printable byte alphabet of byte-level BPE.  Added tokens are left to ``added_tokens``.
     """
     import tiktoken
 
@@ -54,6 +56,34 @@ def _encoding(vocab_path: str, pattern: str):
     return tiktoken.Encoding("vocab", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def added_tokens(vocab_path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """Pattern of the added tokens of a tokenizers file, longer ones first, and their ids."""
+    with open(vocab_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    found = spec.get("added_tokens", [])
+    for t in found:
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
+            raise ValueError(f"added token {t['content']!r}: single_word, lstrip and rstrip are not supported")
+    ids = {t["content"]: t["id"] for t in found if t["content"]}
+    names = "|".join(re.escape(c) for c in sorted(ids, key=len, reverse=True))
+    return (re.compile(f"({names})") if ids else None), ids
+
+
+def encode_text(enc, pattern: str, added: tuple[re.Pattern | None, dict[str, int]], text: str) -> array:
+    """Ids of one whole text: added tokens by their own ids, the text between them by ``bpe``."""
+    split, special = added
+    if not any(c in text for c in special):
+        return bpe.encode_text(enc, pattern, text)
+    ids = array("I")
+    for k, part in enumerate(split.split(text)):
+        if k % 2:
+            ids.append(special[part])
+        elif part:
+            ids.extend(bpe.encode_text(enc, pattern, part))
+    return ids
+
+
 def tokenise(docs: DataFrame, vocab_path: str, pattern: str, end_id: int, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """Rows (id, part, local_start, slice_start, n_ids, doc_tokens, ids) with running totals per partition."""
@@ -63,14 +93,14 @@ def tokenise(docs: DataFrame, vocab_path: str, pattern: str, end_id: int, id_col
     id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches):
-        enc = _encoding(vocab_path, pattern)
+        enc, added = _encoding(vocab_path, pattern), added_tokens(vocab_path)
         total = 0
         for batch in batches:
             parts, ids_in, texts = batch.columns
             for at in range(0, batch.num_rows, 256):
                 rows = {"pick": [], "start": [], "slice": [], "n": [], "doc": [], "ids": []}
                 for k in range(at, min(at + 256, batch.num_rows)):
-                    ids = bpe.encode_text(enc, pattern, texts[k].as_py() or "")
+                    ids = encode_text(enc, pattern, added, texts[k].as_py() or "")
                     ids.append(end_id)
                     for cut in range(0, len(ids), SLICE):
                         piece = ids[cut:cut + SLICE]

@@ -3,11 +3,15 @@
 import random
 import zlib
 
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from histofold.llm import toxicity
+from histofold.llm import packing, toxicity
 
-from .helpers import docs
+from .helpers import docs, prose
+
+PATTERN, VOCAB = public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_toxicity_learns_every_kind_of_toxic_text(spark):
@@ -33,3 +37,18 @@ def test_toxicity_learns_every_kind_of_toxic_text(spark):
         found = [score[k] >= toxicity.REJECT for k in held if kinds[k][1]]
         wrong = [score[k] >= toxicity.REJECT for k in held if not kinds[k][1]]
         assert sum(found) >= 0.8 * len(found) and sum(wrong) <= 0.1 * len(wrong), kind
+
+
+def test_packing_gives_added_tokens_their_own_ids():
+    """As the tokenizers library does by default."""
+    theirs, ours, added = Tokenizer.from_file(VOCAB), packing._encoding(VOCAB, PATTERN), packing.added_tokens(VOCAB)
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, end * 3, f"  {end}  \n{end}x", f"{end[:-1]} {end}> <{end}", "plain  text", "", f"é{end}'s", prose(9, 300) + end]
+    for t in texts:
+        assert list(packing.encode_text(ours, PATTERN, added, t)) == theirs.encode(t, add_special_tokens=False).ids, t
+    assert list(packing.encode_text(ours, PATTERN, added, texts[0])) == [31373, 220, 50256, 995]
+
+
+def test_packing_table_holds_added_tokens(spark):
+    rows = packing.pack(docs(spark, ["hello <|endoftext|> world"]), VOCAB, PATTERN).collect()
+    assert [packing.ids_of(bytes(r["ids"])) for r in rows] == [[31373, 220, 50256, 995, 1]]
