@@ -1,10 +1,13 @@
 """Substring dedup: sliding sentence spans, joined globally; later repeats are removed.
 
 A text is cut into units: sentences (ending in ``.``, ``!``, ``?`` or a line break), and
-inside them after words whose own hash ends in zero bits, so that a passage pasted into the
-middle of a sentence, or text without punctuation, has the same cuts wherever it stands.
+inside them by winnowing: of every ``WINDOW`` words without a stop, those with the smallest
+hash close a unit (all of them, if several are equal).  So a unit has at most ``WINDOW``
+words, and a passage has the same cuts wherever it stands, but for ``WINDOW`` - 1 words at
+either end: with 3 units, any 6 * ``WINDOW`` - 2 shared words hold a whole run.
 From every unit on, the run of at least ``UNITS`` units and ``LEAST_WORDS`` words is hashed
-(128 bits over the lower-cased words).  Runs are counted over the whole corpus; the first
+(128 bits over the lower-cased words), and, where a line break lies in it, also the run
+that takes no notice of line breaks, so that a passage broken into other lines is seen.  Runs are counted over the whole corpus; the first
 occurrence of each, by (document id, place), stays, and in every other occurrence all its
 units are removed.
 
@@ -29,8 +32,8 @@ from pyspark.sql import types as T
 from histofold.llm.common import OWN, Scratch, plain, ship
 
 UNITS, LEAST_WORDS = 3, 10
-#: A word closes a unit when its hash modulo this is 0.
-ANCHOR = 8
+#: Words of which one at least closes a unit.
+WINDOW = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
@@ -45,8 +48,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def units(raw: bytes):
-    """(byte starts of the units, their first words, word hashes) of a text."""
+def _winnowed(stop: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Words that close a unit: stops, and the smallest hashes of every window (a stop is smaller than any hash)."""
+    n = len(h) - WINDOW + 1
+    if n < 1:
+        return stop
+    rank = np.where(stop, np.uint64(0), (h >> np.uint64(1)) + np.uint64(1))
+    least = rank[:n].copy()
+    for k in range(1, WINDOW):
+        np.minimum(least, rank[k:k + n], out=least)
+    # a word is the smallest of some window if it equals the largest minimum of the windows around it
+    around = np.zeros(len(h), np.uint64)
+    for k in range(WINDOW):
+        np.maximum(around[k:k + n], least, out=around[k:k + n])
+    return stop | (rank == around)
+
+
+def _cuts(raw: bytes):
+    """(byte starts of the units, their first words, those that line breaks alone do not make, word hashes) of a text."""
     import xxhash
 
     a = np.frombuffer(raw, np.uint8)
@@ -54,13 +73,20 @@ def units(raw: bytes):
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return starts, starts, np.empty(0, np.uint64)
+        return starts, starts, starts, np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw.lower().split()), np.uint64, len(starts))
     lines = np.concatenate(([0], np.cumsum(a == 10)))
-    closes = _STOP[a[ends - 1]] | (h % np.uint64(ANCHOR) == 0)
+    closes = _winnowed(_STOP[a[ends - 1]], h)
+    firm = np.concatenate(([0], np.flatnonzero(closes[:-1]) + 1))
     closes[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
     first = np.concatenate(([0], np.flatnonzero(closes[:-1]) + 1))
-    return starts[first], first, h
+    return starts[first], first, firm, h
+
+
+def units(raw: bytes):
+    """(byte starts of the units, their first words, word hashes) of a text."""
+    starts, first, _, h = _cuts(raw)
+    return starts, first, h
 
 
 def runs(first: np.ndarray, h: np.ndarray):
@@ -81,6 +107,22 @@ def runs(first: np.ndarray, h: np.ndarray):
     return unit, stop, out[0], out[1]
 
 
+def _placed(first: np.ndarray, firm: np.ndarray, h: np.ndarray):
+    """(place, unit, unit after the last, hash high, hash low) of all runs, with and without line breaks; places are
+    unique in a text and in its order."""
+    unit, stop, x, y = runs(first, h)
+    if len(firm) == len(first):
+        return 2 * unit, unit, stop, x, y
+    at = np.searchsorted(first, np.concatenate((firm, [len(h)])))
+    unit2, stop2, x2, y2 = runs(firm, h)
+    unit2, stop2 = at[unit2], at[stop2]
+    ends = np.full(len(first) + 1, -1)
+    ends[unit] = stop
+    new = ends[unit2] != stop2
+    both = [np.concatenate(p) for p in ((2 * unit, 2 * unit2[new] + 1), (unit, unit2[new]), (stop, stop2[new]), (x, x2[new]), (y, y2[new]))]
+    return tuple(both)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = plain(F.col(text_col))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("key"),
@@ -88,7 +130,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h1, h2, id, key, unit) of every run; null ids as the largest long."""
+    """(h1, h2, id, key, unit) of every run (``unit``: its place); null ids as the largest long."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -97,9 +139,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 ident, key, text = batch.slice(at, 256).columns
                 rows, parts = [], []
                 for k, t in enumerate(text):
-                    _, first, h = units(t.as_py().encode("utf-8", "replace"))
+                    _, first, firm, h = _cuts(t.as_py().encode("utf-8", "replace"))
                     if len(first):
-                        unit, _, x, y = runs(first, h)
+                        unit, _, _, x, y = _placed(first, firm, h)
                         parts.append((x.view(np.int64), y.view(np.int64), unit))
                         rows.append((k, len(unit)))
                 if not rows:
@@ -153,15 +195,15 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             texts, total, gone = [], [], []
             for t, marked in zip(batch.column(place), wide):
                 raw = (t.as_py() or "").encode("utf-8", "replace")
-                starts, first, h = units(raw)
+                starts, first, firm, h = _cuts(raw)
                 total.append(len(starts))
                 if not marked.is_valid:
                     texts.append(t.as_py())
                     gone.append(0)
                     continue
-                unit, stop, _, _ = runs(first, h)
+                place_of, unit, stop, _, _ = _placed(first, firm, h)
                 edge = np.zeros(len(starts) + 1, np.int64)
-                here = np.isin(unit, marked.values.to_numpy())
+                here = np.isin(place_of, marked.values.to_numpy())
                 np.add.at(edge, unit[here], 1)
                 np.add.at(edge, stop[here], -1)
                 drop = np.cumsum(edge[:-1]) > 0

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from histofold.llm import packing, toxicity
+from histofold.llm import packing, substring, toxicity
 
 from .helpers import docs, prose
 
@@ -52,3 +52,33 @@ def test_packing_gives_added_tokens_their_own_ids():
 def test_packing_table_holds_added_tokens(spark):
     rows = packing.pack(docs(spark, ["hello <|endoftext|> world"]), VOCAB, PATTERN).collect()
     assert [packing.ids_of(bytes(r["ids"])) for r in rows] == [[31373, 220, 50256, 995, 1]]
+
+
+def rare(seed, n):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
+
+
+def holds(words, earlier, size=50):
+    seen = {tuple(earlier[k:k + size]) for k in range(len(earlier) - size + 1)}
+    return any(tuple(words[k:k + size]) in seen for k in range(len(words) - size + 1))
+
+
+def test_substring_sees_any_fifty_shared_words(spark):
+    """Passages without stops, of words that the old anchors did not cut, of one word, and broken into other lines."""
+    import xxhash
+
+    plain = [w for w in rare(1, 3000) if xxhash.xxh3_64_intdigest(w) % 8]
+    passages = [plain[50 * k:50 * k + 50] for k in range(40)] + [["and"] * 120, ["der"] * 50]
+    texts, ids = [], []
+    for k, p in enumerate(passages):
+        texts += [" ".join([*rare(100 + k, 7 + k % 5), *p, *rare(200 + k, 9)]), " ".join([*rare(300 + k, 11), *p, *rare(400 + k, 6 + k % 7)])]
+        ids += [2 * k, 2 * k + 1]
+    lines = plain[2100:2150]
+    texts += [" ".join(lines), "\n".join(" ".join(lines[k:k + 4]) for k in range(0, 50, 4))]
+    ids += [900, 901]
+    rows = {r["doc_id"]: r["text"] for r in substring.cut(docs(spark, texts, ids)).collect()}
+    for k in range(len(passages)):
+        assert holds(texts[2 * k + 1].split(), texts[2 * k].split()) and not holds(rows[2 * k + 1].split(), texts[2 * k].split()), k
+        assert k >= 40 or rows[2 * k] == texts[2 * k]
+    assert rows[900] == texts[-2] and len(rows[901].split()) < 50
