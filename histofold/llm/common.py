@@ -28,6 +28,14 @@ def plain(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """Fail at once where ``df`` has a column that an operator is about to add (names in any case)."""
+    own = {c.lower() for c in df.columns}
+    taken = [n for n in names if n.lower() in own]
+    if taken:
+        raise ValueError(f"the input has columns that are results here: {taken}; rename them or name the results otherwise")
+
+
 #: Rows of a batch handed to Python while a table is written: whole texts and sets are wide.
 BATCH_ROWS = "1024"
 

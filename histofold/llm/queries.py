@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histofold.llm import bpe, chat, exact_dedup, jaccard, packing, pii, quality, substring, toxicity, url_filter
+from histofold.llm import bpe, chat, exact_dedup, jaccard, packing, pii, quality, runs, substring, toxicity, url_filter
 from histofold.llm.common import documents
 
 
@@ -91,8 +91,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Every text, those whose id hashes to a multiple of ten turned periodic from a derived word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(
+        h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
+    at = cut.withColumn("n", F.size("words")).withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn(
+        "p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    turned = F.expr("array_join(transform(sequence(0, n - 1), i -> words[CASE WHEN i < a THEN i ELSE cast(a + (i - a) % p AS int) END]), ' ')")
+    return at.select("doc_id", F.when(F.col("n") > 0, turned).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.collapsed(planted_periods(documents(spark, sf_dir))).withColumn("best", runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                      F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+                      F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_packing, op3_line_frequency, op4_bpe, op5_pii_surrogates, op6_compression_toxicity,
-        op7_url_filter, op8_jaccard_join, op9_preference_format, op10_exact_dedup)
+        op7_url_filter, op8_jaccard_join, op9_preference_format, op10_exact_dedup, op11_periodic_runs)
 }

@@ -26,7 +26,7 @@ def duck():
 
 
 def test_registered():
-    assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
