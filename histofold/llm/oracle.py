@@ -116,3 +116,49 @@ SELECT conv_id, max(n) AS prompt_turns,
        count(*) FILTER (WHERE pos > n AND role = 'assistant') AS chosen_spans
 FROM f GROUP BY conv_id
 """
+
+# crc32 of a text's UTF-8 bytes: the usual table of 256 entries, then one step a byte.
+_CRC32 = r"""
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT range, 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS tab FROM steps WHERE k = 8),
+"""
+
+
+def _crc32(text: str) -> str:
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * b + 1, 2) AS BIGINT)"
+    return (f"xor(list_reduce(list_transform(range(strlen({text})), lambda b: {byte}), "
+            "lambda c, b: xor(tab[xor(c, b) % 256 + 1], c >> 8), 4294967295::BIGINT), 4294967295)")
+
+
+SQL["op12_importance_resampling"] = _CRC32 + r"""
+texts AS (
+  SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+  SELECT side, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM texts),
+counted AS (SELECT side, r, w, count(*) AS n FROM words GROUP BY ALL),
+hashed AS (SELECT w, """ + _crc32("w") + r""" % 10000 AS bucket FROM (SELECT DISTINCT w FROM counted), crc_table),
+held AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t
+  FROM counted JOIN hashed USING (w) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1.0::DOUBLE) * (total_s + 10000)) / ((s + 1.0::DOUBLE) * (total_t + 10000)))) AS BIGINT) AS gain
+  FROM held, (SELECT coalesce(sum(s), 0) AS total_s, coalesce(sum(t), 0) AS total_t FROM held)),
+weighed AS (
+  SELECT r, sum(n) AS n_features, sum(n * gain) AS weight
+  FROM counted JOIN hashed USING (w) JOIN gains USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (
+  SELECT r, doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+              / 4294967296))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weighed USING (r) WHERE side = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+                  count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+FROM placed
+"""
