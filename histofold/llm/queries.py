@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histofold.llm import bpe, chat, exact_dedup, jaccard, packing, pii, quality, resampling, runs, substring, toxicity, url_filter
+from histofold.llm import bpe, chat, exact_dedup, jaccard, language, packing, pii, quality, resampling, runs, substring, toxicity, url_filter
 from histofold.llm.common import documents
 
 
@@ -115,9 +115,18 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    training = toxicity.is_training(F.col("doc_id"))
+    model = language.fit(docs, training)
+    out = language.labelled(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(~training, F.lit(False)).alias("held_out"), "lang_pred", "score",
+                      F.size("spans").cast("long").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_packing, op3_line_frequency, op4_bpe, op5_pii_surrogates, op6_compression_toxicity,
         op7_url_filter, op8_jaccard_join, op9_preference_format, op10_exact_dedup, op11_periodic_runs,
-        op12_importance_resampling)
+        op12_importance_resampling, op13_crf_language)
 }
