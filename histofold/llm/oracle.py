@@ -75,7 +75,7 @@ k AS (
   WHERE pat <> '' AND pat NOT LIKE '/%'),
 h AS (
   SELECT pat, 'list' || (CAST('0x' || substr(md5(pat), 1, 4) AS INT) % 3) AS list, CAST('0x' || substr(md5(pat), 5, 4) AS INT) % 4 AS last
-  FROM (SELECT DISTINCT pat FROM k) WHERE CAST('0x' || substr(md5(pat), 13, 4) AS INT) % 5 = 0),
+  FROM (SELECT DISTINCT pat FROM k)),
 e AS (
   SELECT list, rtrim(lower(pat), '.') AS entry, n % 2 = 0 AS active,
          DATE '2024-01-01' + CAST(CAST('0x' || substr(md5(pat || '#' || n), 9, 4) AS INT) % 60 + n * 90 AS INT) AS t
