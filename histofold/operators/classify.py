@@ -25,6 +25,8 @@ else shuffles, splitting skewed partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -238,13 +240,22 @@ def collection_diagnostics(repos: DataFrame, commits: DataFrame) -> DataFrame:
             .select("repo_id", "full_name", F.lit(NO_COMMITS).alias("reason")))
 
 
-# Fixed value: reason recorded for a catalog row whose pinned revision is not in its history.
+# Notes on the revision of a catalog row that has commits.
+NO_PIN = "No pinned revision"
 NO_REVISION = "Pinned revision not found"
-
-
-def revision_diagnostics(repos: DataFrame, history: DataFrame) -> DataFrame:
-    """Catalog repositories with commits whose pinned revision is missing from the catalog or the history."""
-    commits = history.select("repo_id", F.col("commit_id").alias("sha"))
-    known = commits.select("repo_id").distinct()
-    return (repos.join(known, "repo_id", "left_semi").join(commits.distinct(), ["repo_id", "sha"], "left_anti")
-            .select("repo_id", "full_name", F.lit(NO_REVISION).alias("reason")))
+NOT_CUT = "History not cut at the pinned revision: parents are not recorded"
+
+# Diagnostics that end a strict run; the others are notes on how the run went on.
+FAILURES = (NO_COMMITS, NO_PIN)
+
+
+def revision_diagnostics(revisions: DataFrame, walks: DataFrame, use_head: Iterable[str] = ()) -> DataFrame:
+    """Notes on the resolved revisions of repositories with commits: no pin, a pin that is not in the history (both
+    go on with HEAD), or a pin that the history cannot be cut at (it goes on whole).  Repositories of ``use_head``
+    go on with HEAD without a note."""
+    r = (revisions.filter(~F.col("full_name").isin(list(use_head)))
+         .join(walks.select("repo_id", "head_sha", "names_parents"), "repo_id"))
+    reason = (F.when(F.coalesce(F.col("sha"), F.lit("")) == "", F.lit(NO_PIN))
+              .when(F.col("uses_head"), F.lit(NO_REVISION))
+              .when((F.col("revision") != F.col("head_sha")) & ~F.col("names_parents"), F.lit(NOT_CUT)))
+    return r.select("repo_id", "full_name", reason.alias("reason")).filter("reason IS NOT NULL")

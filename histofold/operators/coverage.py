@@ -106,9 +106,10 @@ def suffix_lookup(names: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def resolve_revision(repos: DataFrame, commits: DataFrame,
-                     use_head: DataFrame | Iterable[str] | None = None) -> DataFrame:
+                     use_head: DataFrame | Iterable[str] | None = None, need_pin: bool = True) -> DataFrame:
     """The revision to analyse: the pinned sha if the history has it, else
-    HEAD; listed repositories always use HEAD.  A missing or empty pinned sha fails.
+    HEAD; listed repositories always use HEAD.  A missing or empty pinned sha fails,
+    or means HEAD where ``need_pin`` is off.
     """
     spark = repos.sparkSession
     if use_head is None or not isinstance(use_head, DataFrame):
@@ -121,10 +122,9 @@ def resolve_revision(repos: DataFrame, commits: DataFrame,
     forced = use_head.select("full_name").distinct().withColumn("forced_head", F.lit(True))
     r = (repos.join(found, ["repo_id", "sha"], "left").join(forced, "full_name", "left"))
     use = F.coalesce(F.col("forced_head"), F.lit(False)) | F.col("in_history").isNull()
+    no_pin = F.coalesce(F.col("sha"), F.lit("")) == ""
+    sha = F.when(no_pin, F.raise_error(F.lit("repository without a pinned revision"))).otherwise(F.col("sha"))
     return r.select(
-        "repo_id", "full_name",
-        F.when(F.coalesce(F.col("sha"), F.lit("")) == "",
-               F.raise_error(F.lit("repository without a pinned revision")))
-        .otherwise(F.col("sha")).alias("sha"),
+        "repo_id", "full_name", (sha if need_pin else F.col("sha")).alias("sha"),
         F.when(use, F.col("head_sha")).otherwise(F.col("sha")).alias("revision"),
         use.alias("uses_head"))

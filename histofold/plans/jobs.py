@@ -1,10 +1,11 @@
 """Jobs over real input files (not the driver-table adapter).
 
 * ``collect``: catalog CSV (S1/S2) + PaC list CSV (S5) + exported histories
-  (S6) -> classified changes and commit facts -> result folder (S10), leaving
-  out repositories that already have a result (S13) and reporting
-  repositories without commits or without their pinned revision (strict mode
-  raises, as the analysed tool does).
+  (S6) -> one record per commit, back from the chosen revision (S15) -> classified
+  changes and commit facts -> result folder (S10), leaving out repositories that
+  already have a result (S13) and reporting repositories without commits or
+  without a pin (strict mode raises, as the analysed tool does) and pins that are
+  not in the history (HEAD instead, as there).
 * ``load_results`` / ``load_documents``: a result folder written by
   ``collect``, or the analysed tool's own one-document-per-repository files,
   back to ``(commit_facts, classified)`` -- the inputs of every analysis in
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,7 @@ from histofold.operators import classify as cl
 from histofold.operators import cochange as co
 from histofold.operators import coverage as cov
 from histofold.operators import inspection as ins
+from histofold.operators import records as rec
 from histofold.operators import repo_metrics as rm
 from histofold.sources import catalog as cat
 from histofold.sources import history as hist
@@ -34,10 +37,17 @@ from histofold.sources import results as res
 
 def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path: str, out_root: str,
             strict: bool = False, skip_existing: bool = True, repository_no: int | None = None,
-            use_test_mode: bool = False) -> DataFrame:
+            use_test_mode: bool = False, layout: str = "partitioned",
+            use_head: Iterable[str] = cov.REPOSITORIES_THAT_SHOULD_USE_HEAD) -> DataFrame:
     """The collection step over files; returns the diagnostics.
 
-    ``repository_no`` restricts the run to one 1-based catalog row (S3).
+    ``repository_no`` restricts the run to one 1-based catalog row (S3); ``layout`` is that of
+    ``results.write_results`` (``"sorted"`` for many repositories: no folder for each); repositories of
+    ``use_head`` are taken at HEAD whatever their pin.
+
+    A commit that several lines record counts once (the last file and line), copies that say something else are
+    quarantined; without ``pos`` a record's place is its walk position; a history whose commits name their
+    ``parents`` is cut at the chosen revision, any other goes on whole with a note.
     Commit ids are strings here; a history may hold many repositories, and
     two repositories may share a commit id (forks): every commit key is
     ``(repo_id, commit_id)``.
@@ -48,7 +58,7 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
     from its row in ``published`` on, which is written last; readers and the
     skip of finished repositories look at published runs alone.  Lines that
     cannot be read go to ``quarantine/run=<id>`` and fail a ``strict`` run, as
-    does any diagnostic (a repository without commits, a missing pinned revision).
+    do a repository without commits and a catalog row without a pin.
     """
     start, run = time.time(), uuid.uuid4().hex
     stage = f"{scratch_dir(spark)}/histofold/collect-{run}"
@@ -64,14 +74,29 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
     todo = staged("todo", todo)
     pac = cat.scan_pac_files(spark, pac_path)
     lines = staged("lines", hist.read_history_lines(spark, history_path))
-    history, bad = hist.split_history(lines)
+    records, bad = hist.split_history(lines)
     # Only histories of catalog repositories still to collect are read on.
-    history = history.join(todo.select("repo_id"), "repo_id", "left_semi")
+    records = records.join(todo.select("repo_id"), "repo_id", "left_semi")
+    history, differing = rec.resolve_records(records, staged("repeated", rec.repeated_commits(records)))
+    if spark.read.parquet(f"{stage}/repeated").isEmpty():
+        history = records
+    else:
+        history = staged("resolved", history)
+        bad = bad.unionByName(hist.quarantined(differing, rec.DIFFERS))
+    walks = staged("walks", rec.walks(history))
+    if not walks.filter("lacks_pos").isEmpty():
+        history = staged("walked", rec.walk_positions(history, walks.filter("lacks_pos")))
+        walks = staged("walks-placed", rec.walks(history))
+    use_head = list(use_head)
+    revisions = staged("revisions", cov.resolve_revision(todo.join(walks, "repo_id"), history, use_head, need_pin=False))
+    cut = revisions.join(walks.filter("names_parents"), "repo_id").filter("revision != head_sha").select("repo_id", "revision")
+    if not cut.isEmpty():
+        history = staged("cut", rec.cut_at_revision(history, cut, staged))
     commits, files, changes = hist.history_tables(hist.qualify_commit_ids(history))
     diagnostics = staged("diagnostics", cl.collection_diagnostics(todo, commits).unionByName(
-        cl.revision_diagnostics(todo, history)))
+        cl.revision_diagnostics(revisions, walks, use_head)))
     if strict:
-        first = diagnostics.orderBy("repo_id").limit(1).collect()
+        first = diagnostics.filter(F.col("reason").isin(*cl.FAILURES)).orderBy("repo_id").limit(1).collect()
         if first:
             raise RuntimeError(f"{first[0].reason} for {first[0].full_name}")
         lost = bad.limit(1).collect()
@@ -85,7 +110,7 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
     res.write_results(
         res.result_commits(facts), res.result_repositories(facts), out_root, run=run,
         changes=res.result_changes(classified.withColumn("commit_id", hist.unqualified_commit_id()), todo),
-        files=res.result_files(files, live, todo).withColumn("commit_id", hist.unqualified_commit_id()))
+        files=res.result_files(files, live, todo).withColumn("commit_id", hist.unqualified_commit_id()), layout=layout)
     bad.write.json(f"{out_root}/quarantine/run={run}")
     (res.run_metadata(spark, start, repository_no=repository_no, use_test_mode=use_test_mode,
                       csv_path=catalog_path, pac_file_names_csv=pac_path)

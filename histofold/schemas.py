@@ -45,7 +45,7 @@ CATALOG_CSV = T.StructType([
     T.StructField("contributor_count_median", T.DoubleType()),
 ])
 
-# Exported commit history, one JSON line per commit.
+# Exported commit history, one JSON line per commit; pos (walk position) and parents may be missing.
 HISTORY = T.StructType([
     T.StructField("repo_id", T.LongType()),
     T.StructField("commit_id", T.StringType()),
@@ -57,6 +57,7 @@ HISTORY = T.StructType([
     T.StructField("pos", T.IntegerType()),
     T.StructField("files", T.ArrayType(T.StringType())),
     T.StructField("changes", T.ArrayType(CHANGE)),
+    T.StructField("parents", T.ArrayType(T.StringType())),
 ])
 
 # Collected result, one JSON line per commit (the persisted commit projection,

@@ -33,7 +33,9 @@ def export_history(commits: DataFrame, files: DataFrame, changes: DataFrame) ->
                     .alias("author_email"), "message",
                     F.col("date").cast("long"), "parent_count", "pos",
                     F.coalesce("files", F.array().cast("array<string>")).alias("files"),
-                    F.coalesce("changes", F.array().cast(HISTORY["changes"].dataType)).alias("changes"))
+                    F.coalesce("changes", F.array().cast(HISTORY["changes"].dataType)).alias("changes"),
+                    (F.col("parents") if "parents" in commits.columns else F.lit(None))
+                    .cast(HISTORY["parents"].dataType).alias("parents"))
 
 
 def write_history(history: DataFrame, path: str) -> None:
@@ -41,15 +43,17 @@ def write_history(history: DataFrame, path: str) -> None:
 
 
 def read_history_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of an exported history: the declared columns, the line itself in
-    ``_corrupt_record`` where it cannot be read, and its ``file_path``."""
+    """Every line of an exported history: the declared columns, the line itself in ``_corrupt_record`` where it
+    cannot be read, and its origin: ``file_path``, the scan split's ``block`` and a ``line_id`` that rises along
+    the split.  Write the result before using ``line_id`` twice."""
     schema = T.StructType([*HISTORY.fields, T.StructField("_corrupt_record", T.StringType())])
     return (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-            .json(path).withColumn("file_path", F.col("_metadata.file_path")))
+            .json(path).withColumn("file_path", F.col("_metadata.file_path"))
+            .withColumn("block", F.col("_metadata.file_block_start")).withColumn("line_id", F.monotonically_increasing_id()))
 
 
 def split_history(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(history, quarantine)`` of read (and written) history lines.
+    """``(records, quarantine)`` of read (and written) history lines; records keep their origin.
 
     The quarantine holds unreadable lines and records without repository or
     commit id, each with its file and the reason.
@@ -59,7 +63,12 @@ def split_history(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = lines.filter(broken | no_key).select(
         "file_path", F.when(broken, F.lit("unreadable line")).otherwise(F.lit("no commit or repository id")).alias("reason"),
         F.coalesce("_corrupt_record", F.to_json(F.struct(*HISTORY.names))).alias("record"))
-    return _lists(lines.filter(~broken & ~no_key).select(*HISTORY.names)), bad
+    return _lists(lines.filter(~broken & ~no_key).drop("_corrupt_record")), bad
+
+
+def quarantined(records: DataFrame, reason: str) -> DataFrame:
+    """Whole records as quarantine rows."""
+    return records.select("file_path", F.lit(reason).alias("reason"), F.to_json(F.struct(*HISTORY.names)).alias("record"))
 
 
 def scan_commit_history(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +78,8 @@ def scan_commit_history(spark: SparkSession, path: str) -> DataFrame:
 
 def _lists(h: DataFrame) -> DataFrame:
     return (h.withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
-            .withColumn("changes", F.coalesce("changes", F.array().cast(HISTORY["changes"].dataType))))
+            .withColumn("changes", F.coalesce("changes", F.array().cast(HISTORY["changes"].dataType)))
+            .withColumn("parent_count", F.coalesce("parent_count", F.size("parents"))))
 
 
 def history_files(history: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ def test_collect_then_analyse(spark, tmp_path):
     catalog, pac, history = _inputs(spark, tmp_path)
     out = str(tmp_path / "results")
     diag = jobs.collect(spark, catalog, pac, history, out)
-    assert [(d.repo_id, d.reason) for d in diag.collect()] == [(9, "No commits found")]
+    assert {(d.repo_id, d.reason) for d in diag.collect()} == {
+        (9, "No commits found"), (7, "History not cut at the pinned revision: parents are not recorded")}
     facts, classified = jobs.load_results(spark, out)
     freq = {r.repository: r for r in rm.pac_frequency(facts).collect()}
     assert (freq["o/r"].total_commits, freq["o/r"].pac_commits, freq["o/r"].first_pac_commit_index) == (3, 2, 3)
@@ -226,3 +227,136 @@ def test_commit_index_splits_a_hot_date(spark, monkeypatch):
                                         "CASE WHEN id % 5 = 0 THEN 100L WHEN id % 5 < 4 THEN NULL ELSE id END AS date")
     want = sorted(facts.collect(), key=lambda r: (r.date or 0, r.pos))
     assert {r.commit_id: r.idx for r in rm.commit_index(facts).collect()} == {r.commit_id: k for k, r in enumerate(want)}
+
+
+def _copy(rows, path, **changed):
+    hist.write_history(rows.withColumns({k: F.lit(v) for k, v in changed.items()}) if changed else rows, str(path))
+
+
+def test_a_commit_in_two_files_counts_once(spark, tmp_path):
+    catalog, pac, history = _inputs(spark, tmp_path)
+    out = str(tmp_path / "plain")
+    jobs.collect(spark, catalog, pac, history, out)
+    rows = hist.scan_commit_history(spark, history)
+    _copy(rows, tmp_path / "h" / "a")
+    _copy(rows.filter("commit_id = 'c5'"), tmp_path / "h" / "b", author="mallory")     # an older record that differs
+    _copy(rows.filter("commit_id IN ('c4', 'c5', 'c6')"), tmp_path / "h" / "c")
+    twice = str(tmp_path / "twice")
+    jobs.collect(spark, catalog, pac, str(tmp_path / "h" / "*"), twice)
+    for one, two in zip(jobs.load_results(spark, out), jobs.load_results(spark, twice)):
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() > 0
+    lost = jobs.load_quarantine(spark, twice).collect()
+    # repositories 7 and 8 both have c5
+    assert [r.reason for r in lost] == ["differs from the last record of its commit"] * 2
+    assert all("/b/" in r.file_path and "mallory" in r.record for r in lost)
+    with pytest.raises(RuntimeError, match="differs from the last record"):
+        jobs.collect(spark, catalog, pac, str(tmp_path / "h" / "*"), str(tmp_path / "s"), strict=True, repository_no=1)
+
+
+def test_last_file_wins(spark, tmp_path):
+    catalog, pac, history = _inputs(spark, tmp_path)
+    rows = hist.scan_commit_history(spark, history)
+    _copy(rows, tmp_path / "h" / "a")
+    _copy(rows.filter("commit_id = 'c5' AND repo_id = 7"), tmp_path / "h" / "b", author="zoe", files=[], changes=[])
+    out = str(tmp_path / "out")
+    jobs.collect(spark, catalog, pac, str(tmp_path / "h" / "*"), out)
+    got = jobs.load_results(spark, out)[0].filter("commit_id = 'c5'").collect()
+    assert {(r.repo_id, r.author, r.other_files_count) for r in got if r.repo_id == 7} == {(7, "zoe", 0)}
+
+
+def test_history_without_positions(spark, tmp_path):
+    """Two PaC commits of one date: without ``pos`` their order is that of the lines, over several files."""
+    catalog, pac, history = _inputs(spark, tmp_path)
+    out = str(tmp_path / "plain")
+    jobs.collect(spark, catalog, pac, history, out)
+    ordered = hist.scan_commit_history(spark, history).orderBy("repo_id", "pos").drop("pos")
+    ordered.write.json(str(tmp_path / "h"))
+    assert "pos" not in spark.read.json(str(tmp_path / "h")).columns
+    bare = str(tmp_path / "bare")
+    jobs.collect(spark, catalog, pac, str(tmp_path / "h"), bare)
+    want, got = (sorted(rm.pac_frequency(jobs.load_results(spark, o)[0]).collect()) for o in (out, bare))
+    assert got == want and len(got) == 2
+    facts = jobs.load_results(spark, bare)[0]
+    assert [r.commit_id for r in facts.filter("repo_id = 7").orderBy("pos").collect()] == ["c6", "c5", "c4", "c3", "c2", "c1"]
+
+
+# walk order of a small DAG: a side branch s1-s2 merged by m, pins at c3 and s2
+DAG = [("h", ["m"]), ("m", ["c4", "s2"]), ("s2", ["s1"]), ("c4", ["c3"]), ("s1", ["c2"]), ("c3", ["c2"]), ("c2", ["c1"]), ("c1", [])]
+
+
+PINS = {7: "c3", 11: "s2", 12: "h", 13: "gone", 14: None}
+
+
+def _dag(spark, path, parents=True):
+    from histofold.schemas import HISTORY
+    rows = [(repo, c, "amy", "a@x", "m", 1000 - k, len(p), k, ["p/a.rego"], [("p/a.rego", 1, 0, 1, 3)], p if parents else None)
+            for repo in PINS for k, (c, p) in enumerate(DAG)]
+    hist.write_history(spark.createDataFrame(rows, HISTORY), path)
+    return path
+
+
+def test_history_is_cut_at_the_pin(spark, tmp_path, monkeypatch):
+    from histofold.operators import records as rec
+    monkeypatch.setattr(rec, "BLOCK", 3)
+    _, pac, _ = _inputs(spark, tmp_path)
+    repos = spark.createDataFrame([(k, f"o/r{k}", n + 1, pin, "h") for n, (k, pin) in enumerate(PINS.items())],
+                                  "repo_id long, full_name string, idx int, sha string, head_sha string")
+    pinned = str(tmp_path / "pinned")
+    cat.write_repo_catalog(repos, pinned)
+    whole = {"h", "s2", "s1", "c4", "c3", "c2", "c1"}   # m is a merge
+
+    def kept(out):
+        found = {}
+        for r in jobs.load_results(spark, str(tmp_path / out))[0].collect():
+            found.setdefault(r.repo_id, set()).add(r.commit_id)
+        return found
+
+    notes = {(13, "Pinned revision not found"), (14, "No pinned revision")}
+    dag = _dag(spark, str(tmp_path / "dag"))
+    diag = jobs.collect(spark, pinned, pac, dag, str(tmp_path / "cut"))
+    assert {(d.repo_id, d.reason) for d in diag.collect()} == notes
+    assert kept("cut") == {7: {"c3", "c2", "c1"}, 11: {"s2", "s1", "c2", "c1"}, 12: whole, 13: whole, 14: whole}
+    # a strict run goes on with HEAD where the pin is gone, and fails without a pin
+    jobs.collect(spark, pinned, pac, dag, str(tmp_path / "gone"), strict=True, repository_no=4)
+    with pytest.raises(RuntimeError, match="No pinned revision for o/r14"):
+        jobs.collect(spark, pinned, pac, dag, str(tmp_path / "none"), strict=True, repository_no=5)
+    # listed repositories are taken at HEAD; a history without parents goes on whole, with a note
+    not_cut = "History not cut at the pinned revision: parents are not recorded"
+    diag = jobs.collect(spark, pinned, pac, _dag(spark, str(tmp_path / "bare"), parents=False), str(tmp_path / "bare-out"),
+                        use_head=["o/r7"], layout="sorted")
+    assert {(d.repo_id, d.reason) for d in diag.collect()} == notes | {(11, not_cut)}
+    assert kept("bare-out") == dict.fromkeys(PINS, whole)
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_reachable_against_a_plain_walk(spark, tmp_path, block):
+    import random
+
+    from histofold.operators import records as rec
+    rng, rows, pins, want = random.Random(block), [], [], set()
+    for repo in range(6):
+        n = rng.choice([1, 9, 18])
+        graph = {f"c{k}": [f"c{j}" for j in rng.sample(range(k + 1, n), min(rng.choice([0, 1, 1, 1, 2]), n - k - 1))] for k in range(n)}
+        if repo == 5:
+            graph["c0"] = ["c0", "not here", None]     # broken links end a path
+        place = list(range(n))
+        if repo == 4:
+            rng.shuffle(place)                         # any order of positions gives the same result
+        rows += [(repo, c, place[k], p) for k, (c, p) in enumerate(graph.items())]
+        start = rng.choice(list(graph))
+        pins.append((repo, start))
+        seen, todo = set(), [start]
+        while todo:
+            c = todo.pop()
+            if c in graph and c not in seen:
+                seen.add(c)
+                todo += graph[c]
+        want |= {(repo, c) for c in seen}
+
+    def keep(name, df):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    history = spark.createDataFrame(rows, "repo_id long, commit_id string, pos int, parents array<string>")
+    got = rec.reachable(history, spark.createDataFrame(pins, "repo_id long, revision string"), keep, block).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
