@@ -142,12 +142,27 @@ def signatures(transactions: DataFrame) -> DataFrame:
 
 def cochange_pairs(transactions: DataFrame) -> DataFrame:
     """J8 + A15: commits in which PaC extension ``a`` changes with other extension ``b``."""
-    sig = signatures(transactions)
+    return _pairs(signatures(transactions))
+
+
+def _pairs(sig: DataFrame) -> DataFrame:
     return (sig.select(F.explode("pac_extensions").alias("pac_extension"), "other_extensions", "w")
             .select("pac_extension", F.explode("other_extensions").alias("other_extension"), "w")
             .groupBy("pac_extension", "other_extension").agg(F.sum("w").cast("long").alias("count")))
 
 
+def frequent_signatures(sig: DataFrame, ant: DataFrame, con: DataFrame, min_count: Column) -> DataFrame:
+    """Signatures with the frequent extensions only (first columns of ``ant`` and ``con``).
+
+    With ``min_count`` at a share of all transactions, the items above it are at most the mean number of items
+    of a transaction over that share, so each list is one small value; a threshold of 1 or less prunes nothing.
+    """
+    for side, items in (("pac_extensions", ant), ("other_extensions", con)):
+        kept = items.filter(min_count > 1).agg(F.collect_list(items.columns[0])).scalar()
+        sig = sig.withColumn(side, F.when(min_count > 1, F.array_intersect(side, kept)).otherwise(F.col(side))).filter(F.size(side) > 0)
+    return sig
+
+
 def association_rules(transactions: DataFrame, min_support: float = DEFAULT_MIN_SUPPORT,
                       min_confidence: float = DEFAULT_MIN_CONFIDENCE) -> DataFrame:
     """Rules ``PaC ext -> other ext`` over two-sided transactions only (Q20).
@@ -155,6 +170,9 @@ def association_rules(transactions: DataFrame, min_support: float = DEFAULT_MIN_
     ``min_support_count = floor(min_support * n)`` in double arithmetic (Q19,
     F8), kept with ``>=``; lift is ``confidence / (consequent count / n)``.
     ``n`` is one number, a scalar subquery of the same plan.
+
+    A pair is at most as frequent as each of its items, so items below the threshold leave the signatures before
+    pairs are made: a signature of ten thousand extensions makes pairs of its frequent ones only.
     """
     sig = signatures(transactions)
     # n as a scalar subquery: evaluated once inside the same plan (no driver
@@ -164,9 +182,10 @@ def association_rules(transactions: DataFrame, min_support: float = DEFAULT_MIN_
            .groupBy("antecedent").agg(F.sum("w").cast("long").alias("antecedent_count")))
     con = (sig.select(F.explode("other_extensions").alias("consequent"), "w")
            .groupBy("consequent").agg(F.sum("w").cast("long").alias("consequent_count")))
-    pairs = cochange_pairs(transactions).select(
-        F.col("pac_extension").alias("antecedent"), F.col("other_extension").alias("consequent"), "count")
     min_count = F.floor(F.lit(float(min_support)) * n_lit)
+    ant, con = ant.filter(F.col("antecedent_count") >= min_count), con.filter(F.col("consequent_count") >= min_count)
+    pairs = _pairs(frequent_signatures(sig, ant, con, min_count)).select(
+        F.col("pac_extension").alias("antecedent"), F.col("other_extension").alias("consequent"), "count")
     r = (pairs.filter(F.col("count") >= min_count)
          .join(ant, "antecedent").join(con, "consequent")
          .withColumn("support", F.col("count") / n_lit)

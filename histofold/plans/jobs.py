@@ -29,7 +29,9 @@ from histofold.operators import coverage as cov
 from histofold.operators import inspection as ins
 from histofold.operators import records as rec
 from histofold.operators import repo_metrics as rm
+from histofold.schemas import RESULT_DOCUMENT
 from histofold.sources import catalog as cat
+from histofold.sources import documents as docs
 from histofold.sources import history as hist
 from histofold.session import scratch_dir
 from histofold.sources import results as res
@@ -180,8 +182,8 @@ def load_discovered(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     """``load_documents`` behind discovery (S7): every result file below ``root`` but the
     aggregated one, the last path where a repository has several."""
     found = res.discover_results(spark, root).select("file_path")
-    docs = res.read_result_documents(spark, root, recursive=True)
-    return _of_documents(docs.join(found, "file_path", "left_semi"))
+    read = res.read_result_documents(spark, root, recursive=True)
+    return _of_documents(read.join(found, "file_path", "left_semi"))
 
 
 def load_documents(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
@@ -195,8 +197,11 @@ def load_documents(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     return _of_documents(res.read_result_documents(spark, paths))
 
 
-def _of_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    flat = res.flatten_documents(docs)
+def _of_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _of_flat(res.flatten_documents(documents))
+
+
+def _of_flat(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = flat.select(
         F.col("repository_id").alias("repo_id"), "project_name", "commit_id",
         F.coalesce("author", F.lit("")).alias("author"), F.coalesce("message", F.lit("")).alias("message"),
@@ -217,6 +222,22 @@ def _of_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return facts, classified
 
 
+def export_documents(spark: SparkSession, out_root: str, root: str) -> None:
+    """The published results below ``out_root`` as one document per repository below ``root``, as the
+    analysed tool's later scripts read them; the metadata is that of the last run."""
+    facts, classified = load_results(spark, out_root)
+    runs = spark.read.schema(RESULT_DOCUMENT["metadata"].dataType).json(f"{out_root}/runs")
+    last = runs.orderBy(F.desc("analysis_endtime")).limit(1)
+    docs.write_documents(docs.document_rows(facts, classified, load_files(spark, out_root), last), root)
+
+
+def load_large_documents(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """``load_documents`` for documents of any size, split into commits while they are read
+    (``sources.documents.read_documents`` gives the errors of those that cannot be)."""
+    rows = docs.read_documents(spark, root).filter("error IS NULL").drop("error")
+    return _of_flat(rows.withColumn("project_name", F.coalesce("project_name", res.name_of_file(F.col("file_path")))).drop("file_path"))
+
+
 def analyses(facts: DataFrame, classified: DataFrame) -> dict[str, DataFrame]:
     """The analysis tables of one corpus (lazy; write or collect what you need)."""
     tx = co.cochange_transactions(classified, facts)

@@ -733,3 +733,12 @@ SELECT cast(c.repo_id AS BIGINT) AS repo_id, cast(c.commit_id AS VARCHAR) AS com
 FROM commits c JOIN reached x ON x.repo_id = c.repo_id AND x.pos = c.pos
 """)
 SQL["reachable_history"] = SQL["reachable_history"].replace("WITH", "WITH RECURSIVE", 1)
+
+register("documents_roundtrip", """
+SELECT cast(a.repo_id AS BIGINT) AS repository_id, a.project_name, cast(a.commit_id AS VARCHAR) AS commit_id, a.author, a.message, a.date,
+       cast(row_number() OVER (PARTITION BY a.repo_id ORDER BY a.pos) - 1 AS INTEGER) AS pos,
+       (SELECT count(*) FROM files f WHERE f.commit_id = a.commit_id) AS files, a.pac_files_count AS pac_changes,
+       a.other_files_count AS other_changes, a.has_pac_changes, a.pac_added_lines, a.pac_deleted_lines, a.total_added_lines,
+       a.total_deleted_lines
+FROM facts a
+""")

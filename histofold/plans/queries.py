@@ -23,6 +23,7 @@ from histofold.operators import reports as rep
 from histofold.plans import jobs
 from histofold.plans.context import context
 from histofold.sources import catalog as cat
+from histofold.sources import documents as docs
 from histofold.sources import history as hist
 from histofold.sources import results as res
 from histofold.sources import sinks
@@ -530,10 +531,24 @@ def q_collect_job(spark, sf):
     cat.write_repo_catalog(h.repos, f"{root}/catalog")
     cat.write_pac_files(h.pac_files, f"{root}/pac")
     hist.write_history(hist.export_history(h.commits, h.files, h.changes), f"{root}/history")
-    jobs.collect(spark, f"{root}/catalog", f"{root}/pac", f"{root}/history", f"{root}/out")
+    jobs.collect(spark, f"{root}/catalog", f"{root}/pac", f"{root}/history", f"{root}/out", layout="sorted")
     return jobs.load_results(spark, f"{root}/out")[0]
 
 
+@query("documents_roundtrip")
+def q_documents_roundtrip(spark, sf):
+    """One document per repository, written commit by commit, split into commits while it is read back."""
+    ctx, root = context(spark, sf), _io_dir(spark, sf, "documents")
+    text = F.col("commit_id").cast("string")
+    files = res.result_files(ctx.h.files, cl.drop_merges(ctx.h.commit_keys), ctx.h.repos)
+    docs.write_documents(docs.document_rows(ctx.facts.withColumn("commit_id", text), ctx.classified.withColumn("commit_id", text),
+                                            files, res.run_metadata(spark, 0.0, 1.0)), root)
+    size = lambda c: F.size(c).cast("long").alias(c)
+    return docs.read_documents(spark, root).filter("error IS NULL").select(
+        "repository_id", "project_name", "commit_id", "author", "message", "date", "pos", size("files"), size("pac_changes"),
+        size("other_changes"), "has_pac_changes", "pac_added_lines", "pac_deleted_lines", "total_added_lines", "total_deleted_lines")
+
+
 @query("discover_results")
 def q_discover_results(spark, sf):
     return res.discover_results(spark, _results(spark, sf)).select("owner_name", "repository_name")

@@ -224,18 +224,21 @@ def read_result_documents(spark: SparkSession, paths, recursive: bool = False) -
             .withColumn("file_path", F.col("_metadata.file_path")))
 
 
+def name_of_file(path: F.Column) -> F.Column:
+    """``owner/stem`` of a document's path."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)/([^/]+)\.json$", 0), r"\.json$", "")
+
+
 def flatten_documents(docs: DataFrame) -> DataFrame:
     """S9 for documents: ``repositories[] -> commits[]`` with the list position as ``pos``.
 
     The project name falls back to the file-derived ``owner/stem`` when the
     key is absent (P18; a null name also falls back).
     """
-    name_from_file = F.regexp_extract(F.col("file_path"), r"([^/]+)/([^/]+)\.json$", 0)
     repos = docs.filter(F.col("_corrupt_record").isNull()).select(
         "file_path", F.explode("repositories").alias("r"))
     commits = repos.select("file_path", "r.repository_id",
-                           F.coalesce(F.col("r.project_name"),
-                                      F.regexp_replace(name_from_file, r"\.json$", "")).alias("project_name"),
+                           F.coalesce(F.col("r.project_name"), name_of_file(F.col("file_path"))).alias("project_name"),
                            F.posexplode("r.commits").alias("pos", "c"))
     return commits.select("repository_id", "project_name", "pos", "c.*")
 

@@ -179,3 +179,34 @@ def test_suffix_lookup_edges_j7(spark):
     assert got[""] == (6, 1)            # every name ends with the empty string
     assert got["TOOL"] == (None, None)  # case-sensitive
     assert got["/other"] == (7, 3)
+
+
+def test_rare_extensions_make_no_pairs(spark):
+    """One commit of 4,000 extensions on each side beside frequent ones: pairs are made of frequent items only."""
+    wide = ([f".p{k}" for k in range(4000)] + [".rego"], [f".o{k}" for k in range(4000)] + [".py"])
+    rows = [([".rego"], [".py", ".md"])] * 30 + [([".rego", ".yaml"], [".py"])] * 20 + [([".yaml"], [".rare"])] + [wide]
+    tx = spark.createDataFrame([("r", str(k), sorted(p), sorted(o)) for k, (p, o) in enumerate(rows)],
+                               "repo_id string, commit_id string, pac_extensions array<string>, other_extensions array<string>")
+    n, least = len(rows), int(0.2 * len(rows))
+    count = {}
+    for p, o in rows:
+        for a in p:
+            count["p", a] = count.get(("p", a), 0) + 1
+        for b in o:
+            count["o", b] = count.get(("o", b), 0) + 1
+    want = set()
+    for a in (".rego", ".yaml"):
+        for b in (".py", ".md", ".rare"):
+            both = sum(a in p and b in o for p, o in rows)
+            if both >= least and both / count["p", a] >= 0.1:
+                want.add((a, b, both, count["p", a], count["o", b]))
+    got = {(r.antecedent, r.consequent, r["count"], r.antecedent_count, r.consequent_count)
+           for r in co.association_rules(tx, 0.2, 0.1).collect()}
+    assert got == want and len(want) == 3
+    sig = co.signatures(tx)
+    ant = spark.createDataFrame([(".rego",), (".yaml",)], "antecedent string")
+    con = spark.createDataFrame([(".py",), (".md",)], "consequent string")
+    pruned = co.frequent_signatures(sig, ant, con, F.lit(least))
+    assert pruned.agg(F.sum(F.size("pac_extensions") * F.size("other_extensions"))).first()[0] <= 5
+    # a threshold of nothing prunes nothing
+    assert co.association_rules(tx.filter(F.size("pac_extensions") < 9), 0.0, 0.0).count() == 4
