@@ -3,8 +3,8 @@
 1. A document's set is its distinct shingle hashes, counted on 64 bits and written once with 48
    (two sets of 500 shingles share a hash by chance once in a billion pairs).
 2. Shingles get a global order, rare ones first: a fixed-size table of hash slots holds
-   the rough document frequency (powers of two) of the shingles that repeat within
-   windows of the input.  The order decides speed only, never results.
+   their document frequency over the whole table, in eighths of a power of two (shingles that
+   share a slot are counted together).  The order decides speed only, never results.
 3. The prefix of a set of n shingles is its first n - ceil(0.75 n) + 1: linked documents
    share a shingle of their prefixes.  Documents with the same prefix and size form one
    *group*; only groups enter the prefix join.  Equal sets inside a group are one *class*.
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histofold.llm.common import OWN, Scratch, plain, ship, small_batches
+from histofold.llm.common import OWN, Scratch, plain, ship
 from histofold.llm.components import components
 
 WORDS = 5
@@ -50,7 +50,9 @@ SLOTS = 1 << 22
 WIDTH = 6
 #: Bits of the parity sketch that rules pairs out before whole sets are moved.
 BITS = 4096
-#: Shingles looked at together when repeats are counted.
+#: Parts of that table that are summed apart.
+RANGES = 64
+#: Shingles counted together.
 WINDOW = 1 << 20
 
 
@@ -132,35 +134,57 @@ def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def levels(found: DataFrame) -> np.ndarray:
-    """Rough log2 document frequency by hash slot, of shingles that repeat within windows of the input."""
-    slots = SLOTS
+    """Document frequency by hash slot over the whole table, in eighths of a power of two.
 
-    def run(batches):
-        held, size = [], 0
+    Each task counts into an array of ``SLOTS`` and hands it on in ``RANGES`` compressed parts, which are summed
+    by range; what reaches the driver is one byte a slot.
+    """
+    slots, width = SLOTS, SLOTS // RANGES
+
+    def counted(batches):
+        import zstandard
 
-        def flush():
-            token, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= 3
-            slot = (token[often] & np.uint64(slots - 1)).astype(np.int64)
-            return _batch(slot=pa.array(slot), times=pa.array(times[often].astype(np.int64)))
+        total, held, size = np.zeros(slots, np.uint32), [], 0
+
+        def add():
+            np.add.at(total, (np.concatenate(held) & np.uint64(slots - 1)).astype(np.int64), 1)
 
         for batch in batches:
             for raw in batch.column(0):
                 held.append(loaded(raw.as_py()))
                 size += len(held[-1])
                 if size >= WINDOW:
-                    yield flush()
+                    add()
                     held, size = [], 0
         if held:
-            yield flush()
-
-    rows = (found.select("shingles").mapInArrow(run, "slot long, times long").groupBy("slot")
-            .agg(F.sum("times").alias("times")).select("slot", F.floor(F.log2("times")).cast("int").alias("level")))
-    # at most SLOTS rows whatever the input
+            add()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for k in range(RANGES):
+            part = total[k * width:(k + 1) * width]
+            if part.any():
+                # small counts in few bytes: most parts need one byte a slot
+                kind = next(t for t in (np.uint8, np.uint16, np.uint32) if part.max() <= np.iinfo(t).max)
+                yield _batch(range=pa.array([k], pa.int32()), size=pa.array([np.dtype(kind).itemsize], pa.int32()),
+                             counts=pa.array([pack(part.astype(kind).tobytes())], pa.binary()))
+
+    def summed(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        total = {}
+        for batch in batches:
+            for k, size, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(unpack(counts), f"<u{size}")
+                total[k] = total[k] + part if k in total else part.astype(np.uint64)
+        for k, part in total.items():
+            level = np.minimum(255, np.floor(8 * np.log2(np.maximum(part, 1).astype(float)))).astype(np.uint8)
+            yield _batch(range=pa.array([k], pa.int32()), levels=pa.array([level.tobytes()], pa.binary()))
+
+    rows = (found.select("shingles").mapInArrow(counted, "range int, size int, counts binary")
+            .repartition(RANGES, "range").mapInArrow(summed, "range int, levels binary"))
     table = np.zeros(slots, np.uint8)
-    with small_batches(found.sparkSession):
-        got = rows.toArrow()
-    table[got.column("slot").to_numpy()] = got.column("level").to_numpy()
+    for r in rows.collect():  # RANGES rows, SLOTS bytes in all
+        table[r["range"] * width:(r["range"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
     return table
 
 
