@@ -188,11 +188,18 @@ def levels(found: DataFrame) -> np.ndarray:
     return table
 
 
-def _ordered(raw: bytes, level: np.ndarray) -> np.ndarray:
-    """The prefix of a set in the global order (level, hash)."""
+def _ordered(raw: bytes, level: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The prefix of a set in the global order (level, hash), or the part of it that is asked for."""
     s = loaded(raw)
     order = np.argsort(level[(s & np.uint64(len(level) - 1)).astype(np.int64)], kind="stable")
-    return s[order[:needed(len(s))]]
+    return s[order[start:needed(len(s)) if stop is None else stop]]
+
+
+def _behind(raw: bytes, level: np.ndarray) -> np.ndarray:
+    """The shingles behind the prefix of which two linked sets of one size and one prefix share one: they share
+    2 * 0.75 / 1.75 of their size, all of the prefix, so the rest of it among the others."""
+    n = len(raw) // WIDTH
+    return _ordered(raw, level, needed(n), n - -(-2 * NUM * n // (NUM + DEN)) + needed(n) + 1)
 
 
 def grouped(found: DataFrame, level, store: Scratch) -> DataFrame:
@@ -240,6 +247,23 @@ def entries(found: DataFrame, rows: DataFrame, level, store: Scratch) -> DataFra
         "entries")
 
 
+def _behind_prefix(classes: DataFrame, found: DataFrame, level) -> DataFrame:
+    """(group, token, class, comp) of the shingles behind the prefix of each class."""
+    def run(batches):
+        table = level.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                group, cls, comp, raw = batch.slice(at, 256).columns
+                kept = [_behind(r.as_py(), table) for r in raw]
+                size = np.array([len(k) for k in kept], np.int64)
+                token = np.concatenate(kept) if kept else np.empty(0, np.uint64)
+                yield _batch(group=pa.array(np.repeat(group.to_numpy(), size)), token=pa.array(token.view(np.int64)),
+                             **{"class": pa.array(np.repeat(cls.to_numpy(), size))}, comp=pa.array(np.repeat(comp.to_numpy(), size)))
+
+    return (classes.select("group", "class", "comp").join(found.select(F.col("row").alias("class"), "shingles"), "class")
+            .select("group", "class", "comp", "shingles").mapInArrow(run, "group long, token long, class long, comp long"))
+
+
 def _band(n: Column) -> Column:
     """Band of a size: linked sets lie in the same band or in neighbouring ones."""
     return F.floor(F.log2(n.cast("double")) / F.log2(F.lit(DEN / NUM))).cast("int")
@@ -374,8 +398,10 @@ def _solve(docs: DataFrame, id_col: str, text_col: str):
     across = pairs.join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select("a", "b")
     split = parts.groupBy("group").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("group")
     torn = placed.join(split, "group")
-    within = (torn.alias("g").join(torn.alias("h"), "group")
-              .where((F.col("g.comp") < F.col("h.comp"))).select(F.col("g.class").alias("a"), F.col("h.class").alias("b")))
+    # classes of one group that the first round left apart: joined by the shingles behind their prefix
+    behind = store.save(_behind_prefix(torn, found, level), "behind")
+    within = (behind.alias("g").join(behind.alias("h"), ["group", "token"]).where(F.col("g.comp") < F.col("h.comp"))
+              .select(F.col("g.class").alias("a"), F.col("h.class").alias("b")).distinct())
     more = verify(across.unionByName(within), found, store, "cross")
     store.drop("sets", "entries", "spread", "mixed", "buckets", "keys")
     last = components(links.unionByName(more), store, "last")
