@@ -1,23 +1,29 @@
-"""Toxicity by compression distance: one zstandard dictionary for toxic text, one for ordinary text.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
 
 A text is lower-cased, stripped to words and cut into windows of ``WINDOW`` bytes at word
 ends.  Each window is compressed with both dictionaries; the difference of the lengths
 says which kind of text it repeats.  Literals stay uncompressed (fast strategy), and a
-constant tail makes every window worth compressing, so the difference counts matches
-with the dictionary only.  The gains of all windows of the whole text (largest, mean,
-sum) are calibrated to a probability by logistic regression.
+constant tail makes every window worth compressing, so a length counts matches with the
+dictionary only.  The gains of all windows of the whole text (largest, mean, sum, number of
+windows above steps, and their share) are calibrated to a probability by logistic regression.
 
 The classifier is fitted on a bounded sample of labelled rows: the ``SAMPLE_ROWS`` rows
-with the smallest hash of their id among the training rows.  A dictionary holds the
-*distinctive* text of its class: the pieces of words (``GRAMS`` characters, with the blanks
-around the word) whose document frequency differs between the classes by ``SIGNIFICANT``
-or more, a limit that does not depend on the other pieces; the most distinctive ones stand
-last, where offsets are short.  Only texts and labels of training rows are learned from.
+with the smallest hash of their id among the training rows.  The ordinary dictionary is
+trained by zstandard on windows of ordinary rows.  Most text of a toxic row is ordinary,
+too, and a dictionary trained on all of it holds the same as the other one.  So the toxic
+dictionary is trained on the *toxic stretches* of toxic rows, each stretch a sample, and has the
+ordinary dictionary in front: what both hold cancels out in the difference.  A stretch is the
+part of a word covered by pieces (``GRAMS`` characters, with the blanks around the word) whose
+document frequency in toxic rows exceeds that in ordinary ones by ``SIGNIFICANT``, a limit that
+does not depend on the other pieces.  At most ``SAMPLES`` windows and as many stretches are
+trained on, those with the smallest hash of row and place.  Only texts and labels of training rows
+are learned from.
 
 Defined cases: null text is empty; an empty text has one empty window; a document with
 several labels is toxic if one says so; null ids and null labels are not learned from;
-without training rows of both classes, or where nothing is distinctive, every score is 0; repeated rows get equal scores;
-an empty table gives an empty result; other columns are carried along.
+without training rows of both classes, or where no stretch is toxic, every score is 0; too few samples for
+zstandard's training are the dictionary themselves; repeated rows get equal scores;
+an empty table gives an empty result; other columns are carried along, a column named as the result is refused.
 """
 
 from __future__ import annotations
@@ -32,24 +38,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histofold.llm.common import Scratch, plain, ship
+from histofold.llm.common import Scratch, plain, refuse, ship
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 12_000
-#: Bytes of a window; bytes of a dictionary at most (sf0.1 fills 0.8 kB).
-WINDOW, DICTIONARY = 64, 16_384
+#: Bytes of a window; of the ordinary dictionary; of what the toxic one has beyond it, at most.
+WINDOW, ORDINARY, TOXIC = 64, 16_384, 1_024
+#: Windows and stretches that a dictionary is trained on, at most.
+SAMPLES = 30_000
+#: Piece size of the dictionary training, and shortest match, in bytes; segment sizes that the training tries.
+PIECE, STEPS_TRIED = 6, 20
+#: Blanks around a stretch, so that segments end with it.
+PAD = b" " * 6
 #: Characters of the pieces of words that are counted.
 GRAMS = (5, 6, 7, 8)
 #: Pieces that a task sums before it hands them on.
 HELD = 200_000
 #: Root of the likelihood ratio (a z-score that holds for rare pieces too) from which a piece is distinctive.
 SIGNIFICANT = 5.0
-#: Pieces of a class that reach the driver, at most: more than a dictionary has room for.
+#: Pieces whose hashes reach the driver and the tasks, at most, the most significant ones.
 MAX_GRAMS = 20_000
 #: Scores from here on count as toxic.
 REJECT = 0.3
-#: Gain of a window, in bytes, that random text hardly reaches.
-STRONG = 4
+#: Gains of a window, in bytes, from which windows are counted.
+STEPS = (2, 4, 6, 8)
 TAIL = b"." * 48
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -91,7 +103,7 @@ def _compressors(toxic: bytes, ordinary: bytes):
     made = []
     for content in (ordinary, toxic):
         params = z.ZstdCompressionParameters.from_level(
-            1, strategy=z.STRATEGY_FAST, target_length=1, hash_log=12, min_match=6, write_content_size=0,
+            1, strategy=z.STRATEGY_FAST, target_length=1, hash_log=17, min_match=PIECE, write_content_size=0,
             write_dict_id=0, write_checksum=0)
         kind = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
         kind.precompute_compress(compression_params=params)
@@ -107,16 +119,18 @@ def gains(text: str, toxic: bytes, ordinary: bytes) -> list[float]:
     t = size - [len(toxic_of(w)) for w in own]
     o = size - [len(ordinary_of(w)) for w in own]
     up = np.maximum(t - o, 0)
-    return [np.log1p(up.max()), up.mean(), np.log1p(up.sum()), np.log(len(own)), t.max(), t.mean(), o.mean(), (t - o).mean(),
-            up.std(), np.log1p((up >= STRONG).sum()), np.log1p((up >= 2 * STRONG).sum()),
-            *((up >= least).mean() for least in (STRONG // 2, STRONG, 3 * STRONG // 2, 2 * STRONG))]
+    out = [np.log1p(up.max()), up.mean(), np.log1p(up.sum()), np.log(len(own)), t.max(), t.mean(), o.mean(), (t - o).mean(), up.std()]
+    for least in STEPS:
+        n = (up >= least).sum()
+        out += [np.log1p(n), n / len(own), np.log((n + 0.5) / (len(own) + 5))]
+    return out
 
 
 def _design(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> tuple[float, ...]:
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> tuple[float, ...]:
     """Weights of a ridge logistic regression (Newton steps on standardised features)."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = _design((x - mean) / scale)
@@ -130,13 +144,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return tuple(float(v) for v in np.r_[w[0] - (slope * mean).sum(), slope])
 
 
-def _dictionary(pieces: list[str]) -> bytes:
-    """Dictionary of the pieces, the first of them last; pieces that it holds already take no room."""
-    content = b""
-    for piece in (p.encode("utf-8", "replace") for p in pieces):
-        if piece not in content and len(content) + len(piece) <= DICTIONARY:
-            content = piece + content
-    return content.rjust(8, b" ")
+def trained(samples: list[bytes], size: int) -> bytes:
+    """zstandard dictionary of at most ``size`` bytes; where the samples are too few to train on, their distinct bytes."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, samples, d=PIECE, steps=STEPS_TRIED).as_bytes()
+    except z.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size].rjust(8, b" ")
 
 
 def grams(text: str) -> set[str]:
@@ -151,18 +166,46 @@ def _hashes(pieces: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(g.encode("utf-8", "replace")) for g in pieces), np.uint64, len(pieces)).view(np.int64)
 
 
-def _spelled(hashes: np.ndarray):
-    """(hash, gram) of the given hashes (sorted), once a task."""
+def stretches(word: str, toxic: set[int]) -> list[str]:
+    """Parts of a word covered by pieces whose hash is in ``toxic``, merged where they touch, in order."""
+    w = f" {word} "
+    at = [(k, k + n) for k in range(len(w)) for n in GRAMS if k + n <= len(w)]
+    out: list[tuple[int, int]] = []
+    for (a, b), h in zip(at, _hashes([w[a:b] for a, b in at]).tolist()):
+        if h in toxic and out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        elif h in toxic:
+            out.append((a, b))
+    return [w[a:b] for a, b in out]
+
+
+def _samples(hashes: list[int]):
+    """(toxic, order, sample): stretches of toxic rows and windows of ordinary ones."""
+    import xxhash
+
+    toxic = set(hashes)
+
     def run(batches):
-        told = set()
+        known: dict[str, list[str]] = {}
         for batch in batches:
-            for t in batch.column(batch.schema.get_field_index("text")):
-                own = list(grams(t.as_py()) - told)
-                mine = _hashes(own)
-                hit = np.flatnonzero(np.isin(mine, hashes))
-                told.update(own[k] for k in hit)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(mine[hit]), pa.array([own[k] for k in hit], pa.string())], ["gram", "piece"])
+            y, key, text = (batch.column(batch.schema.get_field_index(c)) for c in ("y", "id", "text"))
+            for label, i, t in zip(y.to_pylist(), key.to_pylist(), text):
+                if label > 0:
+                    own = []
+                    for w in _OTHER.sub(" ", t.as_py().lower()).split():
+                        if w not in known:
+                            known = {} if len(known) >= HELD else known
+                            known[w] = stretches(w, toxic)
+                        own += [p.encode("utf-8", "replace") for p in known[w]]
+                else:
+                    own = [w[:-len(TAIL)] for w in windows(t.as_py())]
+                # one row's samples by the hash of their place: no more than the whole sample keeps
+                order = [xxhash.xxh3_64_intdigest(f"{i}|{k}") >> 1 for k in range(len(own))]
+                best = sorted(range(len(own)), key=order.__getitem__)[:SAMPLES]
+                if best:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([label > 0] * len(best)), pa.array([order[k] for k in best], pa.int64()),
+                         pa.array([own[k] for k in best], pa.binary())], ["toxic", "place", "sample"])
 
     return run
 
@@ -226,32 +269,31 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     if not size.get(0) or not size.get(1):
         return Model(b"", b"", ())
 
-    # counted by hash: rows of three numbers; only the distinctive ones are spelled out
+    # counted by hash: rows of three numbers
     counts = store.save(sample.mapInArrow(_counted, "gram long, toxic long, ordinary long")
                         .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-                        .withColumn("root", _root(size)).where(F.abs("root") >= SIGNIFICANT), "grams")
-    top = [r for sign in (-1, 1) for r in counts.where(F.col("root") * sign > 0)
-           .orderBy(F.desc(F.abs("root")), "gram").limit(MAX_GRAMS).collect()]
-    wanted = np.array(sorted(r["gram"] for r in top), np.int64)
-    spelled = dict(sample.mapInArrow(_spelled(wanted), "gram long, piece string").distinct().collect()) if top else {}
-    content = {}
-    for label, sign in ((0, -1), (1, 1)):
-        own = [(-abs(r["root"]), -len(spelled[r["gram"]]), spelled[r["gram"]]) for r in top if r["root"] * sign > 0]
-        content[label] = _dictionary([piece for *_, piece in sorted(own)])
-    if not (content[0] + content[1]).strip():
+                        .withColumn("root", _root(size)).where(F.col("root") >= SIGNIFICANT), "grams")
+    top = counts.orderBy(F.desc("root"), "gram").limit(MAX_GRAMS).select("gram").collect()
+    parts = store.save(sample.mapInArrow(_samples([r["gram"] for r in top]), "toxic boolean, place long, sample binary"), "parts")
+    own = {kind: [bytes(r["sample"]) for r in parts.where(F.col("toxic") == kind).orderBy("place", "sample").limit(SAMPLES).collect()]
+           for kind in (False, True)}
+    if not own[True]:
         return Model(b"", b"", ())
-    bare = Model(content[1], content[0], (0.0,))
+    ordinary = trained(own[False], ORDINARY)
+    toxic = ordinary + trained([PAD + s + PAD for s in own[True]], TOXIC)
+    bare = Model(toxic, ordinary, (0.0,))
     found = scored(sample, bare, features=True).select("y", "features").collect()
     x = np.array([r["features"] for r in found], float)
     y = np.array([r["y"] for r in found], float)
-    store.drop("sample", "grams")
+    store.drop("sample", "grams", "parts")
     low, high = (tuple(map(float, v)) for v in (x.min(0), x.max(0)))
-    return Model(content[1], content[0], _logistic(x, y), low, high)
+    return Model(toxic, ordinary, _logistic(x, y), low, high)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score",
            features: bool = False) -> DataFrame:
     """``docs`` with a score from 0 to 1 of every whole text (or its ``features``)."""
+    refuse(docs, "features" if features else score_col)
     ship(docs.sparkSession)
     name, kind = ("features", T.ArrayType(T.DoubleType())) if features else (score_col, T.DoubleType())
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
