@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from histofold.llm.common import ship
+from histofold.llm.common import refuse, ship
 
 #: Characters up to which a text is encoded in one call.
 PART = 1 << 16
@@ -82,7 +82,8 @@ def _with(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.RecordBatch:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
            count_col: str = "n_tokens") -> DataFrame:
-    """``docs`` without ``text_col``, with ids (little-endian unsigned 32-bit) and their number."""
+    """``docs`` without ``text_col``, with ids (little-endian unsigned 32-bit) and their number; other columns of these names are refused."""
+    refuse(docs.drop(text_col), ids_col, count_col)
     ship(docs.sparkSession)
     schema = T.StructType([f for f in docs.schema.fields if f.name != text_col]
                           + [T.StructField(ids_col, T.BinaryType()), T.StructField(count_col, T.LongType())])
@@ -102,7 +103,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
            bytes_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the raw bytes of its ids (not forced to be valid UTF-8)."""
+    """``encoded`` with the raw bytes of its ids (not forced to be valid UTF-8); another column of the result's name is refused."""
+    refuse(encoded, bytes_col)
     ship(encoded.sparkSession)
     schema = T.StructType([*encoded.schema.fields, T.StructField(bytes_col, T.BinaryType())])
 

@@ -1,20 +1,25 @@
 """PII: keyed, type-consistent surrogates for detected entities.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, long digit numbers (cards,
-accounts), social security numbers, long hexadecimal secrets, and persons (a known given
+Detected: e-mail addresses, phone numbers (international, bracketed, ddd ddd dddd, and national ones
+from a 0 on, in two or three groups), IPv4 and IPv6 addresses, long digit numbers (cards, accounts), social security
+numbers, long hexadecimal secrets, access key ids with a digit, and persons (a known given
 name followed by a surname; later mentions of either part alone in the same text follow).
+Not detected: other persons, postal addresses, IBANs, secrets of other forms.
 
 Every entity is spelled in slots -- digits, hexadecimal digits, vowels or consonants of its
 script, address octets by their number of digits -- and the slots are read as one number in
 mixed radix.  A keyed Feistel permutation of that range, conjugated with a step of one,
 gives the surrogate: same type, script, length, case and punctuation, never the original,
-and never the same for two originals.  Given names are permuted within the names of their
+and never the same for two originals.  Digits that pass the check of card numbers pass it after, others fail it after.  An e-mail
+address keeps its top-level domain and, unless that is reserved already (example.com, .net, .org), gets ``.example``
+behind it, so that no surrogate reaches anybody.  Given names are permuted within the names of their
 script and gender.  So distinctness and coreference hold over the whole corpus without any
-table of entities; ``collisions`` checks it on the entities that really occur.
+table of entities; ``collisions`` checks it on the entities that really occur.  The key is the
+caller's: whoever has it can turn surrogates back.  ``session_key`` reads it from the session's settings.
 
 Defined cases: null text stays null, empty text empty; overlapping candidates go to the
 earlier start, then to the type listed first; texts of any length are read whole; repeated
-rows get equal results; an empty table gives an empty result; other columns are carried.
+rows get equal results; an empty table gives an empty result; other columns are carried, one named as the spans is refused.
 """
 
 from __future__ import annotations
@@ -22,15 +27,16 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from bisect import bisect
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histofold.llm.common import ship
+from histofold.llm.common import refuse, ship
 
 # Given names by script and gender (fixed values).
 NAMES: dict[tuple[str, str], tuple[str, ...]] = {
@@ -45,18 +51,22 @@ NAMES: dict[tuple[str, str], tuple[str, ...]] = {
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñßšžćč", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ",
            "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ")
 DIGITS, HEX = "0123456789", "0123456789abcdef"
-#: Key used where the caller gives none (tests, demonstrations).
-KEY = b"histofold surrogate key"
+#: Setting that holds the key (Spark hides settings of this name in its logs).
+SECRET = "spark.histofold.pii.secret"
 
 _GIVEN = {n: group for group, names in NAMES.items() for n in names}
-_EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}"
+_EMAIL = r"[^\W_](?:[\w.%+-]{0,62}[\w%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 TYPES: tuple[tuple[str, str], ...] = (
-    ("email", rf"(?<![A-Za-z0-9]){_EMAIL}(?![A-Za-z0-9])"),
+    ("email", rf"(?<![^\W_]){_EMAIL}(?![A-Za-z0-9])"),
+    ("access", r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    ("ip6", r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+            r"|[0-9A-Fa-f]{4}:(?:[0-9A-Fa-f]{1,4}:){0,5}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"),
     ("secret", r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}(?![0-9A-Za-z])"
                r"|(?<![0-9A-Za-z])(?=[0-9A-F]*[A-F])(?=[0-9A-F]*\d)[0-9A-F]{32,64}(?![0-9A-Za-z])"),
     ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
-              r"|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d)"),
+              r"|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d)"
+              r"|(?<![\d.-])(?<!\d )(?:\d{3} \d{3} \d{4}|0\d{2,4} \d{3,4} \d{3,4}|0\d{3,4} \d{6,7})(?![ .-]?\d)"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]\d)"),
     ("number", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
@@ -64,7 +74,8 @@ TYPES: tuple[tuple[str, str], ...] = (
 _DETECT = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in TYPES))
 #: Every entity but a person holds one of these, and is at most so long after the first of them.
 _HINT, _REACH = re.compile(r"[@\d]"), 400
-_ENDING = re.compile(r"(?:(?<=[@.])example)?\.[A-Za-z]+$")
+_RESERVED = re.compile(r"(?i)(?<=[@.])example\.(?:com|net|org)$")
+_ENDING = re.compile(r"\.[A-Za-z]+$")
 _CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯЁΆ-Ω]\w{2,}")
 _PERSON = re.compile(r"\b(" + "|".join(sorted(_GIVEN)) + r")\s+([A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][A-Za-zÀ-ÖØ-öø-ÿА-яЁёΆ-ώ]+)\b")
 
@@ -109,12 +120,14 @@ def _slots(kind: str, text: str) -> list[tuple[int, int, int, object]]:
     stop = len(text)
     skip = 0
     if kind == "email":
-        stop = _ENDING.search(text).start()  # the top-level domain stays, and so do domains reserved for examples
+        stop = (_RESERVED.search(text) or _ENDING.search(text)).start()  # the top-level domain stays, and so do reserved ones
+    if kind == "access":
+        skip = 4  # the prefix names the kind of key
     if kind == "phone" and text.startswith("+"):
         skip = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text).end()  # so does the country code
     for i in range(skip, stop):
         c = text[i].lower()
-        alphabet = HEX if kind == "secret" else DIGITS if c in DIGITS else next((a for a in LETTERS if c in a), "")
+        alphabet = HEX if kind in ("secret", "ip6") else DIGITS if c in DIGITS else next((a for a in LETTERS if c in a), "")
         if c in alphabet and alphabet:
             out.append((i, i + 1, len(alphabet), alphabet))
     return out
@@ -122,14 +135,17 @@ def _slots(kind: str, text: str) -> list[tuple[int, int, int, object]]:
 
 def canonical(kind: str, text: str) -> str:
     """The entity behind a mention: case does not matter in addresses and secrets."""
-    return text.lower() if kind in ("email", "secret") else text
+    return text.lower() if kind in ("email", "secret", "ip6") else text
 
 
-def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
-    """The replacement of one mention (persons: given name and surname apart)."""
-    if kind == "given":
-        names = NAMES[_GIVEN[text]]
-        return names[_other(names.index(text), len(names), key, "/".join(_GIVEN[text]))]
+def _check_sum(text: str) -> int:
+    """Weighted digit sum of a card number, modulo 10: 0 where its check digit is right."""
+    digits = [int(c) for c in reversed(text) if c in DIGITS]
+    return sum(sum(divmod(d * (1 + k % 2), 10)) for k, d in enumerate(digits)) % 10
+
+
+def _respelled(kind: str, text: str, key: bytes) -> str:
+    """The text with its slots permuted among all spellings of its shape."""
     slots = _slots(kind, text)
     base = canonical(kind, text)
     value, size = 0, 1
@@ -147,6 +163,20 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     return "".join(out)
 
 
+def surrogate(kind: str, text: str, key: bytes) -> str:
+    """The replacement of one mention (persons: given name and surname apart)."""
+    if kind == "given":
+        names = NAMES[_GIVEN[text]]
+        return names[_other(names.index(text), len(names), key, "/".join(_GIVEN[text]))]
+    if kind == "number" and not _check_sum(text):  # the last digit follows from the others
+        new = _respelled("checked", text[:-1], key)
+        return f"{new}{-_check_sum(new + '0') % 10}"
+    new = _respelled(kind, text, key)
+    while kind == "number" and not _check_sum(new):  # walked on among the numbers without a right check digit
+        new = _respelled(kind, new, key)
+    return f"{new}.example" if kind == "email" and not _RESERVED.search(text) else new
+
+
 @lru_cache(maxsize=1 << 16)
 def _cached(kind: str, text: str, key: bytes) -> str:
     return surrogate(kind, text, key)
@@ -187,7 +217,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with surrogates, and the (start, end, type) they have in it."""
     out, spans, at, size = [], [], 0, 0
     for a, b, kind in entities(text):
@@ -200,8 +230,16 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str
     return ("".join([*out, text[at:]]), spans) if out else (text, spans)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", spans_col: str | None = "entities") -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the setting ``SECRET``; a session without it gets a random one, kept until it ends."""
+    if not spark.conf.get(SECRET, ""):
+        spark.conf.set(SECRET, secrets.token_hex(32))
+    return spark.conf.get(SECRET).encode()
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str | None = "entities") -> DataFrame:
     """``docs`` with surrogates in the text and, if named, their (start, end, type) in ``spans_col``."""
+    refuse(docs, *([spans_col] if spans_col else []))
     ship(docs.sparkSession)
     found = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                                       T.StructField("type", T.StringType())]))
@@ -223,7 +261,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", span
     return docs.mapInArrow(run, schema)
 
 
-def mentions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def mentions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """(type, original, surrogate) of every entity that occurs, once each."""
     ship(docs.sparkSession)
 
@@ -247,7 +285,7 @@ def collisions(found: DataFrame) -> DataFrame:
             .where((F.col("n") > 1) | F.col("same")).select("type", "surrogate", "n"))
 
 
-def checked(docs: DataFrame, key: bytes = KEY, text_col: str = "text", spans_col: str | None = "entities") -> DataFrame:
+def checked(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str | None = "entities") -> DataFrame:
     """``pseudonymise`` after the collision check over all entities of ``docs``; raises where one is found."""
     bad = collisions(mentions(docs, key, text_col)).limit(1).collect()
     if bad:

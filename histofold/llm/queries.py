@@ -34,7 +34,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.checked(documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.checked(documents(spark, sf_dir).select("doc_id", "text"), pii.session_key(spark))
 
 
 def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

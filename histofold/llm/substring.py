@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from histofold.llm.common import OWN, Scratch, plain, ship
+from histofold.llm.common import OWN, Scratch, plain, refuse, ship
 
 UNITS, LEAST_WORDS = 3, 10
 #: Words of which one at least closes a unit.
@@ -172,7 +172,11 @@ def repeats(docs: DataFrame, store: Scratch, id_col: str = "doc_id", text_col: s
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeats removed from the text, and n_units, n_removed, first_ids (who keeps them)."""
+    """``docs`` with repeats removed from the text, and n_units, n_removed, first_ids (who keeps them).
+
+    Columns of these names in ``docs`` are refused; ids are those that cast to long.
+    """
+    refuse(docs, "first_ids", "n_units", "n_removed")
     spark = docs.sparkSession
     ship(spark)
     store = Scratch(spark, "substring")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from histofold.llm.common import OWN
+from histofold.llm.common import OWN, refuse
 
 
 def host_of(url: Column) -> Column:
@@ -59,7 +59,11 @@ def intervals(events: DataFrame, list_col: str = "list", pattern_col: str = "pat
 
 def judge(captures: DataFrame, events: DataFrame, url_col: str = "url", time_col: str = "fetched",
           **names: str) -> DataFrame:
-    """``captures`` with blocked, n_lists, lists (sorted) and matched (its most specific active pattern)."""
+    """``captures`` with blocked, n_lists, lists (sorted) and matched (its most specific active pattern).
+
+    Columns of these names in ``captures`` are refused, and so are map columns (rows are grouped by all columns).
+    """
+    refuse(captures, "blocked", "n_lists", "lists", "matched")
     valid = intervals(events, **names)
     rows = captures.withColumn(f"{OWN}row", F.monotonically_increasing_id())
     keyed = rows.withColumn(f"{OWN}pattern", F.explode_outer(patterns_of(F.col(url_col))))
