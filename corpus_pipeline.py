@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Detected entities get surrogates; ``n_chars`` follows the new text."""
-    out = pii.checked(docs, spans_col=None)
+    out = pii.checked(docs, pii.session_key(spark), spans_col=None)
     size = F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.withColumn("n_chars", size).select(*docs.columns)
 
