@@ -275,8 +275,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
                         .withColumn("root", _root(size)).where(F.col("root") >= SIGNIFICANT), "grams")
     top = counts.orderBy(F.desc("root"), "gram").limit(MAX_GRAMS).select("gram").collect()
     parts = store.save(sample.mapInArrow(_samples([r["gram"] for r in top]), "toxic boolean, place long, sample binary"), "parts")
-    own = {kind: [bytes(r["sample"]) for r in parts.where(F.col("toxic") == kind).orderBy("place", "sample").limit(SAMPLES).collect()]
-           for kind in (False, True)}
+    made = dict(parts.groupBy("toxic").agg(F.count(F.lit(1))).collect())
+    # places are even hashes: the first limit leaves half as many again as are wanted, whatever the number of tasks
+    own = {kind: [bytes(r["sample"]) for r in parts.where(F.col("toxic") == kind)
+                  .where(F.col("place") <= int(min(1.0, 1.5 * SAMPLES / made.get(kind, 1)) * (2**63 - 1024)))
+                  .orderBy("place", "sample").limit(SAMPLES).collect()] for kind in (False, True)}
     if not own[True]:
         return Model(b"", b"", ())
     ordinary = trained(own[False], ORDINARY)
