@@ -15,8 +15,8 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +25,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from histofold.schemas import CHANGE, DOCUMENT_COMMIT, RESULT_DOCUMENT
 from histofold.sources.results import RESULT_SUFFIX, safe_name
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: One row per commit of a document; a document that cannot be read is one row with its error.
 DOCUMENT_ROW = T.StructType([
     T.StructField("file_path", T.StringType()), T.StructField("repository_id", T.LongType()), T.StructField("project_name", T.StringType()),
@@ -311,6 +314,8 @@ def _plain(v, kind: T.DataType):
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
+    import pyarrow as pa
+
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return pa.RecordBatch.from_pylist(rows, to_arrow_schema(DOCUMENT_ROW))
