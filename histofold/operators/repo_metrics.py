@@ -6,12 +6,12 @@ Here no repository is sorted: the first PaC commit is the minimum of
 ``(date, pos)`` over PaC commits (two partial hash aggregates over primitive
 columns, so any 64-bit date works), it is joined back (one row per
 repository) and the slice is a comparison of the two columns.  Its index is the count of
-commits strictly before it.  A5, A6 and A8 are one aggregation; A7 needs a
+commits strictly before it.  A5 and the counts of A6 and A8 are one aggregation; A7 needs a
 second level for distinct authors.
 
 Repositories without commits or without any PaC commit give no row (Q12).
-Empty medians are 0 in repository rows (Q13); medians are exact
-(``percentile``, which keeps value counts, so memory follows distinct values).
+Empty medians are 0 in repository rows (Q13); medians are exact, by counts and
+ranks (``functions.quantile``): no repository's values meet in one task.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from histofold.functions.quantile import exact_quantiles
+
 
 def order_date() -> Column:
     """Date of the stable order (missing -> 0, Q10); ties go by walk position (Q9)."""
@@ -104,52 +106,64 @@ def _ratio_pct(num: str, den: str) -> Column:
 APPROX_ACCURACY = 10_000
 
 
-def _median(c: Column, exact: bool = True) -> Column:
-    """Exact median (value->count buffers) or, only when asked, ``percentile_approx``."""
-    return F.median(c) if exact else F.percentile_approx(c, 0.5, APPROX_ACCURACY)
-
-
-def _median0(c: Column, exact: bool = True) -> Column:
-    return F.coalesce(_median(c, exact).cast("double"), F.lit(0.0))
+def _medians(long: DataFrame, keys: list[str], series: str, value: str, exact: bool = True) -> DataFrame:
+    """``(keys, series, n, q)`` with ``q[0]`` the median: exact by counts and ranks (``functions.quantile``) or, only
+    when asked, ``percentile_approx``."""
+    if exact:
+        return exact_quantiles(long, [*keys, series], value)
+    return (long.where(F.col(value).isNotNull()).groupBy(*keys, series)
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.array(F.percentile_approx(value, 0.5, APPROX_ACCURACY).cast("double")).alias("q")))
 
 
 def _agg0(fn, c: Column) -> Column:
     return F.coalesce(fn(c).cast("long"), F.lit(0).cast("long"))
 
 
-def slice_metrics(facts: DataFrame, exact: bool = True) -> DataFrame:
-    """A5 + A6 + A8 in one aggregation over the since-first-PaC slice."""
-    f = _with_first(facts)
-    after = _after()
-    has = F.col("has_pac_changes")
+def _sizes() -> dict[str, Column]:
+    """Line counts by series, null where a commit is not part of it (A6: all commits of the slice; A8: positive ones)."""
+    after, has = _after(), F.col("has_pac_changes")
     size = F.col("total_added_lines") + F.col("total_deleted_lines")
     pac_size = F.col("pac_added_lines") + F.col("pac_deleted_lines")
     non_pac = size - pac_size
-    pac_c = after & has
-    non_c = after & ~has
-    pv = F.when(pac_c & (pac_size > 0), pac_size)
-    nv = F.when(pac_c & (non_pac > 0), non_pac)
-    ov = F.when(non_c & (size > 0), size)
+    return {"pac_commit_median_size": F.when(after & has, size),
+            "non_pac_commit_median_size": F.when(after & ~has, size),
+            "pac_code_median_changes": F.when(after & has & (pac_size > 0), pac_size),
+            "non_pac_code_median_changes": F.when(after & has & (non_pac > 0), non_pac),
+            "non_pac_only_median_changes": F.when(after & ~has & (size > 0), size)}
+
+
+# Medians of A6 and of A8.
+SIZE_MEDIANS = ("pac_commit_median_size", "non_pac_commit_median_size")
+CHANGE_MEDIANS = ("pac_code_median_changes", "non_pac_code_median_changes", "non_pac_only_median_changes")
+
+
+def slice_metrics(facts: DataFrame, exact: bool = True,
+                  medians: tuple[str, ...] = SIZE_MEDIANS + CHANGE_MEDIANS) -> DataFrame:
+    """A5 + A6 + A8 over the since-first-PaC slice: one aggregation for counts, minima and maxima, one for ``medians``."""
+    f = _with_first(facts)
+    after, has = _after(), F.col("has_pac_changes")
+    sizes = _sizes()
+    pv, nv, ov = (sizes[c] for c in CHANGE_MEDIANS)
     g = f.groupBy("repo_id", "project_name").agg(
         F.count(F.when(after, 1)).alias("total_commits"),
-        F.count(F.when(pac_c, 1)).alias("pac_commits"),
+        F.count(F.when(after & has, 1)).alias("pac_commits"),
         F.count(F.when(~after, 1)).alias("first_pac_commit_index"),
-        # A6
-        _median0(F.when(pac_c, size), exact).alias("pac_commit_median_size"),
-        _median0(F.when(non_c, size), exact).alias("non_pac_commit_median_size"),
-        # A8
         F.count(pv).alias("pac_commits_with_changes"),
-        _median0(pv, exact).alias("pac_code_median_changes"),
         _agg0(F.min, pv).alias("pac_changes_min"),
         _agg0(F.max, pv).alias("pac_changes_max"),
         F.count(nv).alias("non_pac_commits_with_changes"),
-        _median0(nv, exact).alias("non_pac_code_median_changes"),
         _agg0(F.min, nv).alias("non_pac_changes_min"),
         _agg0(F.max, nv).alias("non_pac_changes_max"),
         F.count(ov).alias("non_pac_only_commits_count"),
-        _median0(ov, exact).alias("non_pac_only_median_changes"),
         _agg0(F.min, ov).alias("non_pac_only_changes_min"),
         _agg0(F.max, ov).alias("non_pac_only_changes_max"))
+    if medians:
+        long = _stacked(f.select("repo_id", *[sizes[c].alias(c) for c in medians]), "__series", "__size",
+                        {c: c for c in medians}, "repo_id")
+        found = _medians(long, ["repo_id"], "__series", "__size", exact).groupBy("repo_id").agg(
+            *[F.max(F.when(F.col("__series") == c, F.col("q")[0])).alias(c) for c in medians])
+        g = g.join(found, "repo_id", "left").fillna(0.0, list(medians))
     return (g.withColumn("non_pac_commits", F.col("total_commits") - F.col("pac_commits"))
             .withColumn("pac_maintenance_frequency", _ratio_pct("pac_commits", "total_commits"))
             .withColumnRenamed("project_name", "repository"))
@@ -157,21 +171,20 @@ def slice_metrics(facts: DataFrame, exact: bool = True) -> DataFrame:
 
 def pac_frequency(facts: DataFrame) -> DataFrame:
     """A5: share of commits that change PaC files after the first one, in percent."""
-    return slice_metrics(facts).select("repo_id", "repository", "total_commits", "pac_commits",
-                                       "pac_maintenance_frequency", "first_pac_commit_index")
+    return slice_metrics(facts, medians=()).select("repo_id", "repository", "total_commits", "pac_commits",
+                                                   "pac_maintenance_frequency", "first_pac_commit_index")
 
 
 def commit_size_medians(facts: DataFrame, exact: bool = True) -> DataFrame:
     """Median commit size (all lines) of PaC and non-PaC commits in the slice."""
-    return slice_metrics(facts, exact).select(
+    return slice_metrics(facts, exact, SIZE_MEDIANS).select(
         "repo_id", "repository", F.col("pac_commits").alias("pac_commits_count"),
-        F.col("non_pac_commits").alias("non_pac_commits_count"),
-        "pac_commit_median_size", "non_pac_commit_median_size")
+        F.col("non_pac_commits").alias("non_pac_commits_count"), *SIZE_MEDIANS)
 
 
 def code_change_sizes(facts: DataFrame, exact: bool = True) -> DataFrame:
     """Count / median / min / max of positive PaC, non-PaC-in-PaC and non-PaC-only sizes."""
-    return slice_metrics(facts, exact).select(
+    return slice_metrics(facts, exact, CHANGE_MEDIANS).select(
         "repo_id", "repository",
         "pac_commits_with_changes", "pac_code_median_changes", "pac_changes_min", "pac_changes_max",
         "non_pac_commits_with_changes", "non_pac_code_median_changes", "non_pac_changes_min",
@@ -196,35 +209,48 @@ def maintainer_share(facts: DataFrame) -> DataFrame:
     return out.withColumn("pac_maintainer_percentage", _ratio_pct("pac_authors", "total_authors"))
 
 
-def repo_metrics(facts: DataFrame, exact: bool = True) -> DataFrame:
+def repo_metrics(facts: DataFrame, exact: bool = True,
+                 medians: tuple[str, ...] = SIZE_MEDIANS + CHANGE_MEDIANS) -> DataFrame:
     """A5-A8 side by side, one row per repository with a PaC commit."""
     a7 = maintainer_share(facts).drop("repository")
-    return slice_metrics(facts, exact).join(a7, "repo_id", "inner")
+    return slice_metrics(facts, exact, medians).join(a7, "repo_id", "inner")
+
+
+# Median over the repositories (A9) -> metric; those of the second table skip zeros (Q17).
+CORPUS_MEDIANS = {
+    "median_pac_maintenance_frequency": "pac_maintenance_frequency", "median_pac_commits": "pac_commits",
+    "median_total_commits": "total_commits", "median_pac_maintainer_percentage": "pac_maintainer_percentage",
+    "median_pac_authors": "pac_authors", "median_total_authors": "total_authors",
+    "median_pac_commit_size": "pac_commit_median_size", "median_non_pac_commit_size": "non_pac_commit_median_size",
+    "median_pac_code_changes": "pac_code_median_changes"}
+CORPUS_MEDIANS_POSITIVE = {
+    "median_non_pac_code_changes": "non_pac_code_median_changes",
+    "median_non_pac_only_changes": "non_pac_only_median_changes"}
+# Numbers of repositories whose metric is positive.
+CORPUS_COUNTS = {"repos_with_pac_changes": "pac_commits_with_changes", "repos_with_non_pac_only": "non_pac_only_commits_count"}
 
 
 def corpus_medians(facts: DataFrame, exact: bool = True) -> DataFrame:
-    """Cross-repository medians; the two non-PaC code medians skip zeros (Q17)."""
+    """Cross-repository medians; the two non-PaC code medians skip zeros (Q17).
+
+    The metrics are computed once and stacked; every number is the count or the median of one series."""
     m = repo_metrics(facts, exact)
+    values = {name: F.col(c).cast("double") for name, c in CORPUS_MEDIANS.items()}
+    values |= {name: F.when(F.col(c) > 0, F.col(c).cast("double")) for name, c in CORPUS_MEDIANS_POSITIVE.items()}
+    values |= {name: F.when(F.col(c) > 0, F.lit(1.0)) for name, c in CORPUS_COUNTS.items()}
+    long = _stacked(m.select(*[v.alias(name) for name, v in values.items()]), "__series", "__x", {c: c for c in values})
+    found = _medians(long, [], "__series", "__x", exact)
+
+    def of(series: str, c: Column) -> Column:
+        return F.max(F.when(F.col("__series") == series, c))
+
+    def count_of(series: str) -> Column:
+        return F.coalesce(of(series, F.col("n")), F.lit(0).cast("long"))
 
-    def med(c: str, positive: bool = False) -> Column:
-        x = F.col(c).cast("double")
-        return _median(F.when(x > 0, x) if positive else x, exact)
-
-    return m.agg(
-        F.count(F.lit(1)).alias("repositories"),
-        med("pac_maintenance_frequency").alias("median_pac_maintenance_frequency"),
-        med("pac_commits").alias("median_pac_commits"),
-        med("total_commits").alias("median_total_commits"),
-        med("pac_maintainer_percentage").alias("median_pac_maintainer_percentage"),
-        med("pac_authors").alias("median_pac_authors"),
-        med("total_authors").alias("median_total_authors"),
-        med("pac_commit_median_size").alias("median_pac_commit_size"),
-        med("non_pac_commit_median_size").alias("median_non_pac_commit_size"),
-        med("pac_code_median_changes").alias("median_pac_code_changes"),
-        med("non_pac_code_median_changes", True).alias("median_non_pac_code_changes"),
-        med("non_pac_only_median_changes", True).alias("median_non_pac_only_changes"),
-        F.count(F.when(F.col("pac_commits_with_changes") > 0, 1)).alias("repos_with_pac_changes"),
-        F.count(F.when(F.col("non_pac_only_commits_count") > 0, 1)).alias("repos_with_non_pac_only"))
+    return found.agg(
+        count_of("median_total_commits").alias("repositories"),
+        *[of(name, F.col("q")[0]).alias(name) for name in (*CORPUS_MEDIANS, *CORPUS_MEDIANS_POSITIVE)],
+        *[count_of(name).alias(name) for name in CORPUS_COUNTS])
 
 
 def split_full_name(df: DataFrame, col: str = "project_name") -> DataFrame:
@@ -295,10 +321,8 @@ def boxplot_summary(facts: DataFrame) -> DataFrame:
     m = code_change_sizes(facts)
     long = _stacked(m, "series", "v", {"PaC Files": "pac_code_median_changes",
                                        "Non-PaC Files": "non_pac_code_median_changes"}).filter(F.col("v") > 0)
-    q = long.groupBy("series").agg(
-        F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("series", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"))
+    q = exact_quantiles(long, ["series"], "v", (0.25, 0.5, 0.75)).select(
+        "series", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = (q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     j = long.join(F.broadcast(q), "series")  # q has one row per series (two rows)
@@ -313,7 +337,7 @@ def boxplot_summary(facts: DataFrame) -> DataFrame:
 
 def share_histogram(facts: DataFrame, width: float = 5.0) -> DataFrame:
     """Fixed-width histogram of the two percentage metrics (data behind the violins)."""
-    m = repo_metrics(facts)
+    m = repo_metrics(facts, medians=())
     long = _stacked(m, "metric", "x", {c: c for c in ("pac_maintenance_frequency", "pac_maintainer_percentage")})
     return (long.groupBy("metric", (F.floor(F.col("x") / width) * width).cast("double").alias("bin_start"))
             .agg(F.count(F.lit(1)).alias("repositories")))
