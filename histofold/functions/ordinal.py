@@ -19,6 +19,7 @@ The result equals ``row_number() - 1`` over the full order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,19 +45,20 @@ def ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Colum
             .drop(b, "__off"))
 
 
-def file_row_number(df: DataFrame, name: str = "idx") -> DataFrame:
+def file_row_number(scans: DataFrame | Sequence[DataFrame], name: str = "idx") -> DataFrame:
     """1-based row number in file order (file path, then position in the file).
 
-    ``df`` must come straight from a file scan.  Every scan split (a file, or
-    a block of a splittable file) is read by one task in order, so
+    ``scans`` must come straight from file scans (several are stacked; a file belongs to one of
+    them).  Every scan split (a file, or a block of a splittable file) is read by one task in order, so
     ``monotonically_increasing_id`` is consecutive inside a split.  A split
     table (one row per split: first id and row count) gets prefix sums in
     split order; rows add their offset inside the split.  Only the split table,
     whose size is the number of splits, passes through one task.
     """
-    d = (df.withColumn("__file", F.col("_metadata.file_path"))
-         .withColumn("__block", F.col("_metadata.file_block_start"))
-         .withColumn("__mid", F.monotonically_increasing_id()))
+    tagged = [d.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"),
+                             "__mid": F.monotonically_increasing_id()})
+              for d in ([scans] if isinstance(scans, DataFrame) else scans)]
+    d = reduce(DataFrame.unionByName, tagged)
     splits = d.groupBy("__file", "__block").agg(F.min("__mid").alias("__m0"),
                                                 F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)

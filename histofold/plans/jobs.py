@@ -117,23 +117,58 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
     (res.run_metadata(spark, start, repository_no=repository_no, use_test_mode=use_test_mode,
                       csv_path=catalog_path, pac_file_names_csv=pac_path)
      .write.mode("append").json(f"{out_root}/runs"))
-    # Catalog names that had commits, then the one-row marker that publishes the run.
-    (todo.join(live.select("repo_id").distinct(), "repo_id", "left_semi").select("full_name")
-     .write.parquet(f"{out_root}/done_keys/run={run}"))
+    publish(spark, out_root, run, todo.join(live.select("repo_id").distinct(), "repo_id", "left_semi"))
+    return diagnostics
+
+
+def publish(spark: SparkSession, out_root: str, run: str, collected: DataFrame) -> None:
+    """Publish a written run: its manifest, the catalog names (``full_name``) it has collected, and last the one-row
+    marker from which on it counts."""
+    res.write_manifest(spark, out_root, run)
+    collected.select("full_name").write.parquet(f"{out_root}/done_keys/run={run}")
     (spark.createDataFrame([(time.time(),)], "finished double").coalesce(1)
      .write.parquet(f"{out_root}/published/run={run}"))
-    return diagnostics
 
 
-def _published(spark: SparkSession, out_root: str) -> DataFrame | None:
-    """(full_name, run) of the last published run of every repository; None before the first one."""
+def discover(spark: SparkSession, out_root: str) -> DataFrame:
+    """S7 over published results: (owner_name, repository_name, file_path, run), the last published run of each
+    repository, from the manifest -- one small table a run, however many result folders there are.
+
+    Published runs that no manifest lists (written before there were any) are listed first, each once.  A folder
+    without published runs, such as the analysed tool's own documents, is searched (``results.discover_results``; ``run`` null).
+    """
+    runs = _runs(spark, out_root)
+    if runs is None:
+        return res.discover_results(spark, out_root).select(
+            "owner_name", "repository_name", "file_path", F.lit(None).cast("string").alias("run"))
+    listed = _if_there(lambda: res.read_manifest(spark, out_root).select("run").distinct())
+    for row in (runs if listed is None else runs.join(listed, "run", "left_anti")).select("run").collect():  # runs, not results
+        res.write_manifest(spark, out_root, row.run)
+    return (res.read_manifest(spark, out_root).join(runs, "run").groupBy("owner_name", "repository_name")
+            .agg(F.max_by(F.struct("file_path", "run"), F.struct("finished", "run")).alias("last"))
+            .select("owner_name", "repository_name", "last.file_path", "last.run"))
+
+
+def _if_there(read) -> DataFrame | None:
     try:
-        runs = spark.read.schema("finished double, run string").parquet(f"{out_root}/published")
-        keys = spark.read.schema("full_name string, run string").parquet(f"{out_root}/done_keys")
+        return read()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+def _runs(spark: SparkSession, out_root: str) -> DataFrame | None:
+    """(finished, run) of the published runs; None before the first one."""
+    return _if_there(lambda: spark.read.schema("finished double, run string").parquet(f"{out_root}/published"))
+
+
+def _published(spark: SparkSession, out_root: str) -> DataFrame | None:
+    """(full_name, run) of the last published run of every repository; None before the first one."""
+    runs = _runs(spark, out_root)
+    if runs is None:
+        return None
+    keys = spark.read.schema("full_name string, run string").parquet(f"{out_root}/done_keys")
     return (keys.join(runs, "run").groupBy("full_name")
             .agg(F.max_by("run", F.struct("finished", "run")).alias("run")))
 

@@ -742,3 +742,17 @@ SELECT cast(a.repo_id AS BIGINT) AS repository_id, a.project_name, cast(a.commit
        a.total_deleted_lines
 FROM facts a
 """)
+
+# ------------------------------------- one CSV file, mixed catalog, manifest
+register_x("inspection_file", """
+SELECT cast(row_number() OVER (ORDER BY project_name, date, commit_sha) AS INTEGER) AS line, project_name, commit_sha, commit_message,
+       author, date, github_url, pac_files_count, other_files_count, pac_added_lines, pac_deleted_lines, total_added_lines,
+       total_deleted_lines, pac_files, pac_files_detailed
+FROM insp
+""")
+register("scan_mixed_catalog", "SELECT cast(repo_id AS BIGINT) AS repo_id, full_name, sha, idx FROM repos")
+register("discover_published", """
+SELECT split_part(project_name, '/', 1) AS owner_name, split_part(project_name, '/', 2) AS repository_name,
+       CASE WHEN max(repo_id) % 3 = 0 THEN 'second' ELSE 'first' END AS run
+FROM facts GROUP BY project_name
+""")

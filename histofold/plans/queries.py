@@ -577,3 +577,31 @@ def q_write_inspection_csv(spark, sf):
     rows = ins.inspection_sorted(_sample(spark, sf))
     sinks.write_inspection_csv(rows, path)
     return sinks.read_inspection_csv(spark, path)
+
+
+@query("inspection_file")
+def q_inspection_file(spark, sf):
+    """Every PaC commit in one ordered CSV file, read back with the row's place in it."""
+    path = f"{_io_dir(spark, sf, 'inspection_file')}/inspection.csv"
+    sinks.write_inspection_file(ins.inspection_sorted(_inspection(spark, sf)), path)
+    return sinks.read_inspection_csv(spark, path, "line")
+
+
+@query("scan_mixed_catalog")
+def q_scan_mixed_catalog(spark, sf):
+    """A catalog in two layouts: the first rows as exported, the others with fewer columns in another order."""
+    repos, root = context(spark, sf).h.repos, _io_dir(spark, sf, "mixed_catalog")
+    cat.write_repo_catalog(repos.filter("idx <= 9"), f"{root}/a")
+    (repos.filter("idx > 9").orderBy("idx").select(F.col("sha").alias("last_commit_sha"), "full_name", F.col("repo_id").alias("id"))
+     .write.option("header", True).csv(f"{root}/b"))
+    return cat.scan_repo_catalog(spark, f"{root}/*")
+
+
+@query("discover_published")
+def q_discover_published(spark, sf):
+    """Two published runs, the second over every third repository; which of them holds each repository's result."""
+    ctx, root = context(spark, sf), _io_dir(spark, sf, "published")
+    for run, facts in (("first", ctx.facts), ("second", ctx.facts.filter("repo_id % 3 = 0"))):
+        res.write_results(res.result_commits(facts), res.result_repositories(facts), root, run=run, layout="sorted")
+        jobs.publish(spark, root, run, facts.select(F.col("project_name").alias("full_name")).distinct())
+    return jobs.discover(spark, root).select("owner_name", "repository_name", "run")

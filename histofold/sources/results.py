@@ -191,6 +191,21 @@ def discover_results(spark: SparkSession, root: str) -> DataFrame:
     return found
 
 
+def write_manifest(spark: SparkSession, root: str, run: str) -> None:
+    """List run ``run`` in the manifest below ``root``: (owner, repository, file) of each of its repositories.
+
+    The folders of one run are listed once, when it is published; discovery then reads the manifest.
+    """
+    (spark.read.schema(_with_partition_keys(RESULT_REPOSITORY)).json(f"{root}/repositories/run={run}")
+     .groupBy("owner_name", "repository_name").agg(F.max(F.col("_metadata.file_path")).alias("file_path"))
+     .write.parquet(f"{root}/manifest/run={run}"))
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(owner_name, repository_name, file_path, run) of all listed runs, published or not."""
+    return spark.read.schema("owner_name string, repository_name string, file_path string, run string").parquet(f"{root}/manifest")
+
+
 def read_results(spark: SparkSession, root: str, runs: bool = False) -> tuple[DataFrame, DataFrame]:
     """Read result commits; returns ``(good, quarantined)``.
 

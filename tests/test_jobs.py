@@ -200,6 +200,31 @@ def test_documents_behind_discovery(spark, tmp_path):
     assert [r.file_path.rsplit("/", 1)[1] for r in bad] == ["b.json"]
 
 
+def test_discovery_by_manifest(spark, tmp_path):
+    catalog, pac, history = _inputs(spark, tmp_path)
+    out = tmp_path / "results"
+    jobs.collect(spark, catalog, pac, history, str(out))
+    jobs.collect(spark, catalog, pac, history, str(out), repository_no=2, skip_existing=False, layout="sorted")
+    last = sorted(out.joinpath("published").glob("run=*"), key=lambda f: f.stat().st_mtime)[-1].name.removeprefix("run=")
+    found = {(r.owner_name, r.repository_name): r for r in jobs.discover(spark, str(out)).collect()}
+    assert set(found) == {("o", "r"), ("fork", "r")}
+    assert found["fork", "r"].run == last != found["o", "r"].run
+    rows = {k: spark.read.json(r.file_path).count() for k, r in found.items()}
+    assert rows == {("o", "r"): 1, ("fork", "r"): 1}
+    # the result folders are not looked at: discovery is the same without them
+    plan = jobs.discover(spark, str(out))._jdf.queryExecution().optimizedPlan().toString()
+    assert "repositories" not in plan
+    # a run that is listed but not published does not count; a published one without a list is listed
+    (out / "published" / f"run={last}").rename(tmp_path / "hidden")
+    spark.catalog.refreshByPath(str(out))
+    assert {r.run for r in jobs.discover(spark, str(out)).collect()} == {found["o", "r"].run}
+    (tmp_path / "hidden").rename(out / "published" / f"run={last}")
+    (out / "manifest" / f"run={last}").rename(tmp_path / "old-manifest")
+    spark.catalog.refreshByPath(str(out))
+    assert {(r.repository_name, r.owner_name, r.run) for r in jobs.discover(spark, str(out)).collect()} == {
+        ("r", k[0], r.run) for k, r in found.items()}
+
+
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_dates_outside_the_usual_range(spark, ansi):
     from fixtures import micro_frames  # noqa: F401

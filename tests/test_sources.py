@@ -77,6 +77,48 @@ def test_inspection_csv_keeps_cr_and_quotes(spark, tmp_path):
     assert not sinks.write_inspection_csv(rows.limit(0), str(tmp_path / "empty"))
 
 
+def test_inspection_file_is_one_ordered_file(spark, tmp_path):
+    facts, classified = micro_facts(spark)
+    facts = facts.withColumn("message", F.when(F.col("commit_id") == "c6", F.lit('fix "x",\r\nmore')).otherwise(F.col("message")))
+    rows = ins.inspection_rows(facts, classified)
+    many = ins.inspection_sorted(rows.crossJoin(spark.range(700)).withColumn(
+        "project_name", F.concat(F.lit("o/r"), (F.col("id") * 7919 % 700).cast("string"))).drop("id").repartition(6))
+    path = str(tmp_path / "new folder" / "insp.csv")
+    assert sinks.write_inspection_file(many, path)
+    with open(path, newline="") as f:
+        lines = f.read().split("\n")
+    assert lines[0] == ",".join(ins.CSV_COLUMNS) and sum(x == lines[0] for x in lines) == 1
+    back = sinks.read_inspection_csv(spark, path, "line").orderBy("line").collect()
+    want = [(r.project_name, r.commit_sha, r.commit_message) for r in many.collect()]
+    assert [(r.project_name, r.commit_sha, r.commit_message) for r in back] == want
+    assert [r.line for r in back] == list(range(1, len(want) + 1))
+    assert [f.name for f in (tmp_path / "new folder").iterdir()
+            if not f.name.startswith(".")] == ["insp.csv"]  # nothing unfinished is left
+    assert not sinks.write_inspection_file(rows.limit(0), str(tmp_path / "none.csv")) and not (tmp_path / "none.csv").exists()
+
+
+def test_catalog_files_with_different_headers(spark, tmp_path):
+    import pytest
+
+    d = tmp_path / "cat 1"
+    d.mkdir()
+    (d / "a.csv").write_text("id,full_name,last_commit_sha,stars\n1,o/a,s1,5\n2,o/b,s2,6\n")
+    (d / "b x.csv").write_text("stars,last_commit_sha,full_name,id\n7,s3,o/c,3\n")
+    (d / "c.csv").write_text('full_name,id\n"o/d, ""e""",4\n')
+    (d / "d.csv").write_text("id,full_name,last_commit_sha,stars\n5,o/f,s5,1\n")
+    path = str(tmp_path / "cat 1") + "/*.csv"
+    got = [tuple(r) for r in cat.scan_repo_catalog(spark, path).orderBy("idx").collect()]
+    assert got == [(1, "o/a", "s1", 1), (2, "o/b", "s2", 2), (3, "o/c", "s3", 3), (4, 'o/d, "e"', None, 4), (5, "o/f", "s5", 5)]
+    (d / "e.csv").write_text("name,id\no/g,6\n")
+    with pytest.raises(ValueError, match="e.csv lacks required columns: ..full_name"):
+        cat.scan_repo_catalog(spark, path)
+    p = tmp_path / "pac"
+    p.mkdir()
+    (p / "1.csv").write_text("repo_id,path\n1,x.rego\n1,x.rego\n")
+    (p / "2.csv").write_text("path,note,repo_id\ny.rego,n,2\nx.rego,n,1\n")
+    assert sorted(tuple(r) for r in cat.scan_pac_files(spark, str(p)).collect()) == [(1, "x.rego"), (2, "y.rego")]
+
+
 def test_sorted_layout_roundtrip(spark, tmp_path):
     facts, classified = micro_facts(spark)
     _c, _f, _ch, _p, repos = micro_frames(spark)
