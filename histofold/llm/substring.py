@@ -1,23 +1,24 @@
-"""Substring dedup: sliding sentence spans, joined globally; later repeats are removed.
+"""Substring dedup: sliding sentence spans, joined globally; sentences that a later repeat covers are removed.
 
 A text is cut into units: sentences (ending in ``.``, ``!``, ``?`` or a line break), and
 inside them by winnowing: of every ``WINDOW`` words without a stop, those with the smallest
 hash close a unit (all of them, if several are equal).  So a unit has at most ``WINDOW``
 words, and a passage has the same cuts wherever it stands, but for ``WINDOW`` - 1 words at
-either end: with 3 units, any 6 * ``WINDOW`` - 2 shared words hold a whole run.
+either end: any ``LEAST_WORDS`` + 4 * ``WINDOW`` - 3 = 49 shared words hold a whole run.
 From every unit on, the run of at least ``UNITS`` units and ``LEAST_WORDS`` words is hashed
 (128 bits over the lower-cased words), and, where a line break lies in it, also the run
 that takes no notice of line breaks, so that a passage broken into other lines is seen.  Runs are counted over the whole corpus; the first
-occurrence of each, by (document id, place), stays, and in every other occurrence all its
-units are removed.
+occurrence of each, by (document id, place), stays.  The units are for finding: from the others, whole sentences
+go, those that repeats cover from the first word to the last.  A sentence of more than ``LONG_SENTENCE`` words (text
+without stops) is the one that is cut inside, at its units.
 
 Scale: counting sends (hash, count, smallest id) merged map-side, so a passage held by a
 third of all rows is one row per map task; the occurrences of repeated runs are found by a
 join whose right side has one row a hash, which Spark splits where it is skewed.
 
 Defined cases: null text counts as empty and comes back as null; texts of fewer words have
-no run; null ids come after all others; rows that repeat both id and text count as one
-document (both are cut alike); very long texts are runs of the same size; an empty table
+no run; ids of whole numbers are ordered as such, any others as text; null ids come after all others; rows that repeat both
+id and text count as one document (both are cut alike); very long texts are runs of the same size; an empty table
 gives an empty result; other columns are ignored by ``repeats`` and carried by ``cut``.
 """
 
@@ -25,13 +26,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histofold.llm.common import OWN, Scratch, plain, refuse, ship
 
-UNITS, LEAST_WORDS = 3, 10
+UNITS, LEAST_WORDS = 3, 20
+#: Words of a sentence up to which it goes as a whole or stays; no 49 repeated words fit into two that stay.
+LONG_SENTENCE = 24
 #: Words of which one at least closes a unit.
 WINDOW = 8
 _SPACE = np.zeros(256, bool)
@@ -40,7 +44,8 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LAST = 9223372036854775807
+#: What stands for a null id: whole numbers, text.
+_LAST, _LAST_TEXT = 9223372036854775807, chr(0x10FFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +70,8 @@ def _winnowed(stop: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _cuts(raw: bytes):
-    """(byte starts of the units, their first words, those that line breaks alone do not make, word hashes) of a text."""
+    """(byte starts of the units, their first words, those that line breaks alone do not make, word hashes, whether a
+    unit begins a sentence) of a text."""
     import xxhash
 
     a = np.frombuffer(raw, np.uint8)
@@ -73,19 +79,21 @@ def _cuts(raw: bytes):
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return starts, starts, starts, np.empty(0, np.uint64)
+        return starts, starts, starts, np.empty(0, np.uint64), starts
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw.lower().split()), np.uint64, len(starts))
     lines = np.concatenate(([0], np.cumsum(a == 10)))
-    closes = _winnowed(_STOP[a[ends - 1]], h)
+    stop = _STOP[a[ends - 1]]
+    closes = _winnowed(stop, h)
     firm = np.concatenate(([0], np.flatnonzero(closes[:-1]) + 1))
-    closes[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
+    broken = lines[starts[1:]] > lines[ends[:-1]]
+    closes[:-1] |= broken
     first = np.concatenate(([0], np.flatnonzero(closes[:-1]) + 1))
-    return starts[first], first, firm, h
+    return starts[first], first, firm, h, np.concatenate(([True], stop[:-1] | broken))[first]
 
 
 def units(raw: bytes):
     """(byte starts of the units, their first words, word hashes) of a text."""
-    starts, first, _, h = _cuts(raw)
+    starts, first, _, h, _ = _cuts(raw)
     return starts, first, h
 
 
@@ -123,10 +131,25 @@ def _placed(first: np.ndarray, firm: np.ndarray, h: np.ndarray):
     return tuple(both)
 
 
+def _whole(covered: np.ndarray, heads: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Units to remove: those of sentences (from one head to the next) covered as a whole, and covered ones of long sentences."""
+    begin = np.flatnonzero(heads)
+    units_of = np.diff(np.concatenate((begin, [len(heads)])))
+    whole = np.repeat(np.logical_and.reduceat(covered, begin), units_of)
+    long = np.repeat(np.add.reduceat(words, begin) > LONG_SENTENCE, units_of)
+    return whole | (long & covered)
+
+
+def _ident(docs: DataFrame, id_col: str) -> Column:
+    """The id to order by, never null."""
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    return F.coalesce(F.col(id_col).cast("string"), F.lit(_LAST_TEXT))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = plain(F.col(text_col))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("key"),
-                       text.alias("text"))
+    return docs.select(_ident(docs, id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +162,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 ident, key, text = batch.slice(at, 256).columns
                 rows, parts = [], []
                 for k, t in enumerate(text):
-                    _, first, firm, h = _cuts(t.as_py().encode("utf-8", "replace"))
+                    _, first, firm, h, _ = _cuts(t.as_py().encode("utf-8", "replace"))
                     if len(first):
                         unit, _, _, x, y = _placed(first, firm, h)
                         parts.append((x.view(np.int64), y.view(np.int64), unit))
@@ -152,7 +175,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     [pa.array(x), pa.array(y), ident.take(pa.array(pick)), key.take(pa.array(pick)), pa.array(unit.astype(np.int64))],
                     ["h1", "h2", "id", "key", "unit"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "h1 long, h2 long, id long, key long, unit long")
+    keyed = _keyed(docs, id_col, text_col)
+    return keyed.mapInArrow(run, f"h1 long, h2 long, id {keyed.schema['id'].dataType.simpleString()}, key long, unit long")
 
 
 def repeats(docs: DataFrame, store: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,9 +196,10 @@ def repeats(docs: DataFrame, store: Scratch, id_col: str = "doc_id", text_col: s
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeats removed from the text, and n_units, n_removed, first_ids (who keeps them).
+    """``docs`` with repeated sentences removed from the text, and n_units, n_removed (units of the text, those removed),
+    first_ids (documents that hold the first occurrence of runs repeated here; a null stands for a null id).
 
-    Columns of these names in ``docs`` are refused; ids are those that cast to long.
+    ``first_ids`` is null for a text from which nothing goes.  Columns of these names in ``docs`` are refused.
     """
     refuse(docs, "first_ids", "n_units", "n_removed")
     spark = docs.sparkSession
@@ -184,12 +209,14 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         F.col("id").alias(f"{OWN}id"), F.col("key").alias(f"{OWN}key"), F.col("units").alias(f"{OWN}units"),
         F.col("firsts").alias(f"{OWN}firsts"))
     text = F.col(text_col)
-    joined = docs.withColumns({f"{OWN}i": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)),
+    kind = later.schema[f"{OWN}id"].dataType
+    joined = docs.withColumns({f"{OWN}i": _ident(docs, id_col),
                                f"{OWN}k": F.xxhash64(plain(text))}).join(
         later, (F.col(f"{OWN}i") == F.col(f"{OWN}id")) & (F.col(f"{OWN}k") == F.col(f"{OWN}key")), "left")
-    joined = joined.select(*docs.columns, f"{OWN}units", F.expr(
-        f"transform({OWN}firsts, x -> nullif(x, {_LAST}L))").alias("first_ids"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("first_ids", T.ArrayType(T.LongType())),
+    last = F.lit(_LAST if isinstance(kind, T.LongType) else _LAST_TEXT)
+    joined = joined.select(*docs.columns, f"{OWN}units", F.transform(
+        f"{OWN}firsts", lambda x: F.nullif(x, last)).alias("first_ids"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("first_ids", T.ArrayType(kind)),
                            T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches):
@@ -199,7 +226,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             texts, total, gone = [], [], []
             for t, marked in zip(batch.column(place), wide):
                 raw = (t.as_py() or "").encode("utf-8", "replace")
-                starts, first, firm, h = _cuts(raw)
+                starts, first, firm, h, heads = _cuts(raw)
                 total.append(len(starts))
                 if not marked.is_valid:
                     texts.append(t.as_py())
@@ -210,12 +237,14 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 here = np.isin(place_of, marked.values.to_numpy())
                 np.add.at(edge, unit[here], 1)
                 np.add.at(edge, stop[here], -1)
-                drop = np.cumsum(edge[:-1]) > 0
+                drop = _whole(np.cumsum(edge[:-1]) > 0, heads, np.diff(np.concatenate((first, [len(h)]))))
                 ends = np.concatenate((starts[1:], [len(raw)]))
                 texts.append((raw[:starts[0]] + b"".join(raw[a:b] for a, b, d in zip(starts, ends, drop) if not d)).decode())
                 gone.append(int(drop.sum()))
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n != f"{OWN}units"}
             columns[text_col] = pa.array(texts, pa.string())
+            kept = pa.array([not n for n in gone], pa.bool_())
+            columns["first_ids"] = pc.if_else(kept, pa.scalar(None, columns["first_ids"].type), columns["first_ids"])
             columns |= {"n_units": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
