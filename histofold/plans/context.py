@@ -13,7 +13,6 @@ that shapes the tables, so a changed input or rule never reuses stale output.
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import uuid
 
@@ -92,13 +91,11 @@ class Context:
         return f"{scratch_dir(self.spark)}/histofold/{self._key}"
 
     def _published(self, base: str) -> str | None:
-        local = base[len("file:"):] if base.startswith("file:") else base
-        if "://" not in local and not glob.glob(f"{local}/*/DONE"):
-            return None  # local folder: skip a failing (and noisily logged) Spark lookup
-        try:
-            rows = self.spark.read.parquet(f"{base}/*/DONE").select("attempt", "buckets").collect()
-        except AnalysisException:  # nothing published yet
-            return None
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{base}/*/DONE")
+        if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done):
+            return None  # nothing published yet, on whatever file system the folder is
+        # with a schema: a marker that another writer has only begun reads as no rows
+        rows = self.spark.read.schema("attempt string, buckets int").parquet(f"{base}/*/DONE").collect()
         if not rows:
             return None
         best = min(rows, key=lambda r: r.attempt)
