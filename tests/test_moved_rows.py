@@ -30,3 +30,74 @@ def test_touched_files_equal_the_join_with_the_last_change(spark):
     touched = cl.touched_files(records).filter("file IS NOT NULL")
     cols = ["commit_id", "pos", "file", "additions", "deletions", "status", "has_info"]
     assert sorted(map(tuple, touched.select(cols).collect()), key=str) == sorted(map(tuple, joined.select(cols).collect()), key=str)
+
+
+def test_result_lines_are_packed_and_found(spark, tmp_path):
+    from histofold.sources import results as res
+
+    facts = context(spark, SF).facts
+    root = str(tmp_path / "out")
+    res.write_results(res.result_commits(facts), res.result_repositories(facts), root)
+    size = lambda pattern: sum(f.stat().st_size for f in tmp_path.glob(pattern))
+    assert size("out/commits/*/*/*.json") == 0
+    plain = sum(len(r.value) + 1 for r in spark.read.text(f"{root}/commits").select("value").collect())
+    assert 0 < size("out/commits/*/*/*.json.gz") < plain / 3
+    names = {(r.owner_name, r.repository_name) for r in res.result_repositories(facts).collect()}
+    for folder in ("", "/commits", "/repositories"):
+        assert {(r.owner_name, r.repository_name) for r in res.discover_results(spark, root + folder).collect()} == names
+
+
+def _records(spark):
+    rows = [(7, "a", "amy", ["f"], "x", 0, 1), (7, "a", "amy", ["f"], "x", 0, 2), (7, "a", "eve", ["g"], "y", 0, 3),
+            (7, "b", "bob", ["f"], "x", 0, 4), (8, "a", "eve", None, "x", 0, 5), (8, "c", None, [], "y", 0, 6), (8, "c", None, [], "x", 9, 7)]
+    d = spark.createDataFrame(rows, "repo_id long, commit_id string, author string, files array<string>, file_path string, block long, line_id long")
+    empty = {"author_email": "string", "message": "string", "date": "long", "parent_count": "int", "pos": "int",
+             "parents": "array<string>", "changes": "array<struct<file string>>"}
+    return d.withColumns({k: F.lit(None).cast(v.replace("file string", "file:string")) for k, v in empty.items()})
+
+
+def test_records_are_resolved_with_whole_records_moved_once(spark):
+    from histofold.operators import records as rec
+
+    records = _records(spark)
+    history, differing = rec.resolve_records(records, rec.repeated_commits(records))
+    assert {r.line_id for r in history.collect()} == {3, 4, 5, 6}
+    assert {r.line_id for r in differing.collect()} == {1, 2}
+    assert sorted(history.columns) == sorted(differing.columns) == sorted(records.columns)
+    whole = [x for x in leaves(history.withColumn("n", F.size("changes")), "changes") if "message" in x.output().mkString(",")]
+    plan = history._jdf.queryExecution().optimizedPlan().toString()
+    assert len(whole) <= 2 and "Union" not in plan
+
+
+def test_lists_gathered_together_equal_the_export(spark):
+    from histofold.sources import history as hist
+
+    h = context(spark, SF).h
+    one, two = hist.export_records(h.commits, h.records), hist.export_history(h.commits, h.files, h.changes)
+    assert one.schema == two.schema and one.count() == two.count()
+    assert one.exceptAll(two).isEmpty()
+    assert len(leaves(one, "l_orderkey")) == 1
+
+
+def test_inspection_file_is_read_in_blocks(spark, tmp_path):
+    from histofold.operators.inspection import CSV_COLUMNS
+    from histofold.sources import sinks
+
+    def written(name, message, author):
+        row = {"commit_message": message, "author": author, "date": "1"}
+        line = ",".join(row.get(c, "2" if c.startswith(("total", "pac_files_count", "other", "pac_added", "pac_deleted")) else "t") for c in CSV_COLUMNS)
+        (tmp_path / name).write_text(",".join(CSV_COLUMNS) + "\n" + (line + "\n") * 3_000, newline="")
+        return str(tmp_path / name)
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        plain = sinks.read_inspection_csv(spark, written("plain.csv", '"say ""hi"", twice"', "amy"), "line")
+        assert plain.rdd.getNumPartitions() > 1 and sinks.read_inspection_csv(spark, str(tmp_path / "plain.csv")).rdd.getNumPartitions() > 4
+        assert [r.line for r in plain.orderBy("line").collect()] == list(range(1, 3_001))
+        assert {r.commit_message for r in plain.collect()} == {'say "hi", twice'}
+        for name, field in (("lf.csv", '"two\nlines"'), ("cr.csv", '"two\rlines"')):
+            broken = sinks.read_inspection_csv(spark, written(name, field, '"x\ny"'), "line")
+            assert broken.count() == 3_000 and {r.commit_message.replace("\r", "\n") for r in broken.collect()} == {"two\nlines"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
