@@ -46,14 +46,17 @@ def resolve_records(records: DataFrame, repeated: DataFrame) -> tuple[DataFrame,
     """``(history, differing)``: the last record of every commit, and the records that differ from it.
 
     ``records`` carry their origin (``file_path``, ``block``, ``line_id``); only those of the ``repeated`` keys
-    are compared and grouped.
+    are compared.  What a record says is digested before anything moves, so that the comparison moves keys, origins
+    and digests; whole records move once, to meet the place of their commit's last one.
     """
-    copies = records.join(repeated, KEY, "left_semi").withColumn("__says", F.md5(F.to_json(F.struct(*CONTENT))))
-    last = copies.groupBy(*KEY).agg(F.max(F.struct("file_path", "block", "line_id", "__says")).alias("__last"))
-    marked = copies.join(last, KEY)
-    stays = marked.filter(F.col("line_id") == F.col("__last.line_id")).drop("__says", "__last")
-    differing = marked.filter(F.col("__says") != F.col("__last.__says")).drop("__says", "__last")
-    return records.join(repeated, KEY, "left_anti").unionByName(stays), differing
+    says = records.withColumn("__says", F.md5(F.to_json(F.struct(*CONTENT))))
+    origin = says.select(*KEY, F.struct("file_path", "block", "line_id", "__says").alias("__at"))
+    last = origin.join(repeated, KEY, "left_semi").groupBy(*KEY).agg(F.max("__at").alias("__last")).select(
+        *KEY, F.col("__last.line_id").alias("__line"), F.col("__last.__says").alias("__said"))
+    history = (records.join(last.drop("__said"), KEY, "left")
+               .filter(F.col("__line").isNull() | (F.col("line_id") == F.col("__line"))).drop("__line"))
+    differing = (says.join(last.drop("__line"), KEY).filter(F.col("__says") != F.col("__said")).drop("__says", "__said"))
+    return history, differing
 
 
 def walk_positions(history: DataFrame, lacking: DataFrame) -> DataFrame:

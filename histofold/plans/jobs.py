@@ -66,7 +66,7 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
     stage = f"{scratch_dir(spark)}/histofold/collect-{run}"
 
     def staged(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{stage}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{stage}/{name}")
         return spark.read.schema(df.schema).parquet(f"{stage}/{name}")
 
     repos = cat.scan_repo_catalog(spark, catalog_path)
