@@ -73,14 +73,23 @@ def write_inspection_file(rows: DataFrame, path: str) -> bool:
     return True
 
 
+def _breaks_inside(spark: SparkSession, path: str) -> bool:
+    """Whether some line may not be a row of its own: a field that goes on in the next line leaves an odd number of
+    quotes (a quote inside a field is doubled); a carriage return may end a line as well."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.filter((quotes % 2 == 1) | F.col("value").contains("\r")).isEmpty()
+
+
 def read_inspection_csv(spark: SparkSession, path: str, number: str | None = None) -> DataFrame:
     """Read an inspection CSV back (quoted fields may hold line breaks), with the 1-based row number in file order
     in a column ``number`` if one is named.
 
-    CSV has no null: an empty text field reads as ''.
+    CSV has no null: an empty text field reads as ''.  A file is read by many tasks, unless some quoted field holds
+    a line break: then a row cannot be found without the text before it, and each file is read by one task.
     """
-    df = (spark.read.schema(INSPECTION_CSV).option("header", True).option("multiLine", True)
-          .option("escape", '"').option("mode", "FAILFAST").csv(path))
+    read = spark.read.schema(INSPECTION_CSV).option("header", True).option("escape", '"').option("mode", "FAILFAST")
+    df = (read.option("multiLine", True) if _breaks_inside(spark, path) else read.option("lineSep", "\n")).csv(path)
     if number:
         df = file_row_number(df.select("*", "_metadata"), number).drop("_metadata")
     return df.select(*([number] if number else []), *[F.coalesce(F.col(f.name), F.lit("")).alias(f.name)
