@@ -94,7 +94,8 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
     cut = revisions.join(walks.filter("names_parents"), "repo_id").filter("revision != head_sha").select("repo_id", "revision")
     if not cut.isEmpty():
         history = staged("cut", rec.cut_at_revision(history, cut, staged))
-    commits, files, changes = hist.history_tables(hist.qualify_commit_ids(history))
+    history = hist.qualify_commit_ids(history)
+    commits, files, changes = hist.history_tables(history)
     diagnostics = staged("diagnostics", cl.collection_diagnostics(todo, commits).unionByName(
         cl.revision_diagnostics(revisions, walks, use_head)))
     if strict:
@@ -104,9 +105,9 @@ def collect(spark: SparkSession, catalog_path: str, pac_path: str, history_path:
         lost = bad.limit(1).collect()
         if lost:
             raise RuntimeError(f"{lost[0].reason} in {lost[0].file_path}")
-    per_file = staged("change_files", cl.change_files(changes))
-    classified = staged("classified", cl.classify_changes(commits, files, changes, pac, per_file))
-    facts = staged("facts", cl.commit_fold(commits, classified, changes, todo, per_file))
+    classified = staged("classified", cl.classify_changes(
+        commits, files, changes, pac, touched=cl.touched_files(hist.history_entries(cl.drop_merges(history)))))
+    facts = staged("facts", cl.commit_fold(commits, classified, changes, todo))
     facts = facts.withColumn("commit_id", hist.unqualified_commit_id())
     live = cl.drop_merges(commits)
     res.write_results(

@@ -101,3 +101,22 @@ def test_inspection_file_is_read_in_blocks(spark, tmp_path):
             assert broken.count() == 3_000 and {r.commit_message.replace("\r", "\n") for r in broken.collect()} == {"two\nlines"}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_entries_of_a_history_give_the_join_of_files_and_changes(spark):
+    from histofold.schemas import HISTORY
+    from histofold.sources import history as hist
+
+    def change(file, added, status):
+        return (file, added, 1, None if added is None else added + 1, status)
+
+    rows = [("a", ["f", "f", "g", None], [change("f", 1, 3), change("f", None, 1), change("h", 4, 2)]), ("b", [], [change("f", 2, 3)]), ("c", ["f"], [])]
+    given = spark.createDataFrame([(7, c, f, x) for c, f, x in rows], "repo_id long, commit_id string, files array<string>, changes "
+                                  + HISTORY["changes"].dataType.simpleString())
+    h = given.withColumns({"author": F.lit("x"), "author_email": F.lit("x"), "message": F.lit("m"), "date": F.lit(1), "parent_count": F.lit(1), "pos": F.lit(0)})
+    _, files, changes = hist.history_tables(h)
+    joined = files.join(cl.last_change(changes), ["commit_id", "file"], "left").withColumn("has_info", F.coalesce("has_info", F.lit(False)))
+    touched = cl.touched_files(hist.history_entries(h))
+    cols = ["commit_id", "pos", "file", "additions", "deletions", "status", "has_info"]
+    got = sorted(map(tuple, touched.select(cols).collect()), key=str)
+    assert len(got) == 4 and got == sorted(map(tuple, joined.select(cols).collect()), key=str)
