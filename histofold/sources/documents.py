@@ -1,18 +1,19 @@
 """The analysed tool's own result documents, written and read without holding a repository.
 
 A document is one JSON file ``<owner>/<repo>.json`` of ``{metadata, repositories[commits[]]}``.  ``write_documents``
-sorts the commits inside each repository and streams head, commits and tail into the repository's file;
-``read_documents`` splits a document into one row per commit while it reads.  Both are Spark Python data
-sources: Spark partitions, sorts and retries, a task holds a commit (writing) or a small batch of them
-(reading), whatever the size of a document.  Files are reached through ``pyarrow.fs``, so a path is a plain one on
+sorts the commits inside blocks of each repository, packs them and streams head, pieces and tail into the
+repository's file; ``read_documents`` splits a document into one row per commit while it reads.  Both are Spark Python data
+sources: Spark partitions, sorts and retries, a task holds a small batch of commits, whatever the size of a document.  Files are reached through ``pyarrow.fs``, so a path is a plain one on
 a shared folder or a URI that Arrow knows (``file``, ``hdfs``, ``s3``, ``gs``); this package has to be importable on the
 executors.
 """
 
 from __future__ import annotations
 
+import gzip
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from histofold.schemas import CHANGE, DOCUMENT_COMMIT, RESULT_DOCUMENT
-from histofold.sources.results import RESULT_SUFFIX, safe_name
+from histofold.sources.results import PACKED_SUFFIX, RESULT_SUFFIX, safe_name
 
 if TYPE_CHECKING:
     import pyarrow as pa
@@ -36,6 +37,9 @@ DOCUMENT_ROW = T.StructType([
 #: Characters read at once; commits of a batch, characters of a batch at most (a larger commit is a batch).
 CHUNK, BATCH_COMMITS, BATCH_CHARS = 1 << 20, 1_000, 4 << 20
 
+#: Places of a block, which one task sorts; bytes of a piece at most (a larger commit is a piece).
+BLOCK_COMMITS, PIECE_BYTES = 1_024, 1 << 20
+
 
 def _filesystem(path: str):
     from pyarrow import fs
@@ -51,6 +55,7 @@ def document_rows(facts: DataFrame, classified: DataFrame, files: DataFrame, met
 
     ``facts``, ``classified`` and ``files`` as loaded from results (``jobs.load_results``, ``jobs.load_files``);
     ``metadata`` is the one-row record of the run (S11).  Lists are gathered per commit, never per repository.
+    Ids may be of any type that the three share: tables bucketed on them are joined where they lie.
     """
     key = ["repo_id", "commit_id"]
     entry = F.struct("pos", *CHANGE.names)
@@ -62,7 +67,7 @@ def document_rows(facts: DataFrame, classified: DataFrame, files: DataFrame, met
     changes = [F.coalesce(F.transform(n, lambda c: F.struct(*[c[f].alias(f) for f in CHANGE.names])),
                           F.array().cast(T.ArrayType(CHANGE))).alias(n) for n in ("pac_changes", "other_changes")]
     names = F.coalesce(F.transform("files", lambda f: f["file"]), F.array().cast("array<string>")).alias("files")
-    made = {"files": names, "pac_changes": changes[0], "other_changes": changes[1]}
+    made = {"commit_id": F.col("commit_id").cast("string").alias("commit_id"), "files": names, "pac_changes": changes[0], "other_changes": changes[1]}
     body = F.to_json(F.struct(*[made.get(c, F.col(c)) for c in DOCUMENT_COMMIT.names]), {"ignoreNullFields": "false"})
     owner, repo = F.split("project_name", "/").getItem(0), F.split("project_name", "/").getItem(1)
     document = F.concat(safe_name(owner), F.lit("/"), safe_name(repo), F.lit(RESULT_SUFFIX)).alias("document")
@@ -81,14 +86,48 @@ def document_rows(facts: DataFrame, classified: DataFrame, files: DataFrame, met
     return ordered.unionByName(heads)
 
 
-def write_documents(rows: DataFrame, root: str) -> None:
-    """Write ``document_rows`` as files below ``root``: one task writes a document, commit after commit.
+def pack_rows(rows: DataFrame) -> DataFrame:
+    """``document_rows`` as ``(document, ord, piece)``: gzipped runs of neighbouring commits, ``ord`` of the first one.
+
+    Only here the text itself is moved and sorted, in blocks of ``BLOCK_COMMITS`` places, so a document of any size
+    is spread over the tasks.
+    """
+    size = PIECE_BYTES
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        def piece():
+            body = gzip.compress(b",\n".join(held), 6, mtime=0)
+            return pa.RecordBatch.from_pydict({"document": [block[0]], "ord": pa.array([first], pa.int64()), "piece": pa.array([body], pa.binary())})
+
+        block, first, held, length = None, 0, [], 0
+        for batch in batches:
+            for document, number, ord_, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (block != (document, number) or length + len(body) > size):
+                    yield piece()
+                    held, length = [], 0
+                if not held:
+                    block, first = (document, number), ord_
+                held.append(body)
+                length += len(body)
+        if held:
+            yield piece()
+
+    block = F.floor(F.col("ord") / BLOCK_COMMITS).alias("block")
+    return (rows.select("document", block, "ord", F.col("body").cast("binary").alias("body")).repartition("document", "block")
+            .sortWithinPartitions("document", "ord").mapInArrow(pack, "document string, ord long, piece binary"))
+
+
+def write_documents(rows: DataFrame, root: str, packed: bool = False) -> None:
+    """Write ``document_rows`` as files below ``root``: one task writes a document, piece after piece; ``packed``: gzipped
+    ``<repo>.json.gz``.
 
     A file appears under its name when it is whole; a repeated task writes the same bytes again.
     """
     rows.sparkSession.dataSource.register(ResultDocuments)
-    (rows.select("document", "ord", "body").repartition("document").sortWithinPartitions("document", "ord")
-     .write.format(ResultDocuments.name()).option("path", root).mode("append").save())
+    (pack_rows(rows).repartition("document").sortWithinPartitions("document", "ord")
+     .write.format(ResultDocuments.name()).option("path", root).option("packed", str(packed)).mode("append").save())
 
 
 class ResultDocuments(DataSource):
@@ -105,12 +144,12 @@ class ResultDocuments(DataSource):
         return _Reader(json.loads(self.options["files"]))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], self.options["packed"] == "True")
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, root: str):
-        self.root = root.rstrip("/")
+    def __init__(self, root: str, packed: bool):
+        self.root, self.packed = root.rstrip("/"), packed
 
     def write(self, rows) -> WriterCommitMessage:
         files, base = _filesystem(self.root)
@@ -122,32 +161,35 @@ class _Writer(DataSourceWriter):
                 document, first = row.document, True
                 files.create_dir(f"{base}/{document.rsplit('/', 1)[0]}", recursive=True)
                 unfinished = f"{base}/{document}.{uuid.uuid4().hex}"
-                out = files.open_output_stream(unfinished)
+                out = files.open_output_stream(unfinished, compression=None)
             elif not first:
-                out.write(b",\n")
+                out.write(self._text(b",\n"))
             else:
                 first = False
-            out.write(row.body.encode())
+            # pieces are gzip members, and members one after the other are a gzip file
+            out.write(row.piece if self.packed else gzip.decompress(row.piece))
         if out is not None:
             self._finish(files, out, unfinished, f"{base}/{document}")
         return WriterCommitMessage()
 
-    @staticmethod
-    def _finish(files, out, unfinished: str, path: str) -> None:
-        out.write(b"\n]}\n]}\n")
+    def _text(self, text: bytes) -> bytes:
+        return gzip.compress(text, 6, mtime=0) if self.packed else text
+
+    def _finish(self, files, out, unfinished: str, path: str) -> None:
+        out.write(self._text(b"\n]}\n]}\n"))
         out.close()
-        files.move(unfinished, path)
+        files.move(unfinished, path.removesuffix(RESULT_SUFFIX) + PACKED_SUFFIX if self.packed else path)
 
 
 # ------------------------------------------------------------------- reading
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """One row per commit (``DOCUMENT_ROW``) of every ``*.json`` below ``root``; ``pos`` is the place in its list.
+    """One row per commit (``DOCUMENT_ROW``) of every ``*.json`` and ``*.json.gz`` below ``root``; ``pos`` is the place in its list.
 
     A document that is not whole JSON of the expected form gives one row with its ``error`` and no commit.
     """
     spark.dataSource.register(ResultDocuments)
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-               .option("pathGlobFilter", "*" + RESULT_SUFFIX).load(root).select("path"))
+               .option("pathGlobFilter", f"*{{{RESULT_SUFFIX},{PACKED_SUFFIX}}}").load(root).select("path"))
     # paths only, as any file source lists them
     files = sorted(r["path"] for r in listing.collect())
     return spark.read.format(ResultDocuments.name()).option("files", json.dumps(files)).load()
@@ -256,8 +298,8 @@ class _Json:
 def _repositories(path: str):
     """(number of the repository, key, value) of a document's repositories; a commit comes under the key ``commits``."""
     files, inside = _filesystem(path)
-    with files.open_input_stream(inside) as stream:
-        doc = _Json(stream)
+    with files.open_input_stream(inside, compression=None) as stream:
+        doc = _Json(gzip.open(stream) if path.endswith(PACKED_SUFFIX) else stream)
         for key in doc.members():
             if key != "repositories" or doc.peek() == "n":
                 doc.value()
@@ -282,7 +324,7 @@ def commit_rows(path: str) -> Iterator[tuple[int, dict]]:
         for number, key, value, _ in _repositories(path):
             if key in ("repository_id", "project_name"):
                 about.setdefault(number, {})[key] = value
-    except ValueError as e:
+    except (ValueError, EOFError, gzip.BadGzipFile, zlib.error) as e:
         yield 0, {"file_path": path, "error": f"{type(e).__name__}: {e}"[:500]}
         return
     pos: dict[int, int] = {}

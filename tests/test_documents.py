@@ -103,3 +103,42 @@ def test_memory_is_bounded_by_a_commit(tmp_path):
     assert sum(1 for _ in docs.commit_rows(str(tmp_path / "big.json"))) == 20_000
     assert tracemalloc.get_traced_memory()[1] < 12e6
     tracemalloc.stop()
+
+
+def test_packed_documents_hold_the_bytes_of_plain_ones(spark, tmp_path, monkeypatch):
+    """Blocks and pieces of any size give one JSON document, its commits in order, with a commit larger than a piece."""
+    import gzip
+
+    def commit(doc, n):
+        return (f"o/{doc}.json", n, json.dumps({"commit_id": f"c{n}", "message": "é" * (300 if n == 7 else n % 5)}, ensure_ascii=False))
+
+    heads = [(f"o/{d}.json", -1, f'{{"repositories": [\n{{"repository_id": {d}, "commits": [\n') for d in range(3)]
+    listed = {0: [], 1: [3], 2: [n for n in range(60) if n % 4]}
+    rows = spark.createDataFrame([commit(d, n) for d in listed for n in listed[d]] + heads, "document string, ord long, body string").repartition(5)
+    plain = {}
+    for k, (block, size) in enumerate(((1_024, 1 << 20), (8, 100), (1, 1))):
+        monkeypatch.setattr(docs, "BLOCK_COMMITS", block)
+        monkeypatch.setattr(docs, "PIECE_BYTES", size)
+        for packed in (False, True):
+            root = tmp_path / f"{k}{packed}"
+            docs.write_documents(rows, str(root), packed=packed)
+            suffix = ".json.gz" if packed else ".json"
+            assert sorted(p.name for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")) == [f"{d}{suffix}" for d in range(3)]
+            for d in range(3):
+                text = (root / "o" / f"{d}{suffix}").read_bytes()
+                text = gzip.decompress(text) if packed else text
+                assert plain.setdefault(d, text) == text
+                assert [c["commit_id"] for c in json.loads(text)["repositories"][0]["commits"]] == [f"c{n}" for n in listed[d]]
+            got = docs.read_documents(spark, str(root)).filter("error IS NULL").orderBy("repository_id", "pos").collect()
+            assert [(r.repository_id, r.pos, r.commit_id) for r in got] == [(d, i, f"c{n}") for d in listed for i, n in enumerate(listed[d])]
+
+
+def test_broken_packed_documents_give_their_error(tmp_path):
+    import gzip
+    whole = gzip.compress(json.dumps({"repositories": [{"commits": [{"commit_id": f"c{k}", "message": str(k) * 50} for k in range(500)]}]}).encode())
+    for name, data in (("cut", whole[:-20]), ("other", b"no gzip"), ("flipped", whole[:400] + bytes(b ^ 255 for b in whole[400:440]) + whole[440:])):
+        (tmp_path / f"{name}.json.gz").write_bytes(data)
+        (only,) = [r for _, r in docs.commit_rows(str(tmp_path / f"{name}.json.gz"))]
+        assert only["error"] and "commit_id" not in only
+    (tmp_path / "whole.json.gz").write_bytes(whole)
+    assert len([r for _, r in docs.commit_rows(str(tmp_path / "whole.json.gz"))]) == 500

@@ -120,3 +120,46 @@ def test_entries_of_a_history_give_the_join_of_files_and_changes(spark):
     cols = ["commit_id", "pos", "file", "additions", "deletions", "status", "has_info"]
     got = sorted(map(tuple, touched.select(cols).collect()), key=str)
     assert len(got) == 4 and got == sorted(map(tuple, joined.select(cols).collect()), key=str)
+
+
+def test_documents_are_made_where_the_collection_lies(spark, monkeypatch):
+    """Commits, files and changes of a document come from the collected tables; only the finished text is moved."""
+    from histofold.plans.queries import QUERIES
+    from histofold.sources import documents as docs
+
+    made, write = [], docs.write_documents
+    monkeypatch.setattr(docs, "write_documents", lambda rows, root, **options: (made.append(rows), write(rows, root, **options)))
+    assert QUERIES["documents_roundtrip"](spark, SF).count() == context(spark, SF).facts.count() > 0
+    (rows,) = made
+    commits = rows.filter("ord >= 0")
+    assert not leaves(commits, "l_orderkey") and "Exchange hashpartitioning" not in commits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_read_the_line_items_once(spark):
+    """The commit totals come from the touched files' own records, and equal those of all change records."""
+    c = context(spark, SF)
+    plan = c.facts_plan()
+    assert len(leaves(plan, "l_orderkey")) == 1
+    apart = cl.commit_fold(c.h.commits, c.classified, c.h.changes, c.h.repos)
+    assert plan.schema == apart.schema and plan.count() == apart.count()
+    assert plan.exceptAll(apart).isEmpty()
+
+
+def test_own_records_count_each_once_where_a_path_repeats(spark):
+    commits = spark.createDataFrame([(7, 1, 1), (7, 2, 0), (7, 3, 2), (8, 4, 1)], "repo_id int, commit_id long, parent_count int").withColumns(
+        {"author": F.lit("a"), "message": F.lit("m"), "date": F.lit(1).cast("long"), "pos": F.col("commit_id").cast("int")})
+    records = spark.createDataFrame(
+        [(1, "f", 0, 1, 2, 3, True), (1, "f", 1, 9, None, None, True), (1, "f", 2, 5, 5, 1, False), (1, "g", 3, 2, 2, 2, True),
+         (2, "f", 0, 7, 1, 4, True), (3, "f", 0, 7, 1, 4, True)],
+        "commit_id long, file string, pos int, additions int, deletions int, status int, recorded boolean")
+    pac = spark.createDataFrame([(7, "f"), (7, "f")], "repo_id int, path string")
+    repos = spark.createDataFrame([(7, "o/r"), (8, "o/s")], "repo_id int, full_name string")
+    files, changes = records.select("commit_id", "file", "pos"), records.filter("recorded").drop("recorded")
+    apart = cl.classify_changes(commits, files, changes, pac)
+    touched = cl.classify_touched(commits, files, changes, pac, touched=cl.touched_files(records))
+    kept = cl.kept_changes(touched)
+    assert kept.schema.simpleString() == apart.schema.simpleString() and touched.count() == 5
+    assert sorted(map(str, kept.collect())) == sorted(map(str, apart.collect()))
+    one, two = cl.commit_fold(commits, kept, changes, repos, touched=touched), cl.commit_fold(commits, apart, changes, repos)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert {(r.commit_id, r.total_added_lines, r.total_deleted_lines) for r in one.collect()} == {(1, 12, 4), (2, 7, 0), (4, 0, 0)}
