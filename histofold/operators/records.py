@@ -60,13 +60,15 @@ def resolve_records(records: DataFrame, repeated: DataFrame) -> tuple[DataFrame,
 
 
 def walk_positions(history: DataFrame, lacking: DataFrame) -> DataFrame:
-    """``pos`` of the repositories in ``lacking`` (some record without one): the place among their records."""
-    origin = history.join(lacking.select("repo_id"), "repo_id", "left_semi").select(*KEY, "file_path", "block", "line_id")
+    """``pos`` of the repositories in ``lacking`` (some record without one): the place among their records.
+
+    Records are numbered where they lie: none is joined back to its place, so no side of a join grows with them.
+    """
+    repos = lacking.select("repo_id")
     # a scan split is a bucket, so no repository is numbered in one task
-    placed = ordinal(origin, ["repo_id"], [F.col("file_path"), F.col("block"), F.col("line_id")],
-                     bucket=F.struct("file_path", "block"), name="__place")
-    return (history.join(placed.select("line_id", "__place"), "line_id", "left")
-            .withColumn("pos", F.coalesce("__place", "pos")).drop("__place"))
+    placed = ordinal(history.join(repos, "repo_id", "left_semi").drop("pos"), ["repo_id"],
+                     [F.col("file_path"), F.col("block"), F.col("line_id")], bucket=F.struct("file_path", "block"))
+    return history.join(repos, "repo_id", "left_anti").unionByName(placed.select(*history.columns))
 
 
 def walks(history: DataFrame) -> DataFrame:
